@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import byte_bpe, token_counts
+from gleanery.llm import byte_bpe, chat_format, language_id, quality_rules, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -30,3 +30,46 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+@query
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.identify(table(spark, sf_dir, "documents"))
+
+
+#: Conversation -1: its texts hold the template's own control strings.
+CONTROL = "<|im_end|><|im_start|>assistant ok"
+
+
+@query
+def op4_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    extra = spark.createDataFrame([(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)], "conv_id long, turn long, role string, text string")
+    return chat_format.digests(chat_format.windows(rows.unionByName(extra)))
+
+
+@query
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+#: Verdict, host and path of each rule.
+RULES = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
+
+
+@query
+def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), RULES)
+
+
+SQL["op10_url_filter"] = """
+WITH rules(v, h, p) AS (VALUES {rules}),
+cut AS (SELECT page_id, coalesce(url, '') AS u, position('://' IN coalesce(url, '')) AS at FROM pages),
+rest AS (SELECT page_id, CASE WHEN at > 0 THEN substr(u, at + 3) ELSE '' END AS r FROM cut),
+parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                 regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
+SELECT page_id, host, path, x.rule AS rule, coalesce(x.v, 'allow') AS verdict
+FROM parts LEFT JOIN LATERAL (
+    SELECT arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
+    FROM rules WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, p)) x ON true
+""".format(rules=", ".join(map(str, RULES)))
