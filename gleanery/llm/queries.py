@@ -64,8 +64,8 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 SQL["op10_url_filter"] = """
 WITH rules(v, h, p) AS (VALUES {rules}),
-cut AS (SELECT page_id, coalesce(url, '') AS u, position('://' IN coalesce(url, '')) AS at FROM pages),
-rest AS (SELECT page_id, CASE WHEN at > 0 THEN substr(u, at + 3) ELSE '' END AS r FROM cut),
+cut AS (SELECT page_id, coalesce(url, '') AS u, position('://' IN coalesce(url, '')) AS pos FROM pages),
+rest AS (SELECT page_id, CASE WHEN pos > 0 THEN substr(u, pos + 3) ELSE '' END AS r FROM cut),
 parts AS (SELECT page_id, translate(regexp_extract(r, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
                  regexp_extract(r, '^[^/?#]*([^?#]*)', 1) AS path FROM rest)
 SELECT page_id, host, path, x.rule AS rule, coalesce(x.v, 'allow') AS verdict
