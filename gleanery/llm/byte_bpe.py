@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql.types import StructType
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
@@ -154,9 +155,9 @@ def encoder(path: str) -> Encoder:
     return Encoder(path)
 
 
-def encode_decode(docs: DataFrame, path: str, pattern: str, keep: bool = False) -> DataFrame:
+def encode_decode(docs: DataFrame, path: str, pattern: str, keep: bool = False, carry: tuple[str, ...] = ()) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256; with ``keep`` also
-    token_ids array<int> and decoded string.
+    token_ids array<int>; the columns of ``docs`` in ``carry`` follow.
 
     Null text counts as empty: 0 tokens and the digests of no bytes. doc_id may be null or repeat; rows map one to
     one. Special strings are ordinary text. Whole texts are encoded, long ones in blocks of pieces. Other columns of
@@ -172,15 +173,18 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: bool = False)
                 for block in own.encode(x.as_py() or "", compiled):
                     n += len(block) // 4
                     ids.update(block)
-                    back.update(decoded := own.decode(block))
+                    back.update(own.decode(block))
                     if keep:
-                        blocks.append((block, decoded))
+                        blocks.append(block)
                 rows.append((n, ids.hexdigest(), back.hexdigest(), blocks))
             cols = [batch.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.string()), pa.array([r[2] for r in rows], pa.string())]
             names = ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"]
             if keep:
-                cols += [pa.array([np.frombuffer(b"".join(b for b, _ in r[3]), "<u4").astype(np.int32) for r in rows], pa.list_(pa.int32())), pa.array([b"".join(d for _, d in r[3]).decode() for r in rows], pa.string())]
-                names += ["token_ids", "decoded"]
+                cols.append(pa.array([np.frombuffer(b"".join(r[3]), "<u4").astype(np.int32) for r in rows], pa.list_(pa.int32())))
+                names.append("token_ids")
+            cols += [batch.column(c) for c in carry]
+            names += carry
             yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA + (", token_ids array<int>, decoded string" if keep else ""))
+    schema = StructType([*StructType.fromDDL(SCHEMA + ", token_ids array<int>" * keep), *(docs.schema[c] for c in carry)])
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *(c for c in carry if c != "text")).mapInArrow(run, schema)

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -128,3 +130,26 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return now.groupBy("a").agg(F.min("b").alias("component")).select(F.col("a").alias("node"), "component").unionByName(
         now.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     )
+
+
+def grouped(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, pa.Table]]:
+    """Runs of rows with equal ``keys`` in sorted batches; a run may cross batches. One run is held at a time."""
+    now, held = None, []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cols = [batch.column(k).to_numpy(zero_copy_only=False) for k in keys]
+        new = np.zeros(batch.num_rows, bool)
+        new[0] = True
+        for c in cols:
+            new[1:] |= c[1:] != c[:-1]
+        starts = np.flatnonzero(new).tolist()
+        for start, stop in zip(starts, [*starts[1:], batch.num_rows]):
+            key = tuple(c[start] for c in cols)
+            if held and key != now:
+                yield now, pa.Table.from_batches(held)
+                held = []
+            now = key
+            held.append(batch.slice(start, stop - start))
+    if held:
+        yield now, pa.Table.from_batches(held)

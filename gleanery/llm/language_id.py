@@ -17,6 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 DIM = 1 << 13
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, family string"
@@ -165,8 +166,8 @@ def remainder() -> Column:
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5))
 
 
-def predict(docs: DataFrame, model: Model) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, held_out, lang_pred, score, family.
+def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, held_out, lang_pred, score, family, and the columns of ``docs`` in ``carry``.
 
     ``und`` with score 0 and family null if the text is null or has no letter, or if the model knows no language.
     held_out is true if crc32(doc_id as text) mod 5 is 0 and null for a null doc_id. Equal texts get equal answers; rows
@@ -183,13 +184,14 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 text = x.as_py()
                 out.append(own.decide(features(text) @ w + bias) if known and has_letter(text) else (UNKNOWN, None, 0.0))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array([o[0] for o in out], pa.string()), pa.array([o[2] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.string())],
-                names=["doc_id", "held_out", "lang_pred", "score", "family"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array([o[0] for o in out], pa.string()), pa.array([o[2] for o in out], pa.float64()), pa.array([o[1] for o in out], pa.string()), *(batch.column(c) for c in carry)],
+                names=["doc_id", "held_out", "lang_pred", "score", "family", *carry],
             )
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder() == 0).alias("held_out"), "text").mapInArrow(run, SCHEMA)
+    rest = [c for c in carry if c != "text"]
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), (remainder() == 0).alias("held_out"), "text", *rest).mapInArrow(run, StructType([*StructType.fromDDL(SCHEMA), *(docs.schema[c] for c in carry)]))
 
 
-def identify(docs: DataFrame, per_language: int = 400, families: dict[str, str] = FAMILIES) -> DataFrame:
+def identify(docs: DataFrame, per_language: int = 400, families: dict[str, str] = FAMILIES, carry: tuple[str, ...] = ()) -> DataFrame:
     """``predict`` with a model fitted on the rows of ``docs`` (doc_id, text, lang) that aren't held out. Empty tables give empty results."""
-    return predict(docs, train(docs.where(remainder() != 0), per_language, families))
+    return predict(docs, train(docs.where(remainder() != 0), per_language, families), carry)

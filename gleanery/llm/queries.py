@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from gleanery.llm import byte_bpe, chat_format, language_id, quality_rules, token_counts, url_filter
+from gleanery.llm import byte_bpe, chat_format, chosen_path, embedding_graph, language_id, mixing, quality_rules, substring_dedup, token_counts, url_filter
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -37,6 +37,26 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify(table(spark, sf_dir, "documents"))
 
 
+@query
+def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_embedding_graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_graph.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+@query
+def op7_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
 #: Conversation -1: its texts hold the template's own control strings.
 CONTROL = "<|im_end|><|im_start|>assistant ok"
 

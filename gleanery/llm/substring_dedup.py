@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from gleanery.llm.common import gram_hashes, materialize, mix, word_hashes, words_of
 
@@ -150,12 +151,14 @@ def _sort_buckets(window: int):
     return run
 
 
-def _rebuild(keep: bool):
+def _rebuild(carry: tuple[str, ...]):
+    """``carry``: columns that go on as they are, but for text, which goes on without the removed words."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
-            for text, ranges in zip(batch.column("text"), batch.column("ranges")):
-                words = words_of(text.as_py())
+            for given, ranges in zip(batch.column("text"), batch.column("ranges")):
+                words = words_of(given := given.as_py())
                 gone = np.zeros(len(words) + 1, np.int32)
                 found = ranges.as_py() or ()
                 body = body_of(words) if found else None
@@ -164,23 +167,28 @@ def _rebuild(keep: bool):
                         gone[r["a"]] += 1
                         gone[r["b"]] -= 1
                 left = (np.cumsum(gone[:-1]) == 0).nonzero()[0].tolist()
-                text = b" ".join([words[i] for i in left] if len(left) < len(words) else words)
-                rows.append((len(words), len(words) - len(left), hashlib.sha256(text).hexdigest(), text.decode() if keep else None))
-            cols = [batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate([pa.int64(), pa.int64(), pa.string(), pa.string()][: 3 + keep]))]
-            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", "kept_text"][: 4 + keep])
+                whole = len(left) == len(words)
+                text = b" ".join(words if whole else [words[i] for i in left])
+                rows.append((len(words), len(words) - len(left), hashlib.sha256(text).hexdigest(), given if whole else text.decode()))
+            kinds = [pa.int64(), pa.int64(), pa.string()]
+            cols = [batch.column("doc_id"), *(pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds))]
+            cols += [pa.array([r[3] for r in rows], pa.string()) if c == "text" else batch.column(c) for c in carry]
+            yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_words", "n_removed", "kept_sha256", *carry])
 
     return run
 
 
-def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, hot: int = 2000, keep: bool = False) -> DataFrame:
-    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256; with ``keep`` also kept_text.
+def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, hot: int = 2000, carry: tuple[str, ...] = ()) -> DataFrame:
+    """One row per row of ``docs`` (doc_id, text): doc_id, n_words, n_removed, kept_sha256, and the columns of ``docs``
+    in ``carry``; a carried text is as it was where nothing goes, else the kept words joined by one space.
 
     A word goes if a window that covers it has the same words as a window of a document with a smaller doc_id. Null
     text has no words. Rows with a null doc_id are neither judged nor compared and keep all words. Rows that repeat a
     doc_id are not repeats of each other; each is judged by its own words. Texts under ``window`` words keep all.
     Other columns are ignored.
     """
-    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rest = [c for c in carry if c != "text"]
+    every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
     named = "doc_id is not null and text is not null"
     # dealt by doc_id once: this exchange serves the packing and the rebuilding
     rows = every.where(named).repartition("doc_id")
@@ -190,7 +198,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, hot: int =
     shared = same.groupBy("mini").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("mini", (F.col("n") > hot).alias("hot"))
     # a document's super-k-mers are at most as many as its words; rows that repeat one are listed once
     pick = flat.join(shared, "mini").groupBy("doc_id").agg(F.collect_set(F.struct("body", "mini", "start", "count", "hot")).alias("pick"))
-    packed = rows.join(pick, "doc_id").select("doc_id", "text", "pick").mapInArrow(_pack(window), PACKED)
+    packed = rows.select("doc_id", "text").join(pick, "doc_id").select("doc_id", "text", "pick").mapInArrow(_pack(window), PACKED)
     least = packed.groupBy("bucket", "key", "packed").agg(F.min("doc_id").alias("least"))
     firsts = least.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(window), "key binary, firsts array<long>")
     owned = packed.select("doc_id", "body", "key", "start").join(firsts, "key")
@@ -200,7 +208,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, hot: int =
     length = "aggregate(at, 0, (n, y) -> if(y = s.x + n, n + 1, n))"
     spans = F.expr(f"transform({begins}, s -> struct(start + s.x as a, start + s.x + {length} + {window - 1} as b, body))")
     ranges = hits.select("doc_id", F.explode(spans).alias("r")).groupBy("doc_id").agg(F.collect_set("r").alias("ranges"))
-    schema = "doc_id long, n_words long, n_removed long, kept_sha256 string" + ", kept_text string" * keep
-    done = rows.join(ranges, "doc_id", "left").select("doc_id", "text", "ranges").mapInArrow(_rebuild(keep), schema)
+    schema = StructType([*StructType.fromDDL("doc_id long, n_words long, n_removed long, kept_sha256 string"), *(docs.schema[c] for c in carry)])
+    done = rows.join(ranges, "doc_id", "left").select("doc_id", "text", *rest, "ranges").mapInArrow(_rebuild(carry), schema)
     others = every.where(f"not ({named})").withColumn("ranges", F.lit(None).cast("array<struct<a: int, b: int, body: bigint>>"))
-    return done.unionByName(others.mapInArrow(_rebuild(keep), schema))
+    return done.unionByName(others.mapInArrow(_rebuild(carry), schema))
