@@ -113,10 +113,10 @@ def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "a
     universe = materialize(keys.join(listed, "key", "left"))
     cascades = {v: build(universe.select("key", F.coalesce(F.col("v") == v, F.lit(False)).alias("listed"))) for v in ("allow", "block")}
     if sum(c.bits for c in cascades.values()) > max_bits:
-        hits = df.select("page_id", "host", "path", F.explode_outer("__k").alias("key")).join(listed, "key", "left")
-        best = F.max(F.when(F.col("v").isNotNull(), F.struct(F.length("key"), "key", "v")))
-        df = hits.distinct().groupBy("page_id", "host", "path").agg(best.alias("__b"))
-        df = split_url(pages).join(df, ["page_id", "host", "path"], "left")  # repeated rows come back
+        places = df.select("host", "path", "__k").dropDuplicates(["host", "path"])
+        hits = places.select("host", "path", F.explode("__k").alias("key")).join(listed, "key")
+        best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("key"), "key", "v")).alias("__b"))
+        df = df.join(best, ["host", "path"], "left")
         return df.select("page_id", "host", "path", F.col("__b.key").alias("rule"), F.coalesce("__b.v", F.lit(default)).alias("verdict"))
     tagged = f"transform(__k, k -> struct(length(k) as n, k as k, if({cascades['block'].contains('k')}, 'block', if({cascades['allow'].contains('k')}, 'allow', null)) as v))"
     df = df.withColumn("__b", F.expr(f"array_max(filter({tagged}, x -> x.v is not null))"))
