@@ -42,7 +42,7 @@ def remove_words(text: Column, words: Column) -> Column:
 
 def any_word(words: list[str]) -> str:
     """One pattern for a list of words and phrases, each between word borders."""
-    return r"\b(?:" + "|".join(re.sub(r"([^\w\s])", r"\\\1", w) if "-" not in w else w for w in words) + r")\b"
+    return r"\b(?:" + "|".join(map(re.escape, words)) + r")\b"
 
 
 def contains_any(text: Column, words: list[str]) -> Column:

@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from gleanery.plans import queries_demand, queries_errors, queries_evaluation, queries_experiments, queries_sampling, queries_sources, queries_text, queries_topics  # noqa: F401
+from gleanery.plans.base import QUERIES, SQL
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+__all__ = ["QUERIES", "SQL"]

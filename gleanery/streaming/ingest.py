@@ -11,10 +11,10 @@ from pyspark.sql.streaming import StreamingQuery
 from gleanery.sources.reviews import append_new
 
 
-def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> DataFrame:
-    """``events`` as a stream; ``ts`` becomes a timestamp with zone, as watermarks need."""
-    schema = spark.read.parquet(path).schema
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path).withColumn("ts", F.col("ts").cast("timestamp"))
+def read_events(spark: SparkSession, folder: str, names: str = "*.parquet", files_per_trigger: int = 1) -> DataFrame:
+    """Parquet files of a folder, whose names match, as a stream; ``ts`` becomes a timestamp with zone, as watermarks need."""
+    schema = spark.read.option("pathGlobFilter", names).parquet(folder).schema
+    return spark.readStream.schema(schema).option("pathGlobFilter", names).option("maxFilesPerTrigger", files_per_trigger).parquet(folder).withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 def windowed_counts(events: DataFrame, window: str = "1 day", late: str = "1 day", key: str = "event_id", by: str = "event_type") -> DataFrame:
