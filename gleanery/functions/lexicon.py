@@ -38,7 +38,7 @@ SARCASM_MARKER = [
     r"\bwhat a (surprise|shocker)\b",
 ]
 TEMPORAL_SHIFT = [r"\bused to\b", r"\buntil (the |an |a )?(update|patch|dlc|expansion)\b", r"\bno longer\b", r"\bever since\b", r"\bnowadays\b", r"\bthese days\b", r"\bback (then|in the day)\b"]
-#: Code point ranges of emoji; the two pictures of the same set below are for Java and for RE2 alike.
+#: Code point ranges of emoji, in a spelling that Java and RE2 share.
 EMOJI = r"[\x{1F000}-\x{1FAFF}\x{2600}-\x{27BF}\x{1F1E6}-\x{1F1FF}\x{2190}-\x{21FF}\x{2B00}-\x{2BFF}\x{FE00}-\x{FE0F}]"
 EMOTICON = r"[:;=8][-o^']?[)(\]\[DPpoO3<>|]|</?3|(^|[^A-Za-z])[xX]D([^A-Za-z]|$)|\^[_.]?\^|[oO][_.][oO]|[tT]_[tT]|;_;|>:[()]"
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -14,6 +15,16 @@ def shuffled(df: DataFrame, key: str = "review_id", seed: int = 42) -> DataFrame
     return df.orderBy(dice(key, seed), key)
 
 
+def row_ids(df: DataFrame, order: list, name: str = "row_id") -> DataFrame:
+    """Numbers from 0 over a total order, given before any filter so that they stay. Rows are dealt by ranges of the
+    order and numbered within each; only one count for each range meets elsewhere. The ranges are held on disk, as both passes must see the same ones."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__p"), (F.monotonically_increasing_id() % (1 << 33)).alias("__i")).persist(StorageLevel.DISK_ONLY)
+    sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"))
+    before = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))
+    return ranged.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__o") + F.col("__i")).drop("__p", "__i", "__o")
+
+
 def top_per_group(df: DataFrame, groups: list[str], order: list, n: int) -> DataFrame:
     """The first ``n`` rows of each group; Spark limits groups before the shuffle."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("__r") <= n).drop("__r")

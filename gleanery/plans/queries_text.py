@@ -57,7 +57,7 @@ def p01_raw_projection(spark, d):
 
     pages = table(spark, d, "pages")
     none = F.lit(None)
-    payload = pages.select("page_id", F.col("url").alias("review"), none.cast("boolean").alias("voted_up"), (F.col("page_id") % 7).cast("int").alias("votes_up"), none.cast("string").alias("language"), none.cast("long").alias("timestamp_created"), F.struct(F.col("page_id").cast("string").alias("steamid")).alias("author"))
+    payload = pages.select("page_id", F.col("url").alias("review"), none.cast("boolean").alias("voted_up"), (F.col("page_id") % 7).cast("int").alias("votes_up"), none.cast("string").alias("language"), none.cast("long").alias("timestamp_created"), F.struct(F.col("page_id").cast("string").alias("id")).alias("author"))
     return project_raw(payload).withColumn("page_id", F.col("author").cast("long"))
 
 
@@ -96,10 +96,10 @@ def p06_polarity(spark, d):
 
 @query(sql("SELECT row_number() OVER (ORDER BY timestamp_created, review_id) - 1 AS row_id, review_id FROM reviews QUALIFY length(review_text) >= 300", "reviews"))
 def p08_stable_row_ids(spark, d):
-    from pyspark.sql import Window
+    from gleanery.operators.sampling import row_ids
 
     rows = reviews(spark, d).select("review_id", "timestamp_created", (F.length("review_text") >= 300).alias("long"))
-    return rows.withColumn("row_id", F.row_number().over(Window.orderBy("timestamp_created", "review_id")).cast("long") - 1).where("long").select("row_id", "review_id")
+    return row_ids(rows, ["timestamp_created", "review_id"]).where("long").select("row_id", "review_id")
 
 
 @query(sql("SELECT count(*) AS n FROM reviews WHERE review_text IS NOT NULL", "reviews"))

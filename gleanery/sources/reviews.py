@@ -72,12 +72,12 @@ def exclusion_list(*tables: DataFrame, key: str = "game_id") -> DataFrame:
     return out.dropna().distinct()
 
 
-def project_raw(payload: DataFrame) -> DataFrame:
-    """Nested API rows (review, voted_up, votes_up, language, timestamp_created, author.steamid) as raw reviews with defaults."""
+def project_raw(payload: DataFrame, author: str = "author.id") -> DataFrame:
+    """Nested API rows (review, voted_up, votes_up, language, timestamp_created, and a nested ``author`` field) as raw reviews with defaults."""
     filled = lambda c, d: F.coalesce(F.col(c), F.lit(d))
     return payload.select(
         filled("review", "").alias("review_text"), filled("voted_up", False).alias("voted_up"), filled("votes_up", 0).alias("votes_up"),
-        filled("language", "").alias("language"), filled("timestamp_created", 0).alias("timestamp_created"), filled("author.steamid", "").alias("author"),
+        filled("language", "").alias("language"), filled("timestamp_created", 0).alias("timestamp_created"), filled(author, "").alias("author"),
     )
 
 
