@@ -93,3 +93,39 @@ FROM parts LEFT JOIN LATERAL (
     SELECT arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v
     FROM rules WHERE (host = h OR host LIKE '%.' || h) AND starts_with(path, p)) x ON true
 """.format(rules=", ".join(map(str, RULES)))
+
+
+#: Words of every text in SQL.
+WORDS = r"list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '')"
+
+SQL["op3_chosen_path"] = f"""
+WITH RECURSIVE w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, md5(array_to_string(w[i:i + 4], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 3, 2))) AS i FROM w WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM grams a JOIN grams b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b, k, x.n AS na, y.n AS nb FROM pairs JOIN sizes x ON x.doc_id = a JOIN sizes y ON y.doc_id = b WHERE k >= 0.8 * (x.n + y.n - k)),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT d.doc_id, least(d.doc_id, coalesce(c.m, d.doc_id)) AS class_id, coalesce(l.n, 0) AS n_links, least(d.doc_id, coalesce(l.same, d.doc_id)) AS rep_id, coalesce(s.n, 0) AS n_shingles
+FROM documents d LEFT JOIN sizes s ON s.doc_id = d.doc_id
+LEFT JOIN (SELECT a, count(*) AS n, min(CASE WHEN k = na AND k = nb THEN b END) AS same FROM links GROUP BY 1) l ON l.a = d.doc_id
+LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) c ON c.a = d.doc_id
+"""
+
+SQL["op6_embedding_graph"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
+links AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND list_cosine_similarity(a.x, b.x) >= 0.95),
+reach(a, b) AS (SELECT a, b FROM links UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b)
+SELECT vec_id, coalesce(n, 0) AS n_links, least(vec_id, coalesce(m, vec_id)) AS component_id, vec_id <= coalesce(m, vec_id) AS kept
+FROM embeddings LEFT JOIN (SELECT a, count(*) AS n FROM links GROUP BY 1) l ON l.a = vec_id LEFT JOIN (SELECT a, min(b) AS m FROM reach GROUP BY 1) c ON c.a = vec_id
+"""
+
+SQL["op7_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, {WORDS} AS w FROM documents),
+windows AS (SELECT doc_id, i, md5(array_to_string(w[i:i + 49], ' ')) AS h FROM (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w WHERE len(w) >= 50)),
+firsts AS (SELECT h, min(doc_id) AS m FROM windows GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, i + k AS p FROM windows JOIN firsts USING (h), (SELECT unnest(range(0, 50)) AS k) WHERE m < doc_id),
+lists AS (SELECT doc_id, list(p) AS ps FROM gone GROUP BY 1)
+SELECT w.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(ps), 0) AS BIGINT) AS n_removed,
+    sha256(array_to_string(list_filter(w, lambda x, i: ps IS NULL OR NOT list_contains(ps, i)), ' ')) AS kept_sha256
+FROM w LEFT JOIN lists ON lists.doc_id = w.doc_id
+"""
