@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 
 from gleanery.llm.common import U64, connected_components, gram_hashes, grouped, materialize, mix, roots, word_hashes, words_of
 
-TOKENS, BRANCH, DEEPEST = 64, 3, 12
+TOKENS, BRANCH, DEEPEST = 64, 2, 12
 _FACTOR = mix(np.arange(11, 11 + TOKENS, dtype=U64)) | U64(1)
 _SHIFT = mix(np.arange(7001, 7001 + TOKENS, dtype=U64))
 #: Tokens that two nodes must share to be settled exactly; at similarity 0.8 fewer are six deviations away.
@@ -53,9 +53,11 @@ def tokens(grams: np.ndarray, step: int = 2048) -> np.ndarray:
     return (low >> U64(32)).astype(np.uint32)
 
 
-def runs_for(recall: float, threshold: float) -> int:
-    """Runs after which a pair at ``threshold`` has met with probability ``recall``: a run keeps it with that of sharing the token."""
-    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - threshold)))
+def runs_for(recall: float, threshold: float, splits: int = 2) -> int:
+    """Runs after which a pair at ``threshold`` has met with probability ``recall``, if its buckets are split ``splits``
+    times: a run keeps it if it shares the first token and one of each split's."""
+    kept = threshold * (1 - (1 - threshold) ** BRANCH) ** splits
+    return max(1, math.ceil(math.log(1 - recall) / math.log(1 - kept)))
 
 
 def _mark(words: int):
@@ -77,6 +79,24 @@ def _mark(words: int):
 CELL = ["bucket", "i", "j"]
 
 
+def shared(row: np.ndarray, value: np.ndarray, n: int, width: int = 2048) -> np.ndarray:
+    """How many values each pair of n rows has in common, by products of incidence blocks of ``width`` values; (row, value) don't repeat."""
+    _, at, count = np.unique(value, return_inverse=True, return_counts=True)
+    place = np.cumsum(count > 1) - 1
+    keep = count[at] > 1
+    row, at = row[keep], place[at[keep]]
+    order = np.argsort(at, kind="stable")
+    row, at = row[order], at[order]
+    total = np.zeros((n, n), np.float32)  # exact up to 2^24 values
+    block = np.zeros((n, width), np.float32)
+    for start in range(0, int(at[-1]) + 1 if len(at) else 0, width):
+        lo, hi = np.searchsorted(at, (start, start + width))
+        block[row[lo:hi], at[lo:hi] - start] = 1
+        total += block @ block.T
+        block[row[lo:hi], at[lo:hi] - start] = 0
+    return total
+
+
 def _pairs(table: pa.Table, key: tuple) -> np.ndarray:
     """Which pairs of a cell's rows (bucket, i, j, slice, size, buckets) are its own: across slices if it has two, of
     fitting sizes, and without an earlier bucket in common. A symmetric matrix."""
@@ -88,10 +108,7 @@ def _pairs(table: pa.Table, key: tuple) -> np.ndarray:
     row = np.repeat(np.arange(len(part)), lengths)
     before = flat < bucket
     if before.any():
-        names, at = np.unique(flat[before], return_inverse=True)
-        has = np.zeros((len(part), len(names)), np.float32)
-        has[row[before], at] = 1
-        own &= (has @ has.T) == 0
+        own &= shared(row[before], flat[before], len(part)) == 0
     return own, size
 
 
@@ -152,24 +169,6 @@ def _bring(words: int):
     return run
 
 
-def intersections(sets: list[np.ndarray], width: int = 2048) -> np.ndarray:
-    """Sizes of all intersections, by products of incidence blocks of ``width`` shared shingles."""
-    row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, at, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = np.cumsum(count > 1) - 1
-    keep = count[at] > 1
-    row, at = row[keep], shared[at[keep]]
-    order = np.argsort(at, kind="stable")
-    row, at = row[order], at[order]
-    total = np.zeros((len(sets), len(sets)), np.float64)
-    for start in range(0, int(at[-1]) + 1 if len(at) else 0, width):
-        lo, hi = np.searchsorted(at, (start, start + width))
-        block = np.zeros((len(sets), width), np.float32)
-        block[row[lo:hi], at[lo:hi] - start] = 1
-        total += block @ block.T
-    return total
-
-
 def _settle(threshold: float):
     """Cells with sets to (node, links, parent): exact links weighted by the partners' copies, and the cell's root of each linked node."""
 
@@ -187,7 +186,7 @@ def _settle(threshold: float):
             if len(nodes) < 2:
                 continue
             own, size = _pairs(table, key)
-            inter = intersections([np.frombuffer(g, U64) for g in table["grams"].to_pylist()])
+            inter = shared(np.repeat(np.arange(len(nodes)), size), np.frombuffer(b"".join(table["grams"].to_pylist()), U64), len(nodes)).astype(np.float64)
             own &= inter >= threshold * (size[:, None] + size[None, :] - inter) - 1e-9
             a, b = np.nonzero(own)
             root = roots(len(nodes), (a, b))
@@ -216,10 +215,11 @@ def buckets_of(nodes: DataFrame, runs: int, limit: int) -> DataFrame:
         places = f"transform(sequence(1, {BRANCH}), k -> int(pmod(xxhash64(bucket, {depth}, k), {TOKENS})))"
         below = large.join(sig, "node").select("node", F.col("bucket").alias("up"), F.col("n").alias("n_up"), F.explode(F.expr(f"transform({places}, p -> struct(p, sig[p] as v))")).alias("t"))
         below = below.select("node", "up", "n_up", F.xxhash64("up", "t.p", "t.v").alias("bucket")).distinct()
+        below = materialize(below)
         counts = below.groupBy("up", "n_up", "bucket").agg(F.count("*").alias("n"))
-        # the mean share of pairs of a bucket that stay together: near 1, its members are alike and are compared as they are
+        # the mean share of pairs of a bucket that stay together: from 0.3 on many of its members are alike, and all are compared as they are
         alike = counts.groupBy("up").agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.max(F.lit(float(BRANCH)) * F.col("n_up") * F.col("n_up"))).alias("share"))
-        split = counts.join(alike, "up").select("up", "bucket", "n", ((F.col("share") < 0.5) & F.lit(depth < DEEPEST)).alias("split"))
+        split = counts.join(alike, "up").select("up", "bucket", "n", ((F.col("share") < 0.3) & F.lit(depth < DEEPEST)).alias("split"))
         split = materialize(split)
         whole = split.where("not split").select(F.col("up").alias("bucket")).distinct()
         done.append(large.join(whole, "bucket").select("bucket", "n", "node"))
@@ -231,7 +231,7 @@ def buckets_of(nodes: DataFrame, runs: int, limit: int) -> DataFrame:
     return out
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.99999, limit: int = 256, cell: int = 1024) -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall: float = 0.99999, limit: int = 512, cell: int = 512) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, class_id, n_links, rep_id, n_shingles.
 
     n_links: other rows whose shingle sets have a Jaccard similarity of ``threshold`` or more, copies included.
