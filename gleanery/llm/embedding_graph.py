@@ -274,20 +274,22 @@ def link(nodes: DataFrame, threshold: float, cell: int, slack: float, sample: in
     reach = slack * float(np.sqrt(2 - 2 * threshold))
     placed = materialize(nodes.mapInArrow(_assign(centres, reach), "node long, vector array<double>, copies long, home int, shards array<int>"))
     inside = placed.select("node", "vector", "copies", F.explode("shards").alias("shard"))
-    sizes = inside.groupBy("shard").agg(F.expr(f"int(ceil(count(*) / {cell}))").alias("g"))  # a row for each centre
-    part = F.expr("int(pmod(xxhash64(node, shard), g))")
-    sliced = inside.join(F.broadcast(sizes), "shard").withColumn("i", part)
-    graph = sliced.repartition("shard", "i").sortWithinPartitions("shard", "i").mapInArrow(_build, "node long, near array<long>")
-    united = graph.select("node", F.explode("near").alias("b")).groupBy("node").agg(F.collect_set("b").alias("near"))
-    counted = F.expr("sequence(0, g - 1)")
-    rows = sliced.join(united, "node", "left").select("shard", "i", F.explode(counted).alias("j"), F.lit(False).alias("asks"), "node", "vector", "copies", "near")
-    queries = placed.select("node", "vector", "copies", F.col("home").alias("shard")).join(F.broadcast(sizes), "shard").withColumn("j", part)
-    queries = queries.select("shard", F.explode(counted).alias("i"), "j", F.lit(True).alias("asks"), "node", "vector", "copies", F.lit(None).cast("array<long>").alias("near"))
+    asking = placed.select("node", "vector", "copies", F.col("home").alias("shard"))
+    # how many slices a shard's nodes and its queries fill: a row for each centre
+    count = lambda df, name: df.groupBy("shard").agg(F.expr(f"int(ceil(count(*) / {cell}))").alias(name))
+    sizes = count(inside, "gi").join(count(asking, "gj"), "shard")
+    sliced = inside.join(F.broadcast(sizes), "shard").withColumn("i", F.expr("int(pmod(xxhash64(node, shard), gi))"))
+    graph = sliced.select("shard", "i", "node", "vector").repartition("shard", "i").sortWithinPartitions("shard", "i").mapInArrow(_build, "node long, near array<long>")
+    united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
+    every = lambda g: F.explode(F.expr(f"sequence(0, {g} - 1)"))
+    rows = sliced.join(united, "node").select("shard", "i", every("gj").alias("j"), F.lit(False).alias("asks"), "node", "vector", "copies", "near")
+    queries = asking.join(F.broadcast(sizes), "shard").withColumn("j", F.expr("int(pmod(xxhash64(node, shard), gj))"))
+    queries = queries.select("shard", every("gi").alias("i"), "j", F.lit(True).alias("asks"), "node", "vector", "copies", F.lit(None).cast("array<long>").alias("near"))
     cells = rows.unionByName(queries).repartition(*CELL).sortWithinPartitions(*CELL)
     return materialize(cells.mapInArrow(_search(threshold), "node long, links long, parent long"))
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.95, cell: int = 1500, recall: float = 0.99, slack: float = 0.45, sample: int = 20_000, most_centres: int = 1024) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.95, cell: int = 1500, recall: float = 0.99, slack: float = 0.3, sample: int = 20_000, most_centres: int = 1024) -> DataFrame:
     """One row per row of ``rows`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     n_links: other rows with a cosine of ``threshold`` or more, equal vectors included. Vectors that are null, empty, zero, of another length
