@@ -8,8 +8,10 @@
 3. The nodes of a home search the slices of its shard: greedily from the medoid over the united lists; wherever
    the search meets nodes in range, it goes on through all of their neighbours until no more are in range. What it finds is
    verified by cosine in double precision.
-4. The recall is audited: nodes of rows whose id is divisible by 100 are compared with all nodes, in blocks. While it is below the
-   target, the graph is built again with a larger slack; at slack 1 no pair can lie outside the searched shards.
+4. The recall is audited: the nodes of all rows whose id is divisible by 100, copies of smaller ids too, are compared with all
+   nodes, in blocks. The target holds for the sum of links, for the mean of the rows and for the mean of each class of
+   link counts. While one is below, the graph is built again with a larger slack; at slack 1 no pair can lie outside the
+   searched shards, and if the search still misses links, the cells are compared exactly.
 
 A slice returns a link count and one parent for each node, never a row for a pair.
 """
@@ -184,8 +186,14 @@ def _build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array([names[own] for own in lists], pa.list_(pa.int64()))], names=["node", "near"])
 
 
-def _search(threshold: float):
-    """Cells of nodes (slice i) and queries (home slice j) to (node, links, parent)."""
+def _all_pairs(x: np.ndarray, queries: np.ndarray, threshold: float, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """What ``search`` returns, by comparing every query with every row."""
+    hits = [np.nonzero(queries[at : at + block] @ x.T >= threshold - 1e-9) for at in range(0, len(queries), block)]
+    return np.concatenate([q + k * block for k, (q, _) in enumerate(hits)]), np.concatenate([r for _, r in hits])
+
+
+def _search(threshold: float, exact: bool = False):
+    """Cells of nodes (slice i) and queries (home slice j) to (node, links, parent); ``exact``: by comparing all of a cell."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, table in grouped(batches, CELL):
@@ -197,14 +205,17 @@ def _search(threshold: float):
             order = np.argsort(names[inside], kind="stable")
             inside = inside[order]
             own = names[inside]
-            lists = []
-            for k in inside.tolist():
-                near = np.asarray(table["near"][k].values.to_numpy() if table["near"][k].is_valid else [], np.int64)
-                at = np.minimum(np.searchsorted(own, near), len(own) - 1)
-                lists.append(at[own[at] == near])
-            # lists of other shards' rows may leave rows out of reach of the medoid here
-            _connect(vectors[inside], lists)
-            q, r = search(vectors[inside], lists, vectors[ask], threshold)
+            if exact:
+                q, r = _all_pairs(vectors[inside], vectors[ask], threshold)
+            else:
+                lists = []
+                for k in inside.tolist():
+                    near = np.asarray(table["near"][k].values.to_numpy() if table["near"][k].is_valid else [], np.int64)
+                    at = np.minimum(np.searchsorted(own, near), len(own) - 1)
+                    lists.append(at[own[at] == near])
+                # lists of other shards' rows may leave rows out of reach of the medoid here
+                _connect(vectors[inside], lists)
+                q, r = search(vectors[inside], lists, vectors[ask], threshold)
             q, r = ask[q], inside[r]
             keep = (np.einsum("nd,nd->n", vectors[q], vectors[r]) >= threshold) & (names[q] != names[r])
             q, r = q[keep], r[keep]
@@ -252,20 +263,31 @@ def _count_links(threshold: float, queries: np.ndarray, names: np.ndarray):
     return run
 
 
-def audit(nodes: DataFrame, found: DataFrame, threshold: float, every: int = 100, most: int = 4096) -> float:
-    """Share of the links of the nodes whose id is divisible by ``every`` that ``found`` (node, links) has, against a
-    comparison with all nodes in blocks. Of more than ``most`` such nodes, those with the smallest hashes are asked."""
-    asked = nodes.where(f"pmod(node, {every}) = 0").orderBy(F.xxhash64("node")).limit(most).select("node", "vector").toArrow()
-    if not len(asked):
+def audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = 4096) -> float:
+    """The least recall of ``found`` (node, links) among the rows asked, against a comparison with all nodes: of the summed
+    links, the mean over rows that have links, and the same mean for each class of link counts (powers of two).
+    ``nodes`` (node, vector, copies, asked) say how many rows of each are asked; all of them are, in passes of about ``most`` nodes."""
+    asked = nodes.where("asked > 0").select("node", "asked")
+    held = materialize(asked.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left"))
+    passes = -(-held.count() // most)
+    total: dict[int, np.ndarray] = {}
+    for k in range(passes):
+        some = nodes.where(F.expr(f"asked > 0 and pmod(xxhash64('audit', node), {passes}) = {k}")).select("node", "vector").toArrow()
+        if not len(some):
+            continue
+        exact = nodes.mapInArrow(_count_links(threshold, stacked(some["vector"]), some["node"].to_numpy()), "node long, links long").groupBy("node").agg(F.sum("links").alias("exact"))
+        both = exact.where("exact > 0").join(held, "node").withColumn("got", F.least("exact", F.coalesce("links", F.lit(0))))
+        sums = both.groupBy(F.expr("int(floor(log2(exact)))").alias("class")).agg(*(F.expr(f"double(sum(asked * {x}))") for x in ("exact", "got", "(got / exact)", "1")))
+        for c, *row in sums.collect():
+            total[c] = total.get(c, 0) + np.array(row)
+    if not total:
         return 1.0
-    names = asked["node"].to_numpy()
-    exact = nodes.mapInArrow(_count_links(threshold, stacked(asked["vector"]), names), "node long, links long").groupBy("node").agg(F.sum("links").alias("exact"))
-    r = exact.join(found.groupBy("node").agg(F.sum("links").alias("links")), "node", "left").agg(F.sum("exact").alias("n"), F.sum(F.least("exact", F.coalesce("links", F.lit(0)))).alias("k")).first()
-    return r.k / r.n if r.n else 1.0
+    links, got, shares, rows = sum(total.values())
+    return float(min(got / links, shares / rows, *(t[2] / t[3] for t in total.values())))
 
 
-def link(nodes: DataFrame, threshold: float, cell: int, slack: float, sample: int, most_centres: int) -> DataFrame:
-    """(node, links, parent) of ``nodes`` (node, vector, copies): one graph over overlapping shards, built and searched."""
+def link(nodes: DataFrame, threshold: float, cell: int, slack: float, sample: int, most_centres: int, exact: bool = False) -> DataFrame:
+    """(node, links, parent) of ``nodes`` (node, vector, copies): one graph over overlapping shards, built and searched, or with ``exact`` all cells compared."""
     n = nodes.count()
     k = min(most_centres, max(1, n // (cell // 2)))
     picked = nodes.where(F.pmod(F.xxhash64(F.lit("centres"), "node"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n)))).select("node", "vector").toArrow()
@@ -286,7 +308,7 @@ def link(nodes: DataFrame, threshold: float, cell: int, slack: float, sample: in
     queries = asking.join(F.broadcast(sizes), "shard").withColumn("j", F.expr("int(pmod(xxhash64(node, shard), gj))"))
     queries = queries.select("shard", every("gi").alias("i"), "j", F.lit(True).alias("asks"), "node", "vector", "copies", F.lit(None).cast("array<long>").alias("near"))
     cells = rows.unionByName(queries).repartition(*CELL).sortWithinPartitions(*CELL)
-    return materialize(cells.mapInArrow(_search(threshold), "node long, links long, parent long"))
+    return materialize(cells.mapInArrow(_search(threshold, exact), "node long, links long, parent long"))
 
 
 def near_duplicates(rows: DataFrame, threshold: float = 0.95, cell: int = 1500, recall: float = 0.99, slack: float = 0.3, sample: int = 20_000, most_centres: int = 1024) -> DataFrame:
@@ -305,15 +327,18 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, cell: int = 1500,
     if sizes is None:
         return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
     keyed = everyone.withColumn("key", F.when(F.col("good"), F.sha2(F.to_json(F.struct("vector")).cast("binary"), 256)))
-    named = keyed.where("good").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.min("vector").alias("vector"))
+    named = keyed.where("good").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.expr("count_if(vec_id % 100 = 0)").alias("asked"), F.min("vector").alias("vector"))
     # nodes go by their smallest vec_id; where a vec_id repeats with other vectors, by their key
     twice = named.groupBy("vec_id").agg(F.count("*").alias("names"))
     nodes = materialize(named.join(twice, "vec_id").withColumn("node", F.when(F.col("names") == 1, F.col("vec_id")).otherwise(F.xxhash64("key"))).drop("names"))
+    exact = False
     while True:
-        found = link(nodes.select("node", "vector", "copies"), threshold, cell, slack, sample, most_centres)
-        if audit(nodes, found, threshold) >= recall or slack >= 1:
+        found = link(nodes.select("node", "vector", "copies"), threshold, cell, slack, sample, most_centres, exact)
+        if (share := audit(nodes, found, threshold)) >= recall:
             break
-        slack = min(1.0, slack * 1.6)
+        if exact:
+            raise RuntimeError(f"recall {share} of exact cells is below {recall}")
+        slack, exact = min(1.0, slack * 1.6), slack >= 1
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     reach = connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")))
     reach = reach.join(nodes.select("node", "vec_id"), "node")

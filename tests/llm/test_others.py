@@ -144,6 +144,36 @@ def test_embedding_graph_nothing(spark):
     assert {tuple(r) for r in embedding_graph.near_duplicates(bad).collect()} == {(1, 0, 1, True), (2, 0, 2, True)}
 
 
+def test_audit_asks_every_row_and_every_class(spark):
+    """20 alike nodes with all their links and 40 pairs, of which one has none: neither the sum nor a part of the passes hides it."""
+    at = lambda angle, d: [float(np.cos(angle)) if k == d else float(np.sin(angle)) if k == d + 1 else 0.0 for k in range(84)]
+    nodes = [(k, at(0.0001 * k, 0), 10, 1) for k in range(20)] + [(100 + k, at(0.1 * (k % 2), 2 + k // 2 * 2), 1, 1) for k in range(80)]
+    full = [(k, 190, 0) for k in range(20)] + [(100 + k, 1, 100) for k in range(80)]
+    df = spark.createDataFrame(nodes, "node long, vector array<double>, copies long, asked long").repartition(3)
+    share = lambda found, most: embedding_graph.audit(df, spark.createDataFrame(found, "node long, links long, parent long"), 0.95, most=most)
+    for most in (4096, 7):
+        assert share(full, most) == 1
+        assert share([f for f in full if f[0] not in (178, 179)], most) == pytest.approx(78 / 80)
+
+
+def test_audit_asks_copies_and_ends_in_exact_cells(spark, monkeypatch):
+    """The only row whose id is divisible by 100 is a copy of a smaller id; a search that finds nothing must not pass."""
+    data = [(7, [1.0, 0.0]), (100, [1.0, 0.0]), (8, [1.0, 0.1]), (9, [0.0, 1.0])]
+    nothing = (np.empty(0, np.int64), np.empty(0, np.int64))
+    monkeypatch.setattr(embedding_graph, "search", lambda *_: nothing)
+    real, calls = embedding_graph.link, []
+
+    def link(*args):
+        calls.append(args[3])
+        found = real(*args)
+        return found if args[-1] is True else found.limit(0)
+
+    monkeypatch.setattr(embedding_graph, "link", link)
+    got = {tuple(r) for r in embedding_graph.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()}
+    assert got == {(7, 2, 7, True), (100, 2, 7, False), (8, 2, 7, False), (9, 0, 9, True)}
+    assert calls[-2:] == [1.0, 1.0]
+
+
 def test_search_finds_a_chain():
     """Rows of which each is in range of the next only: the range grows along edges in range of the query alone."""
     angles = np.linspace(0, 1.2, 40)
