@@ -7,7 +7,9 @@
    lists of all shards that a node is in are united into one graph.
 3. The nodes of a home search the slices of its shard: greedily from the medoid over the united lists; wherever
    the search meets nodes in range, it goes on through all of their neighbours until no more are in range. What it finds is
-   verified by cosine in double precision.
+   verified by cosine in double precision. Each pair is credited to both ends once: where both ends ask in one cell, what one
+   finds counts for both; where the mirrored pair meets in another cell, both cells compare such pairs exactly; where it
+   meets nowhere, the one cell credits both.
 4. The recall is audited: the nodes of all rows whose id is divisible by 100, copies of smaller ids too, are compared with all
    nodes, in blocks. The target holds for the sum of links, for the mean of the rows and for the mean of each class of
    link counts. While one is below, the graph is built again with a larger slack; at slack 1 no pair can lie outside the
@@ -192,6 +194,23 @@ def _all_pairs(x: np.ndarray, queries: np.ndarray, threshold: float, block: int
     return np.concatenate([q + k * block for k, (q, _) in enumerate(hits)]), np.concatenate([r for _, r in hits])
 
 
+def _both_ways(x: np.ndarray, at: np.ndarray, inside: np.ndarray, ask: np.ndarray, q: np.ndarray, r: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (row of a query, row of a node) of a cell, each once, without pairs of one name: of names (``at``) that are both query and node here,
+    those found (``q``, ``r``) in either direction; of all others, whose mirrored pair isn't in this cell, those that an exact comparison finds."""
+    n = len(at)
+    node, query = np.full(n, -1), np.full(n, -1)
+    node[at[inside]], query[at[ask]] = inside, ask
+    mirrored = (node[at[q]] >= 0) & (query[at[r]] >= 0)
+    codes = [q * n + r, query[at[r[mirrored]]] * n + node[at[q[mirrored]]]]
+    for some, other in ((ask[node[at[ask]] < 0], inside), (ask, inside[query[at[inside]] < 0])):
+        if len(some) and len(other):
+            a, b = _all_pairs(x[other], x[some], threshold)
+            codes.append(some[a] * n + other[b])
+    q, r = np.divmod(np.unique(np.concatenate(codes)), n)
+    keep = at[q] != at[r]
+    return q[keep], r[keep]
+
+
 def _search(threshold: float, exact: bool = False):
     """Cells of nodes (slice i) and queries (home slice j) to (node, links, parent); ``exact``: by comparing all of a cell."""
 
@@ -216,14 +235,22 @@ def _search(threshold: float, exact: bool = False):
                 # lists of other shards' rows may leave rows out of reach of the medoid here
                 _connect(vectors[inside], lists)
                 q, r = search(vectors[inside], lists, vectors[ask], threshold)
-            q, r = ask[q], inside[r]
-            keep = (np.einsum("nd,nd->n", vectors[q], vectors[r]) >= threshold) & (names[q] != names[r])
+            every, at = np.unique(names, return_inverse=True)
+            q, r = _both_ways(vectors, at, inside, ask, ask[q], inside[r], threshold)
+            keep = np.concatenate([np.einsum("nd,nd->n", vectors[q[k : k + 65536]], vectors[r[k : k + 65536]]) >= threshold for k in range(0, max(1, len(q)), 65536)])
             q, r = q[keep], r[keep]
+            # pairs whose mirrored pair no cell has: the query isn't in the home of the node
+            home, shards = table["home"].to_numpy().astype(np.int64), table["shards"].combine_chunks()
+            most = int(home.max()) + 1
+            reached = np.repeat(np.arange(len(names)), shards.value_lengths().fill_null(0).to_numpy()) * most
+            flat = shards.flatten().to_numpy().astype(np.int64)
+            reached = (reached + flat)[flat < most]
+            alone = ~np.isin(q * most + home[r], reached)
             # one parent for each name in the cell
-            every, at = np.unique(names, return_inverse=True)
             root = every[roots(len(every), (at[q], at[r]))]
             links = np.zeros(len(every), np.int64)
             np.add.at(links, at[q], copies[r])
+            np.add.at(links, at[r[alone]], copies[q[alone]])
             touched = np.unique(np.concatenate([at[q], at[r]]))
             yield pa.RecordBatch.from_arrays([pa.array(every[touched], pa.int64()), pa.array(links[touched], pa.int64()), pa.array(root[touched], pa.int64())], names=["node", "links", "parent"])
 
@@ -295,8 +322,8 @@ def link(nodes: DataFrame, threshold: float, cell: int, slack: float, sample: in
     centres = fit_centres(stacked(picked["vector"]), min(k, len(picked)))
     reach = slack * float(np.sqrt(2 - 2 * threshold))
     placed = materialize(nodes.mapInArrow(_assign(centres, reach), "node long, vector array<double>, copies long, home int, shards array<int>"))
-    inside = placed.select("node", "vector", "copies", F.explode("shards").alias("shard"))
-    asking = placed.select("node", "vector", "copies", F.col("home").alias("shard"))
+    inside = placed.select("node", "vector", "copies", "home", F.explode("shards").alias("shard"))
+    asking = placed.select("node", "vector", "copies", "home", "shards", F.col("home").alias("shard"))
     # how many slices a shard's nodes and its queries fill: a row for each centre
     count = lambda df, name: df.groupBy("shard").agg(F.expr(f"int(ceil(count(*) / {cell}))").alias(name))
     sizes = count(inside, "gi").join(count(asking, "gj"), "shard")
@@ -304,9 +331,9 @@ def link(nodes: DataFrame, threshold: float, cell: int, slack: float, sample: in
     graph = sliced.select("shard", "i", "node", "vector").repartition("shard", "i").sortWithinPartitions("shard", "i").mapInArrow(_build, "node long, near array<long>")
     united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     every = lambda g: F.explode(F.expr(f"sequence(0, {g} - 1)"))
-    rows = sliced.join(united, "node").select("shard", "i", every("gj").alias("j"), F.lit(False).alias("asks"), "node", "vector", "copies", "near")
+    rows = sliced.join(united, "node").select("shard", "i", every("gj").alias("j"), F.lit(False).alias("asks"), "node", "vector", "copies", "home", F.lit(None).cast("array<int>").alias("shards"), "near")
     queries = asking.join(F.broadcast(sizes), "shard").withColumn("j", F.expr("int(pmod(xxhash64(node, shard), gj))"))
-    queries = queries.select("shard", every("gi").alias("i"), "j", F.lit(True).alias("asks"), "node", "vector", "copies", F.lit(None).cast("array<long>").alias("near"))
+    queries = queries.select("shard", every("gi").alias("i"), "j", F.lit(True).alias("asks"), "node", "vector", "copies", "home", "shards", F.lit(None).cast("array<long>").alias("near"))
     cells = rows.unionByName(queries).repartition(*CELL).sortWithinPartitions(*CELL)
     return materialize(cells.mapInArrow(_search(threshold, exact), "node long, links long, parent long"))
 

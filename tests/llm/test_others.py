@@ -174,6 +174,22 @@ def test_audit_asks_copies_and_ends_in_exact_cells(spark, monkeypatch):
     assert calls[-2:] == [1.0, 1.0]
 
 
+def test_both_ends_count_a_pair_seen_from_one_side(spark, monkeypatch):
+    """Fixed centres: node 1 lies near its border and is in both shards, node 2 is in its own alone; 3 and 4 ask together."""
+    angles = {1: 0.79, 2: 0.70, 3: 1.5, 4: 1.6, 5: 0.05}
+    centres = np.array([[1.0, 0.0], [0.0, 1.0]])
+    monkeypatch.setattr(embedding_graph, "fit_centres", lambda *_: centres)
+    rows = [(k, [float(np.cos(a)), float(np.sin(a))], k) for k, a in angles.items()]
+    df = spark.createDataFrame(rows, "node long, vector array<double>, copies long")
+    home, shards = embedding_graph.homes(np.array([v for _, v, _ in rows]), centres, 0.1 * np.sqrt(0.1))
+    assert home.tolist() == [1, 0, 1, 1, 0] and [len(s) for s in shards[:2]] == [2, 1]
+    for cell in (1500, 2):
+        got = {}
+        for r in embedding_graph.link(df, 0.95, cell, 0.1, 100, 2).collect():
+            got[r.node] = got.get(r.node, 0) + r.links
+        assert {k: n for k, n in got.items() if n} == {1: 2, 2: 1, 3: 4, 4: 3}
+
+
 def test_search_finds_a_chain():
     """Rows of which each is in range of the next only: the range grows along edges in range of the query alone."""
     angles = np.linspace(0, 1.2, 40)
