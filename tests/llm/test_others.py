@@ -190,6 +190,14 @@ def test_both_ends_count_a_pair_seen_from_one_side(spark, monkeypatch):
         assert {k: n for k, n in got.items() if n} == {1: 2, 2: 1, 3: 4, 4: 3}
 
 
+def test_default_overlap_holds_a_pair_across_a_border(spark, monkeypatch):
+    """Fixed centres, both ends 0.12 from the border, no row for the audit: the overlap alone must hold the pair."""
+    monkeypatch.setattr(embedding_graph, "fit_centres", lambda *_: np.array([[1.0, 0.0], [0.0, 1.0]]))
+    data = [(k, [float(np.cos(a)), float(np.sin(a))]) for k, a in ((1, np.pi / 4 - 0.12), (2, np.pi / 4 + 0.12))]
+    got = embedding_graph.near_duplicates(spark.createDataFrame(data, "vec_id long, embedding array<double>")).collect()
+    assert {tuple(r) for r in got} == {(1, 1, 1, True), (2, 1, 1, False)}
+
+
 def test_search_finds_a_chain():
     """Rows of which each is in range of the next only: the range grows along edges in range of the query alone."""
     angles = np.linspace(0, 1.2, 40)
