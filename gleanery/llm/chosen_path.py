@@ -5,7 +5,8 @@
    whose overlap estimates the Jaccard similarity, as chosen-path joins do before they split.
 2. Each run starts at one sampled place: nodes that share its token meet in a bucket. A bucket above ``limit`` nodes is
    split again on ``BRANCH`` further sampled places, its path hash choosing them, and so on. The number of runs follows
-   from the target recall. A bucket whose members mostly share every sampled token can't be split any more; it, and
+   from the target recall at two splits; nodes of buckets that are split more often get further runs, as many as the
+   deepest split reached asks for. A bucket whose members mostly share every sampled token can't be split any more; it, and
    every bucket that is small, is compared by brute force. Large ones are compared in cells of two bounded slices, so
    nothing larger than a cell ever meets in a task and no pair is dropped.
 3. A pair is compared only in the first of the buckets that both nodes have. What the tokens leave as possible is
@@ -18,6 +19,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -27,6 +29,8 @@ from pyspark.sql import functions as F
 from gleanery.llm.common import U64, connected_components, gram_hashes, grouped, materialize, mix, roots, word_hashes, words_of
 
 TOKENS, BRANCH, DEEPEST = 64, 2, 12
+#: Splits that the runs of all nodes allow for.
+PLANNED = 2
 _FACTOR = mix(np.arange(11, 11 + TOKENS, dtype=U64)) | U64(1)
 _SHIFT = mix(np.arange(7001, 7001 + TOKENS, dtype=U64))
 #: Tokens that two nodes must share to be settled exactly; at similarity 0.8 fewer are six deviations away.
@@ -53,13 +57,23 @@ def tokens(grams: np.ndarray, step: int = 2048) -> np.ndarray:
     return (low >> U64(32)).astype(np.uint32)
 
 
-def runs_for(recall: float, threshold: float, splits: int = 2) -> int:
+def runs_for(recall: float, threshold: float, splits: int = PLANNED) -> int:
     """Runs after which a pair at ``threshold`` has met with probability ``recall``, if its buckets are split ``splits``
     times: a run keeps it if it shares the first token and one of each split's."""
     kept = threshold * (1 - (1 - threshold) ** BRANCH) ** splits
     return max(1, math.ceil(math.log(1 - recall) / math.log(1 - kept)))
 
 
+def further_runs(recall: float, threshold: float, runs: int, splits: int) -> int:
+    """Runs that a pair needs beyond ``runs`` if a split beyond ``PLANNED`` parted it, buckets being split up to ``splits`` times: what
+    shallow splits part in all of ``runs`` is lost, and the rest of what ``recall`` allows is left for the others."""
+    lost = lambda n: 1 - threshold * (1 - (1 - threshold) ** BRANCH) ** n
+    late, room = lost(splits) ** runs - lost(PLANNED) ** runs, 1 - recall - lost(PLANNED) ** runs
+    if late <= room or splits <= PLANNED:
+        return 0
+    return min(TOKENS - runs, math.ceil(math.log(room / late) / math.log(lost(splits)))) if room > 0 else TOKENS - runs
+
+
 def _mark(words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -200,13 +214,12 @@ def _settle(threshold: float):
     return run
 
 
-def buckets_of(nodes: DataFrame, runs: int, limit: int) -> DataFrame:
-    """Final buckets (bucket, n, node) of ``nodes`` (node, sig): those with two nodes or more that are small, can't be split or lie deepest."""
-    sig = nodes.select("node", "sig")
-    starts = ", ".join(str(k * TOKENS // runs) for k in range(runs)) if runs <= TOKENS else ", ".join(map(str, range(TOKENS)))
-    rows = sig.select("node", F.explode(F.expr(f"transform(array({starts}), i -> xxhash64(0L, i, sig[i]))")).alias("bucket"))
+def split_runs(sig: DataFrame, starts: list[int], limit: int) -> tuple[DataFrame, int, list[DataFrame]]:
+    """Of a run from each place of ``starts``: the final buckets (bucket, n, node), the deepest split, and the nodes of the buckets split beyond ``PLANNED`` times."""
+    rows = sig.select("node", F.explode(F.expr(f"transform(array({', '.join(map(str, starts))}), i -> xxhash64(0L, i, sig[i]))")).alias("bucket"))
     counts = rows.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
     now = materialize(rows.join(counts, "bucket"))
+    deepest, deep = 0, []
     done = [now.where(f"n <= {limit}").select("bucket", "n", "node")]
     for depth in range(1, DEEPEST + 1):
         large = now.where(f"n > {limit}")
@@ -221,13 +234,35 @@ def buckets_of(nodes: DataFrame, runs: int, limit: int) -> DataFrame:
         alike = counts.groupBy("up").agg((F.sum(F.col("n").cast("double") * F.col("n")) / F.max(F.lit(float(BRANCH)) * F.col("n_up") * F.col("n_up"))).alias("share"))
         split = counts.join(alike, "up").select("up", "bucket", "n", ((F.col("share") < 0.3) & F.lit(depth < DEEPEST)).alias("split"))
         split = materialize(split)
+        cut = split.where("split").select(F.col("up").alias("bucket")).distinct()
+        if not cut.isEmpty():
+            deepest = depth
+            if depth > PLANNED:
+                deep.append(large.join(cut, "bucket").select("node"))
         whole = split.where("not split").select(F.col("up").alias("bucket")).distinct()
         done.append(large.join(whole, "bucket").select("bucket", "n", "node"))
         now = materialize(below.select("node", "up", "bucket").join(split.where("split and n > 1").select("up", "bucket", "n"), ["up", "bucket"]).select("bucket", "n", "node"))
         done.append(now.where(f"n <= {limit}"))
-    out = done[0]
-    for more in done[1:]:
-        out = out.unionByName(more)
+    return reduce(DataFrame.unionByName, done), deepest, deep
+
+
+def buckets_of(nodes: DataFrame, recall: float, threshold: float, limit: int) -> DataFrame:
+    """Final buckets (bucket, n, node) of ``nodes`` (node, sig): those with two nodes or more that are small, can't be split or lie deepest.
+
+    A pair that a split beyond ``PLANNED`` may part has both nodes in that split's bucket: such nodes get the runs that the deepest split asks for."""
+    sig = nodes.select("node", "sig")
+    runs = min(TOKENS, runs_for(recall, threshold))
+    held = 0
+    starts = [k * TOKENS // runs for k in range(runs)]
+    out, deepest, deep = split_runs(sig, starts, limit)
+    if deep:
+        sig = materialize(sig.join(reduce(DataFrame.unionByName, deep).distinct(), "node"))
+    while deep and (more := further_runs(recall, threshold, runs, deepest) - held) > 0:
+        left = [p for p in range(TOKENS) if p not in starts]
+        further = [left[k * len(left) // more] for k in range(more)]
+        found, depth, _ = split_runs(sig, further, limit)
+        out, deepest, starts = out.unionByName(found), max(deepest, depth), starts + further
+        held += more
     return out
 
 
@@ -244,7 +279,7 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, words: int = 5, recall
     usable = marks.where("doc_id is not null and node is not null")
     # copies combine before the shuffle
     nodes = materialize(usable.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.min(F.struct("size", "sig")).alias("s")).select("node", "rep", "copies", "s.*"))
-    final = materialize(buckets_of(nodes, runs_for(recall, threshold), limit))
+    final = materialize(buckets_of(nodes, recall, threshold, limit))
     listed = final.groupBy("node").agg(F.sort_array(F.collect_set(F.struct("bucket", "n"))).alias("b"))
     sketch = F.expr("unhex(array_join(transform(sig, x -> lpad(hex(x & 255), 2, '0')), ''))")
     rich = materialize(listed.join(nodes, "node").select("node", "rep", "size", "copies", sketch.alias("sketch"), "b", F.expr("transform(b, x -> x.bucket)").alias("buckets")))

@@ -90,6 +90,40 @@ def test_runs_follow_the_recall():
     assert chosen_path.runs_for(0.99999, 0.8) == 9 and chosen_path.runs_for(0.5, 0.8) == 1
 
 
+@pytest.mark.parametrize("splits", range(13))
+def test_further_runs_hold_the_recall(splits):
+    lost = lambda n: 1 - 0.8 * 0.96**n
+    more, shallow = chosen_path.further_runs(0.99999, 0.8, 9, splits), lost(min(splits, 2)) ** 9
+    assert shallow + (lost(splits) ** 9 - shallow) * lost(splits) ** more <= 1e-5 and 9 + more <= chosen_path.TOKENS
+
+
+def test_runs_follow_the_deepest_split(spark):
+    """Planted pairs that share 51 of 64 tokens in crowded buckets: split more than twice, they still meet at the target recall."""
+    r = random.Random(1)
+    data = []
+    for k in range(500):
+        a = [r.randrange(4) for _ in range(64)]
+        b = list(a)
+        for p in r.sample(range(64), 13):
+            b[p] = 4 + r.randrange(1000)
+        data += [(2 * k, a), (2 * k + 1, b)]
+    assert chosen_path.runs_for(0.73, 0.8) == 1
+    df = spark.createDataFrame(data, "node int, sig array<int>")
+    met = set()
+    of = {}
+    for row in chosen_path.buckets_of(df, 0.73, 0.8, 2).collect():
+        of.setdefault(row.bucket, []).append(row.node)
+    for nodes in of.values():
+        met |= {n // 2 for n in nodes if n ^ 1 in nodes}
+    starts = chosen_path.split_runs(df, [0], 2)
+    assert starts[1] > 2
+    first = {}
+    for row in starts[0].collect():
+        first.setdefault(row.bucket, []).append(row.node)
+    once = {n // 2 for nodes in first.values() for n in nodes if n ^ 1 in nodes}
+    assert once < met and len(met) >= 0.73 * 500
+
+
 def repeats_by_hand(data):
     first, out = {}, {}
     for i, t in sorted((i, t) for i, t in data if i is not None and t):
