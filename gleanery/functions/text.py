@@ -12,6 +12,11 @@ from gleanery.functions import lexicon as L
 ASCII = r"^[\x00-\x7F]+$"
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` computed once, however often lambdas inside refer to it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def clean_text(text: Column) -> Column:
     """Without tags, white space runs as one space, trimmed; null becomes empty."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", "")
@@ -57,8 +62,8 @@ def tokens(text: Column) -> Column:
 def double_negation(text: Column) -> Column:
     """A negative word within five tokens after a negation."""
     bad = F.array(*map(F.lit, L.BAD_AFTER_NEGATION))
-    found = tokens(text)
-    return F.exists(F.transform(found, lambda x, i: x.isin(L.NEGATION) & F.arrays_overlap(F.slice(found, i + 2, F.lit(5)), bad)), lambda x: x)
+    near = lambda found: F.transform(found, lambda x, i: x.isin(L.NEGATION) & F.arrays_overlap(F.slice(found, i + 2, F.lit(5)), bad))
+    return let(tokens(text), lambda found: F.exists(near(found), lambda x: x))
 
 
 def all_caps(text: Column, share: float = 0.5) -> Column:
@@ -109,8 +114,8 @@ def has_tag(listed: Column, tag: str) -> Column:
 def terms(text: Column, stop: list[str] = L.STOPWORDS) -> Column:
     """Unigrams and bigrams of words of four letters or more, stop words out before pairs are made."""
     words = F.filter(F.regexp_extract_all(F.lower(text), F.lit("([a-zA-Z]{4,})"), 1), lambda w: ~w.isin(stop))
-    pairs = F.transform(F.slice(words, 2, F.greatest(F.size(words), F.lit(1))), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w))
-    return F.concat(words, pairs)
+    pairs = lambda ws: F.transform(F.slice(ws, 2, F.greatest(F.size(ws), F.lit(1))), lambda w, i: F.concat(F.get(ws, i), F.lit(" "), w))
+    return let(words, lambda ws: F.concat(ws, pairs(ws)))
 
 
 def fixed_length(items: Column, size: int = 128, pad: str = "[PAD]") -> Column:
