@@ -23,20 +23,22 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql.types import StructType
 
+from gleanery.llm.common import small
+
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 
 
 class Encoder:
-    """Encodes pieces of one rank file. ``memo`` bounds the entries of the memos."""
+    """Encodes pieces of one rank file. ``memo`` bounds the entries of each memo; pieces of over 64 characters aren't held, so it bounds their bytes too."""
 
-    def __init__(self, path: str, memo: int = 350_000):
+    def __init__(self, path: str, memo: int = 100_000):
         with open(path, "rb") as f:
             self.rank = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
         self.bytes_of = [b""] * (max(self.rank.values()) + 1)
         for token, i in self.rank.items():
             self.bytes_of[i] = token
         self.halves = {i: self._last_merge(token) for token, i in self.rank.items()}
-        self.joins = {ab: i for i, ab in self.halves.items() if ab}
+        self.joins = {ab[0] << 32 | ab[1]: i for i, ab in self.halves.items() if ab}
         self.size_of = list(map(len, self.bytes_of))
         self.shorter = [-1] * len(self.bytes_of)  # the longest other entry that begins an entry
         for token, i in self.rank.items():
@@ -71,7 +73,7 @@ class Encoder:
         a, b, before = left, right, 1 << 60
         good = True
         while True:
-            joined = self.joins.get((a, b))
+            joined = self.joins.get(a << 32 | b)
             if joined is not None and joined < before:
                 good = False
                 break
@@ -134,16 +136,20 @@ class Encoder:
             found = self.pack[len(ids)](*ids) if len(ids) < 9 else np.array(ids, "<u4").tobytes()
         if len(piece) <= 64:
             if len(self.pieces) >= self.size:
-                self.older = dict(self.pieces)
-                self.pieces.clear()
+                self.older, self.pieces = self.pieces, {}
             self.pieces[piece] = found
         return found
 
+    def forget(self) -> None:
+        """Empties the memos: a Python worker that lives on keeps the vocabulary's tables only."""
+        self.pieces, self.older, self.pairs = {}, {}, {}
+
     def encode(self, text: str, pattern) -> Iterator[bytes]:
         """Packed ids of ``text``, by blocks of pieces."""
         found = map(regex.Match.group, pattern.finditer(text)) if len(text) > 1 << 20 else iter(pattern.findall(text))
-        get, packed = self.pieces.get, self.packed
+        packed = self.packed
         while block := list(islice(found, 1 << 16)):
+            get = self.pieces.get
             yield b"".join([get(p) or packed(p) for p in block])
 
     def decode(self, ids: bytes) -> bytes:
@@ -161,12 +167,13 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: bool = False,
 
     Null text counts as empty: 0 tokens and the digests of no bytes. doc_id may be null or repeat; rows map one to
     one. Special strings are ordinary text. Whole texts are encoded, long ones in blocks of pieces. Other columns of
-    ``docs`` are ignored. No shuffle; the vocabulary's tables are built once per Python worker from ``path``.
+    ``docs`` are ignored; no rows give none. No shuffle; the vocabulary's tables are built once per Python worker from
+    ``path``, its memos end with each partition.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own, compiled = encoder(path), regex.compile(pattern)
-        for batch in batches:
+        for batch in small(batches):
             rows: list[tuple] = []
             for x in batch.column("text"):
                 n, ids, back, blocks = 0, hashlib.sha256(), hashlib.sha256(), []
@@ -185,6 +192,7 @@ def encode_decode(docs: DataFrame, path: str, pattern: str, keep: bool = False,
             cols += [batch.column(c) for c in carry]
             names += carry
             yield pa.RecordBatch.from_arrays(cols, names=names)
+        own.forget()
 
     schema = StructType([*StructType.fromDDL(SCHEMA + ", token_ids array<int>" * keep), *(docs.schema[c] for c in carry)])
     return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", *(c for c in carry if c != "text")).mapInArrow(run, schema)

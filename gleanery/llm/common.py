@@ -17,19 +17,49 @@ U64 = np.uint64
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; only where that is unset (tests), a folder of our own."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a folder of its own and any other is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="gleanery-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: later steps neither recompute it nor depend on the executors that made it."""
-    path = f"{shared_dir(df.sparkSession)}/gleanery-{uuid.uuid4().hex}"
+    """Writes ``df`` to the shared folder and reads it back: later steps neither recompute it nor depend on the executors
+    that made it. The table is removed when the application ends."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/gleanery-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    context = spark.sparkContext
+    own = context._jvm.org.apache.hadoop.fs.Path(path)
+    own.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(own)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def small(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of about ``size`` bytes, a row at least: what Python makes of a slice stays small. Freed memory goes back when the partition ends."""
+    for batch in batches:
+        rows = max(1, batch.num_rows * size // max(1, batch.nbytes))
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+    pa.default_memory_pool().release_unused()
+
+
+def join_hot(rows: DataFrame, facts: DataFrame, key: str, weight: str, shares: int = 1000) -> DataFrame:
+    """``rows`` left-joined with ``facts`` (one row a key) on ``key``. Keys with more than 1/``shares`` of the summed
+    ``weight`` (the rows of each key) would overload a task: there are fewer than ``shares`` of them, whatever the table, so
+    their facts are broadcast; only rows of lighter keys are shuffled. Rows with a null key go on without a join."""
+    total = facts.agg(F.sum(weight).alias("n")).first().n or 0
+    heavy = facts.where(F.col(weight) * shares > total)
+    light = facts.where(F.col(weight) * shares <= total)
+    blank = [F.lit(None).cast(f.dataType).alias(f.name) for f in facts.schema if f.name != key]
+    keyed = rows.where(F.col(key).isNotNull())
+    out = keyed.join(F.broadcast(heavy), key)
+    out = out.unionByName(keyed.join(F.broadcast(heavy.select(key)), key, "left_anti").join(light, key, "left"))
+    return out.unionByName(rows.where(F.col(key).isNull()).select("*", *blank))
 
 
 def parts(df: DataFrame) -> int:

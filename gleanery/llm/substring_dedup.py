@@ -9,8 +9,8 @@ minimisers, so whether a window repeats is settled inside its minimiser's bucket
    document has; only their super-k-mers go on.
 2. Those travel as one packed string each to the bucket of their minimiser. Equal strings are combined before and
    after the shuffle, keeping the smallest doc_id. A minimiser that more than ``hot`` super-k-mers share would make
-   a bucket too large for a task; its super-k-mers are cut into single windows and dealt by the window's own hash, where equal windows
-   again combine. Every bucket is sorted by its windows, and runs of equal windows give the smallest doc_id of each.
+   a bucket too large for a task; its windows go singly, by 128-bit digests that deal them and by which equal windows combine.
+   Every other bucket is sorted by its windows, and runs of equal windows give the smallest doc_id of each.
 3. Super-k-mers with a window that starts in a document with a smaller doc_id are joined back to the places where
    they occur, which gives each document its covered word ranges; the kept words are put together from the whole text.
 """
@@ -22,19 +22,21 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gleanery.llm.common import gram_hashes, materialize, mix, word_hashes, words_of
+from gleanery.llm.common import gram_hashes, materialize, mix, small, word_hashes, words_of
 
 PLACES = "doc_id long, body long, mini array<long>, content array<long>, start array<int>, count array<int>"
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def super_kmers(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ...]:
-    """(minimiser, hash of the words, first window, number of windows) of each super-k-mer of a document."""
+def super_kmers(words: list[bytes], window: int, gram: int, span: int = 64) -> tuple[np.ndarray, ...]:
+    """(minimiser, hash of the words, first window, number of windows) of each super-k-mer of a document. A periodic text has one
+    minimiser throughout: runs are cut at ``span`` windows, so no super-k-mer is longer than ``span + window - 1`` words."""
     if len(words) < window:
         return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
     hashes = word_hashes(words)
@@ -44,7 +46,9 @@ def super_kmers(words: list[bytes], window: int, gram: int) -> tuple[np.ndarray,
         step = min(have, reach - have)
         low = np.minimum(low[: len(low) - step], low[step:])
         have += step
-    first = np.flatnonzero(np.append(True, low[1:] != low[:-1]))
+    place = np.arange(len(low))
+    begun = np.maximum.accumulate(np.where(np.append(True, low[1:] != low[:-1]), place, 0))
+    first = np.flatnonzero((place - begun) % span == 0)
     count = np.diff(np.append(first, len(low)))
     powers = np.cumprod(np.append(np.uint64(1), np.full(len(words) - 1, _BASE)))
     sums = np.append(np.uint64(0), np.cumsum(hashes * powers))
@@ -64,7 +68,7 @@ def _lists(values: list[np.ndarray], kind) -> pa.Array:
 
 def _list_places(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             bodies, found = [], []
             for x in batch.column("text"):
                 words = words_of(x.as_py())
@@ -85,16 +89,18 @@ def _digest(text: bytes, size: int) -> bytes:
     return hashlib.blake2b(text, digest_size=size).digest()
 
 
-def _pack(window: int):
-    """Rows (doc_id, text, pick: array<struct<body, mini, start, count, hot>>) to packed strings."""
+def _pack(window: int, size: int = 4 << 20):
+    """Rows (doc_id, text, pick: array<struct<body, mini, start, count, hot>>) to packed strings, in batches of about ``size`` bytes. Of a
+    hot minimiser each window goes by its 128-bit digest alone, dealt by that, so that equal windows combine."""
     kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
 
     def batch_of(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "body", "bucket", "key", "packed", "start"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple] = []
+        out: list[tuple] = []
+        held = 0
+        for batch in small(batches):
             for doc, text, pick in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("pick")):
                 words = words_of(text.as_py())
                 body = body_of(words)
@@ -105,48 +111,66 @@ def _pack(window: int):
                     for at in range(p["start"], p["start"] + p["count"], step):
                         packed = b" ".join(words[at : at + step - 1 + window])
                         key = _digest(packed, 16)
-                        out.append((doc, body, int.from_bytes(key[:8], "little", signed=True) if p["hot"] else p["mini"], key, packed, at))
-                if len(out) > 20_000:
-                    yield batch_of(out)
-                    out = []
-            yield batch_of(out)
+                        bucket = int.from_bytes(key[:8], "little", signed=True) if p["hot"] else p["mini"]
+                        out.append((doc, body, bucket, key, None if p["hot"] else packed, at))
+                        held += 200 + (0 if p["hot"] else len(packed))
+                    if held > size:
+                        yield batch_of(out)
+                        out, held = [], 0
+        yield batch_of(out)
 
     return run
 
 
-def _sort_buckets(window: int):
-    """Rows (bucket, key, packed, least), sorted by bucket, to (key, firsts: smallest doc_id of each window). A bucket may cross batches."""
+def first_owners(packed: list[bytes], owner: np.ndarray, window: int) -> pa.ListArray:
+    """For each window of each packed string the smallest ``owner`` among the strings that hold it. Windows are sorted exactly, as
+    suffixes are: ranks of words become ranks of 2, 4, 8 ... words, so no window is copied."""
+    lists = pc.split_pattern(pa.array(packed, pa.binary()), b" ")
+    rank = lists.flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
+    sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    have = 1
+    while have < window:
+        step = min(have, window - have)
+        rank = np.unique(rank[: len(rank) - step] * (int(rank.max()) + 1) + rank[step:], return_inverse=True)[1]
+        have += step
+    counts = sizes - window + 1
+    ends = np.cumsum(counts)
+    # windows that lie inside one string
+    at = np.arange(ends[-1]) + np.repeat(np.cumsum(sizes) - sizes - ends + counts, counts)
+    same = rank[at]
+    least = np.full(int(same.max()) + 1, np.iinfo(np.int64).max)
+    np.minimum.at(least, same, np.repeat(owner, counts))
+    return pa.ListArray.from_arrays(pa.array(np.append(0, ends), pa.int32()), pa.array(least[same], pa.int64()))
+
 
-    def settle(rows: list[tuple[bytes, bytes, int]]) -> list[tuple[bytes, list[int]]]:
-        windows = []
-        for k, (_, packed, least) in enumerate(rows):
-            words = packed.split(b" ")
-            windows += [(b" ".join(words[i : i + window]), least, k, i) for i in range(len(words) - window + 1)]
-        windows.sort()
-        firsts: list[list[int]] = [[0] * (p.count(b" ") + 2 - window) for _, p, _ in rows]
-        last, least = None, 0
-        for text, doc, k, i in windows:
-            if text != last:
-                last, least = text, doc  # the smallest doc_id comes first
-            firsts[k][i] = least
-        return [(key, f) for (key, _, _), f in zip(rows, firsts)]
+def _sort_buckets(window: int, size: int = 4 << 20):
+    """Rows (bucket, key, packed, least), sorted by bucket, to (key, firsts: smallest doc_id of each window). Whole buckets are sorted
+    together up to about ``size`` bytes: equal windows never lie in two buckets. Rows without a string are single windows that are settled already."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held, out = None, [], []
+        now, keys, texts, owners, held = None, [], [], [], 0
 
-        def batch_of(done):
-            return pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.binary()), pa.array([d[1] for d in done], pa.list_(pa.int64()))], names=["key", "firsts"])
+        def settled() -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), first_owners(texts, np.array(owners, np.int64), window)], names=["key", "firsts"])
 
-        for batch in batches:
+        for batch in small(batches):
+            single = batch.filter(pc.is_null(batch.column("packed")))
+            if single.num_rows:
+                ends = pa.array(np.arange(single.num_rows + 1), pa.int32())
+                yield pa.RecordBatch.from_arrays([single.column("key"), pa.ListArray.from_arrays(ends, single.column("least"))], names=["key", "firsts"])
+            batch = batch.filter(pc.is_valid(batch.column("packed")))
             for bucket, key, packed, least in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "packed", "least"))):
                 if bucket != now:
-                    out += settle(held)
-                    now, held = bucket, []
-                    if len(out) > 5000:
-                        yield batch_of(out)
-                        out = []
-                held.append((key, packed, least))
-        yield batch_of(out + settle(held))
+                    now = bucket
+                    if held > size:
+                        yield settled()
+                        keys, texts, owners, held = [], [], [], 0
+                keys.append(key)
+                texts.append(packed)
+                owners.append(least)
+                held += len(packed)
+        if keys:
+            yield settled()
 
     return run
 
@@ -155,7 +179,7 @@ def _rebuild(carry: tuple[str, ...]):
     """``carry``: columns that go on as they are, but for text, which goes on without the removed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in small(batches):
             rows = []
             for given, ranges in zip(batch.column("text"), batch.column("ranges")):
                 words = words_of(given := given.as_py())
@@ -184,8 +208,8 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, hot: int =
 
     A word goes if a window that covers it has the same words as a window of a document with a smaller doc_id. Null
     text has no words. Rows with a null doc_id are neither judged nor compared and keep all words. Rows that repeat a
-    doc_id are not repeats of each other; each is judged by its own words. Texts under ``window`` words keep all.
-    Other columns are ignored.
+    doc_id are not repeats of each other; each is judged by its own words. Texts under ``window`` words keep all. Very
+    long texts, periodic ones too, travel in super-k-mers of bounded length. Other columns are ignored; no rows give none.
     """
     rest = [c for c in carry if c != "text"]
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)

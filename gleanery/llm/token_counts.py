@@ -16,6 +16,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from gleanery.llm.common import small
+
 SCHEMA = "doc_id long, n_bytes long, n_tokens long, over_limit boolean"
 #: Up to here every code point is long assigned and its own NFC form, so that the ``regex`` module and the library split alike; texts with others are split by the library.
 PLAIN = 0x250
@@ -53,12 +55,6 @@ def whole_tokens(path: str) -> frozenset[str]:
     return frozenset(h for h in heads if len(tok.model.tokenize(h)) == 1)
 
 
-@lru_cache(maxsize=2)
-def _memo(path: str) -> dict[str, int]:
-    """Counts of pieces, kept by a Python worker from task to task."""
-    return {}
-
-
 def _count(text: str, tok, pattern, marks, memo: dict[str, int], whole: frozenset[str], bound: int) -> int:
     def merged(piece: str) -> int:
         spelled = piece.encode().decode("latin-1").translate(LETTERS)
@@ -84,19 +80,20 @@ def _count(text: str, tok, pattern, marks, memo: dict[str, int], whole: frozense
     return total + len(spans)
 
 
-def count_tokens(docs: DataFrame, path: str, limit: int = 2048, memo_entries: int = 800_000) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, limit: int = 2048, memo_entries: int = 200_000) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text): doc_id, n_bytes, n_tokens, over_limit.
 
     Null text counts as empty: 0 bytes, 0 tokens. doc_id may be null or repeat; rows map one to one. Strings that
     spell added tokens count as that one token, as the library does by default. Whole texts are counted, long ones in
-    blocks of pieces. Other columns of ``docs`` are ignored. No shuffle.
+    blocks of pieces. Other columns of ``docs`` are ignored; no rows give none. No shuffle; the memo of merged pieces, at most
+    ``memo_entries`` of up to 64 characters, ends with the partition.
     """
     whole = docs.sparkSession.sparkContext.broadcast(whole_tokens(path))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tok, pattern, marks, _, _ = _tokenizer(path)
-        known, memo = whole.value, _memo(path)
-        for batch in batches:
+        known, memo = whole.value, {}
+        for batch in small(batches):
             sizes, counts = [], []
             for x in batch.column("text"):
                 text = x.as_py() or ""

@@ -284,3 +284,26 @@ def test_mixing(spark, sf_dir, docs, none):
     edge = mixing.mix(docs, carry=("text",)).collect()
     assert len(edge) == len(rows()) and all(r.probability is not None for r in edge)
     assert {r.source_group for r in edge} >= {"other", "src0"} and mixing.mix(none).count() == 0
+
+
+def test_first_owners_equal_brute_force():
+    r = random.Random(9)
+    for window in (1, 2, 3, 5, 7):
+        packed = [[r.choice([b"a", b"b", b"cc"]) for _ in range(window + r.randrange(12))] for _ in range(40)]
+        owner = np.array([r.randrange(100) for _ in packed])
+        least = {}
+        for words, o in zip(packed, owner.tolist()):
+            for i in range(len(words) - window + 1):
+                key = tuple(words[i : i + window])
+                least[key] = min(o, least.get(key, o))
+        got = substring_dedup.first_owners([b" ".join(w) for w in packed], owner, window).to_pylist()
+        assert got == [[least[tuple(w[i : i + window])] for i in range(len(w) - window + 1)] for w in packed]
+
+
+def test_substring_dedup_shared_periodic_text(spark):
+    """Two documents share a periodic text of a million words, which has one minimiser throughout."""
+    long = "ab cd ef " * 333_334
+    data = [(1, long), (2, long + "own words here"), (3, "ab cd ef " * 20)]
+    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
+    assert got == {1: (1_000_002, 0), 2: (1_000_005, 1_000_002), 3: (60, 60)}
+    assert all(len(x) == 0 or x.max() <= 64 for x in [substring_dedup.super_kmers(long.encode().split(), 50, 8)[3]])
