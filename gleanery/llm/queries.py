@@ -39,7 +39,7 @@ def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_chosen_path(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return chosen_path.jaccard_join(table(spark, sf_dir, "documents"))
+    return chosen_path.jaccard_join(table(spark, sf_dir, "documents")).select("doc_id", "class_id", "n_links", "rep_id", "n_shingles")
 
 
 @query

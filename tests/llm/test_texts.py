@@ -7,8 +7,10 @@ from collections import Counter
 import numpy as np
 import public_tokenizers
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm import byte_bpe, chosen_path, language_id, mixing, quality_rules, substring_dedup, token_counts
+from gleanery.llm.common import join_hot
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node string, tokens int, n_tokens string, size int"
 PASSAGE = " ".join(f"word{i}" for i in range(70))
@@ -86,42 +88,43 @@ def test_chosen_path_no_rows(none):
     assert chosen_path.jaccard_join(none).count() == 0
 
 
-def test_runs_follow_the_recall():
-    assert chosen_path.runs_for(0.99999, 0.8) == 9 and chosen_path.runs_for(0.5, 0.8) == 1
+def test_join_hot_equals_a_join(spark):
+    """Heavy, light and null keys, and keys without facts."""
+    rows = spark.createDataFrame([(i, b"hot" if i % 3 else (None if i % 2 else b"k%d" % i)) for i in range(300)], "i long, node binary")
+    facts = rows.where("node is not null and i % 9 <> 6").groupBy("node").agg(F.count("*").alias("copies"), F.min("i").alias("rep"))
+    for shares in (2, 20, 1000):
+        got = sorted(tuple(x) for x in join_hot(rows, facts, "node", "copies", shares).select("i", "node", "copies", "rep").collect())
+        assert got == sorted(tuple(x) for x in rows.join(facts, "node", "left").select("i", "node", "copies", "rep").collect())
 
 
-@pytest.mark.parametrize("splits", range(13))
-def test_further_runs_hold_the_recall(splits):
-    lost = lambda n: 1 - 0.8 * 0.96**n
-    more, shallow = chosen_path.further_runs(0.99999, 0.8, 9, splits), lost(min(splits, 2)) ** 9
-    assert shallow + (lost(splits) ** 9 - shallow) * lost(splits) ** more <= 1e-5 and 9 + more <= chosen_path.TOKENS
+def test_runs_follow_the_recall():
+    assert chosen_path.runs_for(0.99999, 0.8) == 9 and chosen_path.runs_for(0.5, 0.8) == 1
 
 
-def test_runs_follow_the_deepest_split(spark):
-    """Planted pairs that share 51 of 64 tokens in crowded buckets: split more than twice, they still meet at the target recall."""
+def test_runs_repeat_until_the_measured_recall(spark):
+    """Planted pairs that share 52 of 64 tokens in crowded buckets: one run parts many of them, the runs that measuring adds bring them together."""
     r = random.Random(1)
     data = []
     for k in range(500):
         a = [r.randrange(4) for _ in range(64)]
         b = list(a)
-        for p in r.sample(range(64), 13):
+        for p in r.sample(range(64), 12):
             b[p] = 4 + r.randrange(1000)
-        data += [(2 * k, a), (2 * k + 1, b)]
-    assert chosen_path.runs_for(0.73, 0.8) == 1
-    df = spark.createDataFrame(data, "node int, sig array<int>")
-    met = set()
-    of = {}
-    for row in chosen_path.buckets_of(df, 0.73, 0.8, 2).collect():
-        of.setdefault(row.bucket, []).append(row.node)
-    for nodes in of.values():
-        met |= {n // 2 for n in nodes if n ^ 1 in nodes}
-    starts = chosen_path.split_runs(df, [0], 2)
-    assert starts[1] > 2
-    first = {}
-    for row in starts[0].collect():
-        first.setdefault(row.bucket, []).append(row.node)
-    once = {n // 2 for nodes in first.values() for n in nodes if n ^ 1 in nodes}
-    assert once < met and len(met) >= 0.73 * 500
+        data += [(b"%04d" % (2 * k), a, 1), (b"%04d" % (2 * k + 1), b, 0)]
+    df = spark.createDataFrame(data, "node binary, sig array<int>, asked long")
+
+    def met(rows):
+        of = {}
+        for node, bucket in rows:
+            of.setdefault(bucket, set()).add(int(node))
+        return len({n // 2 for nodes in of.values() for n in nodes if n ^ 1 in nodes})
+
+    once = [(x.node, x.bucket) for x in chosen_path.split_runs(df, range(1), 2).collect()]
+    alone = df.join(spark.createDataFrame(once, "node binary, bucket long").groupBy("node").agg(F.collect_list("bucket").alias("buckets")), "node", "left")
+    assert chosen_path.measured_recall(alone, 0.8) == chosen_path.measured_recall(alone, 0.8, block=90) == pytest.approx(met(once) / 500)
+    assert chosen_path.runs_for(0.9, 0.8) == 2
+    found = chosen_path.buckets_of(df, 0.9, 0.8, 2).where("b is not null").selectExpr("node", "explode(buckets) as bucket").collect()
+    assert met(once) < 0.9 * 500 <= met([(x.node, x.bucket) for x in found])
 
 
 def repeats_by_hand(data):
