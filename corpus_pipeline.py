@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from gleanery.llm import byte_bpe, chosen_path, language_id, mixing, substring_dedup
@@ -25,12 +24,16 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents that links join, the one with the smallest doc_id stays; of repeated rows, one. Rows with a null doc_id stay."""
-    gone = chosen_path.jaccard_join(docs).where("doc_id <> class_id").select("doc_id").distinct()
-    kept = docs.where("doc_id is not null").join(gone, "doc_id", "left_anti")
-    again = Window.partitionBy("doc_id", F.xxhash64("text")).orderBy(F.lit(0))
-    once = kept.withColumn("__n", F.row_number().over(again)).where("__n = 1").drop("__n")
-    return once.unionByName(docs.where("doc_id is null")).select(*COLUMNS)
+    """Of each group of documents that links join, the one with the smallest doc_id stays (ties: smallest md5 of the text); of rows
+    that repeat both, the one whose other columns are smallest. Rows with a null doc_id stay, and so do documents that only share a doc_id."""
+    keyed = docs.select(*COLUMNS).withColumn("text_key", F.md5(F.coalesce("text", F.lit("")).cast("binary")))
+    found = chosen_path.jaccard_join(keyed, carry=("text_key",)).where("doc_id = class_id").groupBy("class_node", "doc_id", "text_key").agg(F.count("*").alias("rows"))
+    # documents without a word have no class to share
+    first = found.where("class_node is not null").groupBy("class_node").agg(F.min(F.struct("doc_id", "text_key", "rows")).alias("one")).select("one.*")
+    keep = materialize(first.unionByName(found.where("class_node is null").drop("class_node")))
+    once = keyed.join(keep.where("rows = 1"), ["doc_id", "text_key"])
+    again = keyed.join(keep.where("rows > 1"), ["doc_id", "text_key"]).groupBy("doc_id", "text_key").agg(F.min(F.struct("lang", "source", "n_chars", "text")).alias("one")).select("doc_id", "one.*")
+    return once.select(*COLUMNS).unionByName(again.select(*COLUMNS)).unionByName(docs.where("doc_id is null").select(*COLUMNS))
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
