@@ -4,13 +4,12 @@ Each window of ``window`` words is represented by its minimiser, the smallest ha
 Consecutive windows of a document that share a minimiser form a super-k-mer. Windows with equal words have equal
 minimisers, so whether a window repeats is settled inside its minimiser's bucket.
 
-1. Each document's super-k-mers are listed as (minimiser, place, number of windows), without any text. A grouped
-   minimum and maximum of doc_id by minimiser, combined before the shuffle, shows which minimisers more than one
-   document has; only their super-k-mers go on.
-2. Those travel as one packed string each to the bucket of their minimiser. Equal strings are combined before and
-   after the shuffle, keeping the smallest doc_id. A minimiser that more than ``hot`` super-k-mers share would make
-   a bucket too large for a task; its windows go singly, by 128-bit digests that deal them and by which equal windows combine.
-   Every other bucket is sorted by its windows, and runs of equal windows give the smallest doc_id of each.
+1. Each document's super-k-mers are listed as (minimiser, 128-bit digest, place, number of windows), without any text. A
+   grouped minimum and maximum of doc_id by minimiser, combined before the shuffle, shows which minimisers more than one
+   document has; only their super-k-mers go on. Equal ones are stood for by that of the smallest doc_id.
+2. Each of those travels once, as one packed string, to the bucket of its minimiser, where windows are sorted exactly: runs
+   of equal windows give the smallest doc_id of each. A minimiser that more than ``hot`` super-k-mers have could make a
+   bucket too large for a task; its windows go singly, by digests that deal them and by which equal windows combine.
 3. Super-k-mers with a window that starts in a document with a smaller doc_id are joined back to the places where
    they occur, which gives each document its covered word ranges; the kept words are put together from the whole text.
 """
@@ -27,20 +26,17 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from gleanery.llm.common import gram_hashes, materialize, mix, small, word_hashes, words_of
+from gleanery.llm.common import gram_hashes, join_hot, materialize, small, word_hashes, words_of
 
-PLACES = "doc_id long, body long, mini array<long>, content array<long>, start array<int>, count array<int>"
-_BASE = np.uint64(0x9E3779B97F4A7C15)
-_BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+PLACES = "doc_id long, body long, mini array<long>, key array<binary>, start array<int>, count array<int>"
 
 
 def super_kmers(words: list[bytes], window: int, gram: int, span: int = 64) -> tuple[np.ndarray, ...]:
-    """(minimiser, hash of the words, first window, number of windows) of each super-k-mer of a document. A periodic text has one
+    """(minimiser, first window, number of windows) of each super-k-mer of a document. A periodic text has one
     minimiser throughout: runs are cut at ``span`` windows, so no super-k-mer is longer than ``span + window - 1`` words."""
     if len(words) < window:
-        return np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
-    hashes = word_hashes(words)
-    low = gram_hashes(hashes, gram)
+        return np.empty(0, np.int64), np.empty(0, np.int32), np.empty(0, np.int32)
+    low = gram_hashes(word_hashes(words), gram)
     reach, have = window - gram + 1, 1
     while have < reach:  # minimum over ``reach`` neighbours by doubling
         step = min(have, reach - have)
@@ -50,11 +46,7 @@ def super_kmers(words: list[bytes], window: int, gram: int, span: int = 64) -> t
     begun = np.maximum.accumulate(np.where(np.append(True, low[1:] != low[:-1]), place, 0))
     first = np.flatnonzero((place - begun) % span == 0)
     count = np.diff(np.append(first, len(low)))
-    powers = np.cumprod(np.append(np.uint64(1), np.full(len(words) - 1, _BASE)))
-    sums = np.append(np.uint64(0), np.cumsum(hashes * powers))
-    back = np.cumprod(np.append(np.uint64(1), np.full(len(words) - 1, _BACK)))
-    content = mix((sums[first + count - 1 + window] - sums[first]) * back[first])
-    return low[first].view(np.int64), content.view(np.int64), first.astype(np.int32), count.astype(np.int32)
+    return low[first].view(np.int64), first.astype(np.int32), count.astype(np.int32)
 
 
 def body_of(words: list[bytes]) -> int:
@@ -62,62 +54,78 @@ def body_of(words: list[bytes]) -> int:
     return int.from_bytes(hashlib.blake2b(b" ".join(words), digest_size=8).digest(), "little", signed=True)
 
 
-def _lists(values: list[np.ndarray], kind) -> pa.Array:
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, values)]), pa.int32()), pa.array(np.concatenate(values) if values else [], kind))
+def _digest(text: bytes) -> bytes:
+    return hashlib.blake2b(text, digest_size=16).digest()
 
 
 def _list_places(window: int, gram: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            bodies, found = [], []
+            bodies, found, keys = [], [], []
             for x in batch.column("text"):
                 words = words_of(x.as_py())
                 bodies.append(body_of(words))
-                found.append(super_kmers(words, window, gram))
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(bodies, pa.int64()), *(_lists([f[i] for f in found], k) for i, k in enumerate([pa.int64(), pa.int64(), pa.int32(), pa.int32()]))],
-                names=["doc_id", "body", "mini", "content", "start", "count"],
-            )
+                found.append(own := super_kmers(words, window, gram))
+                keys += [_digest(b" ".join(words[a : a + n - 1 + window])) for a, n in zip(own[1].tolist(), own[2].tolist())]
+            ends = pa.array(np.cumsum([0, *(len(f[0]) for f in found)]), pa.int32())
+            mini, start, count = (pa.array(np.concatenate([f[i] for f in found]), k) for i, k in enumerate((pa.int64(), pa.int32(), pa.int32())))
+            lists = [pa.ListArray.from_arrays(ends, x) for x in (mini, pa.array(keys, pa.binary()), start, count)]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(bodies, pa.int64()), *lists], names=["doc_id", "body", "mini", "key", "start", "count"])
 
     return run
 
 
-PACKED = "doc_id long, body long, bucket long, key binary, packed binary, start int"
+def _picked(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes], dict]]:
+    """(doc_id, words, super-k-mer) of rows (doc_id, text, pick: array<struct<body, mini, key, start, count>>), without those of
+    another row with the doc_id; a row that follows with the same words is passed over."""
+    last, seen = None, set()
+    for batch in small(batches):
+        for doc, text, pick in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("pick")):
+            words = words_of(text.as_py())
+            body = body_of(words)
+            if doc != last:
+                last, seen = doc, set()
+            if body in seen:
+                continue
+            seen.add(body)
+            yield from ((doc, words, p) for p in pick.as_py() if p["body"] == body)
 
 
-def _digest(text: bytes, size: int) -> bytes:
-    return hashlib.blake2b(text, digest_size=size).digest()
+def _table(rows: list[tuple], names: list[str], kinds: list[pa.DataType]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=names)
 
 
 def _pack(window: int, size: int = 4 << 20):
-    """Rows (doc_id, text, pick: array<struct<body, mini, start, count, hot>>) to packed strings, in batches of about ``size`` bytes. Of a
-    hot minimiser each window goes by its 128-bit digest alone, dealt by that, so that equal windows combine."""
-    kinds = [pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32()]
-
-    def batch_of(rows: list[tuple]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=["doc_id", "body", "bucket", "key", "packed", "start"])
+    """Picked super-k-mers as packed strings (bucket, key, packed, least), in batches of about ``size`` bytes."""
+    names, kinds = ["bucket", "key", "packed", "least"], [pa.int64(), pa.binary(), pa.binary(), pa.int64()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         out: list[tuple] = []
         held = 0
-        for batch in small(batches):
-            for doc, text, pick in zip(batch.column("doc_id").to_pylist(), batch.column("text"), batch.column("pick")):
-                words = words_of(text.as_py())
-                body = body_of(words)
-                for p in pick.as_py():
-                    if p["body"] != body:  # of another row with this doc_id
-                        continue
-                    step = 1 if p["hot"] else p["count"]
-                    for at in range(p["start"], p["start"] + p["count"], step):
-                        packed = b" ".join(words[at : at + step - 1 + window])
-                        key = _digest(packed, 16)
-                        bucket = int.from_bytes(key[:8], "little", signed=True) if p["hot"] else p["mini"]
-                        out.append((doc, body, bucket, key, None if p["hot"] else packed, at))
-                        held += 200 + (0 if p["hot"] else len(packed))
-                    if held > size:
-                        yield batch_of(out)
-                        out, held = [], 0
-        yield batch_of(out)
+        for doc, words, p in _picked(batches):
+            packed = b" ".join(words[p["start"] : p["start"] + p["count"] - 1 + window])
+            out.append((p["mini"], p["key"], packed, doc))
+            held += 200 + len(packed)
+            if held > size:
+                yield _table(out, names, kinds)
+                out, held = [], 0
+        yield _table(out, names, kinds)
+
+    return run
+
+
+def _single(window: int):
+    """Picked super-k-mers as their windows' digests (key, i, digest, least)."""
+    names, kinds = ["key", "i", "digest", "least"], [pa.binary(), pa.int32(), pa.binary(), pa.int64()]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        out: list[tuple] = []
+        for doc, words, p in _picked(batches):
+            out += [(p["key"], i, _digest(b" ".join(words[p["start"] + i : p["start"] + i + window])), doc) for i in range(p["count"])]
+            if len(out) > 20_000:
+                yield _table(out, names, kinds)
+                out = []
+        yield _table(out, names, kinds)
 
     return run
 
@@ -145,7 +153,7 @@ def first_owners(packed: list[bytes], owner: np.ndarray, window: int) -> pa.List
 
 def _sort_buckets(window: int, size: int = 4 << 20):
     """Rows (bucket, key, packed, least), sorted by bucket, to (key, firsts: smallest doc_id of each window). Whole buckets are sorted
-    together up to about ``size`` bytes: equal windows never lie in two buckets. Rows without a string are single windows that are settled already."""
+    together up to about ``size`` bytes: equal windows never lie in two buckets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, keys, texts, owners, held = None, [], [], [], 0
@@ -154,11 +162,6 @@ def _sort_buckets(window: int, size: int = 4 << 20):
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), first_owners(texts, np.array(owners, np.int64), window)], names=["key", "firsts"])
 
         for batch in small(batches):
-            single = batch.filter(pc.is_null(batch.column("packed")))
-            if single.num_rows:
-                ends = pa.array(np.arange(single.num_rows + 1), pa.int32())
-                yield pa.RecordBatch.from_arrays([single.column("key"), pa.ListArray.from_arrays(ends, single.column("least"))], names=["key", "firsts"])
-            batch = batch.filter(pc.is_valid(batch.column("packed")))
             for bucket, key, packed, least in zip(*(batch.column(c).to_pylist() for c in ("bucket", "key", "packed", "least"))):
                 if bucket != now:
                     now = bucket
@@ -217,15 +220,19 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, hot: int =
     # dealt by doc_id once: this exchange serves the packing and the rebuilding
     rows = every.where(named).repartition("doc_id")
     places = materialize(every.where(named).mapInArrow(_list_places(window, gram), PLACES).where("size(mini) > 0"))
-    flat = places.select("doc_id", "body", F.explode(F.arrays_zip("mini", "content", "start", "count")).alias("p")).select("doc_id", "body", "p.*")
-    same = flat.groupBy("mini", "content").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
-    shared = same.groupBy("mini").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("mini", (F.col("n") > hot).alias("hot"))
-    # a document's super-k-mers are at most as many as its words; rows that repeat one are listed once
-    pick = flat.join(shared, "mini").groupBy("doc_id").agg(F.collect_set(F.struct("body", "mini", "start", "count", "hot")).alias("pick"))
-    packed = rows.select("doc_id", "text").join(pick, "doc_id").select("doc_id", "text", "pick").mapInArrow(_pack(window), PACKED)
-    least = packed.groupBy("bucket", "key", "packed").agg(F.min("doc_id").alias("least"))
-    firsts = least.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(window), "key binary, firsts array<long>")
-    owned = packed.select("doc_id", "body", "key", "start").join(firsts, "key")
+    flat = places.select("doc_id", "body", F.explode(F.arrays_zip("mini", "key", "start", "count")).alias("p")).select("doc_id", "body", "p.*")
+    shared = materialize(flat.groupBy("mini").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("mini", "n"))
+    mine = materialize(join_hot(flat, shared, "mini", "n").where("n is not null"))
+    # of equal super-k-mers the one of the smallest doc_id
+    reps = mine.groupBy("mini", "key", "n").agg(F.min(F.struct("doc_id", "body", "start", "count")).alias("r")).select("mini", "key", "n", "r.*")
+    # a document's super-k-mers are at most as many as its words
+    pick = lambda some: rows.join(reps.where(some).groupBy("doc_id").agg(F.collect_list(F.struct("body", "mini", "key", "start", "count")).alias("pick")), "doc_id").select("doc_id", "text", "pick")
+    packed = pick(f"n <= {hot}").mapInArrow(_pack(window), "bucket long, key binary, packed binary, least long")
+    firsts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(window), "key binary, firsts array<long>")
+    single = pick(f"n > {hot}").mapInArrow(_single(window), "key binary, i int, digest binary, least long").repartition("digest")
+    settled = single.select("key", "i", "digest").join(single.groupBy("digest").agg(F.min("least").alias("least")), "digest")
+    settled = settled.groupBy("key").agg(F.transform(F.sort_array(F.collect_set(F.struct("i", "least"))), lambda x: x.least).alias("firsts"))
+    owned = mine.select("doc_id", "body", "key", "start").join(firsts.unionByName(settled).groupBy("key").agg(F.first("firsts").alias("firsts")), "key")
     hits = owned.select("doc_id", "body", "start", F.expr("filter(transform(firsts, (f, i) -> if(f < doc_id, i, null)), i -> i is not null)").alias("at")).where("size(at) > 0")
     # each run of neighbouring windows is one range of words
     begins = "filter(transform(at, (x, i) -> struct(x as x, coalesce(get(at, i - 1), -9) as p)), s -> s.x <> s.p + 1)"
