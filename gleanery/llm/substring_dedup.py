@@ -229,8 +229,9 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, hot: int =
     pick = lambda some: rows.join(reps.where(some).groupBy("doc_id").agg(F.collect_list(F.struct("body", "mini", "key", "start", "count")).alias("pick")), "doc_id").select("doc_id", "text", "pick")
     packed = pick(f"n <= {hot}").mapInArrow(_pack(window), "bucket long, key binary, packed binary, least long")
     firsts = packed.repartition("bucket").sortWithinPartitions("bucket").mapInArrow(_sort_buckets(window), "key binary, firsts array<long>")
-    single = pick(f"n > {hot}").mapInArrow(_single(window), "key binary, i int, digest binary, least long").repartition("digest")
-    settled = single.select("key", "i", "digest").join(single.groupBy("digest").agg(F.min("least").alias("least")), "digest")
+    single = materialize(pick(f"n > {hot}").mapInArrow(_single(window), "key binary, i int, digest binary, least long"))
+    least = materialize(single.groupBy("digest").agg(F.min("least").alias("least"), F.count("*").alias("n")))
+    settled = join_hot(single.select("key", "i", "digest"), least, "digest", "n")
     settled = settled.groupBy("key").agg(F.transform(F.sort_array(F.collect_set(F.struct("i", "least"))), lambda x: x.least).alias("firsts"))
     owned = mine.select("doc_id", "body", "key", "start").join(firsts.unionByName(settled).groupBy("key").agg(F.first("firsts").alias("firsts")), "key")
     hits = owned.select("doc_id", "body", "start", F.expr("filter(transform(firsts, (f, i) -> if(f < doc_id, i, null)), i -> i is not null)").alias("at")).where("size(at) > 0")
