@@ -1,8 +1,8 @@
 """Near-duplicates among embeddings by a robust-pruned flat graph.
 
 1. Equal vectors are one node, carried by its smallest vec_id. Centres are fitted on a bounded sample of nodes; every
-   node goes to the shard of its nearest centre (its home) and, where shards overlap, to each other shard whose border
-   is nearer than ``slack`` times the linking distance. A shard above ``cell`` nodes is dealt in slices of bounded size.
+   node goes to the shard of its nearest centre (its home) and, where shards overlap, to other shards whose border is
+   nearer than ``slack`` times the linking distance, those of the nearest borders if they are too many. A shard above ``cell`` nodes is dealt in slices of bounded size.
 2. In each slice the neighbours of a node are pruned robustly: a candidate goes if a nearer kept one covers it. The
    lists of all shards that a node is in are united into one graph.
 3. The nodes of a home search the slices of its shard: greedily from the medoid over the united lists; wherever
@@ -12,7 +12,7 @@
    meets nowhere, the one cell credits both.
 4. The recall is audited: the nodes of all rows whose id is divisible by 100, copies of smaller ids too, are compared with all
    nodes, in blocks. The target holds for the sum of links, for the mean of the rows and for the mean of each class of
-   link counts. While one is below, the graph is built again with a larger slack; at slack 1 no pair can lie outside the
+   link counts. While one is below, the graph is built again with a larger slack and more shards a node; at slack 1 no pair can lie outside the
    searched shards, and if the search still misses links, the cells are compared exactly.
 
 A slice returns a link count and one parent for each node, never a row for a pair.
@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gleanery.llm.common import connected_components, grouped, materialize, roots
+from gleanery.llm.common import connected_components, grouped, materialize, roots, small
 
 DEGREE, BEAM, CANDIDATES = 24, 48, 64
 CELL = ["shard", "i", "j"]
@@ -53,14 +53,29 @@ def fit_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
     return centres
 
 
-def homes(x: np.ndarray, centres: np.ndarray, reach: float) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The home of each row, and all shards whose border with the home is nearer than ``reach``."""
-    far = (centres * centres).sum(axis=1) - 2 * x @ centres.T
-    home = far.argmin(axis=1)
-    between = np.sqrt(np.maximum(0, ((centres[:, None, :] - centres[None, :, :]) ** 2).sum(axis=2)))
-    border = far - far[np.arange(len(x)), home][:, None] <= 2 * reach * between[home] + 1e-12
-    border[np.arange(len(x)), home] = True
-    return home, [np.flatnonzero(b) for b in border]
+def apart(centres: np.ndarray) -> np.ndarray:
+    """Distances between all centres."""
+    size = (centres * centres).sum(axis=1)
+    return np.sqrt(np.maximum(0, size[:, None] + size[None, :] - 2 * centres @ centres.T))
+
+
+def homes(x: np.ndarray, centres: np.ndarray, reach: float, most: int | None = None, between: np.ndarray | None = None, step: int = 1024) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The home of each row, and all shards whose border with the home is nearer than ``reach``; with ``most``, the so many of nearest border. Rows go in blocks of ``step``."""
+    between = apart(centres) if between is None else between
+    home, shards = np.empty(len(x), np.int64), []
+    for at in range(0, len(x), step):
+        far = (centres * centres).sum(axis=1) - 2 * x[at : at + step] @ centres.T
+        rows = np.arange(len(far))
+        own = far.argmin(axis=1)
+        border = (far - far[rows, own][:, None]) / np.maximum(2 * between[own], 1e-300)
+        border[between[own] == 0] = 0  # an equal centre
+        border[rows, own] = -1
+        if most is not None and most < len(centres):
+            rest = np.argpartition(border, most - 1, axis=1)[:, most:]
+            np.put_along_axis(border, rest, np.inf, 1)
+        home[at : at + step] = own
+        shards += [np.flatnonzero(b) for b in border <= reach + 1e-12]
+    return home, shards
 
 
 def prune(x: np.ndarray, alpha: float = 1.2) -> list[np.ndarray]:
@@ -170,12 +185,23 @@ def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, threshol
     return np.concatenate(found[0]), np.concatenate(found[1])
 
 
-def _assign(centres: np.ndarray, reach: float):
+def _lengths(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The rows of each vector length."""
+    sizes = batch.column("vector").value_lengths().to_numpy(zero_copy_only=False)
+    for d in np.unique(sizes).tolist():
+        yield d, batch.take(pa.array(np.flatnonzero(sizes == d)))
+
+
+def _assign(centres: dict[int, tuple[int, np.ndarray]], reach: float, most: int | None):
+    """``centres``: of each vector length, with the number of its first shard."""
+    between = {d: apart(c) for d, (_, c) in centres.items()}
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                home, shards = homes(stacked(batch.column("vector")), centres, reach)
-                cols = [*(batch.column(c) for c in ("node", "vector", "copies")), pa.array(home, pa.int32()), pa.array([s.astype(np.int32) for s in shards], pa.list_(pa.int32()))]
+        for batch in small(batches):
+            for d, part in _lengths(batch):
+                first, own = centres[d]
+                home, shards = homes(stacked(part.column("vector")), own, reach, most, between[d])
+                cols = [*(part.column(c) for c in ("node", "vector", "copies")), pa.array(first + home, pa.int32()), pa.array([(first + s).astype(np.int32) for s in shards], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["node", "vector", "copies", "home", "shards"])
 
     return run
@@ -275,17 +301,23 @@ def _connect(x: np.ndarray, lists: list[np.ndarray]) -> None:
         lists[best] = np.append(lists[best], start)
 
 
-def _count_links(threshold: float, queries: np.ndarray, names: np.ndarray):
+def _count_links(threshold: float, asked: dict[int, tuple[np.ndarray, np.ndarray]]):
+    """``asked``: names and vectors of each length."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(queries), np.int64)
-        for batch in batches:
-            own, copies = batch.column("node").to_numpy(), batch.column("copies").to_numpy()
-            x = stacked(batch.column("vector"))
-            for at in range(0, len(own), 2048):
-                near = queries @ x[at : at + 2048].T >= threshold
-                near &= names[:, None] != own[None, at : at + 2048]
-                total += near @ copies[at : at + 2048]
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(total, pa.int64())], names=["node", "links"])
+        total = {d: np.zeros(len(names), np.int64) for d, (names, _) in asked.items()}
+        for batch in small(batches):
+            for d, part in _lengths(batch):
+                if d not in asked:
+                    continue
+                names, queries = asked[d]
+                own, copies, x = part.column("node").to_numpy(), part.column("copies").to_numpy(), stacked(part.column("vector"))
+                for at in range(0, len(own), 2048):
+                    near = queries @ x[at : at + 2048].T >= threshold
+                    near &= names[:, None] != own[None, at : at + 2048]
+                    total[d] += near @ copies[at : at + 2048]
+        for d, (names, _) in asked.items():
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.int64()), pa.array(total[d], pa.int64())], names=["node", "links"])
 
     return run
 
@@ -302,7 +334,8 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = 4096
         some = nodes.where(F.expr(f"asked > 0 and pmod(xxhash64('audit', node), {passes}) = {k}")).select("node", "vector").toArrow()
         if not len(some):
             continue
-        exact = nodes.mapInArrow(_count_links(threshold, stacked(some["vector"]), some["node"].to_numpy()), "node long, links long").groupBy("node").agg(F.sum("links").alias("exact"))
+        held_by = {d: (part.column("node").to_numpy(), stacked(part.column("vector"))) for d, part in _lengths(some.combine_chunks().to_batches()[0])}
+        exact = nodes.mapInArrow(_count_links(threshold, held_by), "node long, links long").groupBy("node").agg(F.sum("links").alias("exact"))
         both = exact.where("exact > 0").join(held, "node").withColumn("got", F.least("exact", F.coalesce("links", F.lit(0))))
         sums = both.groupBy(F.expr("int(floor(log2(exact)))").alias("class")).agg(*(F.expr(f"double(sum(asked * {x}))") for x in ("exact", "got", "(got / exact)", "1")))
         for c, *row in sums.collect():
@@ -313,15 +346,20 @@ def audit(nodes: DataFrame, found: DataFrame, threshold: float, most: int = 4096
     return float(min(got / links, shares / rows, *(t[2] / t[3] for t in total.values())))
 
 
-def link(nodes: DataFrame, threshold: float, cell: int, slack: float, sample: int, most_centres: int, exact: bool = False) -> DataFrame:
-    """(node, links, parent) of ``nodes`` (node, vector, copies): one graph over overlapping shards, built and searched, or with ``exact`` all cells compared."""
-    n = nodes.count()
-    k = min(most_centres, max(1, n // (cell // 2)))
-    picked = nodes.where(F.pmod(F.xxhash64(F.lit("centres"), "node"), F.lit(1 << 30)) < int((1 << 30) * min(1.0, sample / max(1, n)))).select("node", "vector").toArrow()
-    picked = picked.sort_by("node") if len(picked) else nodes.orderBy("node").limit(1).select("node", "vector").toArrow()
-    centres = fit_centres(stacked(picked["vector"]), min(k, len(picked)))
+def link(nodes: DataFrame, threshold: float, cell: int, slack: float, sample: int, most_centres: int, most: int | None = None, exact: bool = False) -> DataFrame:
+    """(node, links, parent) of ``nodes`` (node, vector, copies): one graph over overlapping shards, built and searched, or with ``exact`` all cells
+    compared. Vectors of each length have centres of their own; a node goes to at most ``most`` shards."""
+    sizes = {r.d: r.n for r in nodes.groupBy(F.size("vector").alias("d")).agg(F.count("*").alias("n")).collect()}  # a row for each length
+    rate = min(1.0, sample / max(1, sum(sizes.values())))
+    picked = nodes.where(F.pmod(F.xxhash64(F.lit("centres"), "node"), F.lit(1 << 30)) < int((1 << 30) * rate)).select("node", "vector").toArrow().sort_by("node").combine_chunks()
+    some = {d: stacked(part.column("vector")) for d, part in _lengths(picked.to_batches()[0])} if len(picked) else {}
+    centres, first = {}, 0
+    for d, n in sorted(sizes.items()):
+        own = some.get(d, np.zeros((1, d)))
+        centres[d] = first, fit_centres(own, min(len(own), most_centres, max(1, n // (cell // 2))))
+        first += len(centres[d][1])
     reach = slack * float(np.sqrt(2 - 2 * threshold))
-    placed = materialize(nodes.mapInArrow(_assign(centres, reach), "node long, vector array<double>, copies long, home int, shards array<int>"))
+    placed = materialize(nodes.mapInArrow(_assign(centres, reach, most), "node long, vector array<double>, copies long, home int, shards array<int>"))
     inside = placed.select("node", "vector", "copies", "home", F.explode("shards").alias("shard"))
     asking = placed.select("node", "vector", "copies", "home", "shards", F.col("home").alias("shard"))
     # how many slices a shard's nodes and its queries fill: a row for each centre
@@ -338,21 +376,22 @@ def link(nodes: DataFrame, threshold: float, cell: int, slack: float, sample: in
     return materialize(cells.mapInArrow(_search(threshold, exact), "node long, links long, parent long"))
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.95, cell: int = 1500, recall: float = 0.99, slack: float = 0.45, sample: int = 20_000, most_centres: int = 1024) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.95, cell: int = 1500, recall: float = 0.99, slack: float = 0.45, most: int = 4, sample: int = 20_000, most_centres: int = 1024) -> DataFrame:
     """One row per row of ``rows`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
-    n_links: other rows with a cosine of ``threshold`` or more, equal vectors included. Vectors that are null, empty, zero, of another length
-    than most, or hold null or non-finite components link with nothing; so do rows with a null vec_id (component_id
-    null, kept true). Repeated rows are equal vectors. Ties don't matter: a component is named by its smallest vec_id.
-    Centres are fitted on about ``sample`` rows; every row is in the graph. Other columns are ignored.
+    n_links: other rows with a cosine of ``threshold`` or more, equal vectors included. Vectors that are null, empty, zero, or hold
+    null or non-finite components link with nothing; so do rows with a null vec_id (component_id null, kept true). Vectors of
+    different lengths are not compared. Very large and very small components are scaled by the largest first. Repeated rows are
+    equal vectors. Ties don't matter: a component is named by its smallest vec_id. Centres are fitted on about ``sample``
+    rows; every row is in the graph. Other columns are ignored; no rows give none.
+
+    The first graph has each node in at most ``most`` shards; if its audit falls short, further ones have more, then all
+    within the linking distance.
     """
     own = rows.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector"))
-    good = "vec_id is not null and vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < 1e150) and exists(vector, x -> abs(x) > 1e-150)"
-    good = F.coalesce(F.expr(good), F.lit(False))
-    sizes = own.where(good).groupBy(F.size("vector").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    everyone = own.withColumn("good", good & (F.size("vector") == (sizes.d if sizes else 0)))
-    if sizes is None:
-        return everyone.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    good = "vec_id is not null and vector is not null and size(vector) > 0 and forall(vector, x -> x is not null and not isnan(x) and abs(x) < double('infinity')) and exists(vector, x -> x <> 0)"
+    everyone = own.withColumn("good", F.coalesce(F.expr(good), F.lit(False))).withColumn("largest", F.expr("if(good, array_max(transform(vector, x -> abs(x))), null)"))
+    everyone = everyone.withColumn("vector", F.expr("if(largest between 1e-100 and 1e100, vector, transform(vector, x -> x / largest))"))
     keyed = everyone.withColumn("key", F.when(F.col("good"), F.sha2(F.to_json(F.struct("vector")).cast("binary"), 256)))
     named = keyed.where("good").groupBy("key").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"), F.expr("count_if(vec_id % 100 = 0)").alias("asked"), F.min("vector").alias("vector"))
     # nodes go by their smallest vec_id; where a vec_id repeats with other vectors, by their key
@@ -360,12 +399,12 @@ def near_duplicates(rows: DataFrame, threshold: float = 0.95, cell: int = 1500,
     nodes = materialize(named.join(twice, "vec_id").withColumn("node", F.when(F.col("names") == 1, F.col("vec_id")).otherwise(F.xxhash64("key"))).drop("names"))
     exact = False
     while True:
-        found = link(nodes.select("node", "vector", "copies"), threshold, cell, slack, sample, most_centres, exact)
+        found = link(nodes.select("node", "vector", "copies"), threshold, cell, slack, sample, most_centres, most, exact)
         if (share := audit(nodes, found, threshold)) >= recall:
             break
         if exact:
             raise RuntimeError(f"recall {share} of exact cells is below {recall}")
-        slack, exact = min(1.0, slack * 1.6), slack >= 1
+        slack, most, exact = min(1.0, slack * 1.6), (most * 4 if most and slack * 1.6 < 1 else None), slack >= 1 and most is None
     links = found.groupBy("node").agg(F.sum("links").alias("links"))
     reach = connected_components(found.select(F.col("node").alias("a"), F.col("parent").alias("b")))
     reach = reach.join(nodes.select("node", "vec_id"), "node")

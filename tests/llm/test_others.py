@@ -95,15 +95,15 @@ def vectors():
     out = [(i, v.astype(np.float32).tolist()) for i, v in enumerate(x)]
     for i in range(60):
         out.append((1000 + i, (x[i % 20] + r.normal(size=16) * 0.15 * np.linalg.norm(x[i % 20]) / 4).astype(np.float32).tolist()))
-    out += [(2000, out[3][1]), (2001, [2 * v for v in out[3][1]]), (2002, None), (2003, [0.0] * 16), (2004, [float("nan")] * 16), (2005, [None] * 16), (2006, [1.0]), (2007, []), (2008, [float("inf")] + [1.0] * 15), (None, out[4][1]), (7, out[7][1]), (9, out[11][1])]
+    out += [(2000, out[3][1]), (2001, [2 * v for v in out[3][1]]), (2002, None), (2003, [0.0] * 16), (2004, [float("nan")] * 16), (2005, [None] * 16), (2006, [1.0]), (2010, [1e-310]), (2011, [1e300]), (2012, [-1.0]), (2013, [3e200 * v for v in out[3][1]]), (2014, [1e-200 * v for v in out[3][1]]), (2007, []), (2008, [float("inf")] + [1.0] * 15), (None, out[4][1]), (7, out[7][1]), (9, out[11][1])]
     return out
 
 
 def embeddings_by_hand(data):
     def unit(v):
-        if v is None or len(v) != 16 or any(a is None or not np.isfinite(a) for a in v) or not any(v):
+        if v is None or any(a is None or not np.isfinite(a) for a in v) or not any(v):
             return None
-        v = np.array(v, np.float64)
+        v = np.array(v, np.float64) / max(map(abs, v))
         return v / np.sqrt(v @ v)
 
     u = [unit(v) if i is not None else None for i, v in data]
@@ -116,7 +116,7 @@ def embeddings_by_hand(data):
 
     for a in range(len(data)):
         for b in range(a):
-            if u[a] is not None and u[b] is not None and u[a] @ u[b] >= 0.95:
+            if u[a] is not None and u[b] is not None and len(u[a]) == len(u[b]) and u[a] @ u[b] >= 0.95:
                 n[a] += 1
                 n[b] += 1
                 group[find(a)] = find(b)
@@ -130,7 +130,7 @@ def embeddings_by_hand(data):
 @pytest.mark.parametrize("cell", [1500, 60])
 def test_embedding_graph_equals_brute_force(spark, cell):
     data = vectors()
-    df = spark.createDataFrame([(*r, 1) for r in data], "vec_id long, embedding array<float>, node int").repartition(4)
+    df = spark.createDataFrame([(*r, 1) for r in data], "vec_id long, embedding array<double>, node int").repartition(4)
     got = Counter(tuple(r) for r in embedding_graph.near_duplicates(df, cell=cell).collect())
     want = embeddings_by_hand(data)
     assert got == want
@@ -190,6 +190,18 @@ def test_both_ends_count_a_pair_seen_from_one_side(spark, monkeypatch):
         assert {k: n for k, n in got.items() if n} == {1: 2, 2: 1, 3: 4, 4: 3}
 
 
+def test_homes_keep_the_nearest_borders():
+    """With a bound on shards, those of the nearest borders stay, the home among them; blocks change nothing."""
+    r = np.random.default_rng(2)
+    x, centres = embedding_graph.unit(r.normal(size=(300, 5))), embedding_graph.unit(r.normal(size=(40, 5)))
+    home, every = embedding_graph.homes(x, centres, 0.3)
+    again, few = embedding_graph.homes(x, centres, 0.3, most=3, step=7)
+    assert (home == again).all() and (home == ((x[:, None] - centres) ** 2).sum(2).argmin(1)).all()
+    for k, (a, b) in enumerate(zip(every, few)):
+        away = {c: (((x[k] - centres[c]) ** 2).sum() - ((x[k] - centres[home[k]]) ** 2).sum()) / (2 * np.sqrt(((centres[c] - centres[home[k]]) ** 2).sum()) or 1) for c in range(40)}
+        assert set(a) == {c for c in away if away[c] <= 0.3} and set(b) == set(sorted(a, key=away.get)[:3]) and home[k] in b
+
+
 def test_default_overlap_holds_a_pair_across_a_border(spark, monkeypatch):
     """Fixed centres, both ends 0.12 from the border, no row for the audit: the overlap alone must hold the pair."""
     monkeypatch.setattr(embedding_graph, "fit_centres", lambda *_: np.array([[1.0, 0.0], [0.0, 1.0]]))
