@@ -2,23 +2,26 @@
 
 A document is a unit vector of hashed character 1- to 3-grams of its whole text. Linear support vector machines first
 tell the language family (one against the rest); within the family one machine for each pair of languages votes. The
-machines are fitted on the driver from a bounded sample of labelled rows (``per_language`` rows of each language, in
-expectation); their weights, bounded by DIM times the number of machines, are shipped to the tasks that read the texts.
+machines are fitted on the driver from a bounded sample of labelled rows: about ``per_language`` rows of each of the
+``languages`` commonest labels, about ``most_rows`` in all. Their weights, bounded by DIM times the number of machines, are
+shipped to the tasks that read the texts.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from gleanery.llm.common import small
+
 DIM = 1 << 13
 SCHEMA = "doc_id long, held_out boolean, lang_pred string, score double, family string"
 UNKNOWN = "und"
@@ -31,8 +34,9 @@ FAMILIES = {
     **dict.fromkeys(("hi", "bn", "ur", "mr", "ne", "pa", "gu", "fa"), "indo-iranian"),
     **dict.fromkeys(("tr", "az", "kk", "uz", "ky"), "turkic"),
 }
-_LETTER = re.compile(r"[^\W\d_]")
-_GAPS = re.compile(r"[\W\d_]+")
+#: Letters are the Unicode categories L: number forms such as a half or a Roman eight are none.
+_LETTER = regex.compile(r"\p{L}")
+_GAPS = regex.compile(r"[^\p{L}\p{M}]+")
 _BLOCK = 1 << 18
 
 
@@ -43,7 +47,7 @@ def has_letter(text: str | None) -> bool:
 def features(text: str) -> np.ndarray:
     """The unit vector of a text: log-damped counts of hashed 1- to 3-grams over lower-case letters, runs of anything else as one space. Long texts are counted in blocks."""
     counts = np.zeros(DIM, np.int64)
-    tail = " "
+    tail = "  "
     for at in range(0, len(text), _BLOCK):
         s = tail + _GAPS.sub(" ", text[at : at + _BLOCK].lower())
         s += " " if at + _BLOCK >= len(text) else ""
@@ -90,7 +94,8 @@ class Model:
     pair_rows: dict[tuple[str, str], int] = field(default_factory=dict)
 
     def decide(self, margins: np.ndarray) -> tuple[str, str, float]:
-        """Language, family and score of one document: the product of the family's share and the votes' mean confidence."""
+        """Language, family and score of one document: the product of the family's share and the votes' mean confidence.
+        Ties: the family, then the language first by name; languages of equally many votes go by their confidence first."""
         sure = lambda m: 1.0 / (1.0 + np.exp(-4.0 * float(m)))
         shares = {f: sure(margins[r]) for f, r in self.family_rows.items()} or dict.fromkeys(self.members, 1.0)
         family = max(sorted(shares), key=shares.__getitem__)
@@ -102,7 +107,7 @@ class Model:
             votes[a if p >= 0.5 else b] += 1
             belief[a] += p
             belief[b] += 1 - p
-        best = max(langs, key=lambda k: (votes[k], belief[k]))
+        best = max(sorted(langs), key=lambda k: (votes[k], belief[k]))
         within = belief[best] / (len(langs) - 1) if len(langs) > 1 else 1.0
         return best, family, min(1.0, max(0.0, top * within))
 
@@ -130,7 +135,7 @@ def fit(rows: list[tuple[str, np.ndarray]], families: dict[str, str]) -> Model:
 
 
 def _sparse_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in small(batches):
         langs, places, values = [], [], []
         for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text")):
             if has_letter(t := text.as_py()):
@@ -142,12 +147,14 @@ def _sparse_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(places, pa.list_(pa.int32())), pa.array(values, pa.list_(pa.float32()))], names=["lang", "places", "weights"])
 
 
-def train(labelled: DataFrame, per_language: int = 400, families: dict[str, str] = FAMILIES) -> Model:
-    """A model from rows (doc_id, text, lang). Rows with null text or lang are left out. Of each language every row
-    whose hashed doc_id falls under a rate is taken, the rate giving ``per_language`` rows in expectation: which rows
-    are taken depends on neither partitions nor order, and what comes to the driver is bounded."""
+def train(labelled: DataFrame, per_language: int = 400, families: dict[str, str] = FAMILIES, languages: int = 200, most_rows: int = 4000) -> Model:
+    """A model from rows (doc_id, text, lang). Rows with null text or lang are left out, and so are labels beyond the ``languages``
+    commonest (ties: by name). Of each language every row whose hashed doc_id falls under a rate is taken, the rate giving
+    ``per_language`` rows in expectation, or an equal share of ``most_rows`` if that is less: which rows are taken depends
+    on neither partitions nor order, and what comes to the driver is bounded."""
     usable = labelled.where("text is not null and lang is not null").select("doc_id", "text", "lang")
-    rates = {r.lang: per_language / r.n for r in usable.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = usable.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()
+    rates = {r.lang: min(per_language, most_rows / len(counts)) / r.n for r in counts}
     if not rates:
         return Model()
     rate = F.create_map(*[F.lit(v) for pair in rates.items() for v in pair])[F.col("lang")]
@@ -170,7 +177,7 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataF
     """One row per row of ``docs`` (doc_id, text): doc_id, held_out, lang_pred, score, family, and the columns of ``docs`` in ``carry``.
 
     ``und`` with score 0 and family null if the text is null or has no letter, or if the model knows no language.
-    held_out is true if crc32(doc_id as text) mod 5 is 0 and null for a null doc_id. Equal texts get equal answers; rows
+    Very long texts are counted whole, in blocks. held_out is true if crc32(doc_id as text) mod 5 is 0 and null for a null doc_id. Equal texts get equal answers; rows
     map one to one. Other columns of ``docs``, lang and source among them, aren't read. No shuffle.
     """
     shipped = docs.sparkSession.sparkContext.broadcast(model)
@@ -178,7 +185,7 @@ def predict(docs: DataFrame, model: Model, carry: tuple[str, ...] = ()) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = shipped.value
         known, w, bias = bool(own.members), np.ascontiguousarray(own.weights[:, :-1].T), own.weights[:, -1]
-        for batch in batches:
+        for batch in small(batches):
             out = []
             for x in batch.column("text"):
                 text = x.as_py()

@@ -1,11 +1,11 @@
 """URL rules by a Bloom filter cascade, in DataFrame operations only.
 
-Every URL yields its candidate keys: each suffix of its host with each prefix of its path that has the length of some
-rule's path. The distinct candidates of the whole corpus are the key universe. A first Bloom filter encodes the listed
-keys; a second one the universe's keys that pass the first without being listed; a third one the listed keys that pass
-the second; and so on until none is left. Membership of any key of the universe is then exact: the first level that
-rejects it decides. The filters are bit words in literals of the query, so judging needs neither join nor shuffle.
-Their size grows with the listed keys that the corpus has, not with the corpus; if it passes ``max_bits``, membership comes from a join instead.
+Every URL yields its candidate keys: each suffix of its host that has as many labels as some rule's host, with each prefix
+of its path that has the length of some rule's path. The distinct candidates of the whole corpus are the key universe. A
+first Bloom filter encodes the listed keys; a second one the universe's keys that pass the first without being listed; a
+third one the listed keys that pass the second; and so on until none is left. Membership of any key of the universe is then
+exact: the first level that rejects it decides. The filters are bit words in literals of the query, so judging needs neither
+join nor shuffle. Their size grows with the rules and the false positives of the level before, ``bits_per_key`` each, not with the corpus.
 """
 
 from __future__ import annotations
@@ -29,10 +29,11 @@ def split_url(pages: DataFrame) -> DataFrame:
     return df.select("page_id", host.alias("host"), F.regexp_extract("__r", "^[^/?#]*([^?#]*)", 1).alias("path"))
 
 
-def candidates(lengths: list[int]) -> Column:
-    """All keys that a rule fitting (host, path) can have; ``lengths``: of the rules' paths."""
-    sizes = f"array({', '.join(map(str, lengths))})" if lengths else "cast(array() as array<int>)"
-    hosts = "transform(sequence(0, size(split(host, '[.]')) - 1), i -> array_join(slice(split(host, '[.]'), i + 1, 1000), '.'))"
+def candidates(rules: list[tuple[str, str, str]]) -> Column:
+    """All keys that a rule fitting (host, path) can have."""
+    numbers = lambda xs: f"array({', '.join(map(str, xs))})" if xs else "cast(array() as array<int>)"
+    labels, sizes = numbers(sorted({h.count(".") + 1 for _, h, _ in rules})), numbers(sorted({len(p) for _, _, p in rules}))
+    hosts = f"transform(filter({labels}, n -> n <= length(host) - length(replace(host, '.', '')) + 1), n -> substring_index(host, '.', -n))"
     keys = f"flatten(transform({hosts}, h -> transform(filter({sizes}, n -> n <= length(path)), n -> concat(h, substring(path, 1, n)))))"
     return F.expr(f"if(host = '', cast(array() as array<string>), {keys})")
 
@@ -65,59 +66,54 @@ class Cascade:
     levels: list[Level]
     hashes: int
 
-    @property
-    def bits(self) -> int:
-        return sum(x.bits for x in self.levels)
+    def passes(self, key: str, k: int) -> str:
+        """SQL text: whether level ``k`` lets a key pass. The words are in it once."""
+        x = self.levels[k]
+        words = f"array(cast(split('{','.join(map(str, x.words))}', ',') as array<bigint>))"
+        each = (f"(get(w, int({p} div 64)) & shiftleft(1L, int({p} % 64))) <> 0" for p in (_place(key, k, j, x.bits) for j in range(self.hashes)))
+        return f"exists({words}, w -> {' and '.join(each)})"
 
     def contains(self, key: str) -> str:
         """SQL text that is true for listed keys of the universe and false for its others."""
         out = "true" if len(self.levels) % 2 else "false"
         for k in reversed(range(len(self.levels))):
-            x = self.levels[k]
-            words = f"cast(split('{','.join(map(str, x.words))}', ',') as array<bigint>)"
-            each = [f"(get({words}, int({p} div 64)) & shiftleft(1L, int({p} % 64))) <> 0" for p in (_place(key, k, j, x.bits) for j in range(self.hashes))]
-            out = f"if({' and '.join(each)}, {out}, {'true' if k % 2 else 'false'})"
+            out = f"if({self.passes(key, k)}, {out}, {'true' if k % 2 else 'false'})"
         return out
 
 
-def build(universe: DataFrame, bits_per_key: int = 12, hashes: int = 4, max_levels: int = 40) -> Cascade:
-    """A cascade over ``universe`` (key, listed): distinct keys, both kinds. Each level is one pass over what the level before left."""
-    levels: list[Level] = []
-    inside, outside = universe.where("listed"), universe.where("not listed")
-    count = inside.count()
-    while count:
-        if len(levels) == max_levels:
+def build(universe: DataFrame, listed: DataFrame, bits_per_key: int = 12, hashes: int = 4, max_levels: int = 40) -> Cascade:
+    """A cascade that tells ``listed`` (key) from the other keys of ``universe`` (key), both distinct. The universe is read
+    once, against the first level; only what passes it is held against the list. Each further level is one pass over what the level before left."""
+    cascade = Cascade([], hashes)
+    inside, outside = listed, None
+    while count := inside.count():
+        if len(cascade.levels) == max_levels:
             raise RuntimeError("the cascade does not end; raise bits_per_key")
-        levels.append(bloom(inside, len(levels), count, bits_per_key, hashes))
-        # of the other kind, what passes this level must be told apart by the next one
-        passes = Cascade([levels[-1]], hashes)
-        one = passes.contains("key").replace("xxhash64(key, 0,", f"xxhash64(key, {len(levels) - 1},")
-        inside, outside = outside.where(F.expr(one)), inside
-        count = inside.count()
-    return Cascade(levels, hashes)
+        cascade.levels.append(bloom(inside, len(cascade.levels), count, bits_per_key, hashes))
+        passing = F.expr(cascade.passes("key", len(cascade.levels) - 1))
+        if outside is None:  # the false positives of the first level, over the whole universe
+            outside = materialize(universe.where(passing).join(listed, "key", "left_anti"))
+        else:
+            outside = outside.where(passing)
+        inside, outside = outside, inside
+    return cascade
 
 
-def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow", max_bits: int = 1 << 24) -> DataFrame:
+def judge(pages: DataFrame, rules: list[tuple[str, str, str]], default: str = "allow") -> DataFrame:
     """One row per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict.
 
     ``rules``: (verdict, host, path) with verdict allow or block. A rule fits its host and all subdomains if the url's
-    path starts with the rule's; the longest host and path together wins. rule is null where none fits; the verdict is
-    then ``default``, as the cascade says that no listed key covers the page. Null urls and urls without ``://`` have an
-    empty host and path and no rule. Of rules given twice, block wins. page_id may be null or repeat; other columns are ignored.
+    path starts with the rule's; the longest host and path together wins, of equally long ones the later in code point
+    order. rule is null where none fits; the verdict is then ``default``, as the cascade says that no listed key covers the
+    page. Null urls and urls without ``://`` have an empty host and path and no rule; very long urls have no more
+    candidates than others. Of rules given twice, block wins. page_id may be null or repeat; other columns are ignored; no rows give none.
     """
     spark = pages.sparkSession
     verdicts = {f"{h}{p}": v for v, h, p in sorted(rules)}  # block comes after allow
-    df = split_url(pages).withColumn("__k", candidates(sorted({len(p) for _, _, p in rules})))
-    listed = spark.createDataFrame(list(verdicts.items()), "key string, v string")
-    keys = df.select(F.explode("__k").alias("key")).distinct()
-    universe = materialize(keys.join(listed, "key", "left"))
-    cascades = {v: build(universe.select("key", F.coalesce(F.col("v") == v, F.lit(False)).alias("listed"))) for v in ("allow", "block")}
-    if sum(c.bits for c in cascades.values()) > max_bits:
-        places = df.select("host", "path", "__k").dropDuplicates(["host", "path"])
-        hits = places.select("host", "path", F.explode("__k").alias("key")).join(listed, "key")
-        best = hits.groupBy("host", "path").agg(F.max(F.struct(F.length("key"), "key", "v")).alias("__b"))
-        df = df.join(best, ["host", "path"], "left")
-        return df.select("page_id", "host", "path", F.col("__b.key").alias("rule"), F.coalesce("__b.v", F.lit(default)).alias("verdict"))
+    df = split_url(pages).withColumn("__k", candidates(rules))
+    universe = materialize(df.select(F.explode("__k").alias("key")).distinct())
+    listed = {v: spark.createDataFrame([(k,) for k, own in verdicts.items() if own == v], "key string") for v in ("allow", "block")}
+    cascades = {v: build(universe, keys) for v, keys in listed.items()}
     tagged = f"transform(__k, k -> struct(length(k) as n, k as k, if({cascades['block'].contains('k')}, 'block', if({cascades['allow'].contains('k')}, 'allow', null)) as v))"
     df = df.withColumn("__b", F.expr(f"array_max(filter({tagged}, x -> x.v is not null))"))
     return df.select("page_id", "host", "path", F.col("__b.k").alias("rule"), F.coalesce("__b.v", F.lit(default)).alias("verdict"))

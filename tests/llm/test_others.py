@@ -6,6 +6,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from gleanery.llm import chat_format, embedding_graph, queries, url_filter
 from gleanery.llm.common import connected_components
@@ -72,13 +73,30 @@ def judged(url):
     return host, m[2], best[1], best[2]
 
 
-@pytest.mark.parametrize("bits", [1 << 24, 1])
-def test_url_rules(spark, bits):
+def test_url_rules(spark):
     data = [(i if i % 7 else None, u, "z") for i, u in enumerate(URLS + URLS[:5])]
-    got = url_filter.judge(spark.createDataFrame(data, "page_id long, url string, host string"), queries.RULES, max_bits=bits)
+    got = url_filter.judge(spark.createDataFrame(data, "page_id long, url string, host string"), queries.RULES)
     assert Counter(tuple(r) for r in got.collect()) == Counter((i, *judged(u)) for i, u, _ in data)
 
 
+def test_url_rules_ties_and_long_hosts(spark):
+    """Of equally long rules the later in code point order; a host of 100,000 labels has no more candidates than another."""
+    rules = [("allow", "a.com", "/bb"), ("block", "b.a.com", "/"), ("block", "a.com", "/bb"), ("allow", "x", "/")]
+    data = [(1, "http://b.a.com/bb"), (2, "http://a.com/bb"), (3, "http://" + "a." * 100_000 + "com/bb"), (4, "http://x." + "y." * 3 + "x/" + "z" * 100_000)]
+    got = {r.page_id: (r.rule, r.verdict) for r in url_filter.judge(spark.createDataFrame(data, "page_id long, url string"), rules).collect()}
+    assert got == {1: ("b.a.com/", "block"), 2: ("a.com/bb", "block"), 3: ("a.com/bb", "block"), 4: ("x/", "allow")}
+
+
+def test_cascade_is_exact_over_its_universe(spark):
+    """Few bits a key: many levels, and every key of the universe is still told right."""
+    universe = spark.range(4000).selectExpr("concat('k', id) as key")
+    listed = universe.where("xxhash64(key) % 5 = 0")
+    cascade = url_filter.build(universe, listed, bits_per_key=3, hashes=2)
+    assert len(cascade.levels) > 3
+    got = {r.key for r in universe.where(F.expr(cascade.contains("key"))).collect()}
+    assert got == {r.key for r in listed.collect()}
+
+
 def test_url_rules_many(spark):
     rules = [("block" if k % 2 else "allow", f"h{k}.net", "/") for k in range(300)]
     data = [(k, f"http://s.h{k}.net/x") for k in range(600)]

@@ -218,6 +218,61 @@ def test_language_id(spark, sf_dir, docs, none):
     assert language_id.identify(none).count() == 0
 
 
+def predicted_by_hand(model, text):
+    """The prediction again in plain Python: letters by category, grams in a dict, machines and votes one by one."""
+    import math
+    import unicodedata
+
+    if not text or not any(unicodedata.category(c)[0] == "L" for c in text):
+        return "und", 0.0
+    bare = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower())
+    # runs of gaps are one space; two spaces go before, one after
+    s = [" ", " "] + [c for k, c in enumerate(bare) if c != " " or k == 0 or bare[k - 1] != " "] + [" "]
+    codes, counts = [ord(c) for c in s], {}
+    mul = lambda a, b: a * b & 0xFFFFFFFF
+    two = lambda i: mul(mul(codes[i - 1], 0x9E3779B1) ^ mul(codes[i], 0x85EBCA6B), 0xC2B2AE35)
+    for i in range(2, len(codes)):
+        for g in (mul(codes[i], 0x9E3779B1), two(i), mul(two(i - 1) ^ mul(codes[i], 0x27D4EB2F), 0x165667B1)):
+            counts[g >> 19] = counts.get(g >> 19, 0) + 1
+    weights = {k: math.log1p(v) for k, v in counts.items()}
+    size = math.sqrt(sum(v * v for v in weights.values()))
+    margin = lambda r: sum(v / size * float(model.weights[r, k]) for k, v in weights.items()) + float(model.weights[r, -1])
+    sure = lambda r: 1 / (1 + math.exp(-4 * margin(r)))
+    shares = {f: sure(r) for f, r in model.family_rows.items()}
+    family = max(sorted(shares), key=shares.get)
+    votes, belief = {}, {}
+    for (a, b), r in model.pair_rows.items():
+        if a in model.members[family]:
+            p = sure(r)
+            votes[a if p >= 0.5 else b] = votes.get(a if p >= 0.5 else b, 0) + 1
+            belief[a], belief[b] = belief.get(a, 0) + p, belief.get(b, 0) + 1 - p
+    langs = sorted(model.members[family])
+    best = max(langs, key=lambda k: (votes.get(k, 0), belief.get(k, 0)))
+    return best, shares[family] / sum(shares.values()) * (belief[best] / (len(langs) - 1) if len(langs) > 1 else 1)
+
+
+def test_language_id_equals_plain_python(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = language_id.train(table.where(language_id.remainder() != 0))
+    texts = [r.text for r in table.where("length(text) < 4000").collect()] + ["½", "Ⅷ ²①", "été", "1 a", "  Größe\t\n12", "東京 ½"]
+    got = language_id.predict(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), model).collect()
+    for r in got:
+        lang, score = predicted_by_hand(model, texts[r.doc_id])
+        assert (r.lang_pred, r.score) == (lang, pytest.approx(score, abs=1e-4))
+    assert {r.lang_pred for r in got if r.doc_id in (len(texts) - 6, len(texts) - 5)} == {"und"}
+
+
+def test_language_id_ties_and_many_labels(spark):
+    """Equal margins: the first by name. Of more labels than ``languages``, the commonest are learned."""
+    model = language_id.Model({"x": ["b", "a"], "w": ["c"]}, np.zeros((3, language_id.DIM + 1), np.float32), {"x": 0, "w": 1}, {("b", "a"): 2})
+    assert model.decide(np.zeros(3))[:2] == ("c", "w")
+    model.family_rows = {"x": 0, "w": 1}
+    assert model.decide(np.array([1.0, 0.0, 0.0]))[0] == "b"  # half a vote goes to the first of a pair
+    data = [(k, f"text of label {k % 30} " * 3, f"l{k % 30:02d}") for k in range(300)] + [(900 + k, "more words", "l29") for k in range(5)]
+    found = language_id.train(spark.createDataFrame(data, "doc_id long, text string, lang string"), languages=7, most_rows=70)
+    assert sorted(sum(found.members.values(), [])) == ["l00", "l01", "l02", "l03", "l04", "l05", "l29"]
+
+
 def test_language_id_reads_no_label(spark, sf_dir):
     """A label that changes on a held-out row changes nothing."""
     table = spark.read.parquet(f"{sf_dir}/documents.parquet")
