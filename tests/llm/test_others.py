@@ -37,24 +37,41 @@ def by_hand(data):
     return out
 
 
-@pytest.mark.parametrize("budget", [2048, 64])
+@pytest.mark.parametrize("budget", [8192, 256])
 def test_chat_format_round_trip(spark, budget):
     rows = spark.createDataFrame([(*r, 1, "w") for r in conversations()], "conv_id long, turn long, role string, text string, window int, loss string").repartition(3)
-    formatted = chat_format.windows(rows, budget=budget)
+    formatted = chat_format.windows(rows, budget=budget, history_tokens=budget // 8)
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat_format.digests(formatted).collect()}
     assert got == by_hand(conversations())
     texts = formatted.collect()
     assert all(r.text.count(chat_format.START) == r.text.count(chat_format.END) for r in texts)
-    if budget == 64:
+    if budget == 256:
         assert sum(r.conv_id == 5 for r in texts) > 10
     assert sum(r.formatted_chars for r in chat_format.digests(formatted).collect()) == sum(len(r.text) for r in texts)
 
 
-def test_chat_windows_keep_the_budget_and_the_system_turn(spark):
-    data = [(1, 0, "system", "rules")] + [(1, k, "assistant" if k % 2 == 0 else "user", "word " * 30) for k in range(1, 200)]
-    texts = chat_format.windows(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), budget=512).collect()
-    words = lambda t: len(re.findall(r"\w+", t))
-    assert len(texts) > 10 and all(r.text.startswith(chat_format.START + "system\nrules") for r in texts) and all(words(r.text) < 1.5 * 512 for r in texts)
+@pytest.mark.parametrize("system", ["rules", "rules " * 120, "rules " * 400])
+def test_chat_windows_keep_the_budget_and_fill_it(spark, system):
+    """No window passes the budget in bytes but a single larger turn; a system turn of over half the budget is not repeated."""
+    data = [(1, 0, "system", system)] + [(1, k, "assistant" if k % 2 == 0 else "user", "wörd " * (k % 23 + (900 if k == 77 else 300 if k == 90 else 1))) for k in range(1, 400)]
+    texts = chat_format.windows(spark.createDataFrame(data, "conv_id long, turn long, role string, text string"), budget=2048, history_tokens=200).orderBy("window").collect()
+    sizes = [len(r.text.encode()) for r in texts]
+    own = [r.text.count(chat_format.START) - r.n_context for r in texts]
+    assert [r.n_tokens for r in texts] == sizes and all(n <= 2048 or (k == 1 and not r.n_context) for n, k, r in zip(sizes, own, texts)) and max(sizes) > 2048
+    again = [r.text.startswith(chat_format.START + "system\nrules") for r in texts]
+    repeated = 2 * (len(system.encode()) + 30) <= 2048
+    assert sum(own) == len(data) and (sum(again) > 20 if repeated else sum(again) == 1)
+    assert all(a or not repeated or (k == 1 and n + len(system) + 30 + 400 > 2048) for a, k, n in zip(again, own, sizes))
+    # filled but for the longest ordinary turn, on average
+    plain = [n for n, k in zip(sizes, own) if k > 1]
+    assert len(system) > 100 or sum(plain) / len(plain) > 1200
+
+
+def test_chat_query_equals_brute_force(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
+    data = [tuple(r) for r in table] + [(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)]
+    got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in queries.op4_chat_format(spark, sf_dir).collect()}
+    assert got == by_hand(data)
     assert chat_format.digests(chat_format.windows(spark.createDataFrame([], "conv_id long, turn long, role string, text string"))).count() == 0
 
 

@@ -305,6 +305,61 @@ def test_quality_rules_base_equals_brute_force(spark, sf_dir, docs, none):
     assert quality_rules.judge(none).count() == 0
 
 
+def verdicts_by_hand(data, min_words=60, min_chars=200, most_char=0.3, most_word=0.45, per_language=16):
+    """(kept, nearest) of rows (doc_id, text, lang): words counted, histograms, references and distances in plain Python."""
+    import math
+    import re
+    import unicodedata
+
+    split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", t or "")
+    letters = lambda w: all(unicodedata.category(c)[0] == "L" for c in w)
+    counts = {}
+    for _, t, k in data:
+        if k is not None and t is not None:
+            counts.setdefault(k, Counter()).update(w for w in split(t.lower()) if letters(w) and len(w) <= 40)
+    common = sorted({w for c in counts.values() for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:per_language]})
+
+    def bins(t):
+        of = Counter()
+        for c in t or "":
+            kind = "l" if "a" <= c <= "z" else " " if c in " \t\n\x0b\x0c\r" else "u" if "A" <= c <= "Z" else "s" if c in "#*$%&|<>" else "L" if unicodedata.category(c)[0] == "L" else "d" if c in "0123456789" else "m" if c in ".,;:!?'\"()-" else "o"
+            of[kind] += 1
+        words = [w.lower() for w in split(t)]
+        seen = Counter(w for w in words if w in common)
+        return [of[k] for k in "l usLdmo"], [seen[w] for w in common] + [len(words) - sum(seen.values())]
+
+    both = [bins(t) for _, t, _ in data]
+    refs = {}
+    for (_, _, k), (c, w) in zip(data, both):
+        if k in counts:
+            a, b = refs.get(k, ([0] * len(c), [0] * len(w)))
+            refs[k] = [x + y for x, y in zip(a, c)], [x + y for x, y in zip(b, w)]
+    refs = {k: v for k, v in refs.items() if sum(v[1]) >= 500}
+
+    def far(p, q):
+        if not sum(p):
+            return 1.0
+        p, q = [x / sum(p) for x in p], [x / sum(q) for x in q]
+        return math.sqrt(max(0, sum((x * math.log2(2 * x / (x + y)) if x else 0) + (y * math.log2(2 * y / (x + y)) if y else 0) for x, y in zip(p, q)) / 2))
+
+    out = []
+    for (i, t, k), (c, w) in zip(data, both):
+        base = base_by_hand(t)
+        near = min(((far(c, a) + far(w, b), name, far(c, a), far(w, b)) for name, (a, b) in refs.items()), default=None) if k is None or k in refs else None
+        bad = near is not None and ((base[1] >= min_chars and near[2] > most_char) or (base[0] >= min_words and near[3] > most_word))
+        out.append((i, not base[5] and not bad, near and near[1]))
+    return Counter(out)
+
+
+def test_quality_rules_verdict_equals_brute_force(spark, sf_dir, docs):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    rare = spark.createDataFrame([(-1, "dit is een tekst in een taal " * 3 + "zonder referentie hier", "nl")], "doc_id long, text string, lang string")
+    for df in (docs.select("doc_id", "text", "lang"), table.unionByName(rare)):
+        want = verdicts_by_hand([tuple(r) for r in df.collect()])
+        assert Counter((r.doc_id, r.kept, r.nearest) for r in quality_rules.judge(df).collect()) == want
+    assert len({k for _, k, _ in want}) == 2 and len({n for *_, n in want}) >= 4
+
+
 def test_quality_rules_distance_by_hand(spark):
     p, q = np.array([3, 0, 7, 1]) / 11, np.array([0.2, 0.3, 0.5, 0.0])
     m = (p + q) / 2
@@ -329,7 +384,58 @@ def test_rake_respects_caps_and_emptiness():
     cells = {("a", "en", "t0"): 10, ("b", "en", "t0"): 1000}
     found = mixing.rake(cells, {"source": {"a": 0.5, "b": 0.5}, "lang": {"en": 1.0}, "topic": {"t0": 1.0}}, 0.5)
     assert found.probability["a", "en", "t0"] == pytest.approx(1.0) and found.error > 0
-    assert mixing.rake({}, mixing.DEFAULT_TARGETS, 0.5).probability == {}
+    assert mixing.rake({}, {**mixing.DEFAULT_TARGETS, "topic": {}}, 0.5).probability == {}
+
+
+def mixed_by_hand(data, model, targets, fraction):
+    """(lang, topic, tokens) of each row and the probability of each cell, without numpy's help for the raking: cells scaled to one marginal after another."""
+    read = []
+    for i, text, lang, source in data:
+        words = (text or "").lower().encode().split()
+        places = Counter(int(h) >> 56 for h in mixing.word_hashes([w for w in words if len(w) > 3])) if any(len(w) > 3 for w in words) else {}
+        group = lang if lang in targets["lang"] else "other"
+        scores = [sum(np.log1p(n) * model.weight[group][p] * c[p] for p, n in places.items()) for c in model.centres.get(group, [])]
+        best = next((k for k, x in enumerate(scores) if x >= max(scores) - 1e-12), 0)
+        read.append((source if source in targets["source"] else "other", group, f"{group}:{best}", max(1, len(words))))
+    cells = Counter()
+    for s, k, t, n in read:
+        cells[s, k, t] += n
+    langs = {k for _, k, _ in cells}
+    goal = [targets["source"], targets["lang"], {t: targets["lang"][k] / len({t for _, j, t in cells if j == k}) for k in langs for _, j, t in cells if j == k}]
+    budget = fraction * sum(cells.values())
+    mass = {c: n * fraction for c, n in cells.items()}
+    for _ in range(3000):
+        for axis in range(3):
+            values = {c[axis] for c in cells}
+            share = sum(goal[axis][v] for v in values)
+            for v in values:
+                own = [c for c in cells if c[axis] == v]
+                want = budget * goal[axis][v] / share
+                for _ in own:  # cells at their cap stay, the others make up for them
+                    full = [c for c in own if mass[c] >= cells[c] * (1 - 1e-12)]
+                    open_ = sum(mass[c] for c in own if c not in full)
+                    left = want - sum(cells[c] for c in full)
+                    if left < 0:
+                        total = sum(mass[c] for c in own)
+                        mass |= {c: mass[c] * want / total for c in own}
+                        break
+                    mass |= {c: min(cells[c], mass[c] * left / open_) for c in own if c not in full and open_}
+                    if len([c for c in own if mass[c] >= cells[c] * (1 - 1e-12)]) == len(full):
+                        break
+    return read, {c: mass[c] / n for c, n in cells.items()}
+
+
+def test_mixing_equals_plain_python(spark, sf_dir):
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
+    targets = {"source": {"src0": 1.0, "src1": 1.0, "src2": 2.0, "other": 6.0}, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.15, "other": 0.05}}
+    own = table.select("doc_id", mixing.under(F.col("lang"), targets["lang"]).alias("lang_group"), "text")
+    model = mixing.fit_topics(mixing.sample_counts(own, 60), 3)
+    data = [tuple(r) for r in table.collect()]
+    read, rates = mixed_by_hand(data, model, targets, 0.3)
+    got = {r.doc_id: r for r in mixing.mix(table, targets, fraction=0.3, topics=3, sample=60).collect()}
+    assert {i: (r.source_group, r.lang_group, r.topic, r.tokens) for i, r in got.items()} == {d[0]: x for d, x in zip(data, read)}
+    assert all(got[d[0]].probability == pytest.approx(rates[x[:3]], abs=1e-3) for d, x in zip(data, read))
+    assert len({r.error for r in got.values()}) == 1 and len({r.topic for r in got.values()}) > 8
 
 
 def test_mixing(spark, sf_dir, docs, none):
@@ -342,26 +448,6 @@ def test_mixing(spark, sf_dir, docs, none):
     edge = mixing.mix(docs, carry=("text",)).collect()
     assert len(edge) == len(rows()) and all(r.probability is not None for r in edge)
     assert {r.source_group for r in edge} >= {"other", "src0"} and mixing.mix(none).count() == 0
-
-
-def test_first_owners_equal_brute_force():
-    r = random.Random(9)
-    for window in (1, 2, 3, 5, 7):
-        packed = [[r.choice([b"a", b"b", b"cc"]) for _ in range(window + r.randrange(12))] for _ in range(40)]
-        owner = np.array([r.randrange(100) for _ in packed])
-        least = {}
-        for words, o in zip(packed, owner.tolist()):
-            for i in range(len(words) - window + 1):
-                key = tuple(words[i : i + window])
-                least[key] = min(o, least.get(key, o))
-        got = substring_dedup.first_owners([b" ".join(w) for w in packed], owner, window).to_pylist()
-        assert got == [[least[tuple(w[i : i + window])] for i in range(len(w) - window + 1)] for w in packed]
-
-
-def test_substring_dedup_shared_periodic_text(spark):
-    """Two documents share a periodic text of a million words, which has one minimiser throughout."""
-    long = "ab cd ef " * 333_334
-    data = [(1, long), (2, long + "own words here"), (3, "ab cd ef " * 20)]
-    got = {r.doc_id: (r.n_words, r.n_removed) for r in substring_dedup.remove_repeats(spark.createDataFrame(data, "doc_id long, text string")).collect()}
-    assert got == {1: (1_000_002, 0), 2: (1_000_005, 1_000_002), 3: (60, 60)}
-    assert all(len(x) == 0 or x.max() <= 64 for x in [substring_dedup.super_kmers(long.encode().split(), 50, 8)[2]])
+    columns = {"topic": F.when(F.col("doc_id") < 5, "low").otherwise("high"), "tokens": F.lit(3)}
+    chosen = mixing.mix(docs, mixing.DEFAULT_TARGETS | {"topic": {"low": 0.2, "other": 0.8}}, **columns).collect()
+    assert {r.topic for r in chosen} == {"low", "other"} and {r.tokens for r in chosen} == {3}
