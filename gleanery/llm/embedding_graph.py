@@ -5,7 +5,7 @@
    nearer than ``slack`` times the linking distance, those of the nearest borders if they are too many. A shard above ``cell`` nodes is dealt in slices of bounded size.
 2. In each slice the neighbours of a node are pruned robustly: a candidate goes if a nearer kept one covers it. The
    lists of all shards that a node is in are united into one graph.
-3. The nodes of a home search the slices of its shard: greedily from the medoid over the united lists; wherever
+3. The nodes of a home search the slices of its shard: greedily from the medoid, and from what a node's own list has there, over the united lists; wherever
    the search meets nodes in range, it goes on through all of their neighbours until no more are in range. What it finds is
    verified by cosine in double precision. Each pair is credited to both ends once: where both ends ask in one cell, what one
    finds counts for both; where the mirrored pair meets in another cell, both cells compare such pairs exactly; where it
@@ -126,12 +126,21 @@ def medoid(x: np.ndarray) -> int:
     return int((x @ x.mean(axis=0)).argmax())
 
 
-def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, threshold: float, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (query, row) with cosine at ``threshold`` or more that a range-expanding greedy search over ``lists`` finds."""
-    n, width = len(x), max(1, max(map(len, lists)))
-    adjacent = np.full((n, width), n, np.int64)  # row n stands for no neighbour
-    for a, own in enumerate(lists):
-        adjacent[a, : len(own)] = own
+def _padded(lists: list[np.ndarray], n: int) -> np.ndarray:
+    """The lists as rows of one array; n stands for no neighbour."""
+    sizes = np.array([len(own) for own in lists], np.int64)
+    out = np.full((len(lists), max(1, int(sizes.max(initial=0)))), n, np.int64)
+    out[np.arange(out.shape[1]) < sizes[:, None]] = np.concatenate(lists) if len(lists) else 0
+    return out
+
+
+def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, threshold: float, seeds: list[np.ndarray] | None = None, block: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (query, row) with cosine at ``threshold`` or more that a range-expanding greedy search over ``lists`` finds. It starts
+    from the medoid, and for a query with ``seeds`` (its own neighbours in the graph) from these too."""
+    n = len(x)
+    adjacent = _padded(lists, n)
+    width = adjacent.shape[1]
+    begin = _padded(seeds, n) if seeds is not None else None
     padded = np.vstack([x, np.zeros(x.shape[1])])
     start, beam, found = medoid(x), min(BEAM, n), ([], [])
     for at in range(0, len(queries), block):
@@ -145,6 +154,16 @@ def search(x: np.ndarray, lists: list[np.ndarray], queries: np.ndarray, threshol
         ids[:, 0], sims[:, 0] = start, q @ x[start]
         opened = ids == n
         hits = [(rows[sims[:, 0] >= threshold - 1e-9], ids[sims[:, 0] >= threshold - 1e-9, 0])]
+        if begin is not None:
+            first = np.where(begin[at : at + block] == start, n, begin[at : at + block])
+            seen[rows[:, None], first] = True
+            near = np.where(first < n, np.einsum("qd,qwd->qw", q, padded[first]), -9.0)
+            r, c = np.nonzero(near >= threshold - 1e-9)
+            hits.append((r, first[r, c]))
+            ids, sims = np.hstack([ids, first]), np.hstack([sims, near])
+            top = np.argpartition(-sims, beam - 1, axis=1)[:, :beam]
+            ids, sims = np.take_along_axis(ids, top, 1), np.take_along_axis(sims, top, 1)
+            opened = ids == n
         while not opened.all():
             pick = np.where(opened, -9.0, sims).argmax(axis=1)
             live = np.flatnonzero(~opened[rows, pick])
@@ -253,14 +272,15 @@ def _search(threshold: float, exact: bool = False):
             if exact:
                 q, r = _all_pairs(vectors[inside], vectors[ask], threshold)
             else:
-                lists = []
-                for k in inside.tolist():
-                    near = np.asarray(table["near"][k].values.to_numpy() if table["near"][k].is_valid else [], np.int64)
-                    at = np.minimum(np.searchsorted(own, near), len(own) - 1)
-                    lists.append(at[own[at] == near])
+                edges = table["near"].combine_chunks()
+                ends = np.concatenate([[0], np.cumsum(edges.value_lengths().fill_null(0).to_numpy())])
+                named = edges.flatten().to_numpy()
+                at = np.minimum(np.searchsorted(own, named), len(own) - 1)
+                at = np.where(own[at] == named, at, -1)
+                lists, seeds = ([(a := at[ends[k] : ends[k + 1]])[a >= 0] for k in some.tolist()] for some in (inside, ask))
                 # lists of other shards' rows may leave rows out of reach of the medoid here
                 _connect(vectors[inside], lists)
-                q, r = search(vectors[inside], lists, vectors[ask], threshold)
+                q, r = search(vectors[inside], lists, vectors[ask], threshold, seeds)
             every, at = np.unique(names, return_inverse=True)
             q, r = _both_ways(vectors, at, inside, ask, ask[q], inside[r], threshold)
             keep = np.concatenate([np.einsum("nd,nd->n", vectors[q[k : k + 65536]], vectors[r[k : k + 65536]]) >= threshold for k in range(0, max(1, len(q)), 65536)])
@@ -356,7 +376,7 @@ def link(nodes: DataFrame, threshold: float, cell: int, slack: float, sample: in
     centres, first = {}, 0
     for d, n in sorted(sizes.items()):
         own = some.get(d, np.zeros((1, d)))
-        centres[d] = first, fit_centres(own, min(len(own), most_centres, max(1, n // (cell // 2))))
+        centres[d] = first, fit_centres(own, min(len(own), most_centres, max(1, n * (most or 4) // (cell // 2) if n > cell else 1)))
         first += len(centres[d][1])
     reach = slack * float(np.sqrt(2 - 2 * threshold))
     placed = materialize(nodes.mapInArrow(_assign(centres, reach, most), "node long, vector array<double>, copies long, home int, shards array<int>"))
@@ -370,13 +390,13 @@ def link(nodes: DataFrame, threshold: float, cell: int, slack: float, sample: in
     united = graph.groupBy("node").agg(F.array_distinct(F.flatten(F.collect_list("near"))).alias("near"))
     every = lambda g: F.explode(F.expr(f"sequence(0, {g} - 1)"))
     rows = sliced.join(united, "node").select("shard", "i", every("gj").alias("j"), F.lit(False).alias("asks"), "node", "vector", "copies", "home", F.lit(None).cast("array<int>").alias("shards"), "near")
-    queries = asking.join(F.broadcast(sizes), "shard").withColumn("j", F.expr("int(pmod(xxhash64(node, shard), gj))"))
-    queries = queries.select("shard", every("gi").alias("i"), "j", F.lit(True).alias("asks"), "node", "vector", "copies", "home", "shards", F.lit(None).cast("array<long>").alias("near"))
+    queries = asking.join(united, "node").join(F.broadcast(sizes), "shard").withColumn("j", F.expr("int(pmod(xxhash64(node, shard), gj))"))
+    queries = queries.select("shard", every("gi").alias("i"), "j", F.lit(True).alias("asks"), "node", "vector", "copies", "home", "shards", "near")
     cells = rows.unionByName(queries).repartition(*CELL).sortWithinPartitions(*CELL)
     return materialize(cells.mapInArrow(_search(threshold, exact), "node long, links long, parent long"))
 
 
-def near_duplicates(rows: DataFrame, threshold: float = 0.95, cell: int = 1500, recall: float = 0.99, slack: float = 0.45, most: int = 4, sample: int = 20_000, most_centres: int = 1024) -> DataFrame:
+def near_duplicates(rows: DataFrame, threshold: float = 0.95, cell: int = 1500, recall: float = 0.99, slack: float = 0.45, most: int = 4, sample: int = 40_000, most_centres: int = 4096) -> DataFrame:
     """One row per row of ``rows`` (vec_id, embedding): vec_id, n_links, component_id, kept.
 
     n_links: other rows with a cosine of ``threshold`` or more, equal vectors included. Vectors that are null, empty, zero, or hold
