@@ -404,13 +404,21 @@ def mixed_by_hand(data, model, targets, fraction):
     goal = [targets["source"], targets["lang"], {t: targets["lang"][k] / len({t for _, j, t in cells if j == k}) for k in langs for _, j, t in cells if j == k}]
     budget = fraction * sum(cells.values())
     mass = {c: n * fraction for c, n in cells.items()}
-    for _ in range(3000):
+    wants = []
+    for axis in range(3):  # a value gives no more than it has, the others take the rest
+        has, want, values = Counter(), {}, {c[axis] for c in cells}
+        for c, n in cells.items():
+            has[c[axis]] += n
+        while values:
+            rest, share = budget - sum(want.values()), sum(goal[axis][v] for v in values)
+            short = {v for v in values if rest * goal[axis][v] / share >= has[v]}
+            want |= {v: has[v] if v in short else rest * goal[axis][v] / share for v in (short or values)}
+            values -= short or values
+        wants.append(want)
+    for _ in range(500):
         for axis in range(3):
-            values = {c[axis] for c in cells}
-            share = sum(goal[axis][v] for v in values)
-            for v in values:
+            for v, want in wants[axis].items():
                 own = [c for c in cells if c[axis] == v]
-                want = budget * goal[axis][v] / share
                 for _ in own:  # cells at their cap stay, the others make up for them
                     full = [c for c in own if mass[c] >= cells[c] * (1 - 1e-12)]
                     open_ = sum(mass[c] for c in own if c not in full)
@@ -429,12 +437,12 @@ def test_mixing_equals_plain_python(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang", "source")
     targets = {"source": {"src0": 1.0, "src1": 1.0, "src2": 2.0, "other": 6.0}, "lang": {"en": 0.4, "de": 0.2, "fr": 0.2, "es": 0.15, "other": 0.05}}
     own = table.select("doc_id", mixing.under(F.col("lang"), targets["lang"]).alias("lang_group"), "text")
-    model = mixing.fit_topics(mixing.sample_counts(own, 60), 3)
+    model = mixing.fit_topics(mixing.sample_counts(own, 60), 3, 10)
     data = [tuple(r) for r in table.collect()]
-    read, rates = mixed_by_hand(data, model, targets, 0.3)
-    got = {r.doc_id: r for r in mixing.mix(table, targets, fraction=0.3, topics=3, sample=60).collect()}
+    read, rates = mixed_by_hand(data, model, targets, 0.05)
+    got = {r.doc_id: r for r in mixing.mix(table, targets, fraction=0.05, topics=3, sample=60, per_topic=10).collect()}
     assert {i: (r.source_group, r.lang_group, r.topic, r.tokens) for i, r in got.items()} == {d[0]: x for d, x in zip(data, read)}
-    assert all(got[d[0]].probability == pytest.approx(rates[x[:3]], abs=1e-3) for d, x in zip(data, read))
+    assert {x[:3]: got[d[0]].probability for d, x in zip(data, read)} == pytest.approx({x[:3]: rates[x[:3]] for x in read}, abs=1e-3)
     assert len({r.error for r in got.values()}) == 1 and len({r.topic for r in got.values()}) > 8
 
 
