@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.sources.scratch import materialize
+
 
 def dice(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
@@ -17,14 +18,25 @@ def shuffled(df: DataFrame, key: str = "review_id", seed: int = 42) -> DataFrame
 
 def row_ids(df: DataFrame, order: list, name: str = "row_id") -> DataFrame:
     """Numbers from 0 over a total order, given before any filter so that they stay. Rows are dealt by ranges of the
-    order and numbered within each; only one count for each range meets elsewhere. The ranges are held on disk, as both passes must see the same ones."""
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).select("*", F.spark_partition_id().alias("__p"), (F.monotonically_increasing_id() % (1 << 33)).alias("__i")).persist(StorageLevel.DISK_ONLY)
+    order and numbered within each; only one count for each range meets elsewhere. The ranges are written once, as both passes must see the same ones."""
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = materialize(ranged.select("*", F.spark_partition_id().alias("__p"), (F.monotonically_increasing_id() % (1 << 33)).alias("__i")))
     sizes = ranged.groupBy("__p").agg(F.count("*").alias("n"))
     before = Window.partitionBy(F.lit(0)).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("__o"))
     return ranged.join(F.broadcast(offsets), "__p").withColumn(name, F.col("__o") + F.col("__i")).drop("__p", "__i", "__o")
 
 
+def ranks(df: DataFrame, group: str, order: list, rank: str = "__r", size: str = "__n") -> DataFrame:
+    """``rank`` from 1 within each ``group`` and the group's ``size``, without a task for a group: numbers over (group, order) less
+    what the groups before have. ``group`` has few values (a row for each meets in one task)."""
+    numbered = row_ids(df, [F.col(group), *order], "__g")
+    before = Window.orderBy(F.col("__k").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = numbered.groupBy(F.col(group).alias("__k")).agg(F.count("*").alias(size))
+    starts = sizes.withColumn("__s", F.coalesce(F.sum(size).over(before), F.lit(0)))
+    return numbered.join(F.broadcast(starts), F.col(group).eqNullSafe(F.col("__k"))).withColumn(rank, F.col("__g") - F.col("__s") + 1).drop("__g", "__k", "__s")
+
+
 def top_per_group(df: DataFrame, groups: list[str], order: list, n: int) -> DataFrame:
     """The first ``n`` rows of each group; Spark limits groups before the shuffle."""
     return df.withColumn("__r", F.row_number().over(Window.partitionBy(*groups).orderBy(*order))).where(F.col("__r") <= n).drop("__r")
@@ -38,9 +50,9 @@ def recent_balanced(df: DataFrame, n: int = 50) -> DataFrame:
 def balanced(df: DataFrame, n: int | None = None, key: str = "review_id", label: str = "label", seed: int = 42) -> DataFrame:
     """As many rows of each label as the rarer one has, at most ``n``."""
     least = df.groupBy(label).count().agg(F.min("count").alias("__least"))  # one row
-    ranked = df.withColumn("__r", F.row_number().over(Window.partitionBy(label).orderBy(dice(key, seed), key)))
+    ranked = ranks(df, label, [dice(key, seed), F.col(key)])
     most = F.least(F.col("__least"), F.lit(n)) if n is not None else F.col("__least")
-    return ranked.crossJoin(F.broadcast(least)).where(F.col("__r") <= most).drop("__r", "__least")
+    return ranked.crossJoin(F.broadcast(least)).where(F.col("__r") <= most).drop("__r", "__n", "__least")
 
 
 def stratified_split(df: DataFrame, ratios: tuple[float, float, float] = (0.7, 0.15, 0.15), key: str = "review_id", label: str = "label", seed: int = 42, order: str = "test_first") -> DataFrame:
@@ -50,8 +62,7 @@ def stratified_split(df: DataFrame, ratios: tuple[float, float, float] = (0.7, 0
         raise ValueError("ratios must sum to 1")
     if label not in df.columns:
         raise ValueError(f"missing columns: {label}")
-    w = Window.partitionBy(label)
-    ranked = df.withColumn("__r", F.row_number().over(w.orderBy(dice(key, seed), key))).withColumn("__n", F.count("*").over(w))
+    ranked = ranks(df, label, [dice(key, seed), F.col(key)])
     up = lambda share, n: F.ceil(F.round(F.lit(share) * n, 9))
     if order == "test_first":
         first = up(test, F.col("__n"))
@@ -89,19 +100,32 @@ def complete_groups(df: DataFrame, group: str, label: str, n: int) -> DataFrame:
     return df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("n_positive"), F.count_if(F.col(label) == 0).alias("n_negative")).where((F.col("n_positive") >= n) & (F.col("n_negative") >= n))
 
 
-def select_diverse(candidates: DataFrame, most: int = 20, per_genre: int = 6, per_profile: int = 2, overlap: int = 2) -> DataFrame:
-    """Greedy choice in order of ``ordinal``: a candidate (ordinal, game_id, genres, tags) is passed over without genres, if its genre set
-    or one of its genres is used up, or if it shares ``overlap`` tags with one already chosen.
+def select_diverse(candidates: DataFrame, most: int = 20, per_genre: int = 6, per_profile: int = 2, overlap: int = 2, block: int = 200) -> DataFrame:
+    """Greedy choice in order of ``ordinal`` (ties: game_id): a candidate (ordinal, game_id, genres, tags) is passed over without genres,
+    if its genre set or one of its genres is used up, or if it shares ``overlap`` tags with one already chosen.
 
-    Each choice depends on those before it, so the candidates, at most a few thousand by contract, meet as one array;
-    the fold stays a column expression.
+    What the rows chosen so far rule out stays ruled out, so each round asks the table for the first ``block`` candidates that
+    are still possible: the first of them is chosen for certain, and ``most`` rounds are enough whatever the table's size.
     """
-    rows = candidates.agg(F.sort_array(F.collect_list(F.struct("ordinal", "game_id", F.array_sort(F.array_distinct("genres")).alias("genres"), F.array_distinct("tags").alias("tags")))).alias("rows"))
-    one = "struct<ordinal: bigint, game_id: bigint, genres: array<string>, tags: array<string>>"
-    fold = f"""aggregate(cast(rows as array<{one}>), cast(array() as array<{one}>), (kept, x) -> if(
-        size(kept) < {most} and size(x.genres) > 0
-        and size(filter(kept, k -> k.genres = x.genres)) < {per_profile}
-        and not exists(x.genres, g -> size(filter(kept, k -> array_contains(k.genres, g))) >= {per_genre})
-        and not exists(kept, k -> size(array_intersect(k.tags, x.tags)) >= {overlap}),
-        concat(kept, array(x)), kept))"""
-    return rows.select(F.explode(F.expr(fold)).alias("r")).select("r.*")
+    rows = candidates.select("ordinal", "game_id", F.array_sort(F.array_distinct("genres")).alias("genres"), F.array_distinct("tags").alias("tags"))
+    listed = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
+    kept: list = []
+
+    def used_up() -> tuple[list, list]:
+        profiles, genres = [k.genres for k in kept], [g for k in kept for g in k.genres]
+        return [p for p in profiles if profiles.count(p) >= per_profile], [g for g in set(genres) if genres.count(g) >= per_genre]
+
+    while len(kept) < most:
+        profiles, genres = used_up()
+        left = rows.where(F.size("genres") > 0).where(~F.arrays_overlap("genres", listed(genres)))
+        for p in profiles:
+            left = left.where(~F.col("genres").eqNullSafe(listed(p)))
+        for k in kept:
+            left = left.where((F.col("game_id") != k.game_id) & (F.size(F.array_intersect("tags", listed(k.tags))) < overlap))
+        if not (found := left.orderBy("ordinal", "game_id").limit(block).collect()):
+            break
+        for x in found:
+            profiles, genres = used_up()
+            if len(kept) < most and x.genres not in profiles and not set(x.genres) & set(genres) and all(len(set(x.tags) & set(k.tags)) < overlap for k in kept):
+                kept.append(x)
+    return candidates.sparkSession.createDataFrame(kept, rows.schema)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.operators.sampling import ranks
+
 from gleanery.functions import text as T
 from gleanery.functions import lexicon as L
 
@@ -94,8 +96,10 @@ def positive_ratio(df: DataFrame) -> DataFrame:
 
 
 def relative_to_median(df: DataFrame, key: str, group: str, value: str) -> DataFrame:
-    """Each value over its group's exact median; null for a zero median."""
-    medians = df.groupBy(group).agg(F.percentile(value, F.lit(0.5)).alias("median"))
+    """Each value over its group's exact median; null for a zero median. Values are ranked by ranges, so no task holds a group's values."""
+    placed = ranks(df.where(F.col(value).isNotNull()).select(group, value), group, [F.col(value)])
+    middle = placed.where(F.abs(2 * F.col("__r") - F.col("__n") - 1) <= 1)
+    medians = middle.groupBy(group).agg(F.avg(F.col(value).cast("double")).alias("median"))
     return df.join(medians, group).select(key, group, F.round(F.col(value) / F.nullif(F.col("median"), F.lit(0.0)), 6).alias("relative"))
 
 

@@ -1,13 +1,12 @@
 """Queries: time series, demand analytics and streaming."""
 
-import tempfile
-
 from pyspark.sql import functions as F
 
 from gleanery.operators import quality
 from gleanery.operators import timeseries as D
 from gleanery.plans.base import query, sql
 from gleanery.plans.queries_text import ASCII, STAGE, WORDS, L
+from gleanery.sources.scratch import new_folder
 from gleanery.sources.reviews import labelled, reviews, table
 from gleanery.streaming import ingest
 
@@ -138,8 +137,7 @@ def d12_windowed_batch(spark, d):
 @query("SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def d12_windowed_stream(spark, d):
     """The same by Structured Streaming in complete mode, run over all that is there."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="gleanery-")
-    run = spark.range(1).select(F.expr("replace(uuid(), '-', '')")).first()[0]
+    folder = new_folder(spark)
     events = ingest.read_events(spark, d, "events.parquet")
-    out = ingest.run_to_table(ingest.windowed_counts(events), f"windows_{run}", "complete", f"{base.rstrip('/')}/stream-{run}")
+    out = ingest.run_to_table(ingest.windowed_counts(events), f"windows_{folder[-32:]}", "complete", folder)
     return out.select(F.col("start").cast("timestamp_ntz").alias("start"), "event_type", "n", F.round("total", 6).alias("total"))

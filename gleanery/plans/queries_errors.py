@@ -6,13 +6,13 @@ from gleanery.functions import text as T
 from gleanery.functions import lexicon as L
 from gleanery.operators import errors as X
 from gleanery.plans.base import query, sql
-from gleanery.plans.queries_text import ASCII, STOP, TAG_LIST, TOKENS, lit
+from gleanery.plans.queries_text import STOP, TAG_LIST, TOKENS, lit
 from gleanery.sources.reviews import labelled
 
 A = ("reviews", "labelled", "errs_a")
 AB = (*A, "errs_b", "changed")
 SCORED = (*A, "tok", "scored")
-TAGGED = f"SELECT *, {TAG_LIST} AS tags FROM (SELECT *, {TOKENS} FROM errs_a WHERE {ASCII})"
+TAGGED = f"SELECT *, {TAG_LIST} AS tags FROM (SELECT *, {TOKENS} FROM errs_a)"
 
 
 def errors_of(spark, d, pred="pred_a"):
@@ -20,8 +20,7 @@ def errors_of(spark, d, pred="pred_a"):
 
 
 def tagged_errors(spark, d):
-    """Errors with tags; ASCII texts only, where word borders mean the same to all engines."""
-    return X.with_tags(errors_of(spark, d).where(T.is_english(F.col("review_text"))))
+    return X.with_tags(errors_of(spark, d))
 
 
 @query(sql("SELECT review_id, game_name, CASE WHEN label = 1 THEN 'P' ELSE 'N' END AS actual, CASE WHEN pred_a = 1 THEN 'P' ELSE 'N' END AS predicted, round(confidence, 9) AS confidence, error_type FROM errs_a", *A))
@@ -44,9 +43,9 @@ def e10_change_types(spark, d):
     return X.change_counts(X.changes(errors_of(spark, d), errors_of(spark, d, "pred_b"))).select("fixed_fp", "fixed_fn", "broke_fp", "broke_fn")
 
 
-@query(sql(f"SELECT bucket, tag, round(100.0 * count(*) / any_value(n), 6) AS rate FROM (SELECT bucket, n, unnest(tags) AS tag FROM (SELECT *, {TAG_LIST} AS tags, count(*) OVER (PARTITION BY bucket) AS n FROM (SELECT *, {TOKENS} FROM changed WHERE {ASCII}))) GROUP BY bucket, tag", *AB))
+@query(sql(f"SELECT bucket, tag, round(100.0 * count(*) / any_value(n), 6) AS rate FROM (SELECT bucket, n, unnest(tags) AS tag FROM (SELECT *, {TAG_LIST} AS tags, count(*) OVER (PARTITION BY bucket) AS n FROM (SELECT *, {TOKENS} FROM changed))) GROUP BY bucket, tag", *AB))
 def e09_tag_rates(spark, d):
-    changed = X.changes(errors_of(spark, d), errors_of(spark, d, "pred_b")).where(T.is_english(F.col("review_text")))
+    changed = X.changes(errors_of(spark, d), errors_of(spark, d, "pred_b"))
     return X.tag_rates(X.with_tags(changed))
 
 
@@ -137,8 +136,8 @@ def j02_scores_with_error_type(spark, d):
     return X.token_scores(wrong).join(wrong.select("review_id", "error_type"), "review_id", "left")
 
 
-@query(sql("SELECT s.review_id, pos, token, score, round(confidence, 9) AS confidence FROM scored s LEFT JOIN errs_a e ON e.review_id = s.review_id ORDER BY confidence DESC, score DESC, s.review_id, pos LIMIT 500", *SCORED))
+@query(sql("SELECT s.review_id, pos, token, score, round(confidence, 9) AS confidence FROM scored s LEFT JOIN errs_a e ON e.review_id = s.review_id ORDER BY confidence DESC, score DESC, s.review_id, pos", *SCORED))
 def j03_scores_sorted(spark, d):
     wrong = errors_of(spark, d)
     rows = X.token_scores(wrong).join(wrong.select("review_id", F.round("confidence", 9).alias("confidence")), "review_id", "left")
-    return rows.orderBy(F.desc("confidence"), F.desc("score"), "review_id", "pos").limit(500)
+    return rows.orderBy(F.desc("confidence"), F.desc("score"), "review_id", "pos")

@@ -24,14 +24,16 @@ FAILS = {"empty": "review_text IS NULL OR review_text = ''", "non_ascii": f"NOT
 STAGE = "CASE " + " ".join(f"WHEN {c} THEN '{n}'" for n, c in FAILS.items()) + " ELSE {other} END"
 NEG = "[" + ", ".join(map(lit, L.NEGATION)) + "]"
 BAD = "[" + ", ".join(map(lit, L.BAD_AFTER_NEGATION)) + "]"
-LOW = "lower(review_text)"
+#: SQL for a text whose letters and digits beyond ASCII are underscores: there RE2's word borders, which know ASCII only, are those of all letters.
+PLAIN = lambda c: f"regexp_replace({c}, '[^\\x00-\\x7F\\P{{L}}]|[^\\x00-\\x7F\\P{{Nd}}]', '_', 'g')"
+LOW = PLAIN("lower(review_text)")
 CAPS = r"length(regexp_replace(review_text, '[^\p{Lu}]', '', 'g')) >= 0.5 * length(regexp_replace(review_text, '[^\p{L}]', '', 'g')) AND length(regexp_replace(review_text, '[^\p{L}]', '', 'g')) >= 10"
 DOUBLE = f"len(list_filter(range(1, len(t) + 1), lambda i: list_contains({NEG}, t[i]) AND list_has_any(t[i + 1:i + 5], {BAD}))) > 0"
 WORDS = lambda ws: has(LOW, T.any_word(ws))
 EITHER = lambda c, ps: has(c, "|".join(f"(?:{p})" for p in ps))
 RULES = {
     "negation": WORDS(L.NEGATION), "double_negation": DOUBLE, "contrastive": WORDS(L.CONTRASTIVE), "strong_negative": WORDS(L.STRONG_NEGATIVE),
-    "rating_symbol": EITHER("review_text", L.RATING_SYMBOL), "slang": WORDS(L.SLANG), "emoticon": EITHER("review_text", [L.EMOJI, L.EMOTICON]),
+    "rating_symbol": EITHER(PLAIN("review_text"), L.RATING_SYMBOL), "slang": WORDS(L.SLANG), "emoticon": EITHER("review_text", [L.EMOJI, L.EMOTICON]),
     "conditional": EITHER(LOW, L.CONDITIONAL), "sarcasm_marker": EITHER(LOW, L.SARCASM_MARKER), "temporal_shift": EITHER(LOW, L.TEMPORAL_SHIFT),
     "bug_crash": WORDS(L.BUG_CRASH), "dev_criticism": WORDS(L.DEV_CRITICISM), "dlc_monetization": WORDS(L.DLC_MONETIZATION),
     "all_caps": CAPS, "short_text": "length(review_text) < 50", "long_text": "length(review_text) >= 300",
@@ -41,10 +43,6 @@ TAG_LIST = "list_filter([" + ", ".join(f"CASE WHEN {RULES[t]} THEN '{t}' END" fo
 TOKENS = "regexp_extract_all(lower(review_text), '[a-z'']+') AS t"
 
 
-def ascii_reviews(spark, d):
-    return quality.english_reviews(reviews(spark, d))
-
-
 @query(sql(f"""SELECT game_name, coalesce(max(CASE WHEN label = 1 THEN p END), 0.0) AS positive, coalesce(max(CASE WHEN label = 0 THEN p END), 0.0) AS negative FROM (
     SELECT game_name, label, round(100.0 * count(*) / sum(count(*)) OVER (PARTITION BY game_name), 6) AS p FROM labelled WHERE {STAGE.format(other="'valid'")} = 'valid' GROUP BY 1, 2) GROUP BY 1""", "reviews", "labelled"))
 def slice_sentiment_pivot(spark, d):
@@ -122,6 +120,14 @@ def f04_valid_reviews(spark, d):
     return quality.valid_reviews(reviews(spark, d)).select("review_id")
 
 
+@query()
+def f04_valid_english(spark, d):
+    """All stages, the language score last; the score comes from every row, its profiles from the labelled ones."""
+    rows = reviews(spark, d)
+    scores = quality.language_scores(rows, quality.language_profiles(rows)).where("language = 'en'").select("review_id", "p")
+    return quality.valid_reviews(rows.join(scores, "review_id", "left"), language_score=F.col("p")).select("review_id", F.round("p", 9).alias("p_en"))
+
+
 @query(sql(f"SELECT stage, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT {STAGE.format(other="'valid'")} AS stage FROM reviews) GROUP BY stage", "reviews"))
 def f05_rejection_funnel(spark, d):
     return quality.funnel(reviews(spark, d))
@@ -177,11 +183,15 @@ def n01_clean_text(spark, d):
     return table(spark, d, "pages").select("page_id", T.clean_text(F.col("html")).alias("cleaned"))
 
 
-@query(sql(f"""SELECT review_id, trim(regexp_replace(review_text, '(?i)\\b(?:' || w || ')\\b', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS review_text
-    FROM (SELECT review_id, review_text, CASE WHEN game_id % 2 = 0 THEN 'there|with' ELSE 'then' END AS w FROM reviews WHERE {ASCII})""", "reviews"))
+#: As PLAIN, but undone afterwards: letters beyond ASCII stand between underscores that a control character marks.
+FENCED = r"regexp_replace(review_text, '([^\x00-\x7F\P{L}]|[^\x00-\x7F\P{Nd}])', '_' || chr(1) || '\1' || chr(1) || '_', 'g')"
+
+
+@query(sql(f"""SELECT review_id, trim(regexp_replace(regexp_replace({FENCED}, '(?i)\\b(?:' || w || ')\\b', '', 'g'), '_\\x01|\\x01_', '', 'g'), ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS review_text
+    FROM (SELECT review_id, review_text, CASE WHEN game_id % 2 = 0 THEN 'there|with' ELSE 'then' END AS w FROM reviews)""", "reviews"))
 def n02_remove_game_names(spark, d):
     title = F.when(F.col("game_id") % 2 == 0, "There 2077 and WITH it").otherwise("Of Then")
-    return preprocess.remove_game_names(ascii_reviews(spark, d).withColumn("game_name", title)).select("review_id", "review_text")
+    return preprocess.remove_game_names(reviews(spark, d).withColumn("game_name", title)).select("review_id", "review_text")
 
 
 @query(sql("SELECT review_id, CAST(len(list_distinct(list_filter(regexp_extract_all(lower(review_text), '[a-z0-9]+'), lambda w: length(w) > 3 AND NOT regexp_matches(w, '^[0-9]+$')))) AS BIGINT) AS n_words FROM reviews", "reviews"))
@@ -189,14 +199,14 @@ def n03_title_words(spark, d):
     return reviews(spark, d).select("review_id", F.size(T.title_words(F.col("review_text"))).cast("long").alias("n_words"))
 
 
-@query(sql(f"SELECT review_id, {WORDS(['the', 'is', 'with', 'not'])} AS found FROM reviews WHERE {ASCII}", "reviews"))
+@query(sql(f"SELECT review_id, {WORDS(['the', 'is', 'with', 'not'])} AS found FROM reviews", "reviews"))
 def n04_contains_word(spark, d):
-    return ascii_reviews(spark, d).select("review_id", T.contains_any(F.lower("review_text"), ["the", "is", "with", "not"]).alias("found"))
+    return reviews(spark, d).select("review_id", T.contains_any(F.lower("review_text"), ["the", "is", "with", "not"]).alias("found"))
 
 
-@query(sql(f"SELECT review_id, {DOUBLE} AS found FROM (SELECT *, {TOKENS} FROM reviews WHERE {ASCII})", "reviews"))
+@query(sql(f"SELECT review_id, {DOUBLE} AS found FROM (SELECT *, {TOKENS} FROM reviews)", "reviews"))
 def n05_double_negation(spark, d):
-    return ascii_reviews(spark, d).select("review_id", T.double_negation(F.col("review_text")).alias("found"))
+    return reviews(spark, d).select("review_id", T.double_negation(F.col("review_text")).alias("found"))
 
 
 @query(sql(f"SELECT review_id, {CAPS} AS caps FROM reviews", "reviews"))
@@ -204,9 +214,9 @@ def n06_all_caps(spark, d):
     return reviews(spark, d).select("review_id", F.coalesce(T.all_caps(F.col("review_text")), F.lit(False)).alias("caps"))
 
 
-@query(sql(f"SELECT review_id, array_to_string({TAG_LIST}, ',') AS tags FROM (SELECT *, {TOKENS} FROM reviews WHERE {ASCII})", "reviews"))
+@query(sql(f"SELECT review_id, array_to_string({TAG_LIST}, ',') AS tags FROM (SELECT *, {TOKENS} FROM reviews)", "reviews"))
 def n07_assign_tags(spark, d):
-    return ascii_reviews(spark, d).select("review_id", F.array_join(T.tags(F.col("review_text")), ",").alias("tags"))
+    return reviews(spark, d).select("review_id", F.array_join(T.tags(F.col("review_text")), ",").alias("tags"))
 
 
 @query()
@@ -245,9 +255,9 @@ def n12_fixed_length(spark, d):
     return x.select("review_id", ones.alias("n_tokens"), (F.size("x.items").cast("long") - ones).alias("n_padding"))
 
 
-@query(sql(f"SELECT review_id, list_contains(string_split(array_to_string({TAG_LIST}, ','), ','), 'long_text') AS found FROM (SELECT *, {TOKENS} FROM reviews WHERE {ASCII})", "reviews"))
+@query(sql(f"SELECT review_id, list_contains(string_split(array_to_string({TAG_LIST}, ','), ','), 'long_text') AS found FROM (SELECT *, {TOKENS} FROM reviews)", "reviews"))
 def n13_tag_membership(spark, d):
-    return ascii_reviews(spark, d).select("review_id", T.has_tag(F.array_join(T.tags(F.col("review_text")), ","), "long_text").alias("found"))
+    return reviews(spark, d).select("review_id", T.has_tag(F.array_join(T.tags(F.col("review_text")), ","), "long_text").alias("found"))
 
 
 @query(sql("SELECT review_id, round_even(CAST(n_chars AS DOUBLE) / 8, 2) AS r FROM reviews", "reviews"))

@@ -1,7 +1,8 @@
 """Paged feeds as a Python data source, and the retry rules of their requests.
 
 A feed is anything with ``page(key, cursor, size) -> (rows, next cursor or None)``. Cursor paging is serial, so each key
-(a game) is one partition; keys are read in parallel. ``register(spark, feed)`` makes format ``paged_reviews``.
+(a game) is one partition; keys are read in parallel. Options: keys, most (valid rows a key), min_length, language, review_type
+(positive, negative), pause (seconds between pages). ``register(spark, feed)`` makes format ``paged_reviews``.
 """
 
 from __future__ import annotations
@@ -52,7 +53,8 @@ def take_valid(feed, key: str, most: int, keep: Callable[[dict], bool], pause: f
             if got < most and keep(row):
                 got += 1
                 yield row
-        time.sleep(pause)
+        if got < most and cursor is not None:
+            time.sleep(pause)
 
 
 class _Reader(DataSourceReader):
@@ -63,8 +65,12 @@ class _Reader(DataSourceReader):
         return [InputPartition(k) for k in self.options.get("keys", "").split(",") if k]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        shortest = int(self.options.get("min_length", "0"))
-        for r in take_valid(self.feed, partition.value, int(self.options.get("most", "100")), lambda r: len(r.get("review_text") or "") >= shortest):
+        shortest, language, kind = int(self.options.get("min_length", "0")), self.options.get("language", "all"), self.options.get("review_type", "all")
+
+        def keep(r: dict) -> bool:
+            return len(r.get("review_text") or "") >= shortest and language in ("all", r.get("language")) and (kind == "all" or bool(r.get("voted_up")) == (kind == "positive"))
+
+        for r in take_valid(self.feed, partition.value, int(self.options.get("most", "100")), keep, float(self.options.get("pause", "0.5"))):
             yield (partition.value, r.get("review_text", ""), r.get("voted_up", False), r.get("votes_up", 0), r.get("language", ""), r.get("timestamp_created", 0), r.get("author", ""))
 
 

@@ -15,9 +15,10 @@ def require_columns(df: DataFrame, *names: str) -> DataFrame:
     return df
 
 
-def read_csv(spark: SparkSession, path: str, schema: str | None = None, na_literals: tuple[str, ...] = ()) -> DataFrame:
-    """CSV with quoted line breaks and doubled quotes. Texts in ``na_literals`` become null; by default none do."""
-    reader = spark.read.options(header=True, multiLine=True, escape='"')
+def read_csv(spark: SparkSession, path: str, schema: str | None = None, na_literals: tuple[str, ...] = (), multi_line: bool = True) -> DataFrame:
+    """CSV with doubled quotes and, if ``multi_line``, quoted line breaks (each file is then one task; without them files are split).
+    Texts in ``na_literals`` become null; by default none do."""
+    reader = spark.read.options(header=True, multiLine=multi_line, escape='"')
     df = reader.schema(schema).csv(path) if schema else reader.csv(path)
     if na_literals:
         df = df.select(*[F.when(~F.col(n).isin(*na_literals), F.col(n)).alias(n) if t == "string" else F.col(n) for n, t in df.dtypes])

@@ -118,3 +118,17 @@ def test_difference_is_null_safe_and_keeps_copies(spark):
 
 def test_unescape(spark):
     assert column(spark, ["&lt;a&gt; &amp;lt; &quot;&#39;"], T.unescape_entities) == ["<a> &lt; \"'"]
+
+
+def test_terms_and_double_negation_are_linear(spark):
+    """Forty thousand words take no more than a few times what ten thousand take."""
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([(" ".join(f"word{chr(97 + i % 26)} isn't" for i in range(n // 2)),)], "t string")
+        start = time.perf_counter()
+        df.select(T.terms(F.col("t")).alias("a"), T.double_negation(F.col("t")).alias("b")).write.format("noop").mode("overwrite").save()
+        return time.perf_counter() - start
+
+    seconds(100)
+    assert seconds(40_000) < 6 * max(seconds(10_000), 0.5)
