@@ -1,44 +1,21 @@
-"""Shared helpers: cutting lineage, hashing words, joining links into components."""
+"""Shared helpers: small batches, joins with heavy keys, hashing words, joining links into components."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from gleanery.sources.scratch import materialize
+
 #: What separates words in every operator that speaks of words.
 SPACES = "\\x20\\x09-\\x0D"
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``. Where that is unset, a local session (tests) gets a folder of its own and any other is refused."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        found = "file://" + tempfile.mkdtemp(prefix="gleanery-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Writes ``df`` to the shared folder and reads it back: later steps neither recompute it nor depend on the executors
-    that made it. The table is removed when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/gleanery-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    context = spark.sparkContext
-    own = context._jvm.org.apache.hadoop.fs.Path(path)
-    own.getFileSystem(context._jsc.hadoopConfiguration()).deleteOnExit(own)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def small(batches: Iterator[pa.RecordBatch], size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
     """Slices of about ``size`` bytes, a row at least: what Python makes of a slice stays small. Freed memory goes back when the partition ends."""
     for batch in batches:
@@ -62,10 +39,6 @@ def join_hot(rows: DataFrame, facts: DataFrame, key: str, weight: str, shares: i
     return out.unionByName(rows.where(F.col(key).isNull()).select("*", *blank))
 
 
-def parts(df: DataFrame) -> int:
-    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit words whose output bits each depend on all input bits."""
     x = x.astype(U64, copy=True)
