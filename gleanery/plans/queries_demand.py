@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from gleanery.operators import quality
 from gleanery.operators import timeseries as D
 from gleanery.plans.base import query, sql
-from gleanery.plans.queries_text import ASCII, STAGE, WORDS, L
+from gleanery.plans.queries_text import STAGE, WORDS, L
 from gleanery.sources.scratch import new_folder
 from gleanery.sources.reviews import labelled, reviews, table
 from gleanery.streaming import ingest
@@ -79,17 +79,17 @@ def d03_trend(spark, d):
 
 
 KIND = f"CASE WHEN {WORDS(L.BUG_CRASH)} THEN 'quality' WHEN {WORDS(L.DLC_MONETIZATION)} OR {WORDS(L.DEV_CRITICISM)} THEN 'business' ELSE 'element' END"
-VOTES = f"SELECT CAST(review_id % 12 - 1 AS INTEGER) AS topic_id, {KIND} AS kind, label FROM labelled WHERE {ASCII}"
+VOTES = f"SELECT CAST(review_id % 12 - 1 AS INTEGER) AS topic_id, {KIND} AS kind, label FROM labelled"
 
 
 @query(sql(f"SELECT topic_id, kind, votes FROM (SELECT topic_id, kind, count(*) AS votes, row_number() OVER (PARTITION BY topic_id ORDER BY count(*) DESC, kind) AS r FROM ({VOTES}) GROUP BY 1, 2) WHERE r = 1", *BASE))
 def d04_topic_kinds(spark, d):
-    return D.topic_kinds(topical(quality.english_reviews(labelled(spark, d))))
+    return D.topic_kinds(topical(labelled(spark, d)))
 
 
 @query(sql(f"SELECT topic_id, CASE WHEN kind = 'element' THEN 'demand' ELSE 'precondition' END AS unmet, count(*) AS n FROM ({VOTES}) WHERE label = 0 GROUP BY 1, 2", *BASE))
 def d05_unmet(spark, d):
-    return D.unmet(topical(quality.english_reviews(labelled(spark, d))))
+    return D.unmet(topical(labelled(spark, d)))
 
 
 @query(sql(f"""SELECT game_id, raw, n_valid, round(n_valid / raw, 6) AS pass_rate, used, span_days, round(used / span_days, 6) AS density FROM (SELECT game_id, count(*) AS raw, count(*) FILTER (WHERE v) AS n_valid FROM (SELECT *, {STAGE.format(other="'valid'")} = 'valid' AS v FROM reviews) GROUP BY 1)
