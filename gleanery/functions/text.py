@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import lexicon as L
@@ -17,6 +17,12 @@ def let(value: Column, use) -> Column:
     return F.transform(F.array(value), use)[0]
 
 
+def unnest(df: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:
+    """One row an item; ``items`` without nulls. The outer form spares the filter on the array's size that a plain explode
+    sends below joins, where the array would be computed a second time and for rows that no join keeps."""
+    return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
+
+
 def clean_text(text: Column) -> Column:
     """Without tags, white space runs as one space, trimmed; null becomes empty."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", "")
@@ -118,6 +124,12 @@ def terms(text: Column, stop: list[str] = L.STOPWORDS) -> Column:
     return let(words, lambda ws: F.concat(ws, pairs(ws)))
 
 
+def char_grams(text: Column, n: int) -> Column:
+    """Lower-case runs of ``n`` characters at every place (the whole text where it is shorter), in time linear in the text."""
+    places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
+    return let(F.split(text, ""), lambda chars: F.transform(places, lambda i: F.lower(F.array_join(F.slice(chars, i, F.lit(n)), ""))))
+
+
 def fixed_length(items: Column, size: int = 128, pad: str = "[PAD]") -> Column:
     """(items cut or padded to ``size``, mask of 1 for items and 0 for padding)."""
     cut = F.slice(items, 1, size)

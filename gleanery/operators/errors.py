@@ -46,7 +46,7 @@ def with_tags(df: DataFrame, text: str = "review_text") -> DataFrame:
 def tag_counts(tagged: DataFrame) -> DataFrame:
     """Reviews with each tag and their share; tags without a review are listed too."""
     names = tagged.sparkSession.range(1).select(F.explode(F.array(*map(F.lit, REPORT_ORDER))).alias("tag"))
-    counts = tagged.select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count("*").alias("n"))
+    counts = T.unnest(tagged, F.col("tags"), "tag").groupBy("tag").agg(F.count("*").alias("n"))
     total = tagged.agg(F.count("*").alias("total"))
     return names.join(counts, "tag", "left").crossJoin(F.broadcast(total)).select("tag", F.coalesce("n", F.lit(0)).alias("n"), F.round(F.coalesce("n", F.lit(0)) / F.col("total"), 6).alias("share"))
 
@@ -57,24 +57,24 @@ def tag_histogram(tagged: DataFrame) -> DataFrame:
 
 def tag_pairs(tagged: DataFrame, most: int = 10) -> DataFrame:
     """Commonest pairs of tags in one review. A review has at most 16 tags, so its pairs come from its own array, without a join."""
-    pairs = tagged.select(F.array_sort("tags").alias("t")).select(F.explode(F.expr("flatten(transform(t, (a, i) -> transform(slice(t, i + 2, 16), b -> struct(a as tag_a, b as tag_b))))")).alias("p")).select("p.*")
+    pairs = T.unnest(tagged.select(F.array_sort("tags").alias("t")), F.expr("flatten(transform(t, (a, i) -> transform(slice(t, i + 2, 16), b -> struct(a as tag_a, b as tag_b))))"), "p").select("p.*")
     return pairs.groupBy("tag_a", "tag_b").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "tag_a", "tag_b").limit(most)
 
 
 def tag_error_table(tagged: DataFrame) -> DataFrame:
-    return tagged.select(F.explode("tags").alias("tag"), "error_type").groupBy("tag").agg(F.count_if(F.col("error_type") == "FP").alias("fp"), F.count_if(F.col("error_type") == "FN").alias("fn"))
+    return T.unnest(tagged, F.col("tags"), "tag", "error_type").groupBy("tag").agg(F.count_if(F.col("error_type") == "FP").alias("fp"), F.count_if(F.col("error_type") == "FN").alias("fn"))
 
 
 def tag_rates(changed: DataFrame) -> DataFrame:
     """Share of rows of each bucket that have each tag, in percent; input: ``changes`` with tags."""
     total = changed.groupBy("bucket").agg(F.count("*").alias("total"))
-    counts = changed.select("bucket", F.explode("tags").alias("tag")).groupBy("bucket", "tag").agg(F.count("*").alias("n"))
+    counts = T.unnest(changed, F.col("tags"), "tag", "bucket").groupBy("bucket", "tag").agg(F.count("*").alias("n"))
     return counts.join(total, "bucket").select("bucket", "tag", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("rate"))
 
 
 def token_scores(df: DataFrame, score: Column | None = None) -> DataFrame:
     """(review_id, pos, token, score): tokens of every text by place from 0. Without a scorer, a fixed arithmetic stand-in."""
-    rows = df.select("review_id", F.posexplode(T.tokens(F.col("review_text"))).alias("pos", "token"))
+    rows = df.select("review_id", F.posexplode_outer(T.tokens(F.col("review_text"))).alias("pos", "token")).where("token is not null")
     stand_in = (F.pmod(F.length("token") * 31 + F.col("pos") * 17 + F.col("review_id"), F.lit(200)) - 100) / F.lit(100.0)
     return rows.withColumn("score", score if score is not None else stand_in)
 

@@ -61,8 +61,8 @@ def language_profiles(df: DataFrame, text: str = "review_text", label: str = "la
     """(language, gram, logp): the ``top`` commonest character n-grams of each language with smoothed log shares, and one row with gram null for any other gram."""
     from pyspark.sql import Window
 
-    grams = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.lower(F.substring(F.col(text), i, F.lit(n)))))
-    counts = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("language"), grams.alias("gram")).groupBy("language", "gram").agg(F.count("*").alias("c"))
+    labelled = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("language"), text)
+    counts = T.unnest(labelled, T.char_grams(F.col(text), n), "gram", "language").groupBy("language", "gram").agg(F.count("*").alias("c"))
     totals = counts.groupBy("language").agg(F.sum("c").alias("total"))
     best = Window.partitionBy("language").orderBy(F.desc("c"), "gram")
     kept = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).join(totals, "language")
@@ -72,8 +72,7 @@ def language_profiles(df: DataFrame, text: str = "review_text", label: str = "la
 
 def language_scores(df: DataFrame, profiles: DataFrame, key: str = "review_id", text: str = "review_text", n: int = 3) -> DataFrame:
     """(key, language, p): naive Bayes posterior of each profile's language for every row; profiles are a few hundred rows a language."""
-    grams = F.explode(F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1))), lambda i: F.lower(F.substring(F.col(text), i, F.lit(n)))))
-    counts = df.where(F.length(text) >= n).select(key, grams.alias("gram")).groupBy(key, "gram").agg(F.count("*").alias("c"))
+    counts = T.unnest(df.where(F.length(text) >= n), T.char_grams(F.col(text), n), "gram", key).groupBy(key, "gram").agg(F.count("*").alias("c"))
     floor = F.broadcast(profiles.where("gram is null").select("language", F.col("logp").alias("floor")))
     gain = profiles.where("gram is not null").join(floor, "language").select("language", "gram", (F.col("logp") - F.col("floor")).alias("gain"))
     total = counts.groupBy(key).agg(F.sum("c").alias("n"))

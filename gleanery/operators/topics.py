@@ -27,7 +27,7 @@ def assign(vectors: DataFrame, k: int, min_size: int = 10, keep: float = 0.95, k
 
 def term_counts(docs: DataFrame, terms: Column, min_df: int = 2) -> DataFrame:
     """(topic_id, term, tf) over terms that at least ``min_df`` documents hold; docs: review_id, topic_id, review_text."""
-    rows = docs.select("review_id", "topic_id", F.explode(terms).alias("term"))
+    rows = T.unnest(docs, terms, "term", "review_id", "topic_id")
     per_doc = rows.groupBy("review_id", "topic_id", "term").agg(F.count("*").alias("tf"))
     common = per_doc.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).select("term")
     return per_doc.join(common, "term").groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"))

@@ -167,7 +167,7 @@ STOP = ", ".join(map(lit, L.STOPWORDS + L.CONTRACTION_FRAGMENTS))
 
 @query(sql(f"SELECT token, count(*) AS n FROM tok WHERE length(token) >= 3 AND token NOT IN ({STOP}) AND regexp_matches(token, '[a-z]') GROUP BY token", "reviews", "tok", errors="reviews"))
 def f11_meaningful_tokens(spark, d):
-    rows = reviews(spark, d).select(F.explode(T.tokens(F.col("review_text"))).alias("token"))
+    rows = T.unnest(reviews(spark, d), T.tokens(F.col("review_text")), "token")
     return rows.where(T.meaningful(F.col("token"))).groupBy("token").agg(F.count("*").alias("n"))
 
 
@@ -244,7 +244,7 @@ TERMS = f"""SELECT review_id, unnest(list_concat(w, list_transform(range(1, grea
 
 @query(sql(f"SELECT term, count(*) AS tf, count(DISTINCT review_id) AS df FROM ({TERMS}) GROUP BY term HAVING count(DISTINCT review_id) >= 2", "reviews"))
 def n11_count_vectorizer(spark, d):
-    per_doc = reviews(spark, d).select("review_id", F.explode(T.terms(F.col("review_text"))).alias("term")).groupBy("review_id", "term").agg(F.count("*").alias("c"))
+    per_doc = T.unnest(reviews(spark, d), T.terms(F.col("review_text")), "term", "review_id").groupBy("review_id", "term").agg(F.count("*").alias("c"))
     return per_doc.groupBy("term").agg(F.sum("c").alias("tf"), F.count("*").alias("df")).where("df >= 2")
 
 

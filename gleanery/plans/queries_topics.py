@@ -8,6 +8,7 @@ from gleanery.operators import topics as P
 from gleanery.plans.base import query, sql
 from gleanery.plans.queries_text import TERMS
 from gleanery.sources.reviews import labelled, reviews, table
+from gleanery.sources.scratch import materialize
 
 TOPICAL = ("reviews", "topical")
 
@@ -21,7 +22,8 @@ def names(spark, d):
 
 
 def scores(spark, d):
-    return P.class_tfidf(P.term_counts(topical(spark, d), T.terms(F.col("review_text"))))
+    # written once: the scores read the counts four times, and texts should not be split as often
+    return P.class_tfidf(materialize(P.term_counts(topical(spark, d), T.terms(F.col("review_text")))))
 
 
 #: c-TF-IDF over (topic_id, term) in SQL.
