@@ -11,7 +11,7 @@ minimisers, so whether a window repeats is settled inside its minimiser's bucket
    of equal windows give the smallest doc_id of each. A minimiser that more than ``hot`` super-k-mers have could make a
    bucket too large for a task; its windows go singly, by digests that deal them and by which equal windows combine.
 3. Super-k-mers with a window that starts in a document with a smaller doc_id are joined back to the places where
-   they occur, which gives each document its covered word ranges; the kept words are put together from the whole text.
+   they occur, those with very many places by broadcast, which gives each document its covered word ranges; the kept words are put together from the whole text.
 """
 
 from __future__ import annotations
@@ -233,7 +233,10 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, hot: int =
     least = materialize(single.groupBy("digest").agg(F.min("least").alias("least"), F.count("*").alias("n")))
     settled = join_hot(single.select("key", "i", "digest"), least, "digest", "n")
     settled = settled.groupBy("key").agg(F.transform(F.sort_array(F.collect_set(F.struct("i", "least"))), lambda x: x.least).alias("firsts"))
-    owned = mine.select("doc_id", "body", "key", "start").join(firsts.unionByName(settled).groupBy("key").agg(F.first("firsts").alias("firsts")), "key")
+    found = firsts.unionByName(settled).groupBy("key").agg(F.first("firsts").alias("firsts"))
+    found = materialize(found.join(mine.groupBy("key").agg(F.count("*").alias("n")), "key"))
+    # a super-k-mer that a great share of the documents hold reaches its places by broadcast
+    owned = join_hot(mine.select("doc_id", "body", "key", "start"), found, "key", "n")
     hits = owned.select("doc_id", "body", "start", F.expr("filter(transform(firsts, (f, i) -> if(f < doc_id, i, null)), i -> i is not null)").alias("at")).where("size(at) > 0")
     # each run of neighbouring windows is one range of words
     begins = "filter(transform(at, (x, i) -> struct(x as x, coalesce(get(at, i - 1), -9) as p)), s -> s.x <> s.p + 1)"
