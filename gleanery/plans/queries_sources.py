@@ -60,6 +60,25 @@ def s13_idempotent_append(spark, d):
     return spark.read.parquet(path).groupBy((F.col("doc_id") % 5).alias("part")).agg(F.count("*").alias("n"))
 
 
+@query("SELECT split, count(*) AS n, CAST(sum(doc_id) AS BIGINT) AS ids FROM (SELECT doc_id, CASE WHEN doc_id % 20 < 14 THEN 'train' WHEN doc_id % 20 < 17 THEN 'val' ELSE 'test' END AS split FROM documents) GROUP BY 1")
+def s12_split_files(spark, d):
+    """A folder for each split, written and read back."""
+    path, part = new_folder(spark), F.col("doc_id") % 20
+    split = F.when(part < 14, "train").when(part < 17, "val").otherwise("test")
+    R.write_splits(table(spark, d, "documents").withColumn("split", split), path)
+    return spark.read.parquet(path).groupBy("split").agg(F.count("*").alias("n"), F.sum("doc_id").alias("ids"))
+
+
+@query("SELECT event_type AS game_id, strftime(ts, '%Y-%m-%d') AS day, value AS players FROM events WHERE ts IS NOT NULL QUALIFY row_number() OVER (PARTITION BY event_type, CAST(ts AS DATE) ORDER BY ts DESC NULLS LAST, value DESC NULLS LAST) = 1")
+def s21_snapshot_log(spark, d):
+    """A dated log: each day's last event of a type as its snapshot, appended twice, of which the second adds nothing."""
+    path = new_folder(spark)
+    rows = table(spark, d, "events").select(F.col("event_type").alias("game_id"), F.col("ts").alias("taken_at"), F.col("value").alias("players"))
+    for _ in range(2):
+        R.append_snapshots(rows, path)
+    return spark.read.parquet(path).select("game_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "players")
+
+
 class DemoFeed:
     """A feed without a network: pages of numbered reviews, every fourth too short to keep."""
 

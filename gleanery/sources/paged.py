@@ -7,6 +7,7 @@ A feed is anything with ``page(key, cursor, size) -> (rows, next cursor or None)
 
 from __future__ import annotations
 
+import re
 import time
 from collections.abc import Callable, Iterator
 
@@ -15,6 +16,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 LANGUAGES, KINDS = ("english", "japanese", "all"), ("positive", "negative", "all")
 PAGE = 100
+LOGO_ID = re.compile("/apps/([0-9]+)/")
 
 
 def backoff_schedule(statuses: list[int], base: float = 1.0) -> list[float]:
@@ -57,6 +59,22 @@ def take_valid(feed, key: str, most: int, keep: Callable[[dict], bool], pause: f
             time.sleep(pause)
 
 
+def listed_games(page: Callable[[int], list[dict]], most: int = 20, pause: float = 0.5) -> list[tuple[str, str]]:
+    """(app id, name) of the games on pages 1 to ``most`` of a list, up to the first empty page. Ids come from the logo's
+    address; rows without one are passed over, and of rows with the same id the first counts."""
+    found: dict[str, str] = {}
+    for number in range(1, most + 1):
+        rows = with_retries(lambda n=number: page(n))
+        if not rows:
+            break
+        for row in rows:
+            if match := LOGO_ID.search(row.get("logo") or ""):
+                found.setdefault(match.group(1), row.get("name", ""))
+        if number < most:
+            time.sleep(pause)
+    return list(found.items())
+
+
 class _Reader(DataSourceReader):
     def __init__(self, feed, options: dict):
         self.feed, self.options = feed, options

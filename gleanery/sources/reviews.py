@@ -53,15 +53,33 @@ def unseen(new: DataFrame, existing: DataFrame, *keys: str) -> DataFrame:
     return new.join(old, on, "left_anti")
 
 
+def _written(spark: SparkSession, path: str) -> bool:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder)
+
+
 def append_new(new: DataFrame, path: str, *keys: str) -> None:
     """Appends what the table at ``path`` doesn't have yet: a run that is repeated adds nothing."""
     spark = new.sparkSession
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+    if _written(spark, path):
         new = unseen(new, spark.read.parquet(path), *keys)
     new.write.mode("append").parquet(path)
 
 
+def append_snapshots(new: DataFrame, path: str) -> None:
+    """Appends rows (game_id, taken_at, players) to a log with a folder for each ``day``. The log keeps one snapshot of a game and day:
+    the first run's, of one run's the latest (ties: most players). Rows without a time are left out. Only folders of the days in ``new`` are read."""
+    spark = new.sparkSession
+    dated = require_columns(new, "game_id", "taken_at", "players").withColumn("day", F.to_date("taken_at")).where("day is not null")
+    once = dated.groupBy("game_id", "day").agg(F.max(F.struct("taken_at", "players")).alias("one")).select("game_id", "one.*", "day")
+    first, last = dated.agg(F.min("day"), F.max("day")).first()
+    if first is None:
+        return
+    if _written(spark, path):
+        once = unseen(once, spark.read.parquet(path).where(F.col("day").between(first, last)), "game_id", "day")
+    once.write.mode("append").partitionBy("day").parquet(path)
+
+
 def exclusion_list(*tables: DataFrame, key: str = "game_id") -> DataFrame:
     """Distinct non-null keys of all tables that have the column."""
     found = [t.select(key) for t in tables if key in t.columns]

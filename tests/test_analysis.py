@@ -220,6 +220,35 @@ def test_append_new_is_idempotent(spark, tmp_path):
     assert spark.read.parquet(path).count() == 2
 
 
+def test_snapshots_keep_one_row_a_game_and_day(spark, tmp_path):
+    path, kinds = f"file://{tmp_path}/log", "game_id string, taken_at string, players int"
+    log = lambda rows: R.append_snapshots(spark.createDataFrame(rows, kinds).withColumn("taken_at", F.to_timestamp("taken_at")), path)
+    log([])
+    log([("a", "2024-01-01 01:00:00", 5), ("a", "2024-01-01 09:00:00", 7), ("a", "2024-01-01 09:00:00", 8), (None, "2024-01-01 02:00:00", 1), ("b", None, 2)])
+    log([("a", "2024-01-01 10:00:00", 9), (None, "2024-01-01 03:00:00", 4), ("b", "2024-01-01 00:00:00", 3), ("a", "2024-01-02 00:00:00", None)])
+    got = sorted((r.game_id or "", str(r.day), r.players or 0) for r in spark.read.parquet(path).collect())
+    assert got == [("", "2024-01-01", 1), ("a", "2024-01-01", 8), ("a", "2024-01-02", 0), ("b", "2024-01-01", 3)]
+    with pytest.raises(ValueError):
+        R.append_snapshots(spark.range(1), path)
+
+
+def test_listed_games_stop_at_the_first_empty_page():
+    pages = {1: [{"logo": "x/apps/7/l.jpg", "name": "seven"}, {"logo": "x/none", "name": "no"}, {"name": "bare"}], 2: [{"logo": "/apps/7/", "name": "again"}, {"logo": "/apps/9/"}], 4: [{"logo": "/apps/1/", "name": "late"}]}
+    asked = []
+    page = lambda n: (asked.append(n), pages.get(n, []))[1]
+    assert paged.listed_games(page, pause=0) == [("7", "seven"), ("9", "")] and asked == [1, 2, 3]
+    assert paged.listed_games(page, most=1, pause=0) == [("7", "seven")]
+
+
+def test_splits_are_folders(spark, tmp_path):
+    df = spark.createDataFrame([(1, "train"), (2, "test"), (3, "train")], "id int, split string")
+    R.write_splits(df, f"file://{tmp_path}/s")
+    assert sorted(tuple(r) for r in spark.read.parquet(f"file://{tmp_path}/s").collect()) == [(1, "train"), (2, "test"), (3, "train")]
+    assert sorted(f.name for f in (tmp_path / "s").glob("split=*")) == ["split=test", "split=train"]
+    with pytest.raises(ValueError):
+        R.write_splits(df.drop("split"), f"file://{tmp_path}/t")
+
+
 def test_stream_equals_batch_and_drops_copies(spark, sf_dir, tmp_path):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")
     for name, part in (("a", events.where("event_id % 2 = 0")), ("b", events)):
