@@ -8,8 +8,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.operators.density import OUTLIER, density_topics
+from gleanery.operators.reduction import text_vectors
 
-OUTLIER = -1
+
+def text_topics(docs: DataFrame, min_topic_size: int = 10, components: int = 32, text: str = "review_text", key: str = "review_id", **dense) -> DataFrame:
+    """(key, topic_id, probability) for every row of ``docs``: whole texts become vectors, vectors dense topics; -1 for outliers and for texts without a vector."""
+    return density_topics(text_vectors(docs, text, key, components), min_topic_size, key=key, vector="vector", **dense)
 
 
 def assign(vectors: DataFrame, k: int, min_size: int = 10, keep: float = 0.95, key: str = "vec_id", vector: str = "embedding", seed: int = 42) -> DataFrame:
@@ -84,3 +89,13 @@ def topic_samples(docs: DataFrame, n: int = 3) -> DataFrame:
 def attach_lookup(docs: DataFrame, names: DataFrame) -> DataFrame:
     """Names and keywords by topic id; ids without an entry get null."""
     return docs.join(names, "topic_id", "left")
+
+
+def text_demand(labelled: DataFrame, topics: DataFrame) -> DataFrame:
+    """(topic_id, mentions, fulfilment, probability, n, percentage): labelled reviews of each topic and their positive rate, beside all reviews of the topic,
+    their mean probability and their share of all reviews. Topics without a labelled review have no mentions and a null rate."""
+    every = topics.groupBy("topic_id").agg(F.count("*").alias("n"), F.round(F.avg("probability"), 9).alias("probability"))
+    total = every.agg(F.sum("n").alias("total"))
+    own = labelled.select("review_id", "label").join(topics.select("review_id", "topic_id"), "review_id").groupBy("topic_id").agg(F.count("*").alias("mentions"), F.round(F.avg(F.col("label").cast("double")), 9).alias("fulfilment"))
+    rows = every.join(own, "topic_id", "left").crossJoin(F.broadcast(total))
+    return rows.select("topic_id", F.coalesce("mentions", F.lit(0)).alias("mentions"), "fulfilment", "probability", "n", F.round(100.0 * F.col("n") / F.col("total"), 6).alias("percentage"))

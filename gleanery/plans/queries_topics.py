@@ -80,6 +80,41 @@ def m08_assign_topics(spark, d):
     return P.assign(table(spark, d, "embeddings"), 10).groupBy("topic_id").agg(F.count("*").alias("n"))
 
 
+@query()
+def m08_density_topics(spark, d):
+    """Dense topics of ``embeddings`` with outliers and probabilities; ten vectors make a topic."""
+    return P.density_topics(table(spark, d, "embeddings"), 10)
+
+
+@query()
+def m08_density_topics_20(spark, d):
+    return P.density_topics(table(spark, d, "embeddings"), 20)
+
+
+def text_topics(spark, d):
+    """(review_id, topic_id, probability) of whole texts, written once: what follows reads it again."""
+    return materialize(P.text_topics(reviews(spark, d)))
+
+
+@query()
+def m08_text_topics(spark, d):
+    """Texts to vectors to topics."""
+    return text_topics(spark, d)
+
+
+@query()
+def m08_text_topic_words(spark, d):
+    """Best terms of each topic found in the texts."""
+    docs = reviews(spark, d).join(text_topics(spark, d), "review_id")
+    return P.topic_words(P.class_tfidf(materialize(P.term_counts(docs, T.terms(F.col("review_text"))))))
+
+
+@query()
+def m08_text_demand(spark, d):
+    """Demand, fulfilment and share of all reviews of each topic found in the texts, outliers included."""
+    return P.text_demand(labelled(spark, d), text_topics(spark, d))
+
+
 def split(spark, d):
     df = labelled(spark, d)
     return df.where("review_id % 5 <> 0"), df
