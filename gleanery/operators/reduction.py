@@ -44,7 +44,7 @@ class Projection:
     values: np.ndarray
 
 
-def _weighted(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def weighted_rows(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
     """(row of the batch, slot, weight) of about _STEP entries at a time, whole rows; each row's weights have length 1 unless all are 0."""
     lengths = batch.column("slots").value_lengths().to_numpy()
     slots, counts = batch.column("slots").flatten().to_numpy(), batch.column("counts").flatten().to_numpy()
@@ -61,7 +61,7 @@ def _weighted(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.ndarr
         at = stop
 
 
-def _times(row: np.ndarray, slot: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def times(row: np.ndarray, slot: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have an entry, their products with ``basis``)."""
     first = np.flatnonzero(np.diff(row, prepend=-1))
     return row[first], np.add.reduceat(weight[:, None] * basis[slot], first, axis=0) if len(first) else np.empty((0, basis.shape[1]))
@@ -82,8 +82,8 @@ def _pass(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
         weights, b = shipped.value
         total = np.zeros((SLOTS, width))
         for batch in batches:
-            for row, slot, weight in _weighted(batch, weights):
-                own, y = _times(row, slot, weight, b)
+            for row, slot, weight in weighted_rows(batch, weights):
+                own, y = times(row, slot, weight, b)
                 order = np.argsort(slot, kind="stable")
                 part = weight[order, None] * y[np.searchsorted(own, row[order])]
                 first = np.flatnonzero(np.diff(slot[order], prepend=-1))
@@ -134,8 +134,8 @@ def project(counted: DataFrame, model: Projection) -> DataFrame:
         m = shipped.value
         for batch in batches:
             out = np.zeros((batch.num_rows, m.basis.shape[1]))
-            for row, slot, weight in _weighted(batch, m.idf):
-                own, y = _times(row, slot, weight, m.basis)
+            for row, slot, weight in weighted_rows(batch, m.idf):
+                own, y = times(row, slot, weight, m.basis)
                 out[own] = y
             vectors = [v if a else None for v, a in zip(out, out.any(axis=1))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(vectors, pa.list_(pa.float64()))], names=["key", "vector"])

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gleanery.operators import quality
+from gleanery.operators import forecasting, quality
 from gleanery.operators import timeseries as D
 from gleanery.plans.base import query, sql
 from gleanery.plans.queries_text import STAGE, WORDS, L
@@ -119,6 +119,24 @@ def d11_forecast(spark, d):
     return D.forecast(daily(spark, d), ["event_type"])
 
 
+@query()
+def d11_trend_forecast(spark, d):
+    """The next week of each event type by trend, change points and weekdays, with intervals."""
+    return forecasting.forecast(daily(spark, d), ["event_type"])
+
+
+@query()
+def d11_backtest(spark, d):
+    """Its error over the last week beside the seasonal naive's."""
+    return forecasting.backtest(daily(spark, d), ["event_type"])
+
+
+@query()
+def d03_trend_slopes(spark, d):
+    """Event types by the slope that the fitted trend has at the end of their series."""
+    return forecasting.slopes(daily(spark, d), ["event_type"])
+
+
 @query(sql("SELECT t.topic_id, mentions, CAST(coalesce(players, 0) AS BIGINT) AS players FROM (SELECT CAST(review_id % 12 - 1 AS INTEGER) AS topic_id, count(*) AS mentions FROM reviews GROUP BY 1) t LEFT JOIN (SELECT topic_id, sum(p_size) AS players FROM (SELECT unnest(range(0, 8)) AS topic_id, unnest(range(0, 8)) AS k) b JOIN part ON p_partkey % 11 = k GROUP BY 1) p ON p.topic_id = t.topic_id", "reviews"))
 def j14_topic_players(spark, d):
     mentions = topical(reviews(spark, d)).groupBy("topic_id").agg(F.count("*").alias("mentions"))

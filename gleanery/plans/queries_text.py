@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import lexicon as L
 from gleanery.functions import text as T
-from gleanery.operators import preprocess, quality, timeseries
+from gleanery.operators import preprocess, quality, subwords, timeseries
 from gleanery.plans.base import query, sql
 from gleanery.sources.reviews import labelled, reviews, table
 
@@ -255,6 +255,26 @@ def n12_fixed_length(spark, d):
     return x.select("review_id", ones.alias("n_tokens"), (F.size("x.items").cast("long") - ones).alias("n_padding"))
 
 
+def vocabulary() -> list[str]:
+    import public_tokenizers
+
+    return subwords.vocabulary_from(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query()
+def n12_subword_ids(spark, d):
+    """Sub-word ids of every text at length 128, with mask, and the pieces of the whole text."""
+    return subwords.encode(reviews(spark, d), vocabulary())
+
+
+@query()
+def f11_meaningful_pieces(spark, d):
+    """Meaningful pieces among the sub-word ids: continuations and marks fall out."""
+    pieces = vocabulary()
+    rows = subwords.pieces_of(subwords.encode(reviews(spark, d), pieces), pieces)
+    return rows.where(T.meaningful(F.col("token"))).groupBy("token").agg(F.count("*").alias("n"))
+
+
 @query(sql(f"SELECT review_id, list_contains(string_split(array_to_string({TAG_LIST}, ','), ','), 'long_text') AS found FROM (SELECT *, {TOKENS} FROM reviews)", "reviews"))
 def n13_tag_membership(spark, d):
     return reviews(spark, d).select("review_id", T.has_tag(F.array_join(T.tags(F.col("review_text")), ","), "long_text").alias("found"))

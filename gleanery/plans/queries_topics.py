@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators import errors, models
+from gleanery.operators import errors, experiments, models, neural, sampling
 from gleanery.operators import topics as P
 from gleanery.plans.base import query, sql
 from gleanery.plans.queries_text import TERMS
@@ -127,6 +127,59 @@ def m01_sentiment_scores(spark, d):
     return models.score(every, models.fit(train))
 
 
+def trained(spark, d):
+    """(network, history) of the labelled reviews' own training, validation and test splits."""
+    return neural.train(neural.prepare(sampling.stratified_split(labelled(spark, d))))
+
+
+@query()
+def m06_training_history(spark, d):
+    """Loss and accuracies of each epoch until early stopping."""
+    return neural.history_frame(spark, trained(spark, d)[1])
+
+
+@query()
+def m06_early_stopping(spark, d):
+    """What the early-stopping operator reads from a real history."""
+    return experiments.early_stopping(neural.history_frame(spark, trained(spark, d)[1]).withColumnRenamed("val_accuracy", "val_acc"))
+
+
+def wrong_by_network(spark, d):
+    """(wrong rows, their explained tokens, written once): reviews that the trained network gets wrong, as the error report wants them."""
+    net, _ = trained(spark, d)
+    rows = labelled(spark, d)
+    explained = materialize(neural.integrated_gradients(rows, net))
+    found = rows.join(explained.select("review_id", F.col("prediction").alias("net"), F.col("output").alias("sure")), "review_id").drop("confidence").withColumnRenamed("sure", "confidence")
+    wrong = errors.misclassified(found, pred="net")
+    return wrong, explained.join(wrong.select("review_id"), "review_id", "left_semi")
+
+
+@query()
+def m11_integrated_gradients(spark, d):
+    """What each token of a wrong review adds to the predicted class."""
+    return neural.token_rows(wrong_by_network(spark, d)[1])
+
+
+@query()
+def m11_completeness(spark, d):
+    """Summed scores of every labelled review beside the difference that they explain."""
+    explained = neural.integrated_gradients(labelled(spark, d), trained(spark, d)[0])
+    return explained.select("review_id", "prediction", F.aggregate("scores", F.lit(0.0), lambda s, x: s + x).alias("explained"), (F.col("output") - F.col("baseline")).alias("difference"))
+
+
+@query()
+def m11_wide_top_tokens(spark, d):
+    """Top and bottom tokens of each wrong review by integrated gradients."""
+    return errors.wide_top_tokens(errors.top_tokens(neural.token_rows(wrong_by_network(spark, d)[1])))
+
+
+@query()
+def m11_contributors(spark, d):
+    """Tokens that drove false positives and false negatives, by integrated gradients."""
+    wrong, explained = wrong_by_network(spark, d)
+    return errors.contributor_summary(neural.token_rows(explained), wrong, least=2)
+
+
 @query()
 def m11_token_attribution(spark, d):
     """Contributions of tokens to the predicted class of wrong rows, exact for the linear model."""
