@@ -4,11 +4,12 @@ from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
 from gleanery.operators import sampling
-from gleanery.plans.base import query
-from gleanery.sources import paged
+from gleanery.plans.base import query, sql
+from gleanery.sources import committed, paged
 from gleanery.sources import reviews as R
-from gleanery.sources.reviews import table
+from gleanery.sources.reviews import reviews, table
 from gleanery.sources.scratch import new_folder
+from gleanery.streaming import ingest
 
 
 @query("SELECT app_id, page_id FROM (SELECT regexp_extract(url, '/([0-9]+)', 1) AS app_id, page_id FROM pages) WHERE app_id <> '' QUALIFY row_number() OVER (PARTITION BY app_id ORDER BY page_id) = 1")
@@ -88,6 +89,47 @@ class DemoFeed:
         return rows, str(start + size) if start + size < 400 else None
 
 
+def written_pages(spark, d, order: list) -> str:
+    """``documents`` as raw reviews on pages of 100, a folder for each game."""
+    path = new_folder(spark)
+    rows = reviews(spark, d).select(F.col("game_name").alias("game"), "review_text", (F.col("votes_up") % 2 == 0).alias("voted_up"), F.col("votes_up").cast("int").alias("votes_up"), "language", "timestamp_created", F.col("review_id").cast("string").alias("author"))
+    paged.write_pages(rows, path, order)
+    return path
+
+
+def games_of(spark, d) -> str:
+    """The games asked for; one name each."""
+    return ",".join(sorted(r[0] for r in reviews(spark, d).select("game_name").distinct().collect() if r[0] is not None))
+
+
+@query(sql("SELECT game_name AS game, CAST(review_id AS VARCHAR) AS author, votes_up % 2 = 0 AS voted_up, timestamp_created FROM (SELECT *, row_number() OVER (PARTITION BY game_name ORDER BY timestamp_created DESC, review_id) AS r FROM reviews WHERE length(review_text) >= 20 AND votes_up % 2 = 0) WHERE r <= 100", "reviews"))
+def s03_paged_reviews(spark, d):
+    """The latest hundred valid positive reviews of each game, page by page from a cursor feed of the whole table."""
+    paged.register(spark, paged.FolderFeed(written_pages(spark, d, [F.desc("timestamp_created"), F.col("author").cast("long")])), "paged_table")
+    rows = spark.read.format("paged_table").options(keys=games_of(spark, d), most="100", min_length="20", review_type="positive", pause="0").load()
+    return rows.select("game", "author", "voted_up", "timestamp_created")
+
+
+@query(sql("SELECT game_name AS game, count(*) AS n, CAST(sum(review_id) AS BIGINT) AS ids, min(timestamp_created) AS first, max(timestamp_created) AS last FROM reviews WHERE length(review_text) >= 1 GROUP BY 1", "reviews"))
+def s03_paged_stream(spark, d):
+    """Every review through the cursor stream into a table of whole batches."""
+    paged.register(spark, paged.FolderFeed(written_pages(spark, d, [F.col("timestamp_created"), F.col("author").cast("long")])), "paged_stream")
+    rows = spark.readStream.format("paged_stream").options(keys=games_of(spark, d), min_length="1", pause="0").load().withColumn("ts", F.timestamp_seconds("timestamp_created"))
+    path, late, checkpoint = new_folder(spark), new_folder(spark), new_folder(spark)
+    ingest.start_ingest(rows, path, late, checkpoint, ["game", "author"]).awaitTermination()
+    return committed.read(spark, path).groupBy("game").agg(F.count("*").alias("n"), F.sum(F.col("author").cast("long")).alias("ids"), F.min("timestamp_created").alias("first"), F.max("timestamp_created").alias("last"))
+
+
+@query("SELECT CAST(ts AS DATE) AS day, count(*) AS n, count(DISTINCT event_type) AS n_types, CAST(sum(event_id) AS BIGINT) AS ids FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def s15_committed_batches(spark, d):
+    """Events written as two overlapping batches, each twice: the table has every event once, in files by day."""
+    path = new_folder(spark)
+    rows = table(spark, d, "events").withColumn("day", F.col("ts").cast("date")).where("day is not null")
+    for label, part in (("0", rows.where("event_id % 3 <> 0")), ("1", rows), ("1", rows)):
+        committed.write_new(part, path, label, ["event_id"], "day")
+    return committed.read(spark, path).groupBy("day").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("n_types"), F.sum("event_id").alias("ids"))
+
+
 @query()
 def s03_paged_source(spark, d):
     """Reviews of three games through the paged source; no table is read, so the result is the same at every size."""

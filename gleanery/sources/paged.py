@@ -3,6 +3,9 @@
 A feed is anything with ``page(key, cursor, size) -> (rows, next cursor or None)``. Cursor paging is serial, so each key
 (a game) is one partition; keys are read in parallel. Options: keys, most (valid rows a key), min_length, language, review_type
 (positive, negative), pause (seconds between pages). ``register(spark, feed)`` makes format ``paged_reviews``.
+
+The same format is a stream for feeds that also have ``head(key) -> cursor`` of the place where new rows will come. The offset is a cursor for each key: a
+micro-batch reads each key's pages from where the last one ended to the head, and a restart goes on from the checkpoint.
 """
 
 from __future__ import annotations
@@ -11,8 +14,13 @@ import re
 import time
 from collections.abc import Callable, Iterator
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+import pyarrow.dataset as ds
+from pyarrow import fs
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
+
+from gleanery.operators.sampling import ranks
 
 LANGUAGES, KINDS = ("english", "japanese", "all"), ("positive", "negative", "all")
 PAGE = 100
@@ -75,6 +83,62 @@ def listed_games(page: Callable[[int], list[dict]], most: int = 20, pause: float
     return list(found.items())
 
 
+START = "*"
+#: Characters that Spark writes as their code in the name of a partition's folder.
+_ESCAPED = frozenset("\"#%'*/:=?\\\x7f{[]^" + "".join(map(chr, range(1, 32))))
+
+
+def folder_of(key: str) -> str:
+    return "game=" + "".join(f"%{ord(c):02X}" if c in _ESCAPED else c for c in key)
+
+
+class FolderFeed:
+    """Pages written by ``write_pages``: a feed whose cursor is the number of the next page."""
+
+    def __init__(self, path: str):
+        self.path = path
+
+    def _pages(self, key: str) -> list[int]:
+        files, root = fs.FileSystem.from_uri(self.path)
+        found = files.get_file_info(fs.FileSelector(f"{root}/{folder_of(key)}", allow_not_found=True))
+        return sorted(int(i.base_name.removeprefix("page=")) for i in found if i.base_name.startswith("page="))
+
+    def head(self, key: str) -> str:
+        return str(max(self._pages(key), default=-1) + 1)
+
+    def page(self, key: str, cursor: str, size: int):
+        files, root = fs.FileSystem.from_uri(self.path)
+        number = 0 if cursor == START else int(cursor)
+        later = [p for p in self._pages(key) if p >= number]
+        if not later:
+            return [], None
+        rows = ds.dataset(f"{root}/{folder_of(key)}/page={later[0]}", filesystem=files, format="parquet").to_table().sort_by("place").to_pylist()
+        return rows, str(later[0] + 1)
+
+
+def write_pages(rows: DataFrame, path: str, order: list, key: str = "game", size: int = PAGE) -> None:
+    """Raw reviews with a ``key`` column as pages of ``size`` rows in ``order``, numbered on from those that are there; a folder for each key and page."""
+    spark = rows.sparkSession
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    placed = ranks(rows.withColumnRenamed(key, "game") if key != "game" else rows, "game", order, "place", "__n").drop("__n")
+    first = F.lit(0)
+    if folder.getFileSystem(spark._jsc.hadoopConfiguration()).exists(folder):
+        # one row a key
+        old = spark.read.schema("game string, page int").parquet(path).groupBy("game").agg((F.max("page") + 1).alias("__first"))
+        placed, first = placed.join(old, "game", "left"), F.coalesce("__first", F.lit(0))
+    paged = placed.withColumn("page", (first + F.floor((F.col("place") - 1) / size)).cast("int")).drop("__first")
+    paged.repartition("game", "page").write.mode("append").partitionBy("game", "page").parquet(path)
+
+
+def _row(key: str, r: dict) -> tuple:
+    return (key, r.get("review_text") or "", bool(r.get("voted_up") or False), int(r.get("votes_up") or 0), r.get("language") or "", int(r.get("timestamp_created") or 0), r.get("author") or "")
+
+
+def _keep(options: dict) -> Callable[[dict], bool]:
+    shortest, language, kind = int(options.get("min_length", "0")), options.get("language", "all"), options.get("review_type", "all")
+    return lambda r: len(r.get("review_text") or "") >= shortest and language in ("all", r.get("language")) and (kind == "all" or bool(r.get("voted_up")) == (kind == "positive"))
+
+
 class _Reader(DataSourceReader):
     def __init__(self, feed, options: dict):
         self.feed, self.options = feed, options
@@ -83,13 +147,38 @@ class _Reader(DataSourceReader):
         return [InputPartition(k) for k in self.options.get("keys", "").split(",") if k]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
-        shortest, language, kind = int(self.options.get("min_length", "0")), self.options.get("language", "all"), self.options.get("review_type", "all")
+        for r in take_valid(self.feed, partition.value, int(self.options.get("most", "100")), _keep(self.options), float(self.options.get("pause", "0.5"))):
+            yield _row(partition.value, r)
+
 
-        def keep(r: dict) -> bool:
-            return len(r.get("review_text") or "") >= shortest and language in ("all", r.get("language")) and (kind == "all" or bool(r.get("voted_up")) == (kind == "positive"))
+class _StreamReader(DataSourceStreamReader):
+    def __init__(self, feed, options: dict):
+        self.feed, self.options = feed, options
+        self.keys = [k for k in options.get("keys", "").split(",") if k]
 
-        for r in take_valid(self.feed, partition.value, int(self.options.get("most", "100")), keep, float(self.options.get("pause", "0.5"))):
-            yield (partition.value, r.get("review_text", ""), r.get("voted_up", False), r.get("votes_up", 0), r.get("language", ""), r.get("timestamp_created", 0), r.get("author", ""))
+    def initialOffset(self) -> dict:
+        return {k: START for k in self.keys}
+
+    def latestOffset(self) -> dict:
+        return {k: with_retries(lambda k=k: self.feed.head(k)) for k in self.keys}
+
+    def partitions(self, start: dict, end: dict) -> list[InputPartition]:
+        # a key that is new since the checkpoint starts at its beginning
+        return [InputPartition((k, start.get(k, START), stop)) for k, stop in sorted(end.items()) if start.get(k, START) != stop]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        key, cursor, stop = partition.value
+        keep, pause = _keep(self.options), float(self.options.get("pause", "0.5"))
+        while cursor is not None and cursor != stop:
+            rows, cursor = with_retries(lambda c=cursor: self.feed.page(key, c, PAGE))
+            if not rows:
+                return
+            yield from (_row(key, r) for r in rows if keep(r))
+            if cursor is not None and cursor != stop:
+                time.sleep(pause)
+
+    def commit(self, end: dict) -> None:
+        """Nothing is held back for batches that are done."""
 
 
 def register(spark: SparkSession, feed, name: str = "paged_reviews") -> None:
@@ -101,8 +190,14 @@ def register(spark: SparkSession, feed, name: str = "paged_reviews") -> None:
         def schema(self) -> str:
             return "game string, review_text string, voted_up boolean, votes_up int, language string, timestamp_created bigint, author string"
 
-        def reader(self, schema) -> DataSourceReader:
+        def _checked(self) -> dict:
             validate(self.options.get("language", "all"), self.options.get("review_type", "all"))
-            return _Reader(feed, dict(self.options))
+            return dict(self.options)
+
+        def reader(self, schema) -> DataSourceReader:
+            return _Reader(feed, self._checked())
+
+        def streamReader(self, schema) -> DataSourceStreamReader:
+            return _StreamReader(feed, self._checked())
 
     spark.dataSource.register(Paged)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
+from gleanery.sources import committed
 from gleanery.sources.reviews import append_new
 
 
@@ -33,6 +34,33 @@ def start_upserts(rows: DataFrame, path: str, checkpoint: str, *keys: str) -> St
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
+def label_of(batch: int) -> str:
+    """Labels sort like their numbers."""
+    return f"{batch:012d}"
+
+
+def start_ingest(rows: DataFrame, path: str, late_path: str, checkpoint: str, keys: list[str], time: str = "ts", delay_seconds: int = 86_400) -> StreamingQuery:
+    """Grows the table at ``path`` by the new keys of each micro-batch, a batch whole or not at all; what comes too late goes to ``late_path`` instead of getting lost.
+
+    A row is late if its time lies more than ``delay_seconds`` before the latest time of all earlier batches, or is null. That bound comes from what was
+    committed before, so a batch that runs again, after a stop in any place, is divided in the same way and adds nothing twice. Equal keys have equal times; a column
+    ``day`` is added, and only the table's files of the days in a batch are read."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        label = label_of(number)
+        dated = batch.withColumn("day", F.to_date(time)).persist()
+        try:
+            mark = committed.latest(path, label)
+            bound = F.timestamp_micros(F.lit(0 if mark is None else mark - delay_seconds * 1_000_000))
+            fresh = F.col(time).isNotNull() & (F.lit(mark is None) | (F.col(time) >= bound))
+            committed.write_new(dated.where(~fresh), late_path, label, keys, "day", time)
+            committed.write_new(dated.where(fresh), path, label, keys, "day", time)
+        finally:
+            dated.unpersist()
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def run_to_table(df: DataFrame, name: str, mode: str, checkpoint: str, then: Callable[[StreamingQuery], None] | None = None) -> DataFrame:
     """Runs all that is there into an in-memory table; for results as small as windows are."""
     query = df.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
