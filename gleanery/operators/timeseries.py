@@ -120,3 +120,35 @@ def bridge_demand(mentions: DataFrame, bridge: DataFrame, players: DataFrame) ->
     """(topic_id, mentions, players): demand of a topic beside the players of games that carry its tag; bridge: topic_id, tag; players: game_id, tag, players."""
     own = bridge.join(players, "tag").groupBy("topic_id").agg(F.sum("players").alias("players"))
     return mentions.join(own, "topic_id", "left").select("topic_id", "mentions", F.coalesce("players", F.lit(0)).alias("players"))
+
+
+def as_of_join(left: DataFrame, right: DataFrame, by: list[str], time: str, values: list[str], bucket: str = "day") -> DataFrame:
+    """``left`` with ``values`` of the latest row of ``right`` (by, time, values) at or before each row's ``time``; null where there is none.
+
+    Both sides are dealt by key and ``bucket`` of the time, so a key of any size is many tasks; the last row of each bucket is carried to those
+    after it over one row a bucket. Of right rows of one key and time the one with the largest values counts. Rows with a null key or time stay, without values."""
+    own = F.struct(*[F.col(v) for v in values])
+    slot = F.date_trunc(bucket, F.col(time))
+    seen = right.where(F.col(time).isNotNull()).select(*by, F.col(time), slot.alias("__b"), own.alias("__v"), F.lit(1).alias("__right"))
+    asked = left.withColumn("__b", slot).withColumn("__right", F.lit(0))
+    # the last value of each bucket, carried into those after it: one row a key and bucket that either side has
+    last = seen.groupBy(*by, "__b").agg(F.max(F.struct(time, "__v")).alias("__last"))
+    frame = last.unionByName(asked.where(F.col("__b").isNotNull()).select(*by, "__b").distinct(), allowMissingColumns=True).groupBy(*by, "__b").agg(F.max("__last").alias("__last"))
+    before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
+    carried = frame.select(*by, "__b", F.last("__last", ignorenulls=True).over(before).alias("__carried"))
+    fields = [c for c in left.columns if c not in (*by, time)]
+    both = asked.select(*by, F.col(time), "__b", "__right", F.struct(*fields, F.lit(0).alias("__")).alias("__row")).unionByName(seen, allowMissingColumns=True)
+    within = Window.partitionBy(*by, "__b").orderBy(F.col(time), F.desc("__right"), F.col("__v").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    found = both.withColumn("__now", F.last("__v", ignorenulls=True).over(within)).where("__right = 0")
+    out = found.join(carried, [*by, "__b"], "left").withColumn("__now", F.coalesce("__now", "__carried.__v"))
+    return out.select(*by, time, *[F.col(f"__row.{c}").alias(c) for c in fields], *[F.col(f"__now.{v}").alias(v) for v in values])
+
+
+def lag_correlation(series: DataFrame, by: list[str], a: str, b: str, most: int = 7, date: str = "date") -> DataFrame:
+    """(by, lag, n, correlation): ``a`` of each day with ``b`` that many days later, for lags from -``most`` to ``most``; a lag above 0 says that ``a`` runs ahead. Null
+    without spread. Each row goes out once for each lag: 2 * ``most`` + 1 times, whatever the series."""
+    ahead = series.select(*by, F.col(date), F.col(a).cast("double").alias("__a"), F.explode(F.sequence(F.lit(-most), F.lit(most))).alias("lag"))
+    later = series.select(*by, F.col(date).alias("__d"), F.col(b).cast("double").alias("__b"))
+    pairs = ahead.withColumn("__d", F.date_add(date, F.col("lag"))).join(later, [*by, "__d"]).where("__a is not null and __b is not null")
+    spread = lambda c: F.when(F.var_pop(c) > 1e-12, F.stddev_pop(c))
+    return pairs.groupBy(*by, "lag").agg(F.count("*").alias("n"), (F.covar_pop("__a", "__b") / (spread("__a") * spread("__b"))).alias("correlation"))

@@ -145,6 +145,41 @@ def j14_topic_players(spark, d):
     return D.bridge_demand(mentions, bridge, players)
 
 
+#: Topics are joined to event types by rank: game_id modulo their number. A snapshot is an event's value; the time axis is both tables' own.
+TOPIC_TYPES = "types AS (SELECT event_type, row_number() OVER (ORDER BY event_type) - 1 AS k, count(*) OVER () AS n FROM (SELECT DISTINCT event_type FROM events)), asked AS (SELECT review_id, event_type, CAST(to_timestamp(timestamp_created) AT TIME ZONE 'UTC' AS TIMESTAMP) AS ts FROM reviews JOIN types ON game_id % n = k)"
+
+
+def typed_reviews(spark, d):
+    """Reviews with the event type that their topic is joined to, and their time."""
+    kinds = table(spark, d, "events").select("event_type").distinct()
+    every = D.Window.partitionBy(F.lit(0))  # one row an event type
+    types = kinds.select("event_type", (F.row_number().over(every.orderBy("event_type")) - 1).alias("k"), F.count("*").over(every).alias("n"))
+    return reviews(spark, d).join(F.broadcast(types), F.col("game_id") % F.col("n") == F.col("k")).select("review_id", "event_type", D.moment().alias("ts"))
+
+
+def snapshots(spark, d):
+    return table(spark, d, "events").select("event_type", F.col("ts").cast("timestamp").alias("ts"), F.col("value").alias("players"))
+
+
+@query(sql("SELECT 1", "reviews").replace(" SELECT 1", f", {TOPIC_TYPES}, shots AS (SELECT event_type, ts, max(value) AS players FROM events GROUP BY 1, 2) SELECT review_id, a.event_type, round(players, 6) AS players FROM asked a ASOF LEFT JOIN shots s ON a.event_type = s.event_type AND a.ts >= s.ts"))
+def j14_mentions_as_of(spark, d):
+    """Each review with the latest players of its topic's tag at that time."""
+    found = D.as_of_join(typed_reviews(spark, d), snapshots(spark, d), ["event_type"], "ts", ["players"])
+    return found.select("review_id", "event_type", F.round("players", 6).alias("players"))
+
+
+@query(sql("SELECT 1", "reviews").replace(" SELECT 1", f""", {TOPIC_TYPES}, m AS (SELECT event_type, CAST(ts AS DATE) AS date, count(*) AS mentions FROM asked GROUP BY 1, 2), p AS (SELECT event_type, CAST(ts AS DATE) AS date, avg(value) AS players FROM events GROUP BY 1, 2),
+    s AS (SELECT event_type, date, mentions, players FROM m JOIN p USING (event_type, date))
+    SELECT a.event_type, CAST(lag AS INTEGER) AS lag, count(*) AS n, CASE WHEN var_pop(CAST(a.mentions AS DOUBLE)) > 1e-12 AND var_pop(b.players) > 1e-12 THEN round(corr(CAST(a.mentions AS DOUBLE), b.players), 6) END AS correlation
+    FROM s a, (SELECT unnest(range(-7, 8)) AS lag) l JOIN s b ON a.event_type = b.event_type AND b.date = CAST(a.date + CAST(lag AS INTEGER) AS DATE) GROUP BY 1, 2"""))
+def j14_lag_correlation(spark, d):
+    """Whether mentions of a topic run ahead of its players or behind, by lag in days."""
+    mentions = typed_reviews(spark, d).groupBy("event_type", F.to_date("ts").alias("date")).agg(F.count("*").alias("mentions"))
+    players = snapshots(spark, d).groupBy("event_type", F.to_date("ts").alias("date")).agg(F.avg("players").alias("players"))
+    out = D.lag_correlation(mentions.join(players, ["event_type", "date"]), ["event_type"], "mentions", "players")
+    return out.withColumn("correlation", F.round("correlation", 6))
+
+
 @query("SELECT CAST(CAST(ts AS DATE) AS TIMESTAMP) AS start, event_type, count(*) AS n, round(sum(value), 6) AS total FROM events GROUP BY 1, 2")
 def d12_windowed_batch(spark, d):
     """The streaming aggregation over a table; a test holds the stream against it."""

@@ -273,3 +273,32 @@ def test_upserts_survive_a_second_run(spark, sf_dir, tmp_path):
 def test_unseen_columns():
     with pytest.raises(ValueError):
         R.exclusion_list()
+
+
+def test_as_of_join_equals_a_search(spark):
+    import datetime
+
+    t = lambda h: None if h is None else datetime.datetime(2024, 1, 1) + datetime.timedelta(hours=h)
+    r = random.Random(1)
+    left = [(k, r.choice("ab") if r.random() < 0.9 else None, r.randrange(200) if r.random() < 0.95 else None) for k in range(150)]
+    right = [(r.choice("abc"), r.randrange(200), r.randrange(9)) for _ in range(40)] + [("a", None, 5), ("b", 7, None)]
+    a = spark.createDataFrame([(k, g, t(h)) for k, g, h in left], "id int, g string, ts timestamp")
+    b = spark.createDataFrame([(g, t(h), v) for g, h, v in right], "g string, ts timestamp, v int")
+    for bucket in ("hour", "day", "year"):
+        got = {x.id: x.v for x in D.as_of_join(a, b, ["g"], "ts", ["v"], bucket).collect()}
+        for k, g, h in left:
+            seen = [(x, v is not None, v) for y, x, v in right if y == g and x is not None and h is not None and x <= h]
+            assert got[k] == (max(seen)[2] if seen else None), (bucket, k)
+    assert len(got) == 150 and D.as_of_join(a.where("false"), b, ["g"], "ts", ["v"]).count() == 0
+
+
+def test_lag_correlation_finds_the_lead(spark):
+    import datetime
+
+    r = random.Random(3)
+    base = [r.random() for _ in range(60)]
+    day = lambda k: datetime.date(2024, 1, 1) + datetime.timedelta(days=k)
+    rows = [("x", day(k), base[k], base[k - 3] if k >= 3 else 0.5) for k in range(60)] + [("flat", day(k), 1.0, float(k)) for k in range(9)]
+    got = {(x.g, x.lag): x for x in D.lag_correlation(spark.createDataFrame(rows, "g string, date date, a double, b double"), ["g"], "a", "b", 5).collect()}
+    assert got["x", 3].correlation > 0.99 and max((v.correlation, k) for k, v in got.items() if k[0] == "x")[1] == ("x", 3)
+    assert got["x", 3].n == 57 and all(v.correlation is None for k, v in got.items() if k[0] == "flat")
