@@ -23,6 +23,11 @@ def unnest(df: DataFrame, items: Column, name: str, *keep: str) -> DataFrame:
     return df.select(*keep, F.explode_outer(items).alias(name)).where(F.col(name).isNotNull())
 
 
+def digest(text: Column) -> Column:
+    """SHA-256 of a text, a key of fixed size for it; null for null."""
+    return F.sha2(text.cast("binary"), 256)
+
+
 def clean_text(text: Column) -> Column:
     """Without tags, white space runs as one space, trimmed; null becomes empty."""
     bare = F.regexp_replace(F.coalesce(text, F.lit("")), "<[^>]+>", "")

@@ -21,9 +21,9 @@ def misclassified(df: DataFrame, truth: str = "label", pred: str = "pred_a") ->
 
 
 def difference(a: DataFrame, b: DataFrame, key: str = "review_text") -> DataFrame:
-    """Rows of ``a`` whose key ``b`` lacks. Null equals null; repeated rows of ``a`` stay."""
-    other = b.select(F.col(key).alias("__k")).distinct()
-    return a.join(other, F.col(key).eqNullSafe(F.col("__k")), "left_anti")
+    """Rows of ``a`` whose key ``b`` lacks. Null equals null; repeated rows of ``a`` stay. Keys travel as SHA-256 digests: texts are not shuffled to be compared."""
+    other = b.select(T.digest(F.col(key)).alias("__k")).distinct()
+    return a.withColumn("__a", T.digest(F.col(key))).join(other, F.col("__a").eqNullSafe(F.col("__k")), "left_anti").drop("__a")
 
 
 def changes(before: DataFrame, after: DataFrame, key: str = "review_text") -> DataFrame:

@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from gleanery.functions import text as T
 
@@ -39,10 +45,10 @@ def english_reviews(df: DataFrame, column: str = "review_text") -> DataFrame:
     return df.where(T.is_english(F.col(column)))
 
 
-def valid_reviews(df: DataFrame, column: str = "review_text", language_score: Column | None = None, least: float = 0.8, **limits) -> DataFrame:
-    """Rows that pass all checks. A language score, which may be a UDF, is only asked of rows that pass the native checks."""
+def valid_reviews(df: DataFrame, column: str = "review_text", language_score: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.8, **limits) -> DataFrame:
+    """Rows that pass all checks. ``language_score`` gives the rows it gets a column ``p_en``; it is only asked of rows that pass the native checks."""
     passed = df.where(first_reason(F.col(column), **limits).isNull())
-    return passed if language_score is None else passed.where(F.coalesce(language_score >= least, F.lit(False)))
+    return passed if language_score is None else language_score(passed).where(F.coalesce(F.col("p_en") >= least, F.lit(False)))
 
 
 def english_counts(df: DataFrame, column: str = "review_text") -> DataFrame:
@@ -50,9 +56,16 @@ def english_counts(df: DataFrame, column: str = "review_text") -> DataFrame:
     return df.agg(kept.alias("kept"), (F.count("*") - kept).alias("dropped"))
 
 
-def funnel(df: DataFrame, column: str = "review_text", **limits) -> DataFrame:
-    """Rows and their share by first failing check; ``valid`` for those that pass."""
-    counts = df.groupBy(F.coalesce(first_reason(F.col(column), **limits), F.lit("valid")).alias("stage")).agg(F.count("*").alias("n"))
+def funnel(df: DataFrame, column: str = "review_text", language_score: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.8, **limits) -> DataFrame:
+    """Rows and their share by first failing check; ``valid`` for those that pass. With a ``language_score`` (see ``valid_reviews``) the last check is the language:
+    rows that pass the others but score under ``least`` for English fail as ``not_english``."""
+    staged = df.withColumn("stage", first_reason(F.col(column), **limits))
+    counts = staged.groupBy("stage").agg(F.count("*").alias("n"))
+    if language_score is not None:
+        english = F.coalesce(F.col("p_en") >= least, F.lit(False))
+        asked = language_score(staged.where("stage is null")).select(F.when(~english, "not_english").alias("stage"))
+        counts = counts.where("stage is not null").unionByName(asked.groupBy("stage").agg(F.count("*").alias("n")))
+    counts = counts.withColumn("stage", F.coalesce("stage", F.lit("valid")))
     total = counts.agg(F.sum("n").alias("total"))  # one row
     return counts.crossJoin(F.broadcast(total)).select("stage", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
@@ -71,14 +84,51 @@ def language_profiles(df: DataFrame, text: str = "review_text", label: str = "la
 
 
 def language_scores(df: DataFrame, profiles: DataFrame, key: str = "review_id", text: str = "review_text", n: int = 3) -> DataFrame:
-    """(key, language, p): naive Bayes posterior of each profile's language for every row; profiles are a few hundred rows a language."""
-    counts = T.unnest(df.where(F.length(text) >= n), T.char_grams(F.col(text), n), "gram", key).groupBy(key, "gram").agg(F.count("*").alias("c"))
-    floor = F.broadcast(profiles.where("gram is null").select("language", F.col("logp").alias("floor")))
-    gain = profiles.where("gram is not null").join(floor, "language").select("language", "gram", (F.col("logp") - F.col("floor")).alias("gain"))
-    total = counts.groupBy(key).agg(F.sum("c").alias("n"))
-    gains = counts.join(F.broadcast(gain), "gram").groupBy(key, "language").agg(F.sum(F.col("c") * F.col("gain")).alias("gain"))
-    every = total.crossJoin(floor).join(gains, [key, "language"], "left").select(key, "language", (F.col("n") * F.col("floor") + F.coalesce("gain", F.lit(0.0))).alias("s"))
-    from pyspark.sql import Window
-
-    own = Window.partitionBy(key)
-    return every.withColumn("e", F.exp(F.col("s") - F.max("s").over(own))).select(key, "language", (F.col("e") / F.sum("e").over(own)).alias("p"))
+    """(key, language, p): naive Bayes posterior of each profile's language for every row of ``n`` characters or more; ``score_column`` as rows."""
+    langs = _shipped(profiles)[0]
+    scored = score_column(df.where(F.length(text) >= n), profiles, text, n)
+    return scored.select(key, F.posexplode("p_languages").alias("__i", "p")).withColumn("language", F.get(F.array(*map(F.lit, langs)).cast("array<string>"), F.col("__i"))).select(key, "language", "p")
+
+
+def _shipped(profiles: DataFrame) -> tuple[list[str], list[float], dict[str, list[float]]]:
+    """Languages, the log share of an unknown gram of each, and the gain of each known gram over it: a few hundred grams a language."""
+    rows = profiles.collect()
+    langs = sorted(r.language for r in rows if r.gram is None)
+    floor = {r.language: r.logp for r in rows if r.gram is None}
+    gains: dict[str, list[float]] = {}
+    for r in rows:
+        if r.gram is not None:
+            gains.setdefault(r.gram, [0.0] * len(langs))[langs.index(r.language)] = r.logp - floor[r.language]
+    return langs, [floor[k] for k in langs], gains
+
+
+def score_column(df: DataFrame, profiles: DataFrame, text: str = "review_text", n: int = 3) -> DataFrame:
+    """``df`` with ``p_languages`` (posteriors in order of the languages' names) and ``p_en``; null for texts under ``n`` characters and without profiles. Each text is
+    scored where it lies: no row for a gram, no shuffle."""
+    langs, floors, gains = _shipped(profiles)
+    shipped = df.sparkSession.sparkContext.broadcast((np.array(floors), {g: np.array(v) for g, v in gains.items()}))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        floor, gain = shipped.value
+        for batch in batches:
+            out = []
+            for x in batch.column(text):
+                t = x.as_py()
+                if t is None or len(t) < n or not len(floor):
+                    out.append(None)
+                    continue
+                grams = Counter(t[i : i + n].lower() for i in range(len(t) - n + 1))
+                s = (len(t) - n + 1) * floor
+                for g in gain.keys() & grams.keys():
+                    s = s + grams[g] * gain[g]
+                e = np.exp(s - s.max())
+                out.append(e / e.sum())
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names, "p_languages"])
+
+    scored = df.mapInArrow(run, StructType([*df.schema.fields, StructField("p_languages", ArrayType(DoubleType()))]))
+    return scored.withColumn("p_en", F.get("p_languages", F.lit(langs.index("en"))) if "en" in langs else F.lit(None).cast("double"))
+
+
+def english_score(profiles: DataFrame, text: str = "review_text") -> Callable[[DataFrame], DataFrame]:
+    """What ``valid_reviews`` and ``funnel`` ask: rows with ``p_en`` by ``profiles``."""
+    return lambda rows: score_column(rows, profiles, text).drop("p_languages")

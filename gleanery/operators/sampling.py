@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from gleanery.functions import lexicon as L
 from gleanery.sources.scratch import materialize
 
 
@@ -12,10 +13,6 @@ def dice(key: str, seed: int = 42) -> Column:
     return F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed))).cast("binary"))
 
 
-def shuffled(df: DataFrame, key: str = "review_id", seed: int = 42) -> DataFrame:
-    return df.orderBy(dice(key, seed), key)
-
-
 def row_ids(df: DataFrame, order: list, name: str = "row_id") -> DataFrame:
     """Numbers from 0 over a total order, given before any filter so that they stay. Rows are dealt by ranges of the
     order and numbered within each; only one count for each range meets elsewhere. The ranges are written once, as both passes must see the same ones."""
@@ -100,14 +97,27 @@ def complete_groups(df: DataFrame, group: str, label: str, n: int) -> DataFrame:
     return df.groupBy(group).agg(F.count_if(F.col(label) == 1).alias("n_positive"), F.count_if(F.col(label) == 0).alias("n_negative")).where((F.col("n_positive") >= n) & (F.col("n_negative") >= n))
 
 
-def select_diverse(candidates: DataFrame, most: int = 20, per_genre: int = 6, per_profile: int = 2, overlap: int = 2, block: int = 200) -> DataFrame:
+def without_noise(items: Column, noise: list[str]) -> Column:
+    """Distinct items that say something about a game."""
+    return F.array_except(items, F.array(*map(F.lit, noise)).cast("array<string>"))
+
+
+def select_diverse(
+    candidates: DataFrame, most: int = 20, per_genre: int = 6, per_profile: int = 2, overlap: int = 2, block: int = 200,
+    noise_genres: list[str] = L.NOISE_GENRES, noise_tags: list[str] = L.NOISE_TAGS, excluded: list[int] = L.TRAINING_GAMES, complete: DataFrame | None = None,
+) -> DataFrame:
     """Greedy choice in order of ``ordinal`` (ties: game_id): a candidate (ordinal, game_id, genres, tags) is passed over without genres,
-    if its genre set or one of its genres is used up, or if it shares ``overlap`` tags with one already chosen.
+    if its genre set or one of its genres is used up, or if it shares ``overlap`` tags with one already chosen. Noise genres and tags count for nothing.
+
+    ``excluded`` games are no candidates, and with ``complete`` (a table with game_id, such as ``complete_groups`` gives) only its games are: a game
+    short of reviews uses nothing up, so it may as well be left out before.
 
     What the rows chosen so far rule out stays ruled out, so each round asks the table for the first ``block`` candidates that
     are still possible: the first of them is chosen for certain, and ``most`` rounds are enough whatever the table's size.
     """
-    rows = candidates.select("ordinal", "game_id", F.array_sort(F.array_distinct("genres")).alias("genres"), F.array_distinct("tags").alias("tags"))
+    rows = candidates.select("ordinal", "game_id", F.array_sort(without_noise(F.col("genres"), noise_genres)).alias("genres"), without_noise(F.col("tags"), noise_tags).alias("tags")).where(~F.col("game_id").isin(excluded))
+    if complete is not None:
+        rows = rows.join(complete.select("game_id").distinct(), "game_id", "left_semi").select("ordinal", "game_id", "genres", "tags")
     listed = lambda xs: F.array(*map(F.lit, xs)).cast("array<string>")
     kept: list = []
 

@@ -94,9 +94,9 @@ def d05_unmet(spark, d):
 
 @query(sql(f"""SELECT game_id, raw, n_valid, round(n_valid / raw, 6) AS pass_rate, used, span_days, round(used / span_days, 6) AS density FROM (SELECT game_id, count(*) AS raw, count(*) FILTER (WHERE v) AS n_valid FROM (SELECT *, {STAGE.format(other="'valid'")} = 'valid' AS v FROM reviews) GROUP BY 1)
     LEFT JOIN (SELECT game_id, count(*) AS used, CAST(date_diff('day', min(day), max(day)) + 1 AS BIGINT) AS span_days FROM (SELECT game_id, day, r, max(day) OVER (PARTITION BY game_id) AS latest FROM (
-        SELECT game_id, {DAY} AS day, row_number() OVER (PARTITION BY game_id ORDER BY timestamp_created DESC, review_id) AS r FROM reviews WHERE {STAGE.format(other="'valid'")} = 'valid')) WHERE r <= 20 AND date_diff('day', day, latest) <= 10 GROUP BY 1) USING (game_id)""", "reviews"))
+        SELECT game_id, {DAY} AS day, row_number() OVER (PARTITION BY game_id ORDER BY timestamp_created DESC, review_id) AS r FROM reviews WHERE {STAGE.format(other="'valid'")} = 'valid')) WHERE r <= 300 AND date_diff('day', day, latest) <= 180 GROUP BY 1) USING (game_id)""", "reviews"))
 def d06_review_density(spark, d):
-    return D.density(reviews(spark, d), quality.first_reason(F.col("review_text")).isNull(), most=20, days=10)
+    return D.density(reviews(spark, d), quality.first_reason(F.col("review_text")).isNull())
 
 
 @query(sql("SELECT game_id, round(avg(CAST(label AS DOUBLE)), 9) AS positive_ratio, count(*) AS n FROM labelled GROUP BY 1", *BASE))

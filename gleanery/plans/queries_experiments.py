@@ -45,10 +45,10 @@ def a20_success_rates(spark, d):
     return X.success_rates(curve(spark, d))
 
 
-@query(sql("""SELECT coalesce(w, m) AS optimal_size, CASE WHEN w IS NOT NULL THEN 'all' WHEN m IS NOT NULL THEN 'mean' ELSE 'none' END AS rule FROM (SELECT min(CASE WHEN worst >= 70 THEN data_size END) AS w, min(CASE WHEN mean >= 70 THEN data_size END) AS m
+@query(sql("""SELECT coalesce(w, m) AS optimal_size, CASE WHEN w IS NOT NULL THEN 'all' WHEN m IS NOT NULL THEN 'mean' ELSE 'none' END AS rule FROM (SELECT min(CASE WHEN worst >= 85 THEN data_size END) AS w, min(CASE WHEN mean >= 85 THEN data_size END) AS m
     FROM (SELECT data_size, min(test_acc) AS worst, avg(test_acc) AS mean FROM curve GROUP BY 1))""", *CURVE))
 def a21_optimal_size(spark, d):
-    return X.optimal_size(curve(spark, d), target=70.0)
+    return X.optimal_size(curve(spark, d), target=85.0)
 
 
 @query(sql("SELECT epoch, round(avg(CAST((run * 31 + epoch * epoch * 17) % 23 AS DOUBLE)), 9) AS mean_val_acc FROM (SELECT DISTINCT seed AS run FROM runs), (SELECT unnest(range(1, 11)) AS epoch) GROUP BY epoch", *RUNS))

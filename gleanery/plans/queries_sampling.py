@@ -2,6 +2,8 @@
 
 from pyspark.sql import functions as F
 
+from gleanery.functions import lexicon as L
+from gleanery.functions import text as T
 from gleanery.operators import sampling as S
 from gleanery.plans.base import query, sql
 from gleanery.plans.queries_evaluation import SPLIT
@@ -15,9 +17,9 @@ def s04_recent(spark, d):
     return reviews(spark, d).select("review_id", "timestamp_created").orderBy(F.desc("timestamp_created"), "review_id").limit(100)
 
 
-@query(sql("SELECT review_id, game_id, label FROM labelled QUALIFY row_number() OVER (PARTITION BY game_id, label ORDER BY timestamp_created DESC, review_id) <= 3", *BASE))
+@query(sql("SELECT review_id, game_id, label FROM labelled QUALIFY row_number() OVER (PARTITION BY game_id, label ORDER BY timestamp_created DESC, review_id) <= 50", *BASE))
 def s05_balanced_reviews(spark, d):
-    return S.recent_balanced(labelled(spark, d), 3).select("review_id", "game_id", "label")
+    return S.recent_balanced(labelled(spark, d)).select("review_id", "game_id", "label")
 
 
 BALANCED = """SELECT review_id, label FROM (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5(review_id || '|42'), review_id) AS r FROM {0})
@@ -66,7 +68,8 @@ def w13_until_target(spark, d):
 
 @query(sql("SELECT review_id FROM reviews QUALIFY row_number() OVER (PARTITION BY review_text ORDER BY review_id) = 1", "reviews"))
 def j07_first_seen(spark, d):
-    return S.first_seen(reviews(spark, d), ["review_text"], [F.col("review_id")]).select("review_id")
+    keyed = reviews(spark, d).select("review_id", T.digest(F.col("review_text")).alias("text_key"))
+    return S.first_seen(keyed, ["text_key"], [F.col("review_id")]).select("review_id")
 
 
 #: Games with more reviews than the mean game.
@@ -115,21 +118,28 @@ def part_games(spark, d):
     return table(spark, d, "part").select(F.col("p_partkey").alias("game_id"), F.array_distinct(F.concat(F.array("p_type"), words)).alias("genres"), tags.alias("tags"))
 
 
-@query(f"SELECT a.game_id AS game_a, b.game_id AS game_b, count(*) AS shared FROM (SELECT game_id, unnest(tags) AS tag FROM ({PARTS})) a JOIN (SELECT game_id, unnest(tags) AS tag FROM ({PARTS})) b ON a.tag = b.tag AND a.game_id < b.game_id GROUP BY 1, 2 HAVING count(*) >= 2")
+REAL = f"(SELECT game_id, list_filter(tags, lambda t: t NOT IN ({', '.join(repr(t) for t in L.NOISE_TAGS)})) AS tags FROM ({PARTS}))"
+
+
+@query(f"SELECT a.game_id AS game_a, b.game_id AS game_b, count(*) AS shared FROM (SELECT game_id, unnest(tags) AS tag FROM {REAL}) a JOIN (SELECT game_id, unnest(tags) AS tag FROM {REAL}) b ON a.tag = b.tag AND a.game_id < b.game_id GROUP BY 1, 2 HAVING count(*) >= 2")
 def j11_similar_games(spark, d):
     """Joined on pairs of tags, which few games share, not on single ones."""
     pairs = "flatten(transform(tags, (a, i) -> transform(slice(tags, i + 2, size(tags)), b -> struct(a, b))))"
-    rows = part_games(spark, d).select("game_id", F.array_sort("tags").alias("tags")).select("game_id", "tags", F.explode(F.expr(pairs)).alias("pair"))
+    rows = part_games(spark, d).select("game_id", F.array_sort(S.without_noise(F.col("tags"), L.NOISE_TAGS)).alias("tags")).select("game_id", "tags", F.explode(F.expr(pairs)).alias("pair"))
     other = rows.select(F.col("game_id").alias("game_b"), F.col("tags").alias("tags_b"), "pair")
     found = rows.select(F.col("game_id").alias("game_a"), "tags", "pair").join(other, "pair").where("game_a < game_b")
     return found.select("game_a", "game_b", F.size(F.array_intersect("tags", "tags_b")).cast("long").alias("shared")).distinct()
 
 
+def part_reviews(spark, d):
+    return table(spark, d, "lineitem").select(F.col("l_partkey").alias("game_id"), F.when(F.col("l_returnflag") == "R", 0).otherwise(1).alias("label"))
+
+
 @query()
 def g01_diverse_games(spark, d):
-    """Greedy choice among all parts; a test holds it against a plain loop."""
+    """Greedy choice among all parts with five returned and five kept line items, which stand for negative and positive reviews; a test holds it against a plain loop."""
     games = part_games(spark, d).withColumn("ordinal", F.pmod(F.xxhash64("game_id"), F.lit(1 << 40)))
-    return S.select_diverse(games).select("game_id", F.array_join("genres", ",").alias("genres"))
+    return S.select_diverse(games, complete=S.complete_groups(part_reviews(spark, d), "game_id", "label", 5)).select("game_id", F.array_join("genres", ",").alias("genres"))
 
 
 @query(f"SELECT genre, count(*) AS n FROM (SELECT unnest(genres) AS genre FROM ({PARTS})) GROUP BY genre")

@@ -120,12 +120,38 @@ def f04_valid_reviews(spark, d):
     return quality.valid_reviews(reviews(spark, d)).select("review_id")
 
 
-@query()
+#: Naive Bayes over character trigrams in SQL: profiles of the reviews whose id isn't divisible by five, posterior of English for the rows of ``asked``.
+GRAMS = "SELECT {keys}, lower(substr(review_text, i, 3)) AS gram FROM (SELECT {keys}, review_text, unnest(range(1, greatest(length(review_text) - 2, 1) + 1)) AS i FROM {rows})"
+SCORED_EN = f"""counts AS (SELECT language, gram, count(*) AS c FROM ({GRAMS.format(keys='language', rows='(SELECT * FROM reviews WHERE review_id % 5 <> 0 AND review_text IS NOT NULL AND language IS NOT NULL)')}) GROUP BY 1, 2),
+    totals AS (SELECT language, sum(c) AS total FROM counts GROUP BY 1), floors AS (SELECT language, ln(1.0 / (total + 300)) AS floor FROM totals),
+    known AS (SELECT language, gram, ln((CAST(c AS DOUBLE) + 1) / (total + 300)) - floor AS gain FROM (SELECT *, row_number() OVER (PARTITION BY language ORDER BY c DESC, gram) AS r FROM counts) JOIN totals USING (language) JOIN floors USING (language) WHERE r <= 300),
+    asked_grams AS (SELECT review_id, gram, count(*) AS c FROM ({GRAMS.format(keys='review_id', rows='asked')}) GROUP BY 1, 2),
+    sums AS (SELECT review_id, language, sum(c * gain) AS gain FROM asked_grams JOIN known USING (gram) GROUP BY 1, 2),
+    posts AS (SELECT a.review_id, f.language, (length(a.review_text) - 2) * floor + coalesce(gain, 0) AS s FROM asked a CROSS JOIN floors f LEFT JOIN sums u ON u.review_id = a.review_id AND u.language = f.language),
+    tops AS (SELECT *, max(s) OVER (PARTITION BY review_id) AS m FROM posts),
+    english AS (SELECT review_id, sum(CASE WHEN language = 'en' THEN exp(s - m) ELSE 0 END) / sum(exp(s - m)) AS p FROM tops GROUP BY 1)"""
+PASSED = f"SELECT * FROM reviews WHERE {STAGE.format(other="'valid'")} = 'valid'"
+
+
+def english(asked: str, body: str) -> str:
+    return sql("SELECT 1", "reviews").replace(" SELECT 1", f", asked AS ({asked}), {SCORED_EN} {body}")
+
+
+def learned(spark, d):
+    """Profiles of the reviews whose id isn't divisible by five; the others are judged unseen."""
+    return quality.language_profiles(reviews(spark, d).where("review_id % 5 <> 0"))
+
+
+@query(english(PASSED, "SELECT review_id, round(p, 6) AS p_en FROM english WHERE p >= 0.8"))
 def f04_valid_english(spark, d):
-    """All stages, the language score last; the score comes from every row, its profiles from the labelled ones."""
-    rows = reviews(spark, d)
-    scores = quality.language_scores(rows, quality.language_profiles(rows)).where("language = 'en'").select("review_id", "p")
-    return quality.valid_reviews(rows.join(scores, "review_id", "left"), language_score=F.col("p")).select("review_id", F.round("p", 9).alias("p_en"))
+    """All stages, the language score last and only for rows that pass the others."""
+    return quality.valid_reviews(reviews(spark, d), language_score=quality.english_score(learned(spark, d))).select("review_id", F.round("p_en", 6).alias("p_en"))
+
+
+@query(english(PASSED, f"""SELECT stage, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (
+    SELECT CASE WHEN {STAGE.format(other="'valid'")} <> 'valid' THEN {STAGE.format(other="'valid'")} WHEN coalesce(p, 0) < 0.8 THEN 'not_english' ELSE 'valid' END AS stage FROM reviews LEFT JOIN english USING (review_id)) GROUP BY 1"""))
+def f05_funnel_with_language(spark, d):
+    return quality.funnel(reviews(spark, d), language_score=quality.english_score(learned(spark, d)))
 
 
 @query(sql(f"SELECT stage, count(*) AS n, round(count(*) / sum(count(*)) OVER (), 6) AS share FROM (SELECT {STAGE.format(other="'valid'")} AS stage FROM reviews) GROUP BY stage", "reviews"))
@@ -157,9 +183,14 @@ def f09_successful_runs(spark, d):
     return rows.where(F.coalesce("error", F.lit("")) == "").agg(F.count("*").alias("n"))
 
 
-@query(sql("SELECT review_id FROM reviews WHERE game_id NOT IN (0, 3, 5)", "reviews"))
+#: The first seven games stand for the seven that models were trained on.
+APP = f"CASE {' '.join(f'WHEN game_id = {i} THEN {a}' for i, a in enumerate(L.TRAINING_GAMES))} ELSE game_id END"
+
+
+@query(sql(f"SELECT review_id, {APP} AS app_id FROM reviews WHERE {APP} NOT IN ({', '.join(map(str, L.TRAINING_GAMES))})", "reviews"))
 def f10_excluded_games(spark, d):
-    return reviews(spark, d).where(~F.col("game_id").isin(0, 3, 5)).select("review_id")
+    rows = reviews(spark, d).select("review_id", F.expr(APP).cast("long").alias("app_id"))
+    return rows.where(~F.col("app_id").isin(L.TRAINING_GAMES))
 
 
 STOP = ", ".join(map(lit, L.STOPWORDS + L.CONTRACTION_FRAGMENTS))
@@ -219,12 +250,9 @@ def n07_assign_tags(spark, d):
     return reviews(spark, d).select("review_id", F.array_join(T.tags(F.col("review_text")), ",").alias("tags"))
 
 
-@query()
+@query(english("SELECT * FROM reviews WHERE length(review_text) >= 3", "SELECT review_id, round(p, 6) AS p_en FROM english"))
 def n08_language_score(spark, d):
-    rows = reviews(spark, d)
-    train = rows.where("review_id % 5 <> 0")
-    scores = quality.language_scores(rows, quality.language_profiles(train))
-    return scores.where("language = 'en'").select("review_id", F.col("p").alias("p_en"))
+    return quality.score_column(reviews(spark, d).where("length(review_text) >= 3"), learned(spark, d)).select("review_id", F.round("p_en", 6).alias("p_en"))
 
 
 @query(sql(f"SELECT review_id, round({LETTERS} / length(review_text), 6) AS share FROM reviews WHERE length(review_text) > 0", "reviews"))

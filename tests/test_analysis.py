@@ -302,3 +302,28 @@ def test_lag_correlation_finds_the_lead(spark):
     got = {(x.g, x.lag): x for x in D.lag_correlation(spark.createDataFrame(rows, "g string, date date, a double, b double"), ["g"], "a", "b", 5).collect()}
     assert got["x", 3].correlation > 0.99 and max((v.correlation, k) for k, v in got.items() if k[0] == "x")[1] == ("x", 3)
     assert got["x", 3].n == 57 and all(v.correlation is None for k, v in got.items() if k[0] == "flat")
+
+
+def test_diverse_choice_without_noise_and_quota(spark):
+    rows = [(1, 730, ["Action"], ["a"]), (2, 20, ["Indie", "Early Access"], ["b"]), (3, 30, ["Indie", "Action"], ["Singleplayer", "Surreal", "c"]), (4, 40, ["Puzzle"], ["Singleplayer", "Surreal", "d"]), (5, 50, ["Racing"], ["e"])]
+    candidates = spark.createDataFrame(rows, "ordinal long, game_id long, genres array<string>, tags array<string>")
+    labels = spark.createDataFrame([(g, y) for g in (730, 20, 30, 40) for y in (0, 1)] + [(50, 1)], "game_id long, label int")
+    got = sampling.select_diverse(candidates, complete=sampling.complete_groups(labels, "game_id", "label", 1)).collect()
+    assert [(r.game_id, r.genres, r.tags) for r in got] == [(30, ["Action"], ["c"]), (40, ["Puzzle"], ["d"])]
+    assert [r.game_id for r in sampling.select_diverse(candidates, noise_genres=[], noise_tags=[], excluded=[]).collect()] == [730, 20, 30, 50]
+
+
+def test_language_stage_is_asked_last(spark):
+    from gleanery.operators import quality
+
+    text = {"en": "the game is good and the story holds up to the end", "fr": "le jeu est bon et la fin de cette histoire aussi"}
+    train = spark.createDataFrame([(k, t) for k, t in text.items()] * 3, "language string, review_text string")
+    score = quality.english_score(quality.language_profiles(train))
+    rows = spark.createDataFrame([(1, text["en"]), (2, text["fr"]), (3, None), (4, "short"), (5, "été " * 20), (6, "12345 67890 12345 67890")], "review_id long, review_text string")
+    assert {r.review_id for r in quality.valid_reviews(rows, language_score=score).collect()} == {1}
+    got = {r.stage: r.n for r in quality.funnel(rows, language_score=score).collect()}
+    assert got == {"valid": 1, "not_english": 1, "empty": 1, "too_short": 1, "non_ascii": 1, "few_letters": 1}
+    none = quality.english_score(spark.createDataFrame([], "language string, gram string, logp double"))
+    assert quality.valid_reviews(rows, language_score=none).collect() == []
+    p = {r.language: r.p for r in quality.language_scores(rows.where("review_id = 2"), quality.language_profiles(train)).collect()}
+    assert set(p) == {"en", "fr"} and p["fr"] > 0.99 and abs(sum(p.values()) - 1) < 1e-9
