@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import re
+from functools import reduce
+from operator import or_
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -70,36 +72,60 @@ def tokens(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit("([a-z']+)"), 1)
 
 
+def holds(text: Column, parts: list[str]) -> Column:
+    """Whether a text has one of ``parts`` anywhere: a cheap condition that a pattern needs, asked before it."""
+    return reduce(or_, [text.contains(p) for p in parts])
+
+
 def double_negation(text: Column) -> Column:
     """A negative word within five tokens after a negation."""
     bad = F.array(*map(F.lit, L.BAD_AFTER_NEGATION))
     near = lambda found: F.transform(found, lambda x, i: x.isin(L.NEGATION) & F.arrays_overlap(F.slice(found, i + 2, F.lit(5)), bad))
-    return let(tokens(text), lambda found: F.exists(near(found), lambda x: x))
+    return holds(F.lower(text), L.BAD_AFTER_NEGATION) & let(tokens(text), lambda found: F.exists(near(found), lambda x: x))
 
 
 def all_caps(text: Column, share: float = 0.5) -> Column:
     """Ten letters or more, of which at least ``share`` are upper case."""
-    letters = F.length(F.regexp_replace(text, r"[^\p{L}]", ""))
-    return (letters >= 10) & (F.length(F.regexp_replace(text, r"[^\p{Lu}]", "")) / F.nullif(letters, F.lit(0)) >= share)
+    letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
+    upper = F.length(text) - F.length(F.regexp_replace(text, r"\p{Lu}+", ""))
+    return let(F.struct(letters.alias("n"), upper.alias("u")), lambda v: (v["n"] >= 10) & (v["u"] >= share * v["n"]))
 
 
-def tag_rules(text: Column) -> dict[str, Column]:
-    low = F.lower(text)
+WORD_LISTS = (L.NEGATION, L.CONTRASTIVE, L.STRONG_NEGATIVE, L.SLANG, L.BUG_CRASH, L.DEV_CRITICISM, L.DLC_MONETIZATION)
+PLAIN_WORDS = [w for w in dict.fromkeys(w for words in WORD_LISTS for w in words) if w.isalnum()]
+
+
+def word_hits(low: Column) -> Column:
+    """Distinct words of a lower-case text that one of WORD_LISTS has: one pass for all lists. A word is what lies between two word borders."""
+    found = F.regexp_extract_all(low, F.lit(r"([\p{L}\p{Nd}_][\p{L}\p{Nd}_\p{Mn}]*)"), 1)
+    return F.array_distinct(F.filter(found, lambda w: w.isin(PLAIN_WORDS)))
+
+
+def tag_rules(text: Column, low: Column | None = None, hits: Column | None = None) -> dict[str, Column]:
+    """A condition for each tag; ``low`` and ``hits`` are the lower-case text and its ``word_hits``, if there are any already. Patterns are only tried on texts that hold a part they need."""
+    low = F.lower(text) if low is None else low
+    hits = word_hits(low) if hits is None else hits
     either = lambda t, patterns: t.rlike("|".join(f"(?:{p})" for p in patterns))
+
+    def listed(words: list[str]) -> Column:
+        plain, phrases = [w for w in words if w.isalnum()], [w for w in words if not w.isalnum()]
+        found = F.arrays_overlap(hits, F.array(*map(F.lit, plain)))
+        return found | (holds(low, phrases) & contains_any(low, phrases)) if phrases else found
+
     return {
-        "negation": contains_any(low, L.NEGATION),
+        "negation": listed(L.NEGATION),
         "double_negation": double_negation(text),
-        "contrastive": contains_any(low, L.CONTRASTIVE),
-        "strong_negative": contains_any(low, L.STRONG_NEGATIVE),
-        "rating_symbol": either(text, L.RATING_SYMBOL),
-        "slang": contains_any(low, L.SLANG),
-        "emoticon": either(text, [L.EMOJI, L.EMOTICON]),
-        "conditional": either(low, L.CONDITIONAL),
-        "sarcasm_marker": either(low, L.SARCASM_MARKER),
-        "temporal_shift": either(low, L.TEMPORAL_SHIFT),
-        "bug_crash": contains_any(low, L.BUG_CRASH),
-        "dev_criticism": contains_any(low, L.DEV_CRITICISM),
-        "dlc_monetization": contains_any(low, L.DLC_MONETIZATION),
+        "contrastive": listed(L.CONTRASTIVE),
+        "strong_negative": listed(L.STRONG_NEGATIVE),
+        "rating_symbol": holds(text, ["★", "/10", "100%"]) & either(text, L.RATING_SYMBOL),
+        "slang": listed(L.SLANG),
+        "emoticon": ((F.length(text) != F.octet_length(text)) & text.rlike(L.EMOJI)) | (text.rlike("[:;=8<>^_]|[xX]D") & text.rlike(L.EMOTICON)),
+        "conditional": holds(low, ["would", "could", "should", "might", "if only"]) & either(low, L.CONDITIONAL),
+        "sarcasm_marker": holds(low, ['"', "/s", "oh", "yeah", "what a "]) & either(low, L.SARCASM_MARKER),
+        "temporal_shift": holds(low, ["used to", "until ", "no longer", "ever since", "nowadays", "these days", "back "]) & either(low, L.TEMPORAL_SHIFT),
+        "bug_crash": listed(L.BUG_CRASH),
+        "dev_criticism": listed(L.DEV_CRITICISM),
+        "dlc_monetization": listed(L.DLC_MONETIZATION),
         "all_caps": all_caps(text),
         "short_text": F.length(text) < 50,
         "long_text": F.length(text) >= 300,
@@ -108,9 +134,14 @@ def tag_rules(text: Column) -> dict[str, Column]:
 
 def tags(text: Column) -> Column:
     """All tags that fit a text, in the order of TAGS; none for null and empty texts."""
-    rules = tag_rules(text)
-    found = F.array_compact(F.array(*[F.when(rules[t], F.lit(t)) for t in L.TAGS]))
-    return F.when(F.length(F.coalesce(text, F.lit(""))) > 0, found).otherwise(F.array().cast("array<string>"))
+
+    def found(v: Column) -> Column:
+        rules = tag_rules(text, v["low"], v["hits"])
+        return F.array_compact(F.array(*[F.when(rules[t], F.lit(t)) for t in L.TAGS]))
+
+    low = F.lower(text)
+    each = let(F.struct(low.alias("low"), word_hits(low).alias("hits")), found)
+    return F.when(F.length(F.coalesce(text, F.lit(""))) > 0, each).otherwise(F.array().cast("array<string>"))
 
 
 def preview(text: Column, size: int = 80) -> Column:

@@ -45,10 +45,14 @@ def english_reviews(df: DataFrame, column: str = "review_text") -> DataFrame:
     return df.where(T.is_english(F.col(column)))
 
 
-def valid_reviews(df: DataFrame, column: str = "review_text", language_score: Callable[[DataFrame], DataFrame] | None = None, least: float = 0.8, **limits) -> DataFrame:
-    """Rows that pass all checks. ``language_score`` gives the rows it gets a column ``p_en``; it is only asked of rows that pass the native checks."""
+def valid_reviews(df: DataFrame, column: str = "review_text", language_score: Column | Callable[[DataFrame], DataFrame] | None = None, least: float = 0.8, **limits) -> DataFrame:
+    """Rows that pass all checks. ``language_score`` is a column, which may be a UDF, or a function that gives the rows it gets a column ``p_en``; it is
+    only asked of rows that pass the native checks."""
     passed = df.where(first_reason(F.col(column), **limits).isNull())
-    return passed if language_score is None else language_score(passed).where(F.coalesce(F.col("p_en") >= least, F.lit(False)))
+    if language_score is None:
+        return passed
+    rows, score = (passed, language_score) if isinstance(language_score, Column) else (language_score(passed), F.col("p_en"))
+    return rows.where(F.coalesce(score >= least, F.lit(False)))
 
 
 def english_counts(df: DataFrame, column: str = "review_text") -> DataFrame:
