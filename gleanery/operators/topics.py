@@ -31,11 +31,12 @@ def assign(vectors: DataFrame, k: int, min_size: int = 10, keep: float = 0.95, k
 
 
 def term_counts(docs: DataFrame, terms: Column, min_df: int = 2) -> DataFrame:
-    """(topic_id, term, tf) over terms that at least ``min_df`` documents hold; docs: review_id, topic_id, review_text."""
-    rows = T.unnest(docs, terms, "term", "review_id", "topic_id")
-    per_doc = rows.groupBy("review_id", "topic_id", "term").agg(F.count("*").alias("tf"))
-    common = per_doc.groupBy("term").agg(F.count("*").alias("df")).where(F.col("df") >= min_df).select("term")
-    return per_doc.join(common, "term").groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"))
+    """(topic_id, term, tf) over terms that at least ``min_df`` documents hold; docs: topic_id and what ``terms`` needs. Repeats are counted within their row, rows are
+    added up by topic and term before they meet others of the term: at most one a topic."""
+    rows = docs.select("topic_id", F.explode(T.counted(terms)).alias("t"))
+    own = rows.groupBy("topic_id", F.col("t.item").alias("term")).agg(F.sum("t.n").alias("tf"), F.count("*").alias("df"))
+    held = own.withColumn("df", F.sum("df").over(Window.partitionBy("term")))
+    return held.where(F.col("df") >= min_df).select("topic_id", "term", "tf")
 
 
 def class_tfidf(counts: DataFrame) -> DataFrame:

@@ -272,8 +272,8 @@ TERMS = f"""SELECT review_id, unnest(list_concat(w, list_transform(range(1, grea
 
 @query(sql(f"SELECT term, count(*) AS tf, count(DISTINCT review_id) AS df FROM ({TERMS}) GROUP BY term HAVING count(DISTINCT review_id) >= 2", "reviews"))
 def n11_count_vectorizer(spark, d):
-    per_doc = T.unnest(reviews(spark, d), T.terms(F.col("review_text")), "term", "review_id").groupBy("review_id", "term").agg(F.count("*").alias("c"))
-    return per_doc.groupBy("term").agg(F.sum("c").alias("tf"), F.count("*").alias("df")).where("df >= 2")
+    rows = reviews(spark, d).select(F.explode(T.counted(T.terms(F.col("review_text")))).alias("t"))
+    return rows.groupBy(F.col("t.item").alias("term")).agg(F.sum("t.n").alias("tf"), F.count("*").alias("df")).where("df >= 2")
 
 
 @query(sql("SELECT review_id, least(len(t), 128) AS n_tokens, greatest(128 - len(t), 0) AS n_padding FROM (SELECT review_id, regexp_extract_all(lower(review_text), '[a-z'']+') AS t FROM reviews)", "reviews"))

@@ -132,3 +132,10 @@ def test_terms_and_double_negation_are_linear(spark):
 
     seconds(100)
     assert seconds(40_000) < 6 * max(seconds(10_000), 0.5)
+
+
+def test_counted_items(spark):
+    data = [["b", "a", "b", "c", "b"], [], None, ["x"], ["k"] * 5000]
+    df = spark.createDataFrame([(i, d) for i, d in enumerate(data)], "id int, items array<string>")
+    got = {r.id: r.c and [tuple(x) for x in r.c] for r in df.select("id", T.counted(F.col("items")).alias("c")).collect()}
+    assert got == {0: [("a", 1), ("b", 3), ("c", 1)], 1: None, 2: None, 3: [("x", 1)], 4: [("k", 5000)]}
