@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
-from gleanery.operators import errors, experiments, models, neural, sampling
+from gleanery.operators import adaptation, errors, experiments, models, neural, sampling
 from gleanery.operators import topics as P
 from gleanery.plans.base import query, sql
 from gleanery.plans.queries_text import TERMS
@@ -127,6 +127,33 @@ def m01_sentiment_scores(spark, d):
     return models.score(every, models.fit(train))
 
 
+#: A masked-token model of the reviews of even games, before and after the counts of odd games' reviews are added; asked about masked tokens of odd games' held-out reviews.
+MASKED = """places AS (SELECT review_id, game_id, pos - 1 AS pos, coalesce(CASE WHEN pos > 1 THEN t[pos - 1] END, '') AS l, t[pos] AS w, coalesce(t[pos + 1], '') AS r
+        FROM (SELECT review_id, game_id, t, unnest(range(1, len(t) + 1)) AS pos FROM (SELECT review_id, game_id, regexp_extract_all(lower(review_text), '[a-z'']+') AS t FROM reviews))),
+    held AS (SELECT l, w, r FROM places WHERE game_id % 2 = 1 AND review_id % 5 = 0 AND (review_id * 7919 + pos * 104729 + review_id * pos * 31 + 42) % 100 < 15),
+    learned AS (SELECT 'before' AS model, l, w, r FROM places WHERE game_id % 2 = 0 UNION ALL SELECT 'after', l, w, r FROM places WHERE game_id % 2 = 0 OR review_id % 5 <> 0),
+    total AS (SELECT model, count(*) AS n, count(DISTINCT w) AS v FROM learned GROUP BY 1),
+    ltr AS (SELECT model, l, w, r, count(*) AS c FROM learned GROUP BY ALL), lr AS (SELECT model, l, r, count(*) AS c FROM learned GROUP BY ALL), lt AS (SELECT model, l, w, count(*) AS c FROM learned GROUP BY ALL),
+    tr AS (SELECT model, w, r, count(*) AS c FROM learned GROUP BY ALL), sl AS (SELECT model, l, count(*) AS c FROM learned GROUP BY ALL), sr AS (SELECT model, r, count(*) AS c FROM learned GROUP BY ALL), st AS (SELECT model, w, count(*) AS c FROM learned GROUP BY ALL),
+    p AS (SELECT o.model, (coalesce(ltr.c, 0) + 2 * (coalesce(lt.c, 0) + coalesce(tr.c, 0) + 2 * (coalesce(st.c, 0) + 1) / (n + v + 1)) / (coalesce(sl.c, 0) + coalesce(sr.c, 0) + 2)) / (coalesce(lr.c, 0) + 2) AS p
+        FROM held h CROSS JOIN total o LEFT JOIN ltr ON ltr.model = o.model AND ltr.l = h.l AND ltr.w = h.w AND ltr.r = h.r LEFT JOIN lr ON lr.model = o.model AND lr.l = h.l AND lr.r = h.r
+        LEFT JOIN lt ON lt.model = o.model AND lt.l = h.l AND lt.w = h.w LEFT JOIN tr ON tr.model = o.model AND tr.w = h.w AND tr.r = h.r LEFT JOIN sl ON sl.model = o.model AND sl.l = h.l
+        LEFT JOIN sr ON sr.model = o.model AND sr.r = h.r LEFT JOIN st ON st.model = o.model AND st.w = h.w)
+    SELECT model, count(*) AS n, round(exp(-avg(ln(p))), 4) AS perplexity FROM p GROUP BY 1"""
+
+
+@query(sql("SELECT 1", "reviews").replace(" SELECT 1", f", {MASKED}"))
+def m07_masked_perplexity(spark, d):
+    """Perplexity of masked tokens before and after adaptation to the domain."""
+    places = materialize(adaptation.contexts(reviews(spark, d)).join(reviews(spark, d).select("review_id", "game_id"), "review_id"))
+    odd, held_out = F.col("game_id") % 2 == 1, F.col("review_id") % 5 == 0
+    held = places.where(odd & held_out & adaptation.masked(F.col("review_id"), F.col("pos")))
+    general = materialize(adaptation.context_counts(places.where(~odd)))
+    after = materialize(adaptation.adapted(general, adaptation.context_counts(places.where(odd & ~held_out))))
+    both = [adaptation.perplexity(held, counts).select(F.lit(name).alias("model"), "n", F.round("perplexity", 4).alias("perplexity")) for name, counts in (("before", general), ("after", after))]
+    return both[0].unionByName(both[1])
+
+
 def trained(spark, d):
     """(network, history) of the labelled reviews' own training, validation and test splits."""
     return neural.train(neural.prepare(sampling.stratified_split(labelled(spark, d))))
