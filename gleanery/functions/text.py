@@ -197,3 +197,10 @@ def unescape_entities(text: Column) -> Column:
     for entity, sign in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(entity), F.lit(sign))
     return text
+
+
+def page_tags(html: Column, css_class: str | None = "app_tag", most: int = 6) -> Column:
+    """Texts of the first ``most`` anchors of a class (None: of any), entities undone, empty ones left out."""
+    opening = "<a[^>]*>" if css_class is None else f'class="{re.escape(css_class)}"[^>]*>'
+    found = F.transform(F.regexp_extract_all(html, F.lit(opening + "([^<]*)</a>"), 1), lambda x: F.regexp_replace(unescape_entities(x), r"^\s+|\s+$", ""))
+    return F.slice(F.filter(found, lambda x: x != ""), 1, most)

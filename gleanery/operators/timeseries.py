@@ -63,10 +63,10 @@ def demand(df: DataFrame) -> DataFrame:
 
 
 def topic_kind(text: Column) -> Column:
-    """What a review's complaint is about: quality and operations, business, or a game element."""
+    """What a review's complaint is about: quality and operations (defects, how the makers act), business (price and payment), or a game element."""
     low = F.lower(F.coalesce(text, F.lit("")))
-    business = T.contains_any(low, L.DLC_MONETIZATION) | T.contains_any(low, L.DEV_CRITICISM)
-    return F.when(T.contains_any(low, L.BUG_CRASH), "quality").when(business, "business").otherwise("element")
+    quality = T.contains_any(low, L.BUG_CRASH) | T.contains_any(low, L.DEV_CRITICISM)
+    return F.when(quality, "quality").when(T.contains_any(low, L.DLC_MONETIZATION), "business").otherwise("element")
 
 
 def topic_kinds(df: DataFrame) -> DataFrame:

@@ -78,7 +78,7 @@ def d03_trend(spark, d):
     return D.trend(daily(spark, d), ["event_type"])
 
 
-KIND = f"CASE WHEN {WORDS(L.BUG_CRASH)} THEN 'quality' WHEN {WORDS(L.DLC_MONETIZATION)} OR {WORDS(L.DEV_CRITICISM)} THEN 'business' ELSE 'element' END"
+KIND = f"CASE WHEN {WORDS(L.BUG_CRASH)} OR {WORDS(L.DEV_CRITICISM)} THEN 'quality' WHEN {WORDS(L.DLC_MONETIZATION)} THEN 'business' ELSE 'element' END"
 VOTES = f"SELECT CAST(review_id % 12 - 1 AS INTEGER) AS topic_id, {KIND} AS kind, label FROM labelled"
 
 

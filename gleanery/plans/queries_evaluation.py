@@ -97,10 +97,12 @@ def e01_mcnemar(spark, d):
     return rounded(E.mcnemar(labelled(spark, d), "pred_a", "pred_b"), ["p_value"], 6)
 
 
-@query(MCNEMAR.format("SELECT a.range AS only_a, b.range * 7 AS only_b FROM range(0, 60, 5) a, range(0, 12) b"))
+@query(sql(MCNEMAR.format(f"SELECT game_id, language, {PAIRED} FROM labelled GROUP BY game_id, language"), *BASE))
 def e01_mcnemar_grid(spark, d):
-    grid = spark.range(0, 60, 5).withColumnRenamed("id", "only_a").crossJoin(spark.range(0, 12).select((F.col("id") * 7).alias("only_b")))
-    return grid.select("only_a", "only_b", (F.col("only_a") + F.col("only_b")).alias("discordant"), F.round(stats.mcnemar_p(F.col("only_a"), F.col("only_b")), 6).alias("p_value"))
+    """The exact test in every cell of game and language."""
+    wins = lambda a, b: F.count_if((F.col(a) == F.col("label")) & (F.col(b) != F.col("label")))
+    cells = labelled(spark, d).groupBy("game_id", "language").agg(wins("pred_a", "pred_b").alias("only_a"), wins("pred_b", "pred_a").alias("only_b"))
+    return cells.select("*", (F.col("only_a") + F.col("only_b")).alias("discordant"), F.round(stats.mcnemar_p(F.col("only_a"), F.col("only_b")), 6).alias("p_value"))
 
 
 THREE = [("pred_a", "pred_b"), ("pred_a", "pred_c"), ("pred_b", "pred_c")]

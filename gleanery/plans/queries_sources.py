@@ -33,8 +33,8 @@ UNESCAPE = "replace(replace(replace(replace(replace(x, '&lt;', '<'), '&gt;', '>'
 
 @query(f"SELECT page_id, array_to_string(list_filter(list_transform(regexp_extract_all(html, '<a[^>]*>([^<]*)</a>', 1), lambda x: trim({UNESCAPE})), lambda x: x <> '')[1:6], '|') AS tags FROM pages")
 def s07_page_tags(spark, d):
-    found = F.transform(F.regexp_extract_all("html", F.lit("<a[^>]*>([^<]*)</a>"), 1), lambda x: F.trim(T.unescape_entities(x)))
-    return table(spark, d, "pages").select("page_id", F.array_join(F.slice(F.filter(found, lambda x: x != ""), 1, 6), "|").alias("tags"))
+    """Texts of a page's anchors; these pages mark none as a tag, so anchors of any class count."""
+    return table(spark, d, "pages").select("page_id", F.array_join(T.page_tags(F.col("html"), None), "|").alias("tags"))
 
 
 @query("SELECT doc_id, md5(text) AS digest, n_chars FROM documents")
@@ -80,15 +80,6 @@ def s21_snapshot_log(spark, d):
     return spark.read.parquet(path).select("game_id", F.date_format("day", "yyyy-MM-dd").alias("day"), "players")
 
 
-class DemoFeed:
-    """A feed without a network: pages of numbered reviews, every fourth too short to keep."""
-
-    def page(self, key: str, cursor: str, size: int):
-        start = 0 if cursor == "*" else int(cursor)
-        rows = [{"review_text": f"review {i} of game {key}" if i % 4 else "no", "voted_up": i % 2 == 0, "votes_up": i, "language": "english", "timestamp_created": 1704067200 + i, "author": str(i)} for i in range(start, min(start + size, 400))]
-        return rows, str(start + size) if start + size < 400 else None
-
-
 def written_pages(spark, d, order: list) -> str:
     """``documents`` as raw reviews on pages of 100, a folder for each game."""
     path = new_folder(spark)
@@ -130,8 +121,10 @@ def s15_committed_batches(spark, d):
     return committed.read(spark, path).groupBy("day").agg(F.count("*").alias("n"), F.countDistinct("event_type").alias("n_types"), F.sum("event_id").alias("ids"))
 
 
-@query()
+@query(sql("SELECT game_name AS game, count(*) AS n, CAST(sum(review_id) AS BIGINT) AS ids FROM reviews WHERE length(review_text) >= 10 GROUP BY 1", "reviews"))
 def s03_paged_source(spark, d):
-    """Reviews of three games through the paged source; no table is read, so the result is the same at every size."""
-    paged.register(spark, DemoFeed())
-    return spark.read.format("paged_reviews").options(keys="10,20,30", most="120", min_length="10", language="english", pause="0").load()
+    """All reviews of ten characters or more of each game through the paged source, as no game has more than its rows."""
+    rows = reviews(spark, d)
+    paged.register(spark, paged.FolderFeed(written_pages(spark, d, [F.col("author").cast("long")])), "paged_all")
+    found = spark.read.format("paged_all").options(keys=games_of(spark, d), most=str(rows.count()), min_length="10", pause="0").load()
+    return found.groupBy("game").agg(F.count("*").alias("n"), F.sum(F.col("author").cast("long")).alias("ids"))

@@ -197,12 +197,27 @@ def test_backoff():
 
 
 def test_paged_source(spark):
-    from gleanery.plans.registry import QUERIES
+    class DemoFeed:
+        """A feed without a network: pages of numbered reviews, every fourth too short to keep."""
 
-    rows = QUERIES["s03_paged_source"](spark, "").collect()
+        def page(self, key: str, cursor: str, size: int):
+            start = 0 if cursor == "*" else int(cursor)
+            rows = [{"review_text": f"review {i} of game {key}" if i % 4 else "no", "voted_up": i % 2 == 0, "votes_up": i, "language": "english", "timestamp_created": 1704067200 + i, "author": str(i)} for i in range(start, min(start + size, 400))]
+            return rows, str(start + size) if start + size < 400 else None
+
+    paged.register(spark, DemoFeed())
+    rows = spark.read.format("paged_reviews").options(keys="10,20,30", most="120", min_length="10", language="english", pause="0").load().collect()
     assert {r.game for r in rows} == {"10", "20", "30"} and len(rows) == 360 and all(len(r.review_text) >= 10 for r in rows)
 
 
+def test_page_tags_of_a_class(spark):
+    from gleanery.functions import text as T
+
+    html = '<a href="x">nav</a><a href="y" class="app_tag" style="">\n\tPuzzle &amp; Co\n</a><a class="app_tag"> </a><a class="app_tag">Co-op</a>'
+    r = spark.createDataFrame([(html,), (None,)], "html string").select(T.page_tags(F.col("html")).alias("t"), T.page_tags(F.col("html"), None, 2).alias("all")).collect()
+    assert r[0].t == ["Puzzle & Co", "Co-op"] and r[0].all == ["nav", "Puzzle & Co"] and r[1].t is None
+
+
 def test_csv_and_json(spark, tmp_path):
     rows = [("line\nbreak \"quoted\", comma", 1), ("None", 2), ("NA", 3)]
     df = spark.createDataFrame(rows, "review_text string, n int")
