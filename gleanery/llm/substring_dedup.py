@@ -217,7 +217,7 @@ def remove_repeats(docs: DataFrame, window: int = 50, gram: int = 8, hot: int =
     rest = [c for c in carry if c != "text"]
     every = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *rest)
     named = "doc_id is not null and text is not null"
-    # dealt by doc_id once: this exchange serves the packing and the rebuilding
+    # each of the passes that need whole texts deals them by doc_id: packing, windows of hot minimisers, rebuilding
     rows = every.where(named).repartition("doc_id")
     places = materialize(every.where(named).mapInArrow(_list_places(window, gram), PLACES).where("size(mini) > 0"))
     flat = places.select("doc_id", "body", F.explode(F.arrays_zip("mini", "key", "start", "count")).alias("p")).select("doc_id", "body", "p.*")
