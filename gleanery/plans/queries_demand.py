@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from gleanery.operators import forecasting, quality
+from gleanery.operators import forecasting, quality, weak_labels
 from gleanery.operators import timeseries as D
 from gleanery.plans.base import query, sql
 from gleanery.plans.queries_text import STAGE, WORDS, L
@@ -87,6 +87,27 @@ def d04_topic_kinds(spark, d):
     return D.topic_kinds(topical(labelled(spark, d)))
 
 
+def kinds_of_reviews(spark, d):
+    """Kinds of all labelled reviews. A third of them stands for the ones sorted by hand: good reviews are about elements, bad ones about quality or, where model a took them for good, business."""
+    rows = labelled(spark, d)
+    told = F.when(F.col("label") == 1, "element").when(F.col("pred_a") == 0, "quality").otherwise("business")
+    return rows, weak_labels.review_kinds(rows, rows.where("review_id % 3 = 0").select("review_id", told.alias("kind")))[0]
+
+
+@query()
+def d04_review_kinds(spark, d):
+    """What each labelled review is about: by hand, by rules, or by the classifier that both train."""
+    return kinds_of_reviews(spark, d)[1]
+
+
+@query()
+def d05_unmet_by_kind(spark, d):
+    """Negative reviews of each topic as unmet demand or unmet precondition, by those kinds."""
+    rows, kinds = kinds_of_reviews(spark, d)
+    unmet = F.when(F.col("kind") == "element", "demand").otherwise("precondition")
+    return topical(rows).where("label = 0").join(kinds, "review_id").groupBy("topic_id", unmet.alias("unmet")).agg(F.count("*").alias("n"))
+
+
 @query(sql(f"SELECT topic_id, CASE WHEN kind = 'element' THEN 'demand' ELSE 'precondition' END AS unmet, count(*) AS n FROM ({VOTES}) WHERE label = 0 GROUP BY 1, 2", *BASE))
 def d05_unmet(spark, d):
     return D.unmet(topical(labelled(spark, d)))
