@@ -45,8 +45,8 @@ def windows(rows: DataFrame, budget: int = 8192, history: int = 2, history_token
     repeated turns. Null role and text are empty. Null conv_id is one conversation. A conversation without rows has no
     window; no rows give none. Other columns are ignored.
 
-    ``tokens`` counts a formatted turn, marks included, or bounds it (default: by its bytes). No window exceeds ``budget`` but
-    one that holds a single turn of more than that. A system turn of over half the budget is not repeated; neither is any
+    A conversation that fits the budget is one window. ``tokens`` counts a formatted turn, marks included, or bounds it (default: by its bytes). No window exceeds ``budget`` but
+    one that holds a single turn of more than that: very long texts stay whole. A system turn of over half the budget is not repeated; neither is any
     context where the window's one turn leaves no room for it.
     """
     if history * history_tokens > budget // 4:
@@ -65,7 +65,8 @@ def windows(rows: DataFrame, budget: int = 8192, history: int = 2, history_token
     df = df.withColumn("__step", F.col("__w") - F.coalesce(F.max(F.when(~F.col("__big"), F.col("__n"))).over(conv), F.lit(0)))
     df = df.withColumn("__cell", F.expr("(__end - 1) div __step"))
     changes = lambda c: F.col(c) != F.lag(c).over(order)
-    df = df.withColumn("__first", F.coalesce(changes("__cell") | F.col("__big") | changes("__big"), F.lit(True)))
+    cut = F.coalesce(changes("__cell") | F.col("__big") | changes("__big"), F.lit(True))
+    df = df.withColumn("__first", F.when(F.sum("__n").over(conv) <= budget, F.col("__i") == 1).otherwise(cut))
     df = df.withColumn("__span", F.sum(F.col("__first").cast("long")).over(until))
     # a turn is context of a later window if that starts within ``history`` turns and the turn is short
     for j in range(1, history + 1):

@@ -67,6 +67,16 @@ def test_chat_windows_keep_the_budget_and_fill_it(spark, system):
     assert len(system) > 100 or sum(plain) / len(plain) > 1200
 
 
+def test_a_conversation_that_fits_is_one_window(spark):
+    """Up to the last byte of the budget, whatever the sizes of its turns; one byte more and it is split."""
+    data = [(1, 0, "system", "s" * 300)] + [(1, k, "assistant" if k % 2 == 0 else "user", "x" * (700 if k == 3 else 20)) for k in range(1, 12)]
+    rows = spark.createDataFrame(data, "conv_id long, turn long, role string, text string")
+    whole = chat_format.windows(rows, budget=1 << 20).first()
+    for less, n in ((0, 1), (1, 2)):
+        got = chat_format.windows(rows, budget=whole.n_tokens - less, history_tokens=64).collect()
+        assert (len(got) == 1) == (n == 1) and (n > 1 or (got[0].text, got[0].loss, got[0].n_context) == (whole.text, whole.loss, 0))
+
+
 def test_chat_query_equals_brute_force(spark, sf_dir):
     table = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text").collect()
     data = [tuple(r) for r in table] + [(-1, 0, "user", CONTROL), (-1, 1, "assistant", CONTROL)]
