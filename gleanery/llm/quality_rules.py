@@ -6,6 +6,10 @@ histograms summed over all documents of a language. A document is kept if its Je
 reference stay under thresholds; texts too short for a distance to mean anything are guarded by minimum lengths, and so are
 references. Base rules on word count and repeated five-word windows come first.
 
+Every language has a reference of its own. Those of the commonest languages are literals of the plan, against which each document
+is held; a document of any other language is held against these and its own language's, which reaches it by a join on lang.
+No such language has more than 1/(``languages`` + 1) of the rows, so that join has no hot key.
+
 Words are counted by language in one pass over the texts, with a combine before the shuffle. A second pass writes
 histograms and base counts to the shared folder; references are summed from there (a row for each language and bin), and the
 verdict is a projection. Nothing is grouped by document.
@@ -25,9 +29,9 @@ CLASSES = [("lower", "[a-z]+"), ("space", f"[{SPACES}]+"), ("upper", "[A-Z]+"),
 def common_words(docs: DataFrame, per_language: int = 16, languages: int = 32, longest: int = 40) -> dict[str, list[str]]:
     """The ``per_language`` most frequent lower-case words of letters (``longest`` characters at most) of each of the ``languages`` commonest
     languages of ``docs`` (text, lang), over all of their documents; ties by name."""
-    own = docs.where("lang is not null and text is not null")
+    own = docs.where("lang is not null")
     langs = [r.lang for r in own.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages).collect()]
-    words = own.where(F.col("lang").isin(langs)).select("lang", F.explode(F.split(F.lower("text"), f"[{SPACES}]+")).alias("w")).where(F.col("w").rlike("^\\p{L}+$") & (F.length("w") <= longest))
+    words = own.where(F.col("lang").isin(langs) & F.col("text").isNotNull()).select("lang", F.explode(F.split(F.lower("text"), f"[{SPACES}]+")).alias("w")).where(F.col("w").rlike("^\\p{L}+$") & (F.length("w") <= longest))
     counts = words.groupBy("lang", "w").agg(F.count("*").alias("n"))
     best = counts.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "w"))).where(F.col("r") <= per_language)
     found = {k: [] for k in langs}
@@ -37,7 +41,8 @@ def common_words(docs: DataFrame, per_language: int = 16, languages: int = 32, l
 
 
 def histograms(docs: DataFrame, listed_words: list[str], *extra: str) -> DataFrame:
-    """doc_id, base counts, ``chars`` and ``common`` (arrays of counts, the latter of ``listed_words`` and all others) for each row of ``docs``; ``extra`` columns are kept."""
+    """doc_id, base counts, ``chars`` and ``common`` (arrays of counts, the latter of ``listed_words``, which are sorted and distinct, and all others) for each row of
+    ``docs``; ``extra`` columns are kept."""
     df = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *extra, F.coalesce("text", F.lit("")).alias("__t"))
     df = df.withColumn("__w", F.expr(f"filter(split(__t, r'[{SPACES}]+'), w -> w <> '')"))
     df = df.withColumn("n_words", F.size("__w").cast("long"))
@@ -52,7 +57,10 @@ def histograms(docs: DataFrame, listed_words: list[str], *extra: str) -> DataFra
     lines = F.expr(f"filter(split(__t, '\n'), x -> x rlike r'[^{SPACES}]')")
     df = df.withColumn("__l", lines).withColumn("n_dup_lines", (F.size("__l") - F.size(F.array_distinct("__l"))).cast("long"))
     df = df.withColumn("__m", F.filter(F.transform("__w", F.lower), lambda w: w.isin(listed_words) if listed_words else F.lit(False)))
-    df = df.withColumn("common", F.array(*[(F.size("__m") - F.size(F.array_remove("__m", w))).cast("long") for w in listed_words], F.col("n_words") - F.size("__m")))
+    # sorted among all listed words, each listed word ends a run that is one longer than its count
+    df = df.withColumn("__o", F.sort_array(F.concat("__m", F.array(*map(F.lit, listed_words)).cast("array<string>"))))
+    df = df.withColumn("__e", F.expr("filter(transform(__o, (w, i) -> if(w <=> get(__o, i + 1), null, i)), i -> i is not null)"))
+    df = df.withColumn("common", F.concat(F.expr("transform(__e, (e, k) -> bigint(e - coalesce(get(__e, k - 1), -1) - 1))"), F.array(F.col("n_words") - F.size("__m"))))
     # words covered by five-word windows that the text holds more than once; positions are sorted out only where a window repeats
     df = df.withColumn("__h", F.expr("transform(__w, w -> xxhash64(w))"))
     df = df.withColumn("__k", F.expr("transform(sequence(0, greatest(int(n_words) - 5, 0)), i -> xxhash64(get(__h, i), get(__h, i + 1), get(__h, i + 2), get(__h, i + 3), get(__h, i + 4)))"))
@@ -75,9 +83,22 @@ def references(counted: DataFrame, languages: list[str], least_words: int = 500)
     return {k: (shares(sums[k, "chars"]), shares(sums[k, "common"])) for k in sorted({k for k, _ in sums}) if sum(sums[k, "common"].values()) >= least_words}
 
 
-def js_distance(counts: str, share: list[float]) -> Column:
-    """Square root of the Jensen-Shannon divergence (base 2) between an array of counts and fixed shares; 1 for no counts."""
-    q = f"array({', '.join(f'{float(v)!r}D' for v in share)})"
+def own_references(rare: DataFrame, least_words: int = 500) -> DataFrame:
+    """lang, c, w: what ``references`` gives, as rows, for every language of ``rare`` (lang, n_words, chars, common)."""
+    out = None
+    for name, to in (("chars", "c"), ("common", "w")):
+        sums = rare.select("lang", F.posexplode(name)).groupBy("lang", "pos").agg(F.sum("col").alias("n"))
+        row = sums.groupBy("lang").agg(F.sort_array(F.collect_list(F.struct("pos", "n"))).alias("s"), F.sum("n").alias("total"))
+        if name == "common":
+            row = row.where(F.col("total") >= least_words)
+        row = row.select("lang", F.expr("transform(s, x -> x.n / greatest(1D, total))").alias(to))
+        out = row if out is None else out.join(row, "lang")
+    return out
+
+
+def js_distance(counts: str, share: list[float] | str) -> Column:
+    """Square root of the Jensen-Shannon divergence (base 2) between an array of counts and shares (fixed, or a column's name); 1 for no counts."""
+    q = share if isinstance(share, str) else f"array({', '.join(f'{float(v)!r}D' for v in share)})"
     total = f"aggregate({counts}, 0L, (a, x) -> a + x)"
     part = "if({x} > 0, {x} * log2(2 * {x} / (p + q)), 0D)"
     both = f"({part.format(x='p')} + {part.format(x='q')}) / 2"
@@ -92,26 +113,36 @@ def judge(docs: DataFrame, min_words: int = 60, min_chars: int = 200, max_char_d
 
     Null or empty text has no words, fails the base rules and is not kept. Texts with fewer than ``min_chars``
     characters in words skip the character distance, those with fewer than ``min_words`` words skip the word distance.
-    ``nearest`` is the reference with the smallest sum of both distances (ties: by name). Where there is no reference, or
-    the document's own language has none (it is beyond the ``languages`` commonest or has too few words), only the base
+    ``nearest`` is the reference with the smallest sum of both distances (ties: by name), among those of the ``languages``
+    commonest languages and the document's own. Where there is none, or the document's own language has none (it has too few words), only the base
     rules judge; nearest is then null. lang says which rows make up a reference and which can't be judged by one. Whole texts
     count, however long. doc_id may be null or repeat; other columns are ignored; no rows give none.
     """
     common = common_words(docs, per_language, languages)
     counted = materialize(histograms(docs, sorted({w for ws in common.values() for w in ws}), "lang"))
     found = references(counted, list(common))
-    df = counted.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
-    if found:
-        pairs = [F.struct(js_distance("chars", chars).alias("c"), js_distance("common", words).alias("w"), F.lit(k).alias("k")) for k, (chars, words) in found.items()]
-        near = F.array_min(F.transform(F.array(*pairs), lambda x: F.struct((x.c + x.w).alias("d"), x.k.alias("k"), x.c.alias("c"), x.w.alias("w"))))
-        df = df.withColumn("__best", F.when(F.col("lang").isNull() | F.col("lang").isin(*found), near))
-        df = df.select("*", F.col("__best.c").alias("char_distance"), F.col("__best.w").alias("word_distance"), F.col("__best.k").alias("nearest"))
-        far = ((F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char_distance)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance))
-        far = F.coalesce(far, F.lit(False))
-    else:
-        none = F.lit(None)
-        df = df.select("*", none.cast("double").alias("char_distance"), none.cast("double").alias("word_distance"), none.cast("string").alias("nearest"))
-        far = F.lit(False)
-    return df.withColumn("kept", ~F.col("base_failed") & ~far).select(
+    pairs = [_held(js_distance("chars", chars), js_distance("common", words), F.lit(k)) for k, (chars, words) in found.items()]
+    listed = F.col("lang").isin(*common) if common else F.lit(False)
+    usual, rare = counted.where(F.col("lang").isNull() | listed), counted.where(F.col("lang").isNotNull() & ~listed)
+    out = _verdict(usual, pairs, F.col("lang").isNull() | F.col("lang").isin(*found), min_words, min_chars, max_char_distance, max_word_distance)
+    if rare.isEmpty():
+        return out
+    own = rare.join(own_references(rare), "lang", "left")
+    pairs.append(_held(js_distance("chars", "c"), js_distance("common", "w"), F.col("lang")))
+    return out.unionByName(_verdict(own, pairs, F.col("c").isNotNull(), min_words, min_chars, max_char_distance, max_word_distance))
+
+
+def _held(chars: Column, words: Column, name: Column) -> Column:
+    return F.struct((chars + words).alias("d"), name.alias("k"), chars.alias("c"), words.alias("w"))
+
+
+def _verdict(df: DataFrame, pairs: list[Column], judged: Column, min_words: int, min_chars: int, max_char_distance: float, max_word_distance: float) -> DataFrame:
+    """``judge``'s columns of histograms held against ``pairs``, as made by ``_held``, where ``judged`` says so."""
+    kind = "struct<d: double, k: string, c: double, w: double>"
+    df = df.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
+    df = df.withColumn("__best", F.when(judged, F.array_min(F.array(*pairs))) if pairs else F.lit(None).cast(kind))
+    df = df.select("*", F.col("__best.c").alias("char_distance"), F.col("__best.w").alias("word_distance"), F.col("__best.k").alias("nearest"))
+    far = ((F.col("word_chars") >= min_chars) & (F.col("char_distance") > max_char_distance)) | ((F.col("n_words") >= min_words) & (F.col("word_distance") > max_word_distance))
+    return df.withColumn("kept", ~F.col("base_failed") & ~F.coalesce(far, F.lit(False))).select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "char_distance", "word_distance", "nearest"
     )

@@ -305,7 +305,7 @@ def test_quality_rules_base_equals_brute_force(spark, sf_dir, docs, none):
     assert quality_rules.judge(none).count() == 0
 
 
-def verdicts_by_hand(data, min_words=60, min_chars=200, most_char=0.3, most_word=0.45, per_language=16):
+def verdicts_by_hand(data, min_words=60, min_chars=200, most_char=0.3, most_word=0.45, per_language=16, languages=32):
     """(kept, nearest) of rows (doc_id, text, lang): words counted, histograms, references and distances in plain Python."""
     import math
     import re
@@ -317,7 +317,9 @@ def verdicts_by_hand(data, min_words=60, min_chars=200, most_char=0.3, most_word
     for _, t, k in data:
         if k is not None and t is not None:
             counts.setdefault(k, Counter()).update(w for w in split(t.lower()) if letters(w) and len(w) <= 40)
-    common = sorted({w for c in counts.values() for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:per_language]})
+    docs_of = Counter(k for _, t, k in data if k is not None)
+    listed = sorted(docs_of, key=lambda k: (-docs_of[k], k))[:languages]
+    common = sorted({w for c in (counts.get(k, {}) for k in listed) for w, _ in sorted(c.items(), key=lambda x: (-x[1], x[0]))[:per_language]})
 
     def bins(t):
         of = Counter()
@@ -345,7 +347,7 @@ def verdicts_by_hand(data, min_words=60, min_chars=200, most_char=0.3, most_word
     out = []
     for (i, t, k), (c, w) in zip(data, both):
         base = base_by_hand(t)
-        near = min(((far(c, a) + far(w, b), name, far(c, a), far(w, b)) for name, (a, b) in refs.items()), default=None) if k is None or k in refs else None
+        near = min(((far(c, a) + far(w, b), name, far(c, a), far(w, b)) for name, (a, b) in refs.items() if name in listed or name == k), default=None) if k is None or k in refs else None
         bad = near is not None and ((base[1] >= min_chars and near[2] > most_char) or (base[0] >= min_words and near[3] > most_word))
         out.append((i, not base[5] and not bad, near and near[1]))
     return Counter(out)
@@ -360,6 +362,17 @@ def test_quality_rules_verdict_equals_brute_force(spark, sf_dir, docs):
     assert len({k for _, k, _ in want}) == 2 and len({n for *_, n in want}) >= 4
 
 
+@pytest.mark.parametrize("languages", [1, 2])
+def test_quality_rules_of_rarer_languages_equal_brute_force(spark, sf_dir, languages):
+    """Languages beyond the commonest are judged by references of their own; one of too few words has none."""
+    table = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text", "lang")
+    odd = [(-1, "dit is een tekst in een taal " * 3 + "zonder referentie hier", "nl"), (-2, None, "pt"), (-3, "", "de"), (-4, "1 2 3 4 " * 90, "de"), (None, "x y", None)]
+    df = table.unionByName(spark.createDataFrame(odd, "doc_id long, text string, lang string"))
+    want = verdicts_by_hand([tuple(r) for r in df.collect()], languages=languages)
+    assert Counter((r.doc_id, r.kept, r.nearest) for r in quality_rules.judge(df, languages=languages).collect()) == want
+    assert len({n for *_, n in want}) >= 4
+
+
 def test_quality_rules_distance_by_hand(spark):
     p, q = np.array([3, 0, 7, 1]) / 11, np.array([0.2, 0.3, 0.5, 0.0])
     m = (p + q) / 2
