@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from gleanery.functions.stats import t_test_p, wilcoxon_p
+from gleanery.functions.stats import student_p, t_test_p, wilcoxon_p
 from gleanery.sources.reviews import unseen
 
 
@@ -32,6 +32,13 @@ def paired_stats(pairs: DataFrame) -> DataFrame:
     return d.withColumn("t", F.col("mean_diff") / F.nullif(F.col("std_diff") / F.sqrt("n"), F.lit(0.0)))
 
 
+def paired_t(df: DataFrame, by: list[str], diff: str = "diff") -> DataFrame:
+    """(by, n, t, p): the paired t test of each group in one grouped pass; t and p are null for one pair or equal differences."""
+    d = df.groupBy(*by).agg(F.count(diff).alias("n"), F.avg(diff).alias("__m"), F.stddev_samp(diff).alias("__s"))
+    t = F.col("__m") / F.nullif(F.col("__s") / F.sqrt("n"), F.lit(0.0))
+    return d.withColumn("t", t).select(*by, "n", "t", student_p(F.col("t"), F.col("n")).alias("p"))
+
+
 def signed_ranks(pairs: DataFrame) -> DataFrame:
     """n, w_plus, w_minus, w and whether absolute differences tie; zero differences are left out and ties share their mean rank. One row for each pair of runs, a small table."""
     rows = pairs.where(F.round("diff", 9) != 0).withColumn("size", F.round(F.abs("diff"), 9))

@@ -28,7 +28,7 @@ VIEWS = {
     "curve": """SELECT CASE WHEN n_chars < 500 THEN 500 WHEN n_chars < 2000 THEN 2000 ELSE 20000 END AS data_size, review_id % 3 AS trial,
         round(100.0 * sum(CASE WHEN label = pred_a THEN 1 ELSE 0 END) / count(*), 6) AS test_acc,
         round(100.0 * sum(CASE WHEN label = pred_b THEN 1 ELSE 0 END) / count(*), 6) AS val_acc FROM labelled GROUP BY 1, 2""",
-    "topical": "SELECT *, CAST(review_id % 12 - 1 AS INTEGER) AS topic_id FROM reviews",
+    "topical": "SELECT r.*, CAST(coalesce(g.topic, -1) AS INTEGER) AS topic_id FROM reviews r LEFT JOIN (SELECT vec_id, min(label) AS topic FROM embeddings GROUP BY 1) g ON g.vec_id = r.review_id",
 }
 
 

@@ -7,14 +7,11 @@ from gleanery.operators import timeseries as D
 from gleanery.plans.base import query, sql
 from gleanery.plans.queries_text import STAGE, WORDS, L
 from gleanery.sources.scratch import new_folder
-from gleanery.sources.reviews import labelled, reviews, table
+from gleanery.sources.reviews import labelled, reviews, table, topical
 from gleanery.streaming import ingest
 
 BASE = ("reviews", "labelled")
-
-
-def topical(df):
-    return df.withColumn("topic_id", (F.col("review_id") % 12 - 1).cast("int"))
+TOPICAL = (*BASE, "topical")
 
 
 @query(sql("SELECT count(*) FILTER (WHERE label = 1) AS positive, count(*) FILTER (WHERE label = 0) AS negative FROM labelled", *BASE))
@@ -56,9 +53,9 @@ def a14_game_list(spark, d):
     return reviews(spark, d).select(F.col("game_id").alias("app_id"), "game_name").distinct()
 
 
-@query(sql("SELECT CAST(review_id % 12 - 1 AS INTEGER) AS topic_id, count(*) AS mentions, round(avg(CAST(label AS DOUBLE)), 9) AS fulfilment FROM labelled GROUP BY 1", *BASE))
+@query(sql("SELECT topic_id, count(*) AS mentions, round(avg(CAST(label AS DOUBLE)), 9) AS fulfilment FROM labelled JOIN (SELECT review_id, topic_id FROM topical) USING (review_id) GROUP BY 1", *TOPICAL))
 def d01_d02_demand(spark, d):
-    return D.demand(topical(labelled(spark, d)))
+    return D.demand(topical(labelled(spark, d), spark, d))
 
 
 DAILY = "SELECT g.event_type, CAST(t.day AS DATE) AS date, count(e.event_id) AS n FROM (SELECT DISTINCT event_type FROM events) g CROSS JOIN (SELECT unnest(generate_series((SELECT min(CAST(ts AS DATE)) FROM events)::TIMESTAMP, (SELECT max(CAST(ts AS DATE)) FROM events)::TIMESTAMP, INTERVAL 1 DAY)) AS day) t LEFT JOIN events e ON e.event_type = g.event_type AND CAST(e.ts AS DATE) = CAST(t.day AS DATE) GROUP BY 1, 2"
@@ -79,12 +76,12 @@ def d03_trend(spark, d):
 
 
 KIND = f"CASE WHEN {WORDS(L.BUG_CRASH)} OR {WORDS(L.DEV_CRITICISM)} THEN 'quality' WHEN {WORDS(L.DLC_MONETIZATION)} THEN 'business' ELSE 'element' END"
-VOTES = f"SELECT CAST(review_id % 12 - 1 AS INTEGER) AS topic_id, {KIND} AS kind, label FROM labelled"
+VOTES = f"SELECT topic_id, {KIND} AS kind, label FROM labelled JOIN (SELECT review_id, topic_id FROM topical) USING (review_id)"
 
 
-@query(sql(f"SELECT topic_id, kind, votes FROM (SELECT topic_id, kind, count(*) AS votes, row_number() OVER (PARTITION BY topic_id ORDER BY count(*) DESC, kind) AS r FROM ({VOTES}) GROUP BY 1, 2) WHERE r = 1", *BASE))
+@query(sql(f"SELECT topic_id, kind, votes FROM (SELECT topic_id, kind, count(*) AS votes, row_number() OVER (PARTITION BY topic_id ORDER BY count(*) DESC, kind) AS r FROM ({VOTES}) GROUP BY 1, 2) WHERE r = 1", *TOPICAL))
 def d04_topic_kinds(spark, d):
-    return D.topic_kinds(topical(labelled(spark, d)))
+    return D.topic_kinds(topical(labelled(spark, d), spark, d))
 
 
 def kinds_of_reviews(spark, d):
@@ -105,12 +102,12 @@ def d05_unmet_by_kind(spark, d):
     """Negative reviews of each topic as unmet demand or unmet precondition, by those kinds."""
     rows, kinds = kinds_of_reviews(spark, d)
     unmet = F.when(F.col("kind") == "element", "demand").otherwise("precondition")
-    return topical(rows).where("label = 0").join(kinds, "review_id").groupBy("topic_id", unmet.alias("unmet")).agg(F.count("*").alias("n"))
+    return topical(rows, spark, d).where("label = 0").join(kinds, "review_id").groupBy("topic_id", unmet.alias("unmet")).agg(F.count("*").alias("n"))
 
 
-@query(sql(f"SELECT topic_id, CASE WHEN kind = 'element' THEN 'demand' ELSE 'precondition' END AS unmet, count(*) AS n FROM ({VOTES}) WHERE label = 0 GROUP BY 1, 2", *BASE))
+@query(sql(f"SELECT topic_id, CASE WHEN kind = 'element' THEN 'demand' ELSE 'precondition' END AS unmet, count(*) AS n FROM ({VOTES}) WHERE label = 0 GROUP BY 1, 2", *TOPICAL))
 def d05_unmet(spark, d):
-    return D.unmet(topical(labelled(spark, d)))
+    return D.unmet(topical(labelled(spark, d), spark, d))
 
 
 @query(sql(f"""SELECT game_id, raw, n_valid, round(n_valid / raw, 6) AS pass_rate, used, span_days, round(used / span_days, 6) AS density FROM (SELECT game_id, count(*) AS raw, count(*) FILTER (WHERE v) AS n_valid FROM (SELECT *, {STAGE.format(other="'valid'")} = 'valid' AS v FROM reviews) GROUP BY 1)
@@ -158,9 +155,9 @@ def d03_trend_slopes(spark, d):
     return forecasting.slopes(daily(spark, d), ["event_type"])
 
 
-@query(sql("SELECT t.topic_id, mentions, CAST(coalesce(players, 0) AS BIGINT) AS players FROM (SELECT CAST(review_id % 12 - 1 AS INTEGER) AS topic_id, count(*) AS mentions FROM reviews GROUP BY 1) t LEFT JOIN (SELECT topic_id, sum(p_size) AS players FROM (SELECT unnest(range(0, 8)) AS topic_id, unnest(range(0, 8)) AS k) b JOIN part ON p_partkey % 11 = k GROUP BY 1) p ON p.topic_id = t.topic_id", "reviews"))
+@query(sql("SELECT t.topic_id, mentions, CAST(coalesce(players, 0) AS BIGINT) AS players FROM (SELECT topic_id, count(*) AS mentions FROM topical GROUP BY 1) t LEFT JOIN (SELECT topic_id, sum(p_size) AS players FROM (SELECT unnest(range(0, 8)) AS topic_id, unnest(range(0, 8)) AS k) b JOIN part ON p_partkey % 11 = k GROUP BY 1) p ON p.topic_id = t.topic_id", "reviews", "topical"))
 def j14_topic_players(spark, d):
-    mentions = topical(reviews(spark, d)).groupBy("topic_id").agg(F.count("*").alias("mentions"))
+    mentions = topical(reviews(spark, d), spark, d).groupBy("topic_id").agg(F.count("*").alias("mentions"))
     bridge = spark.range(8).select(F.col("id").cast("int").alias("topic_id"), F.col("id").alias("tag"))
     players = table(spark, d, "part").select(F.col("p_partkey").alias("game_id"), (F.col("p_partkey") % 11).alias("tag"), F.col("p_size").cast("long").alias("players"))
     return D.bridge_demand(mentions, bridge, players)

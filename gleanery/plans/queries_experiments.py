@@ -70,6 +70,26 @@ def e02_paired_difference(spark, d):
     return out.withColumns({c: F.round(c, 9) for c in ("mean_diff", "std_diff", "t")})
 
 
+#: Two-sided p of a paired t statistic over n pairs, by the finite sums for whole degrees of freedom.
+STUDENT = """SELECT {by}n, round(t, 9) AS t, round(CASE WHEN v % 2 = 0 THEN 1 - sin * s ELSE 1 - 2 / pi() * (asin(sin) + sin * sqrt(c) * s) END, 9) AS p FROM (SELECT *, coalesce(list_sum(list_transform(range(0, v // 2),
+    lambda k: pow(c, k) * CASE WHEN v % 2 = 0 THEN exp(lgamma(k + 0.5) - lgamma(k + 1)) / sqrt(pi()) ELSE exp(lgamma(k + 1) - lgamma(k + 1.5)) * sqrt(pi()) / 2 END)), 0) AS s
+    FROM (SELECT *, n - 1 AS v, (n - 1) / (n - 1 + t * t) AS c, abs(t) / sqrt(n - 1 + t * t) AS sin FROM ({tests})))"""
+T_OF = "avg(diff) / nullif(stddev_samp(diff) / sqrt(count(diff)), 0)"
+
+
+@query(sql(STUDENT.format(by="", tests=f"SELECT count(diff) AS n, {T_OF} AS t FROM {PAIRS}"), *RUNS))
+def e03_paired_t(spark, d):
+    return X.paired_t(X.paired(runs(spark, d)), []).select("n", F.round("t", 9).alias("t"), F.round("p", 9).alias("p"))
+
+
+@query(sql(STUDENT.format(by="game_name, ", tests=f"SELECT game_name, count(diff) AS n, {T_OF} AS t FROM (SELECT game_name, CAST(label = pred_b AS INTEGER) - CAST(label = pred_a AS INTEGER) AS diff FROM labelled) GROUP BY 1"), "reviews", "labelled"))
+def e03_paired_t_by_game(spark, d):
+    """Is model b right more often than a on a game's reviews? Hits are paired by review."""
+    hit = lambda c: (F.col("label") == F.col(c)).cast("int")
+    rows = labelled(spark, d).select("game_name", (hit("pred_b") - hit("pred_a")).alias("diff"))
+    return X.paired_t(rows, ["game_name"]).select("game_name", "n", F.round("t", 9).alias("t"), F.round("p", 9).alias("p"))
+
+
 @query()
 def e03_e04_paired_tests(spark, d):
     return X.paired_tests(X.paired(runs(spark, d)))

@@ -45,6 +45,25 @@ def s08_csv_round_trip(spark, d):
     return R.read_csv(spark, path, "doc_id long, text string, n_chars long").select("doc_id", F.md5("text").alias("digest"), "n_chars")
 
 
+@query("SELECT doc_id, word, CASE WHEN word IN ('None', 'NA', 'nan') THEN NULL ELSE word END AS value FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'None' WHEN 1 THEN 'NA' WHEN 2 THEN 'nan' ELSE lang END AS word FROM documents)")
+def s09_null_literals(spark, d):
+    """Texts that stand for nothing stay texts by default and become null if the reader is told so."""
+    path, part = new_folder(spark), F.col("doc_id") % 5
+    word = F.when(part == 0, "None").when(part == 1, "NA").when(part == 2, "nan").otherwise(F.col("lang"))
+    R.write_csv(table(spark, d, "documents").select("doc_id", word.alias("word")), path)
+    read = lambda *literals: R.read_csv(spark, path, "doc_id long, word string", literals, multi_line=False)
+    return read().join(read("None", "NA", "nan").withColumnRenamed("word", "value"), "doc_id")
+
+
+@query(sql("SELECT md5(review_text) AS digest, label = 1 AS voted_up, CAST(votes_up AS INTEGER) AS votes_up, language, timestamp_created, author FROM labelled", "reviews", "labelled"))
+def s10_review_lists(spark, d):
+    """Lists of a hundred raw reviews each, written as JSON and read back as rows."""
+    path = new_folder(spark)
+    raw = R.labelled(spark, d).select("review_id", "review_text", (F.col("label") == 1).alias("voted_up"), "votes_up", "language", "timestamp_created", "author")
+    R.write_json_lists(raw, path, F.floor(F.col("review_id") / 100))
+    return R.read_json(spark, path, multi_line=False).withColumn("digest", F.md5("review_text")).drop("review_text")
+
+
 @query("SELECT doc_id, md5(text) AS digest FROM documents")
 def s17_json_round_trip(spark, d):
     path = new_folder(spark)

@@ -8,13 +8,14 @@ from gleanery.operators import topics as P
 from gleanery.plans.base import query, sql
 from gleanery.plans.queries_text import TERMS
 from gleanery.sources.reviews import labelled, reviews, table
+from gleanery.sources.reviews import topical as with_topics
 from gleanery.sources.scratch import materialize
 
 TOPICAL = ("reviews", "topical")
 
 
 def topical(spark, d):
-    return reviews(spark, d).withColumn("topic_id", (F.col("review_id") % 12 - 1).cast("int"))
+    return with_topics(reviews(spark, d), spark, d)
 
 
 def names(spark, d):

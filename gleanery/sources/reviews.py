@@ -25,9 +25,9 @@ def read_csv(spark: SparkSession, path: str, schema: str | None = None, na_liter
     return df
 
 
-def read_json(spark: SparkSession, path: str, schema: str = RAW_REVIEW) -> DataFrame:
-    """A file that holds one list of reviews."""
-    return spark.read.schema(schema).json(path, multiLine=True)
+def read_json(spark: SparkSession, path: str, schema: str = RAW_REVIEW, multi_line: bool = True) -> DataFrame:
+    """Files that hold one list of reviews each or, without ``multi_line``, a list on each line; such files are split between tasks."""
+    return spark.read.schema(schema).json(path, multiLine=multi_line)
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
@@ -38,6 +38,12 @@ def write_json(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
     df.write.mode(mode).json(path)
 
 
+def write_json_lists(df: DataFrame, path: str, part: Column, mode: str = "errorifexists") -> None:
+    """One list of rows on a line for each value of ``part``, which keeps the lists short (a page of an answer, say)."""
+    lists = df.groupBy(part.alias("__part")).agg(F.to_json(F.collect_list(F.struct(*df.columns))).alias("value"))
+    lists.select("value").write.mode(mode).text(path)
+
+
 def write_splits(df: DataFrame, path: str) -> None:
     """One folder for each split; row counts are a query, not part of a name."""
     require_columns(df, "split").write.partitionBy("split").parquet(path)
@@ -125,6 +131,12 @@ def reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def topical(df: DataFrame, spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reviews with the topic_id that ``embeddings`` assigns to their vector; -1, the outliers, where it has none."""
+    given = table(spark, sf_dir, "embeddings").groupBy(F.col("vec_id").alias("review_id")).agg(F.min("label").alias("__topic"))
+    return df.join(given, "review_id", "left").withColumn("topic_id", F.coalesce("__topic", F.lit(-1)).cast("int")).drop("__topic")
+
+
 def labelled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews with a label, the predictions of two models and a confidence."""
     own = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("review_id"), F.col("quality").cast("int").alias("label"), (1 - F.col("toxic")).cast("int").alias("pred_a"))

@@ -66,6 +66,39 @@ def test_p_values():
     assert stats.wilcoxon_p(None, 0) is None and 0 < stats.wilcoxon_p(200.0, 60) < 1e-3
 
 
+def test_student_p_as_a_column(spark):
+    cases = [(t, n) for n in (2, 3, 4, 5, 6, 20, 41, 1999, 2000, 2001, 2002, 50_000, 10**7) for t in (0.0, 0.3, -1.0, 2.5, 9.0)]
+    got = spark.createDataFrame(cases, "t double, n long").select("t", "n", stats.student_p(F.col("t"), F.col("n")).alias("p")).collect()
+    for r in got:
+        assert r.p == pytest.approx(stats.t_test_p(r.t, r.n), abs=1e-9 if r.n < 10**6 else 1e-8), r  # the continued fraction itself loses digits at 10^7
+    odd = spark.createDataFrame([(None, 5), (1.0, 1), (1.0, 0)], "t double, n long").select(stats.student_p(F.col("t"), F.col("n")).alias("p"))
+    assert [r.p for r in odd.collect()] == [None] * 3
+
+
+def test_paired_t_by_group(spark):
+    rows = [("a", 1.0), ("a", 2.0), ("a", 4.0), ("b", 3.0), ("c", 1.0), ("c", 1.0), (None, 1.0), (None, -1.0), ("d", None)]
+    got = {r.g: (r.n, r.t, r.p) for r in X.paired_t(spark.createDataFrame(rows, "g string, diff double"), ["g"]).collect()}
+    t = (7 / 3) / (math.sqrt(sum((x - 7 / 3) ** 2 for x in (1, 2, 4)) / 2) / math.sqrt(3))
+    assert got["a"] == pytest.approx((3, t, stats.t_test_p(t, 3))) and got[None] == pytest.approx((2, 0.0, 1.0))
+    assert got["b"] == (1, None, None) and got["c"] == (2, None, None) and got["d"] == (0, None, None)
+
+
+def test_json_lists(spark, tmp_path):
+    rows = [(i, None if i % 7 == 0 else f'say "{i}"\n[x]') for i in range(25)]
+    path = str(tmp_path / "lists")
+    R.write_json_lists(spark.createDataFrame(rows, "id int, review_text string"), path, F.floor(F.col("id") / 10))
+    assert sorted(spark.read.text(path).select(F.expr("json_array_length(value)")).toPandas().iloc[:, 0]) == [5, 10, 10]
+    assert sorted(map(tuple, R.read_json(spark, path, "id int, review_text string", multi_line=False).collect())) == rows
+
+
+def test_topics_of_reviews_without_a_vector(spark, sf_dir):
+    """A review takes its vector's topic; one without a vector is an outlier."""
+    own = spark.createDataFrame([(0,), (10**9,), (None,)], "review_id long")
+    given = {r.vec_id: r.label for r in R.table(spark, sf_dir, "embeddings").collect()}
+    got = {r.review_id: r.topic_id for r in R.topical(own, spark, sf_dir).collect()}
+    assert got == {0: given[0], 10**9: -1, None: -1}
+
+
 def test_softmax(spark):
     r = spark.createDataFrame([([1000.0, 1000.0, 0.0],)], "x array<double>").select(stats.softmax(F.col("x")).alias("p"), stats.argmax(F.col("x")).alias("k")).first()
     assert r.p == pytest.approx([0.5, 0.5, 0.0]) and r.k == 0
