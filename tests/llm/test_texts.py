@@ -9,7 +9,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from gleanery.llm import byte_bpe, chosen_path, language_id, mixing, quality_rules, substring_dedup, token_counts
+from gleanery.llm import byte_bpe, chosen_path, language_id, mixing, quality_rules, queries, substring_dedup, token_counts
 from gleanery.llm.common import join_hot
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, node string, tokens int, n_tokens string, size int"
@@ -171,21 +171,40 @@ def test_token_counts_equal_the_library(docs, none):
     assert got == want and token_counts.count_tokens(none, path).count() == 0
 
 
-def test_byte_bpe_equals_the_library(docs, none):
+def library():
     import base64
 
     import tiktoken
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(path, "rb"))}
-    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(public_tokenizers.path("byte_bpe_50k.tiktoken"), "rb"))}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
-    def hand(i, t):
+
+def encoded_by_hand(data):
+    """op8's rows of ``data`` (doc_id, text) by the library."""
+    enc, out = library(), []
+    for i, t in data:
         ids = enc.encode_ordinary(t or "")
-        return i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()
+        out.append((i, len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256((t or "").encode()).hexdigest()))
+    return out
 
+
+def test_token_queries_equal_the_libraries(spark, sf_dir):
+    """op2 and op8 over the whole table."""
+    from tokenizers import Tokenizer
+
+    data = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()]
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    want = Counter((i, len((t or "").encode()), n := len(tok.encode(t or "", add_special_tokens=False).ids), n > 2048) for i, t in data)
+    assert Counter(map(tuple, queries.QUERIES["op2_token_counts"](spark, sf_dir).select("doc_id", "n_bytes", "n_tokens", "over_limit").collect())) == want
+    got = queries.QUERIES["op8_byte_bpe"](spark, sf_dir).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
+    assert Counter(map(tuple, got.collect())) == Counter(encoded_by_hand(data))
+
+
+def test_byte_bpe_equals_the_library(docs, none):
+    path, enc = public_tokenizers.path("byte_bpe_50k.tiktoken"), library()
     got = byte_bpe.encode_decode(docs, path, public_tokenizers.PATTERN)
-    assert Counter(tuple(r) for r in got.collect()) == Counter(hand(r[0], r[1]) for r in rows())
+    assert Counter(tuple(r) for r in got.collect()) == Counter(encoded_by_hand(r[:2] for r in rows()))
     kept = byte_bpe.encode_decode(docs.where("doc_id = 1"), path, public_tokenizers.PATTERN, keep=True, carry=("lang",)).first()
     assert kept.token_ids == enc.encode_ordinary(rows()[0][1])
     assert byte_bpe.encode_decode(none, path, public_tokenizers.PATTERN).count() == 0
