@@ -18,7 +18,9 @@ CARRIED = ("text", "lang", "source", "n_chars")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a language (null or no letter) go; a null lang becomes the predicted one."""
+    """Documents without a language (null, empty or letterless text) go; a null lang becomes the predicted one, one that is given stays.
+    Repeated rows and rows with a null doc_id are judged each for itself, very long texts whole; scores that tie go to the language first by
+    name. Columns beyond ``COLUMNS``, names of results among them, are dropped; no rows give none."""
     found = language_id.identify(docs, carry=CARRIED).where(F.col("lang_pred") != language_id.UNKNOWN)
     return found.withColumn("lang", F.coalesce("lang", "lang_pred")).select(*COLUMNS)
 
@@ -43,12 +45,15 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents drawn by calibrated probabilities towards the target weights."""
+    """Documents drawn by calibrated probabilities towards the target weights, rows unchanged. Null and unlisted sources and languages are one
+    group, ``other``; a null or empty text weighs one token, a very long one all of its own. Draws go by doc_id: equal ones (repeated rows, null
+    ones among themselves) stay or go alike, so ties don't arise. Columns beyond ``COLUMNS`` are dropped; no rows give none."""
     return mixing.mix(docs, carry=CARRIED).where("kept").select(*COLUMNS)
 
 
 def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every text and the digests of ids and decoded bytes."""
+    """Token ids of every text and the digests of ids and decoded bytes, a row for each row, also for repeated ones and a null doc_id. A null or
+    empty text has no tokens; very long texts are encoded whole. An encoding is unique, so nothing ties. Of other columns lang and source go on, null or not; no rows give none."""
     return byte_bpe.encode_decode(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, keep=True, carry=("lang", "source"))
 
 
