@@ -168,12 +168,6 @@ def counted(items: Column) -> Column:
     return F.when(F.size(items) > 0, some)
 
 
-def char_grams(text: Column, n: int) -> Column:
-    """Lower-case runs of ``n`` characters at every place (the whole text where it is shorter), in time linear in the text."""
-    places = F.sequence(F.lit(1), F.greatest(F.length(text) - n + 1, F.lit(1)))
-    return let(F.split(text, ""), lambda chars: F.transform(places, lambda i: F.lower(F.array_join(F.slice(chars, i, F.lit(n)), ""))))
-
-
 def fixed_length(items: Column, size: int = 128, pad: str = "[PAD]") -> Column:
     """(items cut or padded to ``size``, mask of 1 for items and 0 for padding)."""
     cut = F.slice(items, 1, size)

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from gleanery.functions import text as T
+from gleanery.sources.scratch import materialize
 
 REASONS = ("empty", "non_ascii", "too_short", "few_letters")
 
@@ -74,12 +75,39 @@ def funnel(df: DataFrame, column: str = "review_text", language_score: Callable[
     return counts.crossJoin(F.broadcast(total)).select("stage", "n", F.round(F.col("n") / F.col("total"), 6).alias("share"))
 
 
+def gram_counts(df: DataFrame, text: str, label: str, n: int, most: int = 1 << 17) -> DataFrame:
+    """(language, gram, c): lower-case character n-grams of texts and labels without nulls (a shorter text is one gram). Each task adds up what it reads
+    before the shuffle and lets go of its counts beyond ``most`` grams."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, Counter] = {}
+        size = 0
+
+        def let_go() -> pa.RecordBatch:
+            rows = [(k, g.lower(), c) for k, own in held.items() for g, c in own.items()]
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate((pa.string(), pa.string(), pa.int64()))], names=["language", "gram", "c"])
+
+        for batch in batches:
+            for k, x in zip(batch.column(label), batch.column(text)):
+                t, own = x.as_py(), held.setdefault(k.as_py(), Counter())
+                before = len(own)
+                own.update(t[i : i + n] for i in range(max(len(t) - n + 1, 1)))
+                size += len(own) - before
+                if size > most:
+                    yield let_go()
+                    held, size = {}, 0
+        yield let_go()
+
+    counted = df.select(label, text).mapInArrow(run, "language string, gram string, c long")
+    return counted.groupBy("language", "gram").agg(F.sum("c").alias("c"))
+
+
 def language_profiles(df: DataFrame, text: str = "review_text", label: str = "language", n: int = 3, top: int = 300) -> DataFrame:
     """(language, gram, logp): the ``top`` commonest character n-grams of each language with smoothed log shares, and one row with gram null for any other gram."""
     from pyspark.sql import Window
 
-    labelled = df.where(F.col(text).isNotNull() & F.col(label).isNotNull()).select(F.col(label).alias("language"), text)
-    counts = T.unnest(labelled, T.char_grams(F.col(text), n), "gram", "language").groupBy("language", "gram").agg(F.count("*").alias("c"))
+    # written once: totals and ranks read it, and texts should not be cut as often
+    counts = materialize(gram_counts(df.where(F.col(text).isNotNull() & F.col(label).isNotNull()), text, label, n))
     totals = counts.groupBy("language").agg(F.sum("c").alias("total"))
     best = Window.partitionBy("language").orderBy(F.desc("c"), "gram")
     kept = counts.withColumn("r", F.row_number().over(best)).where(F.col("r") <= top).join(totals, "language")
@@ -121,7 +149,9 @@ def score_column(df: DataFrame, profiles: DataFrame, text: str = "review_text",
                 if t is None or len(t) < n or not len(floor):
                     out.append(None)
                     continue
-                grams = Counter(t[i : i + n].lower() for i in range(len(t) - n + 1))
+                grams = Counter()
+                for g, c in Counter(t[i : i + n] for i in range(len(t) - n + 1)).items():
+                    grams[g.lower()] += c
                 s = (len(t) - n + 1) * floor
                 for g in gain.keys() & grams.keys():
                     s = s + grams[g] * gain[g]

@@ -2,6 +2,7 @@
 
 import math
 import random
+from collections import Counter
 from fractions import Fraction
 
 import pytest
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 from gleanery.functions import stats
 from gleanery.operators import evaluation as E
 from gleanery.operators import experiments as X
-from gleanery.operators import models, sampling, topics
+from gleanery.operators import models, quality, sampling, topics
 from gleanery.operators import timeseries as D
 from gleanery.plans.queries_sampling import part_games
 from gleanery.sources import paged
@@ -91,6 +92,15 @@ def test_json_lists(spark, tmp_path):
     assert sorted(map(tuple, R.read_json(spark, path, "id int, review_text string", multi_line=False).collect())) == rows
 
 
+@pytest.mark.parametrize("most", [3, 1 << 17])
+def test_gram_counts(spark, most):
+    rows = [("en", "The the"), ("en", ""), ("en", "ab"), ("de", "Äpfel 🍎🍎🍎"), ("de", "x" * 5000), ("en", "The the")]
+    want = Counter((k, t[i : i + 3].lower()) for k, t in rows for i in range(max(len(t) - 2, 1)))
+    got = quality.gram_counts(spark.createDataFrame(rows, "language string, text string"), "text", "language", 3, most).collect()
+    assert {(r.language, r.gram): r.c for r in got} == want and len(got) == len(want)
+    assert quality.gram_counts(spark.createDataFrame([], "language string, text string"), "text", "language", 3).count() == 0
+
+
 def test_topics_of_reviews_without_a_vector(spark, sf_dir):
     """A review takes its vector's topic; one without a vector is an outlier."""
     own = spark.createDataFrame([(0,), (10**9,), (None,)], "review_id long")
@@ -362,8 +372,6 @@ def test_diverse_choice_without_noise_and_quota(spark):
 
 
 def test_language_stage_is_asked_last(spark):
-    from gleanery.operators import quality
-
     text = {"en": "the game is good and the story holds up to the end", "fr": "le jeu est bon et la fin de cette histoire aussi"}
     train = spark.createDataFrame([(k, t) for k, t in text.items()] * 3, "language string, review_text string")
     score = quality.english_score(quality.language_profiles(train))
