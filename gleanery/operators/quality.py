@@ -134,14 +134,29 @@ def _shipped(profiles: DataFrame) -> tuple[list[str], list[float], dict[str, lis
     return langs, [floor[k] for k in langs], gains
 
 
+class _Ranks(dict):
+    """The row of each gram, upper case or not, in a table of known grams."""
+
+    def __init__(self, places: dict[str, int]) -> None:
+        super().__init__()
+        self.places = places
+
+    def __missing__(self, gram: str) -> int:
+        self[gram] = place = self.places.get(gram.lower(), len(self.places))
+        return place
+
+
 def score_column(df: DataFrame, profiles: DataFrame, text: str = "review_text", n: int = 3) -> DataFrame:
     """``df`` with ``p_languages`` (posteriors in order of the languages' names) and ``p_en``; null for texts under ``n`` characters and without profiles. Each text is
     scored where it lies: no row for a gram, no shuffle."""
     langs, floors, gains = _shipped(profiles)
-    shipped = df.sparkSession.sparkContext.broadcast((np.array(floors), {g: np.array(v) for g, v in gains.items()}))
+    # the last row is that of any other gram
+    table = np.array([*gains.values(), [0.0] * len(langs)])
+    shipped = df.sparkSession.sparkContext.broadcast((np.array(floors), {g: k for k, g in enumerate(gains)}, table))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        floor, gain = shipped.value
+        floor, places, gain = shipped.value
+        rank = _Ranks(places)
         for batch in batches:
             out = []
             for x in batch.column(text):
@@ -149,12 +164,10 @@ def score_column(df: DataFrame, profiles: DataFrame, text: str = "review_text",
                 if t is None or len(t) < n or not len(floor):
                     out.append(None)
                     continue
-                grams = Counter()
-                for g, c in Counter(t[i : i + n] for i in range(len(t) - n + 1)).items():
-                    grams[g.lower()] += c
-                s = (len(t) - n + 1) * floor
-                for g in gain.keys() & grams.keys():
-                    s = s + grams[g] * gain[g]
+                if len(rank) > 1 << 18:
+                    rank.clear()
+                at = np.fromiter((rank[t[i : i + n]] for i in range(len(t) - n + 1)), np.int64, len(t) - n + 1)
+                s = len(at) * floor + np.bincount(at, minlength=len(gain)) @ gain
                 e = np.exp(s - s.max())
                 out.append(e / e.sum())
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.float64()))], names=[*batch.schema.names, "p_languages"])
