@@ -7,8 +7,9 @@ one that reaches its total stays there and the rest makes up for it. Cell weight
 which each of its documents is drawn; the draw compares it with a hash of doc_id, so the same documents come whatever
 the partitions. The texts are read once for the cells and never shuffled.
 
-Topics are clusters of term vectors within a language (k-means of hashed, weighted word counts, fitted on a bounded sample
-of each language): ``en:0`` to ``en:3`` and so on. Unless targets say otherwise, a language's weight is shared equally among its topics.
+Topics are clusters of term vectors within a language (k-means of hashed, weighted word counts of all its documents): ``en:0`` to
+``en:3`` and so on. Each round is a pass over the counts, whose sums by language and topic are made in the tasks. Vectors and centres are
+rounded to ``GRID``, so sums and scores are exact and no order of rows changes them. Unless targets say otherwise, a language's weight is shared equally among its topics.
 """
 
 from __future__ import annotations
@@ -32,6 +33,8 @@ DEFAULT_TARGETS = {
 }
 #: Places of a term vector.
 DIM = 256
+#: Steps of a unit; products of two vectors in such steps are whole numbers below 2^53.
+GRID = float(1 << 20)
 
 
 def term_counts(text: str | None) -> tuple[int, np.ndarray]:
@@ -94,20 +97,92 @@ def sample_counts(own: DataFrame, rows: int) -> dict[str, np.ndarray]:
     return {k: np.array(sorted(v), np.int64) for k, v in held.items()}
 
 
-def _read(model: Topics, carry: tuple[str, ...]):
+def _sums(counted: DataFrame, add) -> dict[tuple[str, int], np.ndarray]:
+    """``add`` gives rows of whole numbers by topic for the count matrix of a language; their sums by (lang_group, topic) over all of ``counted``: a row for each topic of a target."""
+    schema = "lang_group string, topic int, sums array<long>"
+    kinds = pa.schema([("lang_group", pa.string()), ("topic", pa.int32()), ("sums", pa.list_(pa.int64()))])
+
+    def table(held: dict[tuple[str, int], np.ndarray]) -> pa.Table:
+        return pa.table([pa.array([k for k, _ in held], pa.string()), pa.array([t for _, t in held], pa.int32()), pa.array(list(held.values()), pa.list_(pa.int64()))], schema=kinds)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[tuple[str, int], np.ndarray] = {}
+        for batch in small(batches, 4 << 20):
+            langs, counts = np.array(batch.column("lang_group").to_pylist(), object), batch.column("counts").flatten().to_numpy().reshape(-1, DIM)
+            some = counts.any(axis=1)
+            for lang in set(langs[some]):
+                for topic, row in add(lang, counts[some & (langs == lang)]):
+                    held[lang, topic] = held[lang, topic] + row if (lang, topic) in held else row
+        yield from table(held).to_batches()
+
+    def total(own: pa.Table) -> pa.Table:
+        rows = own["sums"].combine_chunks().flatten().to_numpy().reshape(own.num_rows, -1).sum(axis=0)
+        return table({(own["lang_group"][0].as_py(), own["topic"][0].as_py()): rows})
+
+    got = counted.select("lang_group", "counts").mapInArrow(run, schema).groupBy("lang_group", "topic").applyInArrow(total, schema).toArrow()
+    return {(k, t): np.array(x, np.int64) for k, t, x in zip(got["lang_group"].to_pylist(), got["topic"].to_pylist(), got["sums"].to_pylist())}
+
+
+def _on_grid(rows: np.ndarray) -> np.ndarray:
+    """Rows at length 1, in whole steps."""
+    return np.rint(rows / np.sqrt((rows * rows).sum(axis=1))[:, None] * GRID)
+
+
+def fit_all(counted: DataFrame, topics: int, per_topic: int = 50, rounds: int = 10) -> Topics:
+    """Spherical k-means over all rows of ``counted`` (lang_group, counts); no more topics of a language than one for ``per_topic`` of its documents.
+
+    The first centres are the means of the documents whose largest entry, among the places that differ most between documents, is the same."""
+    found, leads = Topics({}, {}), {}
+    seen = _sums(counted, lambda _, counts: [(0, np.concatenate([[len(counts)], (counts > 0).sum(axis=0)]))])
+    for (lang, _), row in sorted(seen.items()):
+        n, df = int(row[0]), row[1:]
+        found.weight[lang] = weight = np.log((1 + n) / (1 + df)) + 0.1
+        leads[lang] = np.sort(np.argsort(-(df * (n - df) * weight**2), kind="stable")[: max(1, min(topics, n // per_topic))])
+
+    def step(choose):
+        def add(lang: str, counts: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+            x = _on_grid(np.log1p(counts) * found.weight[lang])
+            at = choose(lang, x)
+            for topic in np.unique(at):
+                yield int(topic), x[at == topic].sum(axis=0).astype(np.int64)
+
+        return _sums(counted, add)
+
+    sums = step(lambda lang, x: x[:, leads[lang]].argmax(axis=1))
+    grid = {lang: np.stack([_on_grid(sums[k][None].astype(float))[0] for k in sorted(sums) if k[0] == lang]) for lang in leads}
+    for _ in range(rounds):
+        now = grid
+        sums = step(lambda lang, x, now=now: (x @ now[lang].T).argmax(axis=1))
+        grid = {lang: np.stack([_on_grid(sums[lang, t][None].astype(float))[0] if (lang, t) in sums else c for t, c in enumerate(cs)]) for lang, cs in now.items()}
+        if all((grid[lang] == now[lang]).all() for lang in grid):
+            break
+    found.centres = {lang: cs / np.sqrt((cs * cs).sum(axis=1))[:, None] for lang, cs in grid.items()}
+    return found
+
+
+def _count(carry: tuple[str, ...]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
-            sizes, topics = [], []
-            for lang, text in zip(batch.column("lang_group").to_pylist(), batch.column("text")):
-                n, counts = term_counts(text.as_py())
-                sizes.append(max(1, n))
-                topics.append(f"{lang}:{model.of(lang, counts)}")
+            read = [term_counts(text.as_py()) for text in batch.column("text")]
+            counts = pa.array(np.concatenate([c for _, c in read]).astype(np.int32))
+            columns = [pa.array([max(1, n) for n, _ in read], pa.int64()), pa.ListArray.from_arrays(np.arange(len(read) + 1, dtype=np.int32) * DIM, counts)]
             kept = ["doc_id", "source_group", "lang_group", *carry]
-            yield pa.RecordBatch.from_arrays([pa.array(sizes, pa.int64()), pa.array(topics, pa.string()), *(batch.column(c) for c in kept)], names=["tokens", "topic", *kept])
+            yield pa.RecordBatch.from_arrays([*columns, *(batch.column(c) for c in kept)], names=["tokens", "counts", *kept])
 
     return run
 
 
+def _topics(model: Topics) -> Column:
+    """Names of the topics of (lang_group, counts)."""
+
+    @F.arrow_udf("string")
+    def name(langs: pa.Array, counts: pa.Array) -> pa.Array:
+        rows = counts.flatten().to_numpy().reshape(-1, DIM)
+        return pa.array([f"{lang}:{model.of(lang, own)}" for lang, own in zip(langs.to_pylist(), rows)], pa.string())
+
+    return name("lang_group", "counts")
+
+
 @dataclass
 class Mix:
     """``probability``: of each cell (source, lang, topic), all under their target names."""
@@ -178,13 +253,13 @@ def under(value: Column, names: dict[str, float]) -> Column:
 
 def mix(
     docs: DataFrame, targets: dict[str, dict[str, float]] = DEFAULT_TARGETS, fraction: float = 0.5, seed: int = 7, tokens: Column | None = None, topic: Column | None = None,
-    topics: int = 4, sample: int = 500, per_topic: int = 50, carry: tuple[str, ...] = (),
+    topics: int = 4, sample: int | None = None, per_topic: int = 50, carry: tuple[str, ...] = (),
 ) -> DataFrame:
     """One row per row of ``docs`` (doc_id, text, source, lang): doc_id, source_group, lang_group, topic, tokens, probability, kept, error, and the columns of ``docs`` in ``carry``.
 
     Null or unlisted sources and languages are ``other``. Null and empty texts count one token; whole texts count, however
     long. ``tokens`` and ``topic`` may be given as columns; topics without a target are then ``other``. Else topics are
-    clusters fitted on about ``sample`` documents of each language group, ``per_topic`` of them or more for each. The expected tokens of each marginal are its share of ``fraction`` of all tokens as far as the
+    clusters fitted on all documents of each language group, ``per_topic`` of them or more for each; a caller that asks for a ``sample`` has them fitted on about that many of each. The expected tokens of each marginal are its share of ``fraction`` of all tokens as far as the
     cells have that many; ``error`` is the largest gap of a marginal's share that is left. Equal doc_ids are drawn alike; a null
     doc_id is drawn as one more id. Columns of the results' names in ``docs`` are not read; other columns are ignored; no rows give none.
     """
@@ -198,17 +273,16 @@ def mix(
         *(c for c in carry if c != "text"),
     )
     given = tuple(c for c in ("__tokens", "__topic") if c in own.columns)
-    model = Topics({}, {}) if topic is not None else fit_topics(sample_counts(own, sample), topics, per_topic)
-    named = ("text", *(c for c in (*given, *carry) if c != "text"))
-    kinds = StructType([*StructType.fromDDL("tokens long, topic string, doc_id long, source_group string, lang_group string"), *(own.schema[c] for c in named)])
-    read = own.mapInArrow(_read(model, named), kinds)
-    if tokens is not None:
-        read = read.withColumn("tokens", F.col("__tokens"))
-    if topic is not None:
-        read = read.withColumn("topic", under(F.col("__topic"), targets["topic"]))
+    named = (*given, *(c for c in carry if c != "text"), *(["text"] if "text" in carry else []))
+    kinds = StructType([*StructType.fromDDL("tokens long, counts array<int>, doc_id long, source_group string, lang_group string"), *(own.schema[c] for c in named)])
+    # written once: the fit reads the counts, the cells are summed from it, and the draw reads it again
+    counted = materialize(own.mapInArrow(_count(named), kinds))
+    if topic is None:
+        model = fit_all(counted, topics, per_topic) if sample is None else fit_topics(sample_counts(own, sample), topics, per_topic)
+    read = counted if tokens is None else counted.withColumn("tokens", F.col("__tokens"))
+    read = read.withColumn("topic", _topics(model) if topic is None else under(F.col("__topic"), targets["topic"]))
     axes = ["source_group", "lang_group", "topic"]
-    # written once: the cells are summed from it and the draw reads it again
-    own = materialize(read.select("doc_id", *axes, "tokens", *carry))
+    own = read.select("doc_id", *axes, "tokens", *carry)
     cells = {tuple(r[a] for a in axes): r.n for r in own.groupBy(*axes).agg(F.sum("tokens").alias("n")).collect()}
     if "topic" not in targets:
         alike = {lang: {t for _, k, t in cells if k == lang} for lang in {k for _, k, _ in cells}}
