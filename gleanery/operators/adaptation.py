@@ -11,16 +11,18 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gleanery.functions import text as T
+from gleanery.sources.scratch import materialize
 
 STRENGTH = 2.0
+MODELS = ("before", "after")
 
 
-def contexts(docs: DataFrame, text: str = "review_text", key: str = "review_id") -> DataFrame:
-    """(key, pos, left, token, right) of every token of every text; '' stands beyond both ends."""
+def contexts(docs: DataFrame, text: str = "review_text", key: str = "review_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, pos, left, token, right) of every token of every text, and the columns of ``docs`` in ``carry``; '' stands beyond both ends."""
     found = T.tokens(F.col(text))
-    rows = docs.select(key, found.alias("t")).select(key, "t", F.posexplode("t").alias("pos", "token"))
+    rows = docs.select(key, *carry, found.alias("t")).select(key, *carry, "t", F.posexplode("t").alias("pos", "token"))
     side = lambda step: F.coalesce(F.get("t", F.col("pos") + step), F.lit(""))
-    return rows.select(key, "pos", side(-1).alias("left"), "token", side(1).alias("right"))
+    return rows.select(key, *carry, "pos", side(-1).alias("left"), "token", side(1).alias("right"))
 
 
 def masked(key: Column, pos: Column, share: int = 15, seed: int = 42) -> Column:
@@ -33,6 +35,13 @@ def context_counts(places: DataFrame) -> DataFrame:
     return places.groupBy("left", "token", "right").agg(F.count("*").alias("c"))
 
 
+def smoothed(c, n: Column, v: Column) -> Column:
+    """The probability of a token by the counts ``c(level)``, ``n`` tokens in all, ``v`` different ones."""
+    alone = (c("t") + 1) / (n + v + 1)
+    sides = (c("lt") + c("tr") + STRENGTH * alone) / (c("l") + c("r") + STRENGTH)
+    return (c("ltr") + STRENGTH * sides) / (c("lr") + STRENGTH)
+
+
 def probabilities(asked: DataFrame, counts: DataFrame) -> DataFrame:
     """``asked`` (left, token, right, and others) with the probability ``p`` of each token between its neighbours, by ``counts``. Joins are on the aggregated counts."""
     seen = lambda *by, name: counts.groupBy(*by).agg(F.sum("c").alias(name))
@@ -41,10 +50,7 @@ def probabilities(asked: DataFrame, counts: DataFrame) -> DataFrame:
     for by, name in ((("left", "token", "right"), "ltr"), (("left", "right"), "lr"), (("left", "token"), "lt"), (("token", "right"), "tr"), (("left",), "l"), (("right",), "r"), (("token",), "t")):
         out = out.join(seen(*by, name=name), list(by), "left")
     c = lambda name: F.coalesce(F.col(name), F.lit(0)).cast("double")
-    alone = (c("t") + 1) / (F.col("n") + F.col("v") + 1)
-    sides = (c("lt") + c("tr") + STRENGTH * alone) / (c("l") + c("r") + STRENGTH)
-    both = (c("ltr") + STRENGTH * sides) / (c("lr") + STRENGTH)
-    return out.select(*asked.columns, both.alias("p"))
+    return out.select(*asked.columns, smoothed(c, F.col("n"), F.col("v")).alias("p"))
 
 
 def perplexity(held: DataFrame, counts: DataFrame) -> DataFrame:
@@ -54,6 +60,29 @@ def perplexity(held: DataFrame, counts: DataFrame) -> DataFrame:
     return found.select("n", F.exp(-F.col("mean")).alias("perplexity"))
 
 
+def compared(held: DataFrame, learned: DataFrame, general: Column) -> DataFrame:
+    """(model, n, perplexity): masked places ``held`` by the counts of the ``general`` rows of ``learned`` (before) and of all its rows (after).
+
+    Both models' counts stand side by side, so each level of the model is summed and joined once for both."""
+    asked = held.groupBy("left", "token", "right").agg(F.count("*").alias("times"))
+    counts = learned.groupBy("left", "token", "right").agg(F.count_if(general).alias("before"), F.count("*").alias("after"))
+    counts = materialize(counts)
+    tokens = materialize(counts.groupBy("token").agg(F.sum("before").alias("before_t"), F.sum("after").alias("after_t")))
+    total = tokens.agg(*[f(m) for m in MODELS for f in (lambda m: F.coalesce(F.sum(f"{m}_t"), F.lit(0)).alias(f"{m}_n"), lambda m: F.count_if(F.col(f"{m}_t") > 0).alias(f"{m}_v"))])  # one row
+    out = asked.crossJoin(F.broadcast(total)).join(tokens, "token", "left")
+    for by, name in ((("left",), "l"), (("right",), "r"), (("left", "token"), "lt"), (("token", "right"), "tr"), (("left", "right"), "lr"), (("left", "token", "right"), "ltr")):
+        seen = counts.groupBy(*by).agg(*[F.sum(m).alias(f"{m}_{name}") for m in MODELS]) if name != "ltr" else counts.select(*by, *[F.col(m).alias(f"{m}_ltr") for m in MODELS])
+        out = out.join(seen, list(by), "left")
+
+    def log_p(m: str) -> Column:
+        c = lambda name: F.coalesce(F.col(f"{m}_{name}"), F.lit(0)).cast("double")
+        return F.log(smoothed(c, F.col(f"{m}_n"), F.col(f"{m}_v")))
+
+    sums = out.agg(F.coalesce(F.sum("times"), F.lit(0)).alias("n"), *[(F.sum(F.col("times") * log_p(m)) / F.sum("times")).alias(m) for m in MODELS])
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("model"), F.exp(-F.col(m)).alias("perplexity")) for m in MODELS]))
+    return sums.select("n", rows.alias("x")).select("x.model", "n", "x.perplexity")
+
+
 def adapted(general: DataFrame, domain: DataFrame) -> DataFrame:
     """Counts of the general corpus with those of the domain added."""
     return general.unionByName(domain).groupBy("left", "token", "right").agg(F.sum("c").alias("c"))

@@ -146,13 +146,11 @@ MASKED = """places AS (SELECT review_id, game_id, pos - 1 AS pos, coalesce(CASE
 @query(sql("SELECT 1", "reviews").replace(" SELECT 1", f", {MASKED}"))
 def m07_masked_perplexity(spark, d):
     """Perplexity of masked tokens before and after adaptation to the domain."""
-    places = materialize(adaptation.contexts(reviews(spark, d)).join(reviews(spark, d).select("review_id", "game_id"), "review_id"))
+    places = adaptation.contexts(reviews(spark, d), carry=("game_id",))
     odd, held_out = F.col("game_id") % 2 == 1, F.col("review_id") % 5 == 0
     held = places.where(odd & held_out & adaptation.masked(F.col("review_id"), F.col("pos")))
-    general = materialize(adaptation.context_counts(places.where(~odd)))
-    after = materialize(adaptation.adapted(general, adaptation.context_counts(places.where(odd & ~held_out))))
-    both = [adaptation.perplexity(held, counts).select(F.lit(name).alias("model"), "n", F.round("perplexity", 4).alias("perplexity")) for name, counts in (("before", general), ("after", after))]
-    return both[0].unionByName(both[1])
+    found = adaptation.compared(held, places.where(~odd | ~held_out), ~odd)
+    return found.select("model", "n", F.round("perplexity", 4).alias("perplexity"))
 
 
 def trained(spark, d):
