@@ -19,9 +19,9 @@ def clean_reviews(raw: DataFrame) -> DataFrame:
 
 
 def remove_game_names(df: DataFrame, text: str = "review_text", game: str = "game_name") -> DataFrame:
-    """Each text without the words of its game's title. The word list is built once for each game, not for each row; a null game leaves the text as it is."""
-    words = df.select(game).distinct().select(F.col(game).alias("__game"), T.title_words(F.col(game)).alias("__words"))
-    return df.join(words, F.col(game) == F.col("__game"), "left").withColumn(text, T.remove_words(F.col(text), F.col("__words"))).drop("__game", "__words")
+    """Each text without the words of its game's title, which are read from the row's own title: texts are not shuffled, so a game of any number of rows
+    loads no task. A null game leaves the text as it is."""
+    return df.withColumn(text, T.let(F.struct(F.col(text).alias("text"), T.title_words(F.col(game)).alias("words")), lambda v: T.remove_words(v["text"], v["words"])))
 
 
 def attach_games(df: DataFrame, games: DataFrame, key: str = "game_id") -> DataFrame:
