@@ -9,7 +9,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import groupby
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,8 @@ from gleanery.operators.reduction import SLOTS, slot_counts, times, weighted_row
 from gleanery.sources.scratch import materialize
 
 _EVEN = np.ones(SLOTS)
+#: Rows explained at a time: their tokens and scores are held together.
+STEP = 256
 HISTORY = "run long, epoch long, train_loss double, val_accuracy double, test_accuracy double"
 
 
@@ -42,28 +43,63 @@ class Network:
         return 1.0 / (1.0 + np.exp(-np.clip(z @ self.weights[SLOTS + 1] + self.weights[SLOTS + 2, 0], -40.0, 40.0))), z
 
 
-def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    """(shard, slots, weights, label) of every row."""
+@dataclass
+class Shard:
+    """Rows end to end: ``slots`` and ``weights`` of all, where each row ends, and its label."""
+
+    slots: np.ndarray
+    weights: np.ndarray
+    ends: np.ndarray
+    labels: np.ndarray
+
+    @staticmethod
+    def of(rows: list[tuple]) -> Shard:
+        """From (shard, slots, weights, label) of each row."""
+        return Shard(np.concatenate([r[1] for r in rows]), np.concatenate([r[2] for r in rows]), np.cumsum([len(r[1]) for r in rows]), np.array([r[3] for r in rows]))
+
+    def part(self, at: int, stop: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(row from 0, slot, weight, label) of the rows from ``at`` to ``stop``."""
+        low, ends = (self.ends[at - 1] if at else 0), self.ends[at:stop]
+        sizes = np.diff(ends, prepend=low)
+        return np.repeat(np.arange(len(sizes)), sizes), self.slots[low : ends[-1]], self.weights[low : ends[-1]], self.labels[at:stop]
+
+
+def _shards(batches: Iterator[pa.RecordBatch]) -> Iterator[Shard]:
+    """The rows of each shard, which come in a run; one shard is held at a time, as flat arrays."""
+    now, held = None, []
+
+    def whole() -> Shard:
+        slots, weights, sizes, labels = (np.concatenate(x) for x in zip(*held))
+        held.clear()
+        return Shard(slots, weights, np.cumsum(sizes), labels)
+
     for batch in batches:
         shard, label = batch.column("shard").to_numpy(), batch.column("label").to_numpy()
         for row, slot, weight in weighted_rows(batch, _EVEN):
-            for part in np.split(np.arange(len(row)), np.flatnonzero(np.diff(row)) + 1):
-                if len(part):
-                    yield int(shard[row[part[0]]]), slot[part], weight[part], int(label[row[part[0]]])
-
-
-def _learn(net: Network, rows: list[tuple], rate: float, batch: int) -> tuple[np.ndarray, np.ndarray, float]:
+            cuts = np.flatnonzero(np.diff(shard[row])) + 1
+            for own, s, w in zip(np.split(row, cuts), np.split(slot, cuts), np.split(weight, cuts)):
+                if not len(own):
+                    continue
+                if held and shard[own[0]] != now:
+                    yield whole()
+                now = shard[own[0]]
+                first = np.flatnonzero(np.diff(own, prepend=-1))
+                held.append((s.copy(), w, np.diff(first, append=len(own)), label[own[first]].astype(np.int8)))
+    if held:
+        yield whole()
+
+
+def _learn(net: Network, rows: Shard | list[tuple], rate: float, batch: int) -> tuple[np.ndarray, np.ndarray, float]:
     """(weights after the shard, touched rows, summed loss): mini-batches in the order given, a falling rate for each weight."""
+    rows = rows if isinstance(rows, Shard) else Shard.of(rows)
     w, seen, touched, loss = net.weights.copy(), np.full(net.weights.shape, 1e-3), np.zeros(len(net.weights), bool), 0.0
     own = Network(w)
-    for at in range(0, len(rows), batch):
-        part = rows[at : at + batch]
-        row = np.repeat(np.arange(len(part)), [len(r[1]) for r in part])
-        slot, weight, y = np.concatenate([r[1] for r in part]), np.concatenate([r[2] for r in part]), np.array([r[3] for r in part])
+    for at in range(0, len(rows.labels), batch):
+        row, slot, weight, y = rows.part(at, at + batch)
         _, sums = times(row, slot, weight, w[:SLOTS])
         p, z = own.outputs(sums)
         loss -= float(np.log(np.clip(np.where(y == 1, p, 1.0 - p), 1e-12, 1.0)).sum())
-        error = (p - y) / len(part)
+        error = (p - y) / len(y)
         inner = error[:, None] * w[SLOTS + 1] * (1.0 - z * z)
         places, at_place = np.unique(slot, return_inverse=True)
         grad = np.zeros((len(places) + 3, w.shape[1]))
@@ -86,11 +122,11 @@ def _epoch(train: DataFrame, net: Network, rate: float, batch: int) -> tuple[Net
             yield pa.RecordBatch.from_arrays([pa.array(slots[part].astype(np.int32)), pa.array(n[part]), pa.array(list(change[part]), pa.list_(pa.float64()))], names=["slot", "n", "change"])
 
     def learn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for _, rows in groupby(_rows(batches), key=lambda r: r[0]):
-            rows = list(rows)
+        for rows in _shards(batches):
+            n = len(rows.labels)
             after, touched, loss = _learn(shipped.value, rows, rate, batch)
-            yield from emit(touched, np.full(len(touched), float(len(rows))), (after - shipped.value.weights)[touched] * len(rows))
-            yield from emit(np.array([-1]), np.array([float(len(rows))]), np.array([[loss, *[0.0] * (width - 1)]]))
+            yield from emit(touched, np.full(len(touched), float(n)), (after - shipped.value.weights)[touched] * n)
+            yield from emit(np.array([-1]), np.array([float(n)]), np.array([[loss, *[0.0] * (width - 1)]]))
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n, total = np.zeros(SLOTS + 4), np.zeros((SLOTS + 4, width))
@@ -182,7 +218,7 @@ def integrated_gradients(docs: DataFrame, net: Network, steps: int = 32, text: s
         return label, *((float(p[-2]), float(p[-1]), score[at]) if label else (1.0 - float(p[-2]), 1.0 - float(p[-1]), -score[at]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(at, STEP) for whole in batches for at in range(0, whole.num_rows, STEP)):
             out = [explain(shipped.value, s.values.to_numpy() if s.is_valid else np.empty(0, np.int32)) for s in batch.column("slots")]
             columns = [pa.array([o[i] for o in out], k) for i, k in enumerate((pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())))]
             yield pa.RecordBatch.from_arrays([batch.column("key"), *columns[:3], batch.column("tokens"), columns[3]], names=["key", "prediction", "output", "baseline", "tokens", "scores"])
