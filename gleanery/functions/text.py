@@ -164,7 +164,7 @@ def counted(items: Column) -> Column:
     """Distinct items with how often each occurs, (item, n) in order: sorted once, so repeats never leave their row."""
     edges = lambda s: F.filter(F.sequence(F.lit(0), F.size(s) - 1), lambda i: (i == 0) | (F.get(s, i) != F.get(s, i - 1)))
     runs = lambda v: F.transform(v["at"], lambda p, i: F.struct(F.get(v["s"], p).alias("item"), (F.coalesce(F.get(v["at"], i + 1), F.size(v["s"])) - p).cast("long").alias("n")))
-    some = let(F.array_sort(items), lambda s: let(F.struct(s.alias("s"), edges(s).alias("at")), runs))
+    some = let(F.sort_array(items), lambda s: let(F.struct(s.alias("s"), edges(s).alias("at")), runs))
     return F.when(F.size(items) > 0, some)
 
 
