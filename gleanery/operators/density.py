@@ -10,7 +10,6 @@ ones are chosen. With one cell the result is that of the complete graph; with mo
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import groupby
 
 import numpy as np
 import pandas as pd
@@ -26,12 +25,11 @@ OUTLIER = -1
 FLOOR = 1e-6
 DEEPEST = 40
 BRANCH = 16
-STATE = "comp long, size long, cluster long, total double, death double, inner double, members array<struct<node: bigint, weight: bigint>>"
-MERGED = f"kind string, {STATE}, old long, parent long, birth double, best boolean"
-
-
-def squared(a: Column, b: Column) -> Column:
-    return F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x)
+STATE = {"size": "long", "cluster": "long", "total": "double", "death": "double", "inner": "double", "nodes": "array<long>", "weights": "array<long>"}
+STATE_FIELDS = list(STATE)
+MERGED = f"kind string, comp long, {', '.join(f'{n} {t}' for n, t in STATE.items())}, old long, parent long, best boolean"
+_ARROW = {"string": pa.string(), "long": pa.int64(), "double": pa.float64(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64())}
+_MERGED = pa.schema([(n, _ARROW[t]) for n, t in (f.split(" ") for f in MERGED.split(", "))])
 
 
 def unit(vector: Column) -> Column:
@@ -42,6 +40,31 @@ def unit(vector: Column) -> Column:
     return F.when(good, F.transform(v, lambda x: x / size))
 
 
+def _nearest(slack: float):
+    """The two nearest of the centres that each row brings along (end to end), and whether the border between them is within ``slack``; ties go to the first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (whole.slice(at, 512) for whole in batches for at in range(0, whole.num_rows, 512)):
+            m = batch.num_rows
+            v = batch.column("v").flatten().to_numpy().reshape(m, -1)
+            sizes = batch.column("centres").value_lengths().to_numpy() // v.shape[1]
+            held = np.arange(max(sizes.max(), 2)) < sizes[:, None]
+            c = np.full((*held.shape, v.shape[1]), np.inf)
+            c[held] = batch.column("centres").flatten().to_numpy().reshape(-1, v.shape[1])
+            d = np.square(v[:, None] - c).sum(axis=2)
+            near, row = np.argsort(d, axis=1, kind="stable")[:, :2], np.arange(m)
+            one, two = near[:, 0], near[:, 1]
+            other = held[row, two]
+            between = np.zeros(m)
+            between[other] = np.sqrt(np.square(c[row, one][other] - c[row, two][other]).sum(axis=1))
+            close = np.zeros(m, bool)
+            close[other] = d[row, two][other] - d[row, one][other] <= 2 * slack * between[other]
+            columns = [batch.column(n) for n in ("cell", "node", "weight", "v", "spare")]
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(one.astype(np.int32)), pa.array(two.astype(np.int32)), pa.array(close)], names=["cell", "node", "weight", "v", "spare", "one", "two", "close"])
+
+    return run
+
+
 def deal(nodes: DataFrame, cell: int, spare: int, slack: float) -> DataFrame:
     """(cell, node, weight, v): every node in a home cell and, near a border, in up to ``spare`` more; no cell over ``cell`` nodes.
 
@@ -59,17 +82,14 @@ def deal(nodes: DataFrame, cell: int, spare: int, slack: float) -> DataFrame:
         large = sized.where(F.col("n") > cell)
         order = F.xxhash64(F.lit(level), "node")
         picked = large.where(F.pmod(order, F.lit(1 << 30)) * F.col("n") < float(4 * BRANCH << 30)).groupBy("cell").agg(F.sort_array(F.collect_list(F.struct(order.alias("h"), "v"))).alias("c"))
-        centres = materialize(picked.select("cell", F.transform(F.slice("c", 1, BRANCH), lambda x: x["v"]).alias("centres")))
-        near = F.array_sort(F.transform("centres", lambda c, i: F.struct(squared(F.col("v"), c).alias("d"), i.alias("i"))))
-        placed = large.join(centres, "cell").withColumn("near", F.slice(near, 1, 2))
-        one, two = F.col("near")[0], F.get("near", F.lit(1))
-        between = F.sqrt(squared(F.get("centres", one["i"]), F.get("centres", two["i"])))
-        both = (F.col("spare") > 0) & two.isNotNull() & (two["d"] - one["d"] <= 2 * F.lit(slack) * between)
+        centres = materialize(picked.select("cell", F.flatten(F.transform(F.slice("c", 1, BRANCH), lambda x: x["v"])).alias("centres")))
+        placed = large.join(centres, "cell").select("cell", "node", "weight", "v", "spare", "centres").mapInArrow(_nearest(slack), "cell string, node long, weight long, v array<double>, spare int, one int, two int, close boolean")
+        both = (F.col("spare") > 0) & F.col("close")
         left = F.col("spare") - 1
         other = F.floor(left / 2).cast("int")
         name = lambda i: F.concat_ws(".", "cell", i.cast("string"))
-        home = F.struct(name(one["i"]).alias("cell"), F.when(both, left - other).otherwise(F.col("spare")).alias("spare"))
-        second = F.struct(name(two["i"]).alias("cell"), other.alias("spare"))
+        home = F.struct(name(F.col("one")).alias("cell"), F.when(both, left - other).otherwise(F.col("spare")).alias("spare"))
+        second = F.struct(name(F.col("two")).alias("cell"), other.alias("spare"))
         now = materialize(placed.withColumn("to", F.explode(F.when(both, F.array(home, second)).otherwise(F.array(home)))).select("to.cell", "node", "weight", "v", "to.spare"))
     else:
         raise RuntimeError(f"a cell still has {largest} nodes after {DEEPEST} splits")
@@ -92,7 +112,8 @@ def _cores(k: int):
 
     def run(cell: pd.DataFrame) -> pd.DataFrame:
         d, weight = _distances(np.stack(cell["v"])), cell["weight"].to_numpy()
-        at = np.argsort(d, axis=1, kind="stable")[:, : k + 1]
+        least = np.argpartition(d, k, axis=1)[:, : k + 1] if k + 1 < len(d) else np.tile(np.arange(len(d)), (len(d), 1))
+        at = np.take_along_axis(least, np.take_along_axis(d, least, 1).argsort(axis=1, kind="stable"), 1)
         enough = np.cumsum(weight[at], axis=1) - 1 >= k
         core = np.where(enough.any(axis=1), np.take_along_axis(d, at, 1)[np.arange(len(d)), enough.argmax(axis=1)], np.inf)
         return pd.DataFrame({"node": cell["node"], "core": core})
@@ -115,116 +136,178 @@ def _tree(cell: pd.DataFrame) -> pd.DataFrame:
         if not np.isfinite(reach[now]):
             break
         edges.append((min(node[now], node[via[now]]), max(node[now], node[via[now]]), reach[now]))
-    return pd.DataFrame(edges, columns=["a", "b", "w"]).astype({"a": "int64", "b": "int64", "w": "float64"})
+    weight = dict(zip(node.tolist(), cell["weight"].tolist()))
+    found = pd.DataFrame(edges, columns=["a", "b", "w"]).astype({"a": "int64", "b": "int64", "w": "float64"})
+    return found.assign(size_a=found["a"].map(weight).astype("int64"), size_b=found["b"].map(weight).astype("int64"))
 
 
 def _merge(min_size: int, number: int):
-    """Merges the components of a block of edges (sorted by weight). All edges of one weight act at once, so the result depends on no order among ties.
+    """Merges the components of a block: the states of those that merged before, then edges sorted by weight; a component without a state is a node of its own.
+    All edges of one weight act at once, so the result depends on no order among ties.
 
     Of what one weight joins: with no cluster so far, ``min_size`` vectors or more become one, and all of them leave it at this density; one
     cluster takes in the rest, which leave it at this density; two or more clusters end and become children of a new one."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        state, up, out, born = {}, {}, [], number << 32
+        # a state: size, cluster, total, death, inner, and while there is no cluster the nodes and their weights
+        state, up, born = {}, {}, number << 32
+        points, ended = ([], [], []), ([], [], [], [])
 
         def find(x: int) -> int:
-            while (y := up.get(x, x)) != x:
-                up[x] = up.get(y, y)
-                x = y
-            return x
-
-        def edges():
-            for batch in batches:
-                for row in batch.to_pylist():
-                    for side in ("a", "b"):
-                        if row[side] not in up:
-                            up[row[side]], state[row[side]] = row[side], row["state_" + side]
-                    yield row["w"], row["a"], row["b"]
-
-        for w, run_ in groupby(edges(), key=lambda e: e[0]):
-            density, groups, joined = 1.0 / max(w, FLOOR), {}, {}
-
-            def head(x: int, joined=joined) -> int:
-                while (y := joined.get(x, x)) != x:
+            top = x
+            while (y := up[top]) != top:
+                top = y
+            while (y := up[x]) != top:
+                up[x], x = top, y
+            return top
+
+        def merge(parts: list[int], density: float) -> None:
+            nonlocal born
+            old, first = [state[p] for p in sorted(parts)], min(parts)
+            clusters = [s for s in old if s[1] is not None]
+            loose = [s for s in old if s[1] is None]
+            size, nodes, weights = sum(s[0] for s in old), [n for s in loose for n in s[5]], [w for s in loose for w in s[6]]
+            if not clusters and size < min_size:
+                new = [size, None, 0.0, 0.0, 0.0, nodes, weights]
+            else:
+                if len(clusters) == 1:
+                    new = list(clusters[0])
+                else:
+                    born += 1
+                    new = [0, born, 0.0, 0.0, 0.0, [], []]
+                    for s in clusters:
+                        stability = s[2] - s[0] * density
+                        for column, value in zip(ended, (s[1], born, stability >= s[4], s[3])):
+                            column.append(value)
+                        new[2] += s[0] * density
+                        new[4] += max(stability, s[4])
+                if loose or len(clusters) != 1:
+                    new[3] = max(new[3], density)
+                new[0], new[2] = size, new[2] + sum(weights) * density
+                points[0].extend(nodes)
+                points[1].extend([new[1]] * len(nodes))
+                points[2].extend([density] * len(nodes))
+            for p in parts:
+                up[p] = first
+                if p != first:
+                    del state[p]
+            state[first] = new
+
+        def act(w: float, ends: list[tuple[int, int]]) -> None:
+            density = 1.0 / max(w, FLOOR)
+            if len(ends) == 1:
+                a, b = find(ends[0][0]), find(ends[0][1])
+                merge([a] if a == b else [a, b], density)
+                return
+            joined, groups = {}, {}
+
+            def head(x: int) -> int:
+                while (y := joined.setdefault(x, x)) != x:
                     x = y
                 return x
 
-            for _, a, b in run_:
-                a, b = find(a), find(b)
-                joined.setdefault(a, a)
-                joined.setdefault(b, b)
-                joined[max(head(a), head(b))] = min(head(a), head(b))
+            for a, b in ends:
+                a, b = head(find(a)), head(find(b))
+                joined[max(a, b)] = min(a, b)
             for x in joined:
                 groups.setdefault(head(x), []).append(x)
-            for first, parts in groups.items():
-                old = [state[p] for p in sorted(parts)]
-                clusters = [s for s in old if s["cluster"] is not None]
-                loose = [m for s in old if s["cluster"] is None for m in s["members"]]
-                size = sum(s["size"] for s in old)
-                fallen = sum(m["weight"] for m in loose)
-                if not clusters and size < min_size:
-                    new = {"size": size, "cluster": None, "total": 0.0, "death": 0.0, "inner": 0.0, "members": loose}
-                else:
-                    if len(clusters) == 1:
-                        new = dict(clusters[0])
-                    else:
-                        born += 1
-                        new = {"cluster": born, "total": 0.0, "death": 0.0, "inner": 0.0, "members": []}
-                        for s in clusters:
-                            stability = s["total"] - s["size"] * density
-                            out.append({"kind": "cluster", **s, "parent": born, "birth": density, "best": stability >= s["inner"]})
-                            new["total"] += s["size"] * density
-                            new["inner"] += max(stability, s["inner"])
-                    if loose or len(clusters) != 1:
-                        new["death"] = max(new["death"], density)
-                    new["size"], new["total"] = size, new["total"] + fallen * density
-                    out += [{"kind": "point", "comp": m["node"], "cluster": new["cluster"], "death": density} for m in loose]
-                for p in parts:
-                    up[p] = first
-                state[first] = new
-        out += [{"kind": "old", "old": x, "comp": find(x)} for x in up]
-        out += [{"kind": "state", **state[x], "comp": x} for x in up if find(x) == x]
-        schema = pa.schema([("kind", pa.string()), ("comp", pa.int64()), ("size", pa.int64()), ("cluster", pa.int64()), ("total", pa.float64()), ("death", pa.float64()), ("inner", pa.float64()), ("members", pa.list_(pa.struct([("node", pa.int64()), ("weight", pa.int64())]))), ("old", pa.int64()), ("parent", pa.int64()), ("birth", pa.float64()), ("best", pa.bool_())])
-        names = schema.names
-        for at in range(0, len(out), 20_000):
-            yield pa.RecordBatch.from_pylist([{n: r.get(n) for n in names} for r in out[at : at + 20_000]], schema=schema)
+            for parts in groups.values():
+                merge(parts, density)
+
+        w, now = None, []
+        for batch in batches:
+            columns = {n: batch.column(n) for n in batch.schema.names}
+            for i in np.flatnonzero(~columns["edge"].to_numpy(zero_copy_only=False)).tolist():
+                x = columns["a"][i].as_py()
+                up[x], state[x] = x, [columns[n][i].as_py() for n in STATE_FIELDS]
+            edges = batch.filter(columns["edge"])
+            for weight, a, b, size_a, size_b in zip(*(edges.column(n).to_pylist() for n in ("w", "a", "b", "size_a", "size_b"))):
+                for x, size in ((a, size_a), (b, size_b)):
+                    if x not in up:
+                        up[x], state[x] = x, [size, None, 0.0, 0.0, 0.0, [x], [size]]
+                if weight != w and now:
+                    act(w, now)
+                    now = []
+                w = weight
+                now.append((a, b))
+        if now:
+            act(w, now)
+
+        def rows(kind: str, **columns: list) -> Iterator[pa.RecordBatch]:
+            n = len(next(iter(columns.values())))
+            for at in range(0, n, 20_000):
+                size = min(20_000, n - at)
+                values = {"kind": [kind] * size} | {k: v[at : at + size] for k, v in columns.items()}
+                yield pa.RecordBatch.from_arrays([pa.array(values[f.name], f.type) if f.name in values else pa.nulls(size, f.type) for f in _MERGED], schema=_MERGED)
+
+        yield from rows("point", comp=points[0], cluster=points[1], death=points[2])
+        yield from rows("cluster", cluster=ended[0], parent=ended[1], best=ended[2], death=ended[3])
+        gone = [x for x in up if find(x) != x]
+        yield from rows("old", old=gone, comp=[find(x) for x in gone])
+        yield from rows("state", comp=list(state), **{n: [s[i] for s in state.values()] for i, n in enumerate(STATE_FIELDS)})
 
     return run
 
 
-def condense(edges: DataFrame, nodes: DataFrame, min_size: int, block: int) -> tuple[DataFrame, DataFrame]:
-    """Points (node, cluster, density at which it leaves) and clusters (cluster, parent, best, death) of edges (a, b, w), a node's edge to itself included.
+def _renamed(edges: DataFrame, names: DataFrame) -> DataFrame:
+    for side in ("a", "b"):
+        edges = edges.join(names.select(F.col("old").alias(side), "into"), side, "left").withColumn(side, F.coalesce("into", side)).drop("into")
+    return edges.where(F.col("own") | (F.col("a") != F.col("b")))
+
+
+def _latest(states: DataFrame) -> DataFrame:
+    """The last state of each component; those of components that have gone may be among them, as no edge names them any more."""
+    return states.groupBy("comp").agg(F.max_by(F.struct(*STATE_FIELDS), "number").alias("s"), F.max("number").alias("number")).select("comp", "s.*", "number")
+
+
+def condense(edges: DataFrame, min_size: int, block: int) -> tuple[DataFrame, DataFrame]:
+    """Points (node, cluster, density at which it leaves) and clusters (cluster, parent, best, death) of edges (a, b, w, size_a, size_b: the weights of
+    the nodes), a node's edge to itself included.
 
-    Blocks follow cuts of the weights, about ``block`` edges each (more if they weigh the same). After a block, what it merged is
-    renamed in the edges still to come, and edges within one component go; a block's names and states are few enough for a broadcast."""
+    Blocks follow cuts of the weights, about ``block`` edges each (more if they weigh the same), a task each. Blocks are halved again and again: what the lighter half
+    merged is renamed in the heavier one, edges within one component go, and states go on only where an edge names them. So an edge is
+    rewritten as often as blocks can be halved, not once for each block before its own."""
     count = edges.count()
     blocks = max(1, -(-count // block))
     cuts = sorted(set(edges.approxQuantile("w", [i / blocks for i in range(1, blocks)], 0.1 / blocks))) if blocks > 1 else []
-    states = nodes.select(F.col("node").alias("comp"), F.col("weight").alias("size"), F.lit(None).cast("long").alias("cluster"), *[F.lit(0.0).alias(c) for c in ("total", "death", "inner")], F.array(F.struct("node", "weight")).alias("members"))
-    live, done = edges.withColumn("own", F.col("a") == F.col("b")), []
-    fields = ["comp", "size", "cluster", "total", "death", "inner", "members"]
-    for number, cut in enumerate([*cuts, float("inf")], 1):
-        now = live.where(F.col("w") <= cut)
-        for side in ("a", "b"):
-            now = now.join(states.select(F.col("comp").alias(side), F.struct(*fields[1:]).alias(f"state_{side}")), side)
-        merged = materialize(now.select("w", "a", "b", "state_a", "state_b").repartition(1).sortWithinPartitions("w", "a", "b").mapInArrow(_merge(min_size, number), MERGED))
-        done.append(merged.where("kind in ('point', 'cluster')"))
-        names = merged.where("kind = 'old'").select("old", F.col("comp").alias("into"))
-        states = materialize(states.join(F.broadcast(names.select("old")), F.col("comp") == F.col("old"), "left_anti").unionByName(merged.where("kind = 'state'").select(*fields)))
-        if cut != float("inf"):
-            live = live.where(F.col("w") > cut)
-            for side in ("a", "b"):
-                live = live.join(F.broadcast(names), F.col(side) == F.col("old"), "left").withColumn(side, F.coalesce("into", side)).drop("old", "into")
-            live = materialize(live.where(F.col("own") | (F.col("a") != F.col("b"))))
-    every = done[0]
+    shipped, done = np.array(cuts), []
+
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield batch.append_column("block", pa.array(np.searchsorted(shipped, batch.column("w").to_numpy(), "left").astype(np.int32)))
+
+    fields = "a long, b long, w double, size_a long, size_b long, own boolean"
+    every = edges.withColumn("own", F.col("a") == F.col("b")).select("a", "b", "w", "size_a", "size_b", "own")
+
+    def settle(low: int, high: int, part: DataFrame, states: DataFrame | None) -> tuple[DataFrame, DataFrame]:
+        """(names of components that have gone, states after each block) of the blocks from ``low`` to ``high``."""
+        if high - low == 1:
+            rows = part.select(F.lit(True).alias("edge"), "w", "a", "b", "size_a", "size_b", *[F.lit(None).cast(t).alias(n) for n, t in STATE.items()])
+            if states is not None:
+                rows = rows.unionByName(states.select(F.lit(False).alias("edge"), F.col("comp").alias("a"), *STATE_FIELDS), allowMissingColumns=True)
+            merged = materialize(rows.repartition(1).sortWithinPartitions("edge", "w", "a", "b").mapInArrow(_merge(min_size, low + 1), MERGED))
+            done.append(merged.where("kind in ('point', 'cluster')"))
+            return merged.where("kind = 'old'").select("old", F.col("comp").alias("into")), merged.where("kind = 'state'").select("comp", *STATE_FIELDS, F.lit(low).alias("number"))
+        middle = (low + high) // 2
+        names, after = settle(low, middle, part.where(F.col("block") < middle), states)
+        rest = materialize(_renamed(part.where(F.col("block") >= middle), names))
+        ends = rest.select(F.col("a").alias("comp")).unionByName(rest.select(F.col("b").alias("comp")))
+        known = after if states is None else states.unionByName(after)
+        later, last = settle(middle, high, rest, materialize(_latest(known.join(ends, "comp", "left_semi"))))
+        onward = names.join(later.select(F.col("old").alias("into"), F.col("into").alias("next")), "into", "left").select("old", F.coalesce("next", "into").alias("into"))
+        return materialize(onward.unionByName(later)), after.unionByName(last)
+
+    numbered = materialize(every.mapInArrow(number, f"{fields}, block int")) if cuts else every.withColumn("block", F.lit(0))
+    names, states = settle(0, len(cuts) + 1, numbered, None)
+    found = done[0]
     for more in done[1:]:
-        every = every.unionByName(more)
+        found = found.unionByName(more)
     # what is left at density 0: several roots are children of the whole, a single one is the whole and no topic
-    roots = states.where("cluster is not null")
+    roots = _latest(states.where("cluster is not null")).join(names.select(F.col("old").alias("comp")), "comp", "left_anti")
     several = roots.limit(2).count() > 1
     top = roots.select("cluster", F.lit(None).cast("long").alias("parent"), (F.lit(several) & (F.col("total") >= F.col("inner"))).alias("best"), "death")
-    clusters = every.where("kind = 'cluster'").select("cluster", "parent", "best", "death").unionByName(top)
-    return every.where("kind = 'point'").select(F.col("comp").alias("node"), "cluster", F.col("death").alias("density")), materialize(clusters)
+    clusters = found.where("kind = 'cluster'").select("cluster", "parent", "best", "death").unionByName(top)
+    return found.where("kind = 'point'").select(F.col("comp").alias("node"), "cluster", F.col("death").alias("density")), materialize(clusters)
 
 
 def chosen(clusters: DataFrame) -> DataFrame:
@@ -236,7 +319,7 @@ def chosen(clusters: DataFrame) -> DataFrame:
     return now.select("cluster", "topic")
 
 
-def density_topics(vectors: DataFrame, min_topic_size: int = 10, min_samples: int | None = None, key: str = "vec_id", vector: str = "embedding", cell: int = 2000, spare: int = 3, slack: float = 0.25, block: int = 200_000) -> DataFrame:
+def density_topics(vectors: DataFrame, min_topic_size: int = 10, min_samples: int | None = None, key: str = "vec_id", vector: str = "embedding", cell: int = 2000, spare: int = 3, slack: float = 0.25, block: int = 500_000) -> DataFrame:
     """(key, topic_id, probability) for every row of ``vectors``: topics numbered from 0 by falling size, -1 with probability 0 for outliers.
 
     Vectors are compared at length 1. ``min_samples`` (default: ``min_topic_size``) others within reach make a vector dense. Probability is the density at which a
@@ -252,10 +335,10 @@ def density_topics(vectors: DataFrame, min_topic_size: int = 10, min_samples: in
     cells = deal(nodes, cell, spare, slack)
     core = materialize(cells.groupBy("cell").applyInPandas(_cores(k), "node long, core double").groupBy("node").agg(F.min("core").alias("core")))
     # a set of equal vectors hangs together from its own core distance on
-    own = core.join(nodes.where("weight > 1").select("node"), "node").where(F.col("core") < float("inf")).select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("core").alias("w"))
-    trees = cells.join(core, "node").groupBy("cell").applyInPandas(_tree, "a long, b long, w double")
-    edges = materialize(trees.groupBy("a", "b").agg(F.min("w").alias("w")).unionByName(own))
-    points, clusters = condense(edges, nodes.select("node", "weight"), min_topic_size, block)
+    own = core.join(nodes.where("weight > 1").select("node", "weight"), "node").where(F.col("core") < float("inf")).select(F.col("node").alias("a"), F.col("node").alias("b"), F.col("core").alias("w"), F.col("weight").alias("size_a"), F.col("weight").alias("size_b"))
+    trees = cells.join(core, "node").groupBy("cell").applyInPandas(_tree, "a long, b long, w double, size_a long, size_b long")
+    edges = materialize(trees.groupBy("a", "b").agg(F.min("w").alias("w"), F.first("size_a").alias("size_a"), F.first("size_b").alias("size_b")).unionByName(own))
+    points, clusters = condense(edges, min_topic_size, block)
     named = points.join(chosen(clusters), "cluster").where("topic is not null").join(clusters.select(F.col("cluster").alias("topic"), F.col("death").alias("top")), "topic")
     settled = materialize(nodes.select("node", "h", "weight").join(named.select("node", "topic", F.least(F.lit(1.0), F.col("density") / F.col("top")).alias("probability")), "node", "left"))
     sizes = settled.where("topic is not null").groupBy("topic").agg(F.sum("weight").alias("size"), F.min("node").alias("least"))

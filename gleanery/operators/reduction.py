@@ -64,7 +64,10 @@ def weighted_rows(batch: pa.RecordBatch, idf: np.ndarray) -> Iterator[tuple[np.n
 def times(row: np.ndarray, slot: np.ndarray, weight: np.ndarray, basis: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(rows that have an entry, their products with ``basis``)."""
     first = np.flatnonzero(np.diff(row, prepend=-1))
-    return row[first], np.add.reduceat(weight[:, None] * basis[slot], first, axis=0) if len(first) else np.empty((0, basis.shape[1]))
+    out = np.empty((len(first), basis.shape[1]))
+    for i, (low, high) in enumerate(zip(first.tolist(), [*first[1:].tolist(), len(row)])):
+        out[i] = weight[low:high] @ basis.take(slot[low:high], axis=0)
+    return row[first], out
 
 
 def _pass(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
@@ -81,14 +84,19 @@ def _pass(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
     def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         weights, b = shipped.value
         total = np.zeros((SLOTS, width))
+        one, two = np.empty((_STEP, width)), np.empty((_STEP, width))
         for batch in batches:
             for row, slot, weight in weighted_rows(batch, weights):
-                own, y = times(row, slot, weight, b)
-                order = np.argsort(slot, kind="stable")
-                part = weight[order, None] * y[np.searchsorted(own, row[order])]
-                first = np.flatnonzero(np.diff(slot[order], prepend=-1))
-                if len(first):
-                    total[slot[order][first]] += np.add.reduceat(part, first, axis=0)
+                if len(slot) > len(one):
+                    one, two = np.empty((len(slot), width)), np.empty((len(slot), width))
+                stops = np.flatnonzero(np.diff(row, append=-1)) + 1
+                for low, high in zip([0, *stops[:-1].tolist()], stops.tolist()):
+                    # a row's slots differ, so its products can be added in place
+                    s, w, x = slot[low:high], weight[low:high], one[: high - low]
+                    y = w @ np.take(b, s, axis=0, out=x, mode="clip")
+                    np.take(total, s, axis=0, out=x, mode="clip")
+                    x += np.multiply(w[:, None], y, out=two[: high - low])
+                    total[s] = x
         yield from emit(total)
 
     def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -108,8 +116,14 @@ def _pass(rows: DataFrame, idf: np.ndarray, basis: np.ndarray) -> np.ndarray:
 def fit(counted: DataFrame, components: int = 32, min_df: int = 2, extra: int = 10, rounds: int = 4, seed: int = 42) -> Projection:
     """The projection fitted on all rows of ``slot_counts``. Slots that fewer than ``min_df`` rows have weigh nothing. With fewer directions than ``components`` the rest of the basis is zero."""
     n = counted.count()
+
+    def holders(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = sum((np.bincount(b.column("slots").flatten().to_numpy(), minlength=SLOTS) for b in batches), np.zeros(SLOTS, np.int64))
+        own = np.flatnonzero(found)
+        yield pa.RecordBatch.from_arrays([pa.array(own.astype(np.int32)), pa.array(found[own])], names=["slot", "n"])
+
     df = np.zeros(SLOTS)
-    got = counted.select(F.explode("slots").alias("slot")).groupBy("slot").agg(F.count("*").alias("n")).toArrow()
+    got = counted.select("slots").mapInArrow(holders, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
     df[got["slot"].to_numpy()] = got["n"].to_numpy()
     idf = np.where(df >= min_df, np.log((1.0 + n) / (1.0 + df)) + 1.0, 0.0)
     basis = np.random.default_rng(seed).normal(size=(SLOTS, components + extra))
