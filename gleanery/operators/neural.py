@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -93,7 +94,7 @@ def _learn(net: Network, rows: Shard | list[tuple], rate: float, batch: int) ->
     """(weights after the shard, touched rows, summed loss): mini-batches in the order given, a falling rate for each weight."""
     rows = rows if isinstance(rows, Shard) else Shard.of(rows)
     w, seen, touched, loss = net.weights.copy(), np.full(net.weights.shape, 1e-3), np.zeros(len(net.weights), bool), 0.0
-    own = Network(w)
+    own, sum_of = Network(w), np.zeros((SLOTS, w.shape[1]))
     for at in range(0, len(rows.labels), batch):
         row, slot, weight, y = rows.part(at, at + batch)
         _, sums = times(row, slot, weight, w[:SLOTS])
@@ -101,11 +102,15 @@ def _learn(net: Network, rows: Shard | list[tuple], rate: float, batch: int) ->
         loss -= float(np.log(np.clip(np.where(y == 1, p, 1.0 - p), 1e-12, 1.0)).sum())
         error = (p - y) / len(y)
         inner = error[:, None] * w[SLOTS + 1] * (1.0 - z * z)
-        places, at_place = np.unique(slot, return_inverse=True)
-        grad = np.zeros((len(places) + 3, w.shape[1]))
-        np.add.at(grad, at_place, weight[:, None] * inner[row])
+        inputs = np.flatnonzero(np.bincount(slot, minlength=SLOTS))
+        # a row's slots differ, so its gradient can be added in place
+        first = np.flatnonzero(np.diff(row, prepend=-1))
+        for i, low, high in zip(row[first].tolist(), first.tolist(), [*first[1:].tolist(), len(row)]):
+            sum_of[slot[low:high]] += weight[low:high, None] * inner[i]
+        grad = np.zeros((len(inputs) + 3, w.shape[1]))
+        grad[:-3], sum_of[inputs] = sum_of[inputs], 0.0
         grad[-3], grad[-2], grad[-1, 0] = inner.sum(axis=0), error @ z, error.sum()
-        places = np.concatenate([places, [SLOTS, SLOTS + 1, SLOTS + 2]])
+        places = np.concatenate([inputs, [SLOTS, SLOTS + 1, SLOTS + 2]])
         seen[places] += grad * grad
         w[places] -= rate * grad / np.sqrt(seen[places])
         touched[places] = True
@@ -164,7 +169,7 @@ def train(rows: DataFrame, hidden: int = 16, epochs: int = 10, patience: int = 3
     shards = -(-n["train"] // shard_rows)
     order = F.xxhash64(F.lit(seed), "key")
     own = rows.where("split = 'train'").withColumn("shard", F.pmod(order, F.lit(shards)).cast("int"))
-    dealt = own.repartition(shards, "shard").sortWithinPartitions("shard", order, "key").select("shard", "slots", "counts", "label")
+    dealt = own.repartition(shards, "shard").sortWithinPartitions("shard", order, "key").select("shard", "slots", "counts", "label").persist(StorageLevel.DISK_ONLY)  # every epoch reads the shards again
     held = rows.where("split <> 'train'")
     net, best, since, history, kept = Network.start(hidden, seed), -1.0, 0, [], None
     for epoch in range(1, epochs + 1):
@@ -177,6 +182,7 @@ def train(rows: DataFrame, hidden: int = 16, epochs: int = 10, patience: int = 3
             since += 1
             if since >= patience:
                 break
+    dealt.unpersist()
     return kept, history
 
 
