@@ -12,8 +12,11 @@ from __future__ import annotations
 
 import re
 import time
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
+from itertools import batched
 
+import pyarrow as pa
 import pyarrow.dataset as ds
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
@@ -96,7 +99,7 @@ class FolderFeed:
     """Pages written by ``write_pages``: a feed whose cursor is the number of the next page."""
 
     def __init__(self, path: str):
-        self.path = path
+        self.path, self._known = path, ("", [])
 
     def _pages(self, key: str) -> list[int]:
         files, root = fs.FileSystem.from_uri(self.path)
@@ -109,11 +112,15 @@ class FolderFeed:
     def page(self, key: str, cursor: str, size: int):
         files, root = fs.FileSystem.from_uri(self.path)
         number = 0 if cursor == START else int(cursor)
-        later = [p for p in self._pages(key) if p >= number]
-        if not later:
+        # pages are only added, at the end: the folder is listed again when the known ones have been read
+        if self._known[0] != key or not self._known[1] or self._known[1][-1] < number:
+            self._known = (key, self._pages(key))
+        at = bisect_left(self._known[1], number)
+        if at == len(self._known[1]):
             return [], None
-        rows = ds.dataset(f"{root}/{folder_of(key)}/page={later[0]}", filesystem=files, format="parquet").to_table().sort_by("place").to_pylist()
-        return rows, str(later[0] + 1)
+        page = self._known[1][at]
+        rows = ds.dataset(f"{root}/{folder_of(key)}/page={page}", filesystem=files, format="parquet").to_table().sort_by("place").to_pylist()
+        return rows, str(page + 1)
 
 
 def write_pages(rows: DataFrame, path: str, order: list, key: str = "game", size: int = PAGE) -> None:
@@ -130,6 +137,16 @@ def write_pages(rows: DataFrame, path: str, order: list, key: str = "game", size
     paged.repartition("game", "page").write.mode("append").partitionBy("game", "page").parquet(path)
 
 
+SCHEMA = "game string, review_text string, voted_up boolean, votes_up int, language string, timestamp_created bigint, author string"
+_ARROW = pa.schema([("game", pa.string()), ("review_text", pa.string()), ("voted_up", pa.bool_()), ("votes_up", pa.int32()), ("language", pa.string()), ("timestamp_created", pa.int64()), ("author", pa.string())])
+
+
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    """``rows`` a page at a time: rows given one by one would be held until Spark's batch of 10,000 is full, whole texts among them."""
+    for part in batched(rows, PAGE):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), _ARROW)], schema=_ARROW)
+
+
 def _row(key: str, r: dict) -> tuple:
     return (key, r.get("review_text") or "", bool(r.get("voted_up") or False), int(r.get("votes_up") or 0), r.get("language") or "", int(r.get("timestamp_created") or 0), r.get("author") or "")
 
@@ -146,9 +163,9 @@ class _Reader(DataSourceReader):
     def partitions(self) -> list[InputPartition]:
         return [InputPartition(k) for k in self.options.get("keys", "").split(",") if k]
 
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        for r in take_valid(self.feed, partition.value, int(self.options.get("most", "100")), _keep(self.options), float(self.options.get("pause", "0.5"))):
-            yield _row(partition.value, r)
+    def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
+        found = take_valid(self.feed, partition.value, int(self.options.get("most", "100")), _keep(self.options), float(self.options.get("pause", "0.5")))
+        yield from _batches(_row(partition.value, r) for r in found)
 
 
 class _StreamReader(DataSourceStreamReader):
@@ -188,7 +205,7 @@ def register(spark: SparkSession, feed, name: str = "paged_reviews") -> None:
             return name
 
         def schema(self) -> str:
-            return "game string, review_text string, voted_up boolean, votes_up int, language string, timestamp_created bigint, author string"
+            return SCHEMA
 
         def _checked(self) -> dict:
             validate(self.options.get("language", "all"), self.options.get("review_type", "all"))
