@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame, Window
@@ -30,21 +34,58 @@ def assign(vectors: DataFrame, k: int, min_size: int = 10, keep: float = 0.95, k
     return near.join(F.broadcast(limits), "cluster").crossJoin(F.broadcast(cut)).select(key, out.cast("int").alias("topic_id"), "distance")
 
 
+#: Bytes of terms that a task holds before it adds them up.
+_STEP = 1 << 26
+
+
+def _sums(held: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows' terms as (topic_id, term, tf, df), one row for each topic and term. Terms and topics are numbered, so that only numbers are sorted."""
+    lists = [b.column("terms") for b in held]
+    terms = pa.chunked_array([x.flatten() for x in lists], pa.string()).dictionary_encode("encode")
+    if not len(terms):
+        return
+    topics = pa.chunked_array([b.column("topic_id") for b in held]).dictionary_encode("encode")
+    words, kinds = terms.chunk(0).dictionary, topics.chunk(0).dictionary
+    code, topic = (np.concatenate([c.indices.to_numpy() for c in x.chunks]).astype(np.int64) for x in (terms, topics))
+    row = np.repeat(np.arange(len(topic)), np.concatenate([x.value_lengths().fill_null(0).to_numpy() for x in lists]))
+    own, n = np.unique(row * len(words) + code, return_counts=True)  # the distinct terms of each row
+    slot, at, df = np.unique(topic[own // len(words)] * len(words) + own % len(words), return_inverse=True, return_counts=True)
+    columns = [kinds.take(pa.array(slot // len(words))), words.take(pa.array(slot % len(words))), pa.array(np.bincount(at, n).astype(np.int64)), pa.array(df)]
+    yield pa.RecordBatch.from_arrays(columns, names=["topic_id", "term", "tf", "df"])
+
+
+def term_sums(docs: DataFrame, terms: Column, step: int = _STEP) -> DataFrame:
+    """(topic_id, term, tf, df), df the rows that hold the term; docs: topic_id and what ``terms`` needs. Added up within tasks only: a pair of topic and term
+    has a row for every ``step`` bytes of terms that hold it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            held.append(batch)
+            size += batch.nbytes
+            if size >= step:
+                yield from _sums(held)
+                held, size = [], 0
+        if held:
+            yield from _sums(held)
+
+    rows = docs.select("topic_id", terms.alias("terms"))
+    return rows.mapInArrow(run, f"topic_id {dict(rows.dtypes)['topic_id']}, term string, tf long, df long")
+
+
 def term_counts(docs: DataFrame, terms: Column, min_df: int = 2) -> DataFrame:
-    """(topic_id, term, tf) over terms that at least ``min_df`` documents hold; docs: topic_id and what ``terms`` needs. Repeats are counted within their row, rows are
-    added up by topic and term before they meet others of the term: at most one a topic."""
-    rows = docs.select("topic_id", F.explode(T.counted(terms)).alias("t"))
-    own = rows.groupBy("topic_id", F.col("t.item").alias("term")).agg(F.sum("t.n").alias("tf"), F.count("*").alias("df"))
-    held = own.withColumn("df", F.sum("df").over(Window.partitionBy("term")))
-    return held.where(F.col("df") >= min_df).select("topic_id", "term", "tf")
+    """(topic_id, term, tf, f) over terms that at least ``min_df`` documents hold, f the term's words in all topics; docs: topic_id and what ``terms`` needs.
+    Terms are added up in their tasks and shuffled once, by term, for the topics' sums and for those over all topics."""
+    own = term_sums(docs, terms).repartition("term").groupBy("topic_id", "term").agg(F.sum("tf").alias("tf"), F.sum("df").alias("df"))
+    every = Window.partitionBy("term")
+    return own.withColumns({"f": F.sum("tf").over(every), "df": F.sum("df").over(every)}).where(F.col("df") >= min_df).select("topic_id", "term", "tf", "f")
 
 
 def class_tfidf(counts: DataFrame) -> DataFrame:
-    """(topic_id, term, tf, score): term share in its topic times ln(1 + A / f), A the mean words of a topic, f the term's words in all."""
+    """(topic_id, term, tf, score) of ``term_counts``: term share in its topic times ln(1 + A / f), A the mean words of a topic, f the term's words in all."""
     sizes = counts.groupBy("topic_id").agg(F.sum("tf").alias("words"))
     mean = sizes.agg(F.avg("words").alias("a"))
-    overall = counts.groupBy("term").agg(F.sum("tf").alias("f"))
-    joined = counts.join(overall, "term").join(sizes, "topic_id").crossJoin(F.broadcast(mean))
+    joined = counts.join(F.broadcast(sizes.crossJoin(F.broadcast(mean))), "topic_id")
     return joined.select("topic_id", "term", "tf", F.round(F.col("tf") / F.col("words") * F.log(1 + F.col("a") / F.col("f")), 6).alias("score"))
 
 
