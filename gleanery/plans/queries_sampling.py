@@ -121,11 +121,10 @@ def part_games(spark, d):
 REAL = f"(SELECT game_id, list_filter(tags, lambda t: t NOT IN ({', '.join(repr(t) for t in L.NOISE_TAGS)})) AS tags FROM ({PARTS}))"
 
 
-@query(f"""WITH g AS (SELECT game_id, list_sort(tags) AS tags FROM {REAL}), c AS (SELECT tags, min(game_id) AS class_id FROM g GROUP BY 1), t AS (SELECT class_id, unnest(tags) AS tag FROM c)
-    SELECT class_id AS game_a, game_id AS game_b, CAST(len(tags) AS BIGINT) AS shared, true AS same FROM g JOIN c USING (tags) WHERE class_id < game_id AND len(tags) >= 2
-    UNION ALL SELECT a.class_id, b.class_id, count(*), false FROM t a JOIN t b ON a.tag = b.tag AND a.class_id < b.class_id GROUP BY 1, 2 HAVING count(*) >= 2""")
+@query(f"SELECT a.game_id AS game_a, b.game_id AS game_b, count(*) AS shared FROM (SELECT game_id, unnest(tags) AS tag FROM {REAL}) a JOIN (SELECT game_id, unnest(tags) AS tag FROM {REAL}) b ON a.tag = b.tag AND a.game_id < b.game_id GROUP BY 1, 2 HAVING count(*) >= 2")
 def j11_similar_games(spark, d):
-    return S.similar_items(part_games(spark, d).select("game_id", S.without_noise(F.col("tags"), L.NOISE_TAGS).alias("tags")))
+    """Every two games that share two tags or more, copies too."""
+    return S.similar_pairs(part_games(spark, d).select("game_id", S.without_noise(F.col("tags"), L.NOISE_TAGS).alias("tags")))
 
 
 def part_reviews(spark, d):
