@@ -42,33 +42,35 @@ def stacked(column) -> np.ndarray:
     return unit(lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1))
 
 
-def fit_centres(x: np.ndarray, k: int, rounds: int = 8) -> np.ndarray:
-    """Centres of ``x`` by Lloyd's rounds from evenly spaced rows; an empty centre keeps its place."""
+def fit_centres(x: np.ndarray, k: int, rounds: int = 8, step: int = 1024) -> np.ndarray:
+    """Centres of ``x`` by Lloyd's rounds from evenly spaced rows; an empty centre keeps its place. Rows meet the centres in blocks of ``step``."""
     centres = x[np.linspace(0, len(x) - 1, k).astype(int)].copy()
     for _ in range(rounds):
-        at = (x @ centres.T - 0.5 * (centres * centres).sum(axis=1)).argmax(axis=1)
+        half = 0.5 * (centres * centres).sum(axis=1)
+        at = np.concatenate([(x[low : low + step] @ centres.T - half).argmax(axis=1) for low in range(0, len(x), step)])
         for c in range(k):
             if len(own := x[at == c]):
                 centres[c] = own.mean(axis=0)
     return centres
 
 
-def apart(centres: np.ndarray) -> np.ndarray:
-    """Distances between all centres."""
+def apart(some: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Distances between ``some`` centres and all."""
     size = (centres * centres).sum(axis=1)
-    return np.sqrt(np.maximum(0, size[:, None] + size[None, :] - 2 * centres @ centres.T))
+    return np.sqrt(np.maximum(0, (some * some).sum(axis=1)[:, None] + size - 2 * some @ centres.T))
 
 
-def homes(x: np.ndarray, centres: np.ndarray, reach: float, most: int | None = None, between: np.ndarray | None = None, step: int = 1024) -> tuple[np.ndarray, list[np.ndarray]]:
-    """The home of each row, and all shards whose border with the home is nearer than ``reach``; with ``most``, the so many of nearest border. Rows go in blocks of ``step``."""
-    between = apart(centres) if between is None else between
+def homes(x: np.ndarray, centres: np.ndarray, reach: float, most: int | None = None, step: int = 1024) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The home of each row, and all shards whose border with the home is nearer than ``reach``; with ``most``, the so many of nearest border. Rows go in blocks of
+    ``step``, with the distances of their own homes to the other centres: those between all centres would grow with the square of their number."""
     home, shards = np.empty(len(x), np.int64), []
     for at in range(0, len(x), step):
         far = (centres * centres).sum(axis=1) - 2 * x[at : at + step] @ centres.T
         rows = np.arange(len(far))
         own = far.argmin(axis=1)
-        border = (far - far[rows, own][:, None]) / np.maximum(2 * between[own], 1e-300)
-        border[between[own] == 0] = 0  # an equal centre
+        between = apart(centres[own], centres)
+        border = (far - far[rows, own][:, None]) / np.maximum(2 * between, 1e-300)
+        border[between == 0] = 0  # an equal centre
         border[rows, own] = -1
         if most is not None and most < len(centres):
             rest = np.argpartition(border, most - 1, axis=1)[:, most:]
@@ -213,13 +215,12 @@ def _lengths(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
 
 def _assign(centres: dict[int, tuple[int, np.ndarray]], reach: float, most: int | None):
     """``centres``: of each vector length, with the number of its first shard."""
-    between = {d: apart(c) for d, (_, c) in centres.items()}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small(batches):
             for d, part in _lengths(batch):
                 first, own = centres[d]
-                home, shards = homes(stacked(part.column("vector")), own, reach, most, between[d])
+                home, shards = homes(stacked(part.column("vector")), own, reach, most)
                 cols = [*(part.column(c) for c in ("node", "vector", "copies")), pa.array(first + home, pa.int32()), pa.array([(first + s).astype(np.int32) for s in shards], pa.list_(pa.int32()))]
                 yield pa.RecordBatch.from_arrays(cols, names=["node", "vector", "copies", "home", "shards"])
 
