@@ -197,7 +197,9 @@ def _merge(min_size: int, number: int):
             density = 1.0 / max(w, FLOOR)
             if len(ends) == 1:
                 a, b = find(ends[0][0]), find(ends[0][1])
-                merge([a] if a == b else [a, b], density)
+                # within one component an edge changes nothing, unless its vectors are enough for a cluster just now
+                if a != b or (state[a][1] is None and state[a][0] >= min_size):
+                    merge([a] if a == b else [a, b], density)
                 return
             joined, groups = {}, {}
 
@@ -221,7 +223,7 @@ def _merge(min_size: int, number: int):
                 x = columns["a"][i].as_py()
                 up[x], state[x] = x, [columns[n][i].as_py() for n in STATE_FIELDS]
             edges = batch.filter(columns["edge"])
-            for weight, a, b, size_a, size_b in zip(*(edges.column(n).to_pylist() for n in ("w", "a", "b", "size_a", "size_b"))):
+            for weight, a, b, size_a, size_b in zip(*(edges.column(n).to_numpy().tolist() for n in ("w", "a", "b", "size_a", "size_b"))):
                 for x, size in ((a, size_a), (b, size_b)):
                     if x not in up:
                         up[x], state[x] = x, [size, None, 0.0, 0.0, 0.0, [x], [size]]
@@ -282,7 +284,9 @@ def condense(edges: DataFrame, min_size: int, block: int) -> tuple[DataFrame, Da
     def settle(low: int, high: int, part: DataFrame, states: DataFrame | None) -> tuple[DataFrame, DataFrame]:
         """(names of components that have gone, states after each block) of the blocks from ``low`` to ``high``."""
         if high - low == 1:
-            rows = part.select(F.lit(True).alias("edge"), "w", "a", "b", "size_a", "size_b", *[F.lit(None).cast(t).alias(n) for n, t in STATE.items()])
+            # an edge's lists are empty, not null: null lists make the rows' way to the task ten times as long
+            blank = [(F.array() if t.startswith("array") else F.lit(None)).cast(t).alias(n) for n, t in STATE.items()]
+            rows = part.select(F.lit(True).alias("edge"), "w", "a", "b", "size_a", "size_b", *blank)
             if states is not None:
                 rows = rows.unionByName(states.select(F.lit(False).alias("edge"), F.col("comp").alias("a"), *STATE_FIELDS), allowMissingColumns=True)
             merged = materialize(rows.repartition(1).sortWithinPartitions("edge", "w", "a", "b").mapInArrow(_merge(min_size, low + 1), MERGED))
